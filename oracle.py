@@ -27,9 +27,10 @@ OPEN = "l_linestatus = 'O'"
 LATE = "l_shipdate > o_orderdate + INTERVAL 60 DAY"
 IN_TIME = "l_shipdate <= o_orderdate + INTERVAL 60 DAY"
 KNOWN_TYPES = "('view', 'click', 'purchase', 'signup')"
-CS01_GROUPS = f"""SELECT o_orderkey, o_totalprice, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS s
-    FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE {OPEN} GROUP BY o_orderkey, o_totalprice"""
-MISSES = "abs(CAST(s AS DOUBLE) - o_totalprice) > o_totalprice * 0.05"
+CENTS = "CAST(round({} * 100) AS BIGINT)"
+CS01_GROUPS = f"""SELECT o_orderkey, {CENTS.format('o_totalprice')} AS w, sum({CENTS.format('l_extendedprice')}) AS s
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE {OPEN} GROUP BY 1, 2"""
+MISSES = "abs(s - w) > w * 0.05::DOUBLE"
 LOADED = "(SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"
 
 # kpi_id -> (numerator query, denominator query)
@@ -161,9 +162,9 @@ DRILLDOWNS = {
     "CS07": f"""SELECT o_orderkey, o_orderstatus, count(DISTINCT l_suppkey) AS active_supplier_count,
         min(l_suppkey) AS supplier_sample FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE {OPEN}
         GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1 ORDER BY 1, 2 LIMIT 50""",
-    "CS01": f"""SELECT o_orderkey, o_totalprice AS order_price, CAST(s AS DOUBLE) AS line_price_sum,
-        abs(CAST(s AS DOUBLE) - o_totalprice) AS discrepancy, o_orderpriority FROM (
-          SELECT o_orderkey, o_totalprice, o_orderpriority, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS s
+    "CS01": f"""SELECT o_orderkey, w / 100.0 AS order_price, s / 100.0 AS line_price_sum,
+        abs(s - w) / 100.0 AS discrepancy, o_orderpriority FROM (
+          SELECT o_orderkey, {CENTS.format('o_totalprice')} AS w, o_orderpriority, sum({CENTS.format('l_extendedprice')}) AS s
           FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE {OPEN} GROUP BY 1, 2, 3)
         WHERE {MISSES} ORDER BY 1, 2, 3, 4, 5 LIMIT 50""",
     "CS02": f"SELECT {DATED} FROM {LINES} WHERE l_shipdate < o_orderdate ORDER BY {DATED_KEYS} LIMIT 50",

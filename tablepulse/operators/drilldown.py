@@ -52,7 +52,7 @@ def failing_rows(tables: Tables, rule: Rule) -> DataFrame:
     if isinstance(m, ReconcileRate):
         also = _columns_beyond(rule.show, {"key", "amount", "total", "discrepancy"})
         groups = reconcile_groups(parent, child, m, *also)
-        failing = groups.where(off_by_more(F.col("total"), F.col("amount"), m.tolerance))
+        failing = groups.where(off_by_more("total", "amount", m.tolerance))
         return failing.withColumn("discrepancy", F.abs(F.col("total") - F.col("amount"))).selectExpr(*rule.show)
     raise TypeError(f"unknown measure {type(m).__name__}")
 

@@ -70,106 +70,89 @@ def row_counts(tables: Tables) -> DataFrame:
 def _long(totals: DataFrame, rules: list[Rule]) -> DataFrame:
     """One wide row ``num_i, den_i`` -> long rows."""
     rows = [
-        F.struct(
-            F.lit(r.kpi_id).alias("kpi_id"),
-            F.coalesce(F.col(f"num_{i}"), F.lit(0)).cast("long").alias("num"),
-            F.coalesce(F.col(f"den_{i}"), F.lit(0)).cast("long").alias("den"),
-        )
+        f"named_struct('kpi_id', '{r.kpi_id}', 'num', coalesce(CAST(num_{i} AS BIGINT), 0L),"
+        f" 'den', coalesce(CAST(den_{i} AS BIGINT), 0L))"
         for i, r in enumerate(rules)
     ]
-    return totals.select(F.inline(F.array(*rows)))
+    return totals.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def _row_rates(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    counts: list[Column] = []
+    counts: list[str] = []
     for i, rule in enumerate(rules):
-        counts.append(F.count_if(F.expr(rule.measure.hit)).alias(f"num_{i}"))
-        counts.append(F.count_if(F.expr(rule.measure.among)).alias(f"den_{i}"))
-    return _long(df.agg(*counts), rules)
+        counts += [f"count_if({rule.measure.hit}) AS num_{i}", f"count_if({rule.measure.among}) AS den_{i}"]
+    return _long(df.selectExpr(*counts), rules)
 
 
 class _Side:
     """Per-key aggregates of one table, each expression evaluated and shuffled once."""
 
-    def __init__(self, key: str):
+    def __init__(self, prefix: str, key: str):
+        self.prefix = prefix
         self.key = key
         self.inputs: dict[str, str] = {}
-        self.merges: dict[tuple[str, str], str] = {}
+        self.merges: dict[str, str] = {}
 
-    def need(self, merge: str, expression: str, prefix: str) -> Column:
-        column = self.inputs.setdefault(expression, f"{prefix}_in_{len(self.inputs)}")
-        return F.col(self.merges.setdefault((merge, column), f"{prefix}_{len(self.merges)}"))
+    def need(self, function: str, expression: str) -> str:
+        """The name of ``function(expression)`` per key."""
+        column = self.inputs.setdefault(expression, f"{self.prefix}_in_{len(self.inputs)}")
+        return self.merges.setdefault(f"{function}({column})", f"{self.prefix}_{len(self.merges)}")
 
     def rows(self, df: DataFrame) -> DataFrame:
-        inputs = [F.expr(e).alias(c) for e, c in self.inputs.items()]
-        return df.select(F.expr(self.key).alias("key"), *inputs)
+        return df.selectExpr(f"{self.key} AS key", *(f"{e} AS {c}" for e, c in self.inputs.items()))
 
     def aggregates(self) -> list[Column]:
-        merge = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
-        return [merge[m](F.col(c)).alias(out) for (m, c), out in self.merges.items()]
+        return [F.expr(f"{call} AS {name}") for call, name in self.merges.items()]
 
 
 def _ones(predicate: str) -> str:
-    return f"CASE WHEN {predicate} THEN 1L ELSE 0L END"
+    return "1L" if predicate == "true" else f"CASE WHEN {predicate} THEN 1L ELSE 0L END"
 
 
 def _only(predicate: str, value: str) -> str:
     return value if predicate == "true" else f"CASE WHEN {predicate} THEN {value} END"
 
 
+def _numerator(m: KeyedRate, parent: _Side, child: _Side) -> str:
+    """The numerator of a rule as an aggregate over the per-key records."""
+    parents = f"CASE WHEN key IS NULL THEN 0L ELSE coalesce({parent.need('sum', _ones(m.parent_where))}, 0L) END"
+    active = f"coalesce({child.need('sum', _ones(m.child_where))}, 0L)"
+    if isinstance(m, MatchRate):
+        return f"count_if({parents} > 0 AND {active} > 0)"
+    if isinstance(m, OrphanRate):
+        return f"sum(CASE WHEN {parents} = 0 THEN {active} END)"
+    if isinstance(m, ResolveRate):
+        return f"sum({parents} * {active})"
+    if isinstance(m, AmbiguousRate):
+        # More than one distinct value is the same as min < max, which combines map-side.
+        value = _only(m.child_where, m.child_value)
+        return f"count_if({child.need('min', value)} < {child.need('max', value)})"
+    if isinstance(m, ReconcileRate):
+        amount = _only(m.parent_where, m.parent_amount)
+        low, high = parent.need("min", amount), parent.need("max", amount)
+        total = child.need("sum", _only(m.child_where, m.child_amount))
+        off = off_by_more(f"{parent.need('count', amount)} * {total}", low, m.tolerance)
+        return f"count_if(key IS NOT NULL AND {active} > 0 AND {low} = {high} AND {off})"
+    raise TypeError(f"unknown measure {type(m).__name__}")
+
+
 def _keyed_rates(tables: Tables, rules: list[Rule]) -> DataFrame:
     first: KeyedRate = rules[0].measure
-    parent, child = _Side(first.parent_key), _Side(first.child_key)
-    numerators: list[Column] = []
-    denominators: list[Column] = []
-    for rule in rules:
-        m = rule.measure
-        parents = F.coalesce(parent.need("sum", _ones(m.parent_where), "p"), F.lit(0))
-        children = F.coalesce(child.need("sum", _ones("true"), "c"), F.lit(0))
-        active = F.coalesce(child.need("sum", _ones(m.child_where), "c"), F.lit(0))
-        parents = F.when(F.col("key").isNull(), 0).otherwise(parents)
-        if isinstance(m, MatchRate):
-            numerators.append(F.count_if((parents > 0) & (active > 0)))
-        elif isinstance(m, OrphanRate):
-            numerators.append(F.sum(F.when(parents == 0, active)))
-        elif isinstance(m, ResolveRate):
-            numerators.append(F.sum(parents * active))
-        elif isinstance(m, AmbiguousRate):
-            # More than one distinct value is the same as min < max, which combines map-side.
-            value = _only(m.child_where, m.child_value)
-            numerators.append(F.count_if(child.need("min", value, "c") < child.need("max", value, "c")))
-        elif isinstance(m, ReconcileRate):
-            amount = _only(m.parent_where, m.parent_amount)
-            low, high = parent.need("min", amount, "p"), parent.need("max", amount, "p")
-            copies = parent.need("count", amount, "p")
-            total = child.need("sum", _only(m.child_where, m.child_amount), "c")
-            numerators.append(
-                F.count_if(
-                    F.col("key").isNotNull()
-                    & (active > 0)
-                    & (low == high)
-                    & off_by_more(copies * total, low, m.tolerance)
-                )
-            )
-        else:
-            raise TypeError(f"unknown measure {type(m).__name__}")
-        if isinstance(m, (OrphanRate, ResolveRate)):
-            denominators.append(F.sum(children))
-        else:
-            denominators.append(F.sum(parent.need("sum", _ones("true"), "p")))
+    parent, child = _Side("p", first.parent_key), _Side("c", first.child_key)
+    totals: list[str] = []
+    for i, rule in enumerate(rules):
+        totals.append(f"{_numerator(rule.measure, parent, child)} AS num_{i}")
+        counted = child if isinstance(rule.measure, (OrphanRate, ResolveRate)) else parent
+        totals.append(f"sum({counted.need('sum', _ones('true'))}) AS den_{i}")
     both = parent.rows(tables[first.parent]).unionByName(
         child.rows(tables[first.child]), allowMissingColumns=True
     )
     per_key = both.groupBy("key").agg(*parent.aggregates(), *child.aggregates())
-    totals = per_key.agg(
-        *(c.alias(f"num_{i}") for i, c in enumerate(numerators)),
-        *(c.alias(f"den_{i}") for i, c in enumerate(denominators)),
-    )
-    return _long(totals, rules)
+    return _long(per_key.selectExpr(*totals), rules)
 
 
-def off_by_more(total: Column, amount: Column, tolerance: float) -> Column:
-    return F.abs(total - amount) > amount * F.lit(tolerance)
+def off_by_more(total: str, amount: str, tolerance: float) -> str:
+    return f"abs({total} - {amount}) > {amount} * {tolerance}D"
 
 
 def reconcile_groups(parent: DataFrame, child: DataFrame, m: ReconcileRate, *also: str) -> DataFrame:
@@ -221,7 +204,7 @@ def _disagreeing_parents(tables: Tables, rule: Rule) -> list[DataFrame]:
 
     groups = reconcile_groups(restrict(parent, m.parent_key), restrict(child, m.child_key), m)
     failing = groups.agg(
-        F.count_if(off_by_more(F.col("total"), F.col("amount"), m.tolerance)).alias("num_0"),
+        F.count_if(F.expr(off_by_more("total", "amount", m.tolerance))).alias("num_0"),
         F.lit(0).alias("den_0"),
     )
     return [_long(failing, [rule])]

@@ -24,11 +24,18 @@ from tablepulse.plans.freight import (
     OPS_MANAGER,
     SUPPLY_CHAIN,
 )
+from tablepulse.sources import schemas
 from tablepulse.sources.tables import TableSet, read_tables, with_views
 
-BASE_TABLES = ("orders", "lineitem", "customer", "supplier", "events", "documents", "labels", "conversations")
+BASE_TABLES = tuple(schemas.WAREHOUSE)
 PROMISED_DAYS = 60
 
+
+def _cents(price: str) -> str:
+    """Prices summed as whole cents: exact in any order, and cheaper than decimals."""
+    return f"CAST(round({price} * 100) AS BIGINT)"
+
+
 _LINK = {
     "parent": "orders",
     "child": "lineitem",
@@ -74,11 +81,11 @@ RULES: tuple[Rule, ...] = (
          show=("o_orderkey", "o_orderstatus", "n_values AS active_supplier_count",
                "sample_value AS supplier_sample")),
     Rule("CS01", "Orders whose open lines miss the total", "consistency", DATA_ENGINEER, 85, False,
-         ReconcileRate(**_LINK, child_where=_OPEN_LINE, parent_amount="o_totalprice",
-                       child_amount="CAST(l_extendedprice AS DECIMAL(18, 2))", tolerance=0.05),
+         ReconcileRate(**_LINK, child_where=_OPEN_LINE, parent_amount=_cents("o_totalprice"),
+                       child_amount=_cents("l_extendedprice"), tolerance=0.05),
          entities=("order", "line"),
-         show=("key AS o_orderkey", "amount AS order_price", "CAST(total AS DOUBLE) AS line_price_sum",
-               "CAST(discrepancy AS DOUBLE) AS discrepancy", "o_orderpriority")),
+         show=("key AS o_orderkey", "amount / 100D AS order_price", "total / 100D AS line_price_sum",
+               "discrepancy / 100D AS discrepancy", "o_orderpriority")),
     Rule("CS02", "Lines shipped before their order", "consistency", OPS_MANAGER, 45, False,
          RowRate("dated_lines", "l_shipdate < o_orderdate"),
          entities=("line",), show=_DATED_ROW),
@@ -141,7 +148,7 @@ def bind(base: Tables) -> TableSet:
 
 
 def load(spark: SparkSession, folder: str) -> TableSet:
-    return bind(read_tables(spark, folder, BASE_TABLES))
+    return bind(read_tables(spark, folder, schemas.WAREHOUSE))
 
 
 # ---- state tables and texts, filled from the rows of the warehouse ----

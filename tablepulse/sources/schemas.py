@@ -63,3 +63,27 @@ TABLES = {
     "kpi_snapshots": KPI_SNAPSHOTS,
     "dq_alerts": DQ_ALERTS,
 }
+
+# The sales warehouse, as stored. Given schemas spare a job per table that would read the file footers.
+_I, _NTZ = T.IntegerType(), T.TimestampNTZType()
+WAREHOUSE = {
+    "orders": _struct(
+        ("o_orderkey", _L), ("o_custkey", _L), ("o_orderstatus", _S), ("o_totalprice", _D),
+        ("o_orderdate", _NTZ), ("o_orderpriority", _S),
+    ),
+    "lineitem": _struct(
+        ("l_orderkey", _L), ("l_partkey", _L), ("l_suppkey", _L), ("l_linenumber", _I), ("l_quantity", _D),
+        ("l_extendedprice", _D), ("l_discount", _D), ("l_tax", _D), ("l_returnflag", _S), ("l_linestatus", _S),
+        ("l_shipdate", _NTZ),
+    ),
+    "customer": _struct(
+        ("c_custkey", _L), ("c_name", _S), ("c_nationkey", _I), ("c_acctbal", _D), ("c_mktsegment", _S),
+    ),
+    "supplier": _struct(("s_suppkey", _L), ("s_name", _S), ("s_nationkey", _I), ("s_acctbal", _D)),
+    "events": _struct(
+        ("event_id", _L), ("ts", _NTZ), ("user_id", _L), ("event_type", _S), ("value", _D), ("props", _S),
+    ),
+    "documents": _struct(("doc_id", _L), ("text", _S), ("lang", _S), ("source", _S), ("n_chars", _L)),
+    "labels": _struct(("doc_id", _L), ("quality", _I), ("toxic", _I)),
+    "conversations": _struct(("conv_id", _L), ("turn", _L), ("role", _S), ("text", _S)),
+}

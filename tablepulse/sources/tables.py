@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 class TableSet(Mapping[str, DataFrame]):
@@ -26,9 +27,11 @@ class TableSet(Mapping[str, DataFrame]):
         return len(self._openers)
 
 
-def read_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> TableSet:
-    """``folder/<name>.parquet`` for every name; scans read only the columns in use."""
-    return TableSet({n: lambda _, n=n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names})
+def read_tables(spark: SparkSession, folder: str, schemas: Mapping[str, T.StructType]) -> TableSet:
+    """``folder/<name>.parquet`` for every declared schema; scans read only the columns in use."""
+    return TableSet(
+        {n: lambda _, n=n: spark.read.schema(schemas[n]).parquet(f"{folder}/{n}.parquet") for n in schemas}
+    )
 
 
 def catalog_tables(spark: SparkSession, schema: str, names: Iterable[str]) -> TableSet:
