@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from tablepulse.functions import rates
 from tablepulse.operators.rules import RowRate, Rule
 from tablepulse.operators.scores import overall_mean, pillar_mean, with_parts
-from tablepulse.sources.schemas import KPI_COLUMNS, PILLAR_COLUMNS, SCORE_COLUMNS
+from tablepulse.sources.schemas import KPI_COLUMNS, KPI_SNAPSHOTS, PILLAR_COLUMNS, SCORE_COLUMNS
 
 
 def capture(kpis: DataFrame, rules: Iterable[Rule], label: str | None, captured_at: Column) -> DataFrame:
@@ -43,6 +43,12 @@ def not_yet_captured(batch: DataFrame, history: DataFrame) -> DataFrame:
     return batch.join(seen, second == F.col("_second"), "left_anti")
 
 
+def appended(batch: DataFrame, history: DataFrame) -> DataFrame:
+    """The captures of a batch that are new, numbered and in table order; loading a batch twice adds nothing."""
+    numbered = with_next_ids(not_yet_captured(batch, history), history, "snapshot_id", ["captured_at"])
+    return numbered.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in KPI_SNAPSHOTS.fields))
+
+
 def listing(history: DataFrame) -> DataFrame:
     """All captures, oldest first, with an empty text for a missing label."""
     return history.withColumn("label", F.coalesce("label", F.lit(""))).orderBy("captured_at")

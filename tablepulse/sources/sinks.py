@@ -33,6 +33,19 @@ def create_if_absent(spark: SparkSession, path: str, schema: T.StructType) -> No
     empty_table(spark, schema).write.mode("ignore").parquet(path)
 
 
+def create_tables(spark: SparkSession, schema: str, tables: Mapping[str, T.StructType]) -> None:
+    """``CREATE SCHEMA`` and ``CREATE TABLE`` in the session catalog, where they do not exist yet."""
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+    for name, struct in tables.items():
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in struct.fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {schema}.`{name}` ({columns}) USING parquet")
+
+
+def insert_into(df: DataFrame, schema: str, table: str) -> None:
+    """Append to a catalog table, matching columns by name."""
+    df.write.mode("append").format("parquet").saveAsTable(f"{schema}.`{table}`")
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
