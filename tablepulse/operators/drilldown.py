@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tablepulse.operators.joins import distinct_keys
 from tablepulse.operators.measure import off_by_more, reconcile_groups
 from tablepulse.operators.rules import (
     AmbiguousRate,
@@ -33,22 +34,26 @@ _KEY = "_rule_key"
 
 
 def failing_rows(tables: Tables, rule: Rule) -> DataFrame:
-    """All rows behind the KPI, uncut, with the columns the rule shows."""
+    """All rows behind the KPI, uncut, with the columns the rule shows.
+
+    ``show`` may compute from any column of the table whose rows are listed. Grouped rules list groups:
+    an ambiguous rate offers ``n_values, sample_value`` and plain parent columns, a reconciliation
+    ``key, amount, total, discrepancy`` and plain parent columns, which then join the group key.
+    """
     m = rule.measure
     if not rule.drillable or isinstance(m, ResolveRate):
         raise KeyError(f"KPI '{rule.kpi_id}' has no drill-down")
     if isinstance(m, RowRate):
         return tables[m.table].where(F.expr(m.hit)).selectExpr(*rule.show)
-    parent = tables[m.parent].withColumn(_KEY, F.expr(m.parent_key))
-    child = tables[m.child].withColumn(_KEY, F.expr(m.child_key))
+    parent, child = tables[m.parent], tables[m.child]
     if isinstance(m, MatchRate):
-        active = child.where(F.expr(m.child_where)).select(_KEY)
-        return parent.join(active, _KEY, "left_anti").selectExpr(*rule.show)
+        linked = distinct_keys(child.where(m.child_where), m.child_key, _KEY)
+        return parent.join(linked, F.expr(m.parent_key) == F.col(_KEY), "left_anti").selectExpr(*rule.show)
     if isinstance(m, OrphanRate):
-        known = parent.where(F.expr(m.parent_where)).select(_KEY)
-        return child.join(known, _KEY, "left_anti").selectExpr(*rule.show)
+        known = distinct_keys(parent.where(m.parent_where), m.parent_key, _KEY)
+        return child.join(known, F.expr(m.child_key) == F.col(_KEY), "left_anti").selectExpr(*rule.show)
     if isinstance(m, AmbiguousRate):
-        return _ambiguous_keys(parent, child, m).selectExpr(*rule.show).distinct()
+        return _ambiguous_keys(parent, child, rule).selectExpr(*rule.show)
     if isinstance(m, ReconcileRate):
         also = _columns_beyond(rule.show, {"key", "amount", "total", "discrepancy"})
         groups = reconcile_groups(parent, child, m, *also)
@@ -62,22 +67,26 @@ def _columns_beyond(show: Iterable[str], known: set[str]) -> list[str]:
     return [e for e in show if e.isidentifier() and e not in known]
 
 
-def _ambiguous_keys(parent: DataFrame, child: DataFrame, m: AmbiguousRate) -> DataFrame:
-    """Parent rows joined to ``n_values, sample_value`` of their active child rows.
+def _ambiguous_keys(parent: DataFrame, child: DataFrame, rule: Rule) -> DataFrame:
+    """Shown parent columns with ``n_values, sample_value`` of the active child rows.
 
     Spark first removes repeated (key, value) pairs, spread over both, and only then counts per key,
-    so a key with very many child rows is not gathered in one task.
+    so a key with very many child rows is not gathered in one task. Equal parent rows become one
+    before the join.
     """
+    m: AmbiguousRate = rule.measure
     counted = (
-        child.where(F.expr(m.child_where))
-        .groupBy(_KEY)
+        child.where(m.child_where)
+        .groupBy(F.expr(m.child_key).alias(_KEY))
         .agg(
             F.count_distinct(F.expr(m.child_value)).alias("n_values"),
             F.min(F.expr(m.child_value)).alias("sample_value"),
         )
         .where("n_values > 1")
     )
-    return parent.join(counted, _KEY)
+    shown = _columns_beyond(rule.show, {"n_values", "sample_value"})
+    parents = parent.select(F.expr(m.parent_key).alias(_KEY), *shown).distinct()
+    return parents.join(counted, _KEY)
 
 
 def stringify(df: DataFrame) -> DataFrame:

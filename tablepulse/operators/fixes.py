@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablepulse.operators.joins import distinct_keys
 from tablepulse.operators.rules import Rule, Tables
 from tablepulse.operators.scores import kpi_table, with_scores, with_status
 
@@ -72,8 +73,7 @@ def _true(predicate: str) -> Column:
 
 
 def _known_keys(tables: Tables, fix: DeleteOrphans) -> DataFrame:
-    parents = tables[fix.parent].where(F.expr(fix.parent_where))
-    return parents.select(F.expr(fix.parent_key).alias("_known"))
+    return distinct_keys(tables[fix.parent].where(fix.parent_where), fix.parent_key, "_known")
 
 
 def apply(tables: Tables, fix: Fix) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablepulse.functions import rates
+from tablepulse.operators.joins import distinct_keys
 from tablepulse.operators.rules import RowRate, Rule
 from tablepulse.operators.scores import overall_mean, pillar_mean, with_parts
 from tablepulse.sources.schemas import KPI_COLUMNS, KPI_SNAPSHOTS, PILLAR_COLUMNS, SCORE_COLUMNS
@@ -38,9 +39,9 @@ def with_next_ids(batch: DataFrame, existing: DataFrame, id_column: str, order:
 
 def not_yet_captured(batch: DataFrame, history: DataFrame) -> DataFrame:
     """Rows of ``batch`` whose ``captured_at``, to the second, is not in the history."""
-    second = F.date_trunc("second", F.col("captured_at"))
-    seen = history.select(second.alias("_second")).distinct()
-    return batch.join(seen, second == F.col("_second"), "left_anti")
+    second = "date_trunc('second', captured_at)"
+    seen = distinct_keys(history, second, "_second")
+    return batch.join(seen, F.expr(second) == F.col("_second"), "left_anti")
 
 
 def appended(batch: DataFrame, history: DataFrame) -> DataFrame:

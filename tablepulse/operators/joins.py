@@ -1,4 +1,4 @@
-"""Joins whose NULL behaviour matters."""
+"""Semi- and anti-joins: NULL behaviour, and keys that own a large share of either side."""
 
 from __future__ import annotations
 
@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def distinct_keys(df: DataFrame, key: str, name: str) -> DataFrame:
+    """One row per non-NULL key, as column ``name``, for the right side of a semi- or anti-join.
+
+    Repeated keys are combined map-side, so a hot key on this side shrinks before the shuffle. They are
+    grouped by the key *and* its hash, so the join still shuffles the result by the key alone: adaptive
+    execution splits a hot key on the left side only where both inputs of the join are plain shuffles,
+    which they are not if an aggregate by the same key feeds the join directly.
+    """
+    keys = df.select(F.expr(key).alias(name)).where(F.col(name).isNotNull())
+    return keys.groupBy(F.xxhash64(name), name).agg(F.lit(True).alias("_any")).select(name)
+
+
 def not_in(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
     """``left_key NOT IN (SELECT right_key ...)`` with its NULL rules, as a shuffled anti-join.
 
@@ -13,8 +25,8 @@ def not_in(left: DataFrame, left_key: str, right: DataFrame, right_key: str) ->
     is empty. Spark runs the SQL form by broadcasting the whole right side; here the two facts about
     the right side are scalar subqueries, and the keys themselves meet in an ordinary anti-join.
     """
-    keys = right.select(F.col(right_key).alias("_present"))
-    facts = keys.agg(F.count(F.lit(1)).alias("n"), F.count("_present").alias("n_keys"))
+    facts = right.agg(F.count(F.lit(1)).alias("n"), F.count(right_key).alias("n_keys"))
     n, n_keys = facts.select("n").scalar(), facts.select("n_keys").scalar()
-    absent = left.join(keys.where("_present IS NOT NULL"), F.col(left_key) == F.col("_present"), "left_anti")
+    present = distinct_keys(right, right_key, "_present")
+    absent = left.join(present, F.col(left_key) == F.col("_present"), "left_anti")
     return absent.where((n == n_keys) & (F.col(left_key).isNotNull() | (n == 0)))

@@ -159,7 +159,9 @@ def reconcile_groups(parent: DataFrame, child: DataFrame, m: ReconcileRate, *als
     """``key, amount, *also, total`` for every parent group that has active child rows.
 
     Both sides are aggregated to their group before the join, so copies of a parent row become a
-    factor instead of repeated join rows.
+    factor instead of repeated join rows. The sums are grouped by the key and its hash so that both
+    sides are shuffled once more by the key alone: a key with very many parent groups can then be split
+    by adaptive execution.
     """
     groups = (
         parent.where(F.expr(m.parent_where))
@@ -168,8 +170,9 @@ def reconcile_groups(parent: DataFrame, child: DataFrame, m: ReconcileRate, *als
     )
     sums = (
         child.where(F.expr(m.child_where))
-        .groupBy(F.expr(m.child_key).alias("key"))
+        .groupBy(F.xxhash64(F.expr(m.child_key)), F.expr(m.child_key).alias("key"))
         .agg(F.sum(F.expr(m.child_amount)).alias("child_total"))
+        .select("key", "child_total")
     )
     joined = groups.join(sums, "key")
     return joined.select("key", "amount", *also, (F.col("copies") * F.col("child_total")).alias("total"))

@@ -99,7 +99,7 @@ class Rule:
     component: str = "rate"  # what the pillar averages: clean share ("rate") or score ("score")
     scored: bool = True  # False: reported, but in neither the pillar nor the overall score
     entities: tuple[str, ...] = ()
-    show: tuple[str, ...] = ()  # drill-down columns, as SQL expressions
+    show: tuple[str, ...] = ()  # drill-down columns, as SQL expressions; see drilldown.failing_rows
     order: tuple[str, ...] = ()  # leading drill-down sort columns, "-c" for descending
     drillable: bool = True
 

@@ -38,3 +38,18 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         shared = tempfile.mkdtemp(prefix="tablepulse-")
     return os.path.join(shared, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def shuffle_settings(shuffled_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a session that shuffles this much: partitions of about 128 MB, at least two per core.
+
+    The first number of partitions is an upper bound; adaptive execution merges small ones and splits
+    skewed ones.
+    """
+    partitions = max(2 * cores, -(-shuffled_bytes // (128 << 20)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.shuffle.partitions": str(partitions),
+    }
