@@ -7,7 +7,7 @@ shares nothing with the Spark plans but the catalogue values.
 from __future__ import annotations
 
 from tablepulse.plans import warehouse, wording
-from tablepulse.plans.queries import CAPTURED_AT, TOKEN_PATTERN, TOPICS
+from tablepulse.plans.queries import CAPTURED_AT, REPLY_TOPICS, TOKEN_PATTERN, TOPICS
 
 RULES = {r.kpi_id: r for r in warehouse.RULES}
 ORDINAL = {r.kpi_id: i for i, r in enumerate(warehouse.RULES, 1)}
@@ -106,6 +106,8 @@ def mean(column: str) -> str:
     return f"round_even(sum(CAST(round({column} * 10) AS BIGINT)) / (count(*) * 10.0), 0)"
 
 
+TARGET = """CASE WHEN higher_is_better THEN '≥ ' WHEN target_val = 0 THEN '= ' ELSE '≤ ' END
+    || regexp_replace(CAST(target_val AS VARCHAR), '\\.0$', '') || '%'"""
 PART = """CASE WHEN component = 'score' THEN score WHEN higher_is_better THEN value ELSE 100 - value END"""
 PILLARS = f"SELECT pillar, {mean('part')} AS pillar_score FROM (SELECT *, {PART} AS part FROM k) GROUP BY pillar"
 OVERALL = f"(SELECT {mean('score')} FROM k)"
@@ -132,13 +134,18 @@ def _payload() -> str:
             ORDER BY n DESC, label) FROM ({_breakdown(table, column)})) || ']'"""
         for name, table, column in sorted(warehouse.BREAKDOWNS)
     )
-    return f"""{kpis()} SELECT {OVERALL} AS overall_score,
+    counts = " || ',' || ".join(
+        f"""'"{e.name}":' || (SELECT den FROM k WHERE kpi_id = '{e.total_of}')"""
+        for e in sorted(warehouse.ENTITIES, key=lambda e: e.name)
+    )
+    return f"""{kpis()} SELECT '{CAPTURED_AT} UTC' AS computed_at, {OVERALL} AS overall_score,
+      '{{' || {counts} || '}}' AS counts,
       (SELECT '{{' || string_agg('"' || pillar || '":' || pillar_score, ',' ORDER BY pillar) || '}}'
        FROM ({PILLARS})) AS pillar_scores,
       (SELECT '{{' || string_agg('"' || entity || '":' || entity_score, ',' ORDER BY entity) || '}}'
        FROM ({_entities()})) AS entity_scores,
       (SELECT '{{' || string_agg('"' || kpi_id || '":{{"value":' || value || ',"num":' || num || ',"den":' || den
-        || ',"target_val":' || target_val || ',"higher_is_better":' || higher_is_better || '}}', ',' ORDER BY kpi_id)
+        || ',"target":"' || {TARGET} || '","target_val":' || target_val || ',"higher_is_better":' || higher_is_better || '}}', ',' ORDER BY kpi_id)
         || '}}' FROM k) AS kpis,
       '{{' || concat_ws(',', {listed}) || '}}' AS breakdowns"""
 
@@ -378,11 +385,33 @@ def _route() -> str:
 
 def _compact() -> str:
     return f"""{kpis()}, {DAILY.removeprefix('WITH ')} SELECT 'kpi' AS kind, kpi_id AS name,
-        '{{"value":' || value || ',"target_val":' || target_val || '}}' AS body FROM k
+        '{{"value":' || value || ',"target":"' || {TARGET} || '"}}' AS body FROM k
       UNION ALL SELECT 'capture', coalesce(label, ''),
         '{{"label":"' || coalesce(label, '') || '","overall_score":' || value || '}}' FROM daily"""
 
 
+def _replies() -> str:
+    cases = " ".join(
+        "WHEN " + " OR ".join(f"contains(lower(text), {quoted(w)})" for w in words) + f" THEN '{topic}'"
+        for topic, words in REPLY_TOPICS
+    )
+
+    def kpi(kpi_id):
+        return f"""(SELECT '{kpi_id} is at ' || {ONE.format('value')} || '% (' || num ||
+            ' rows); the drill-down lists them.' FROM k WHERE kpi_id = '{kpi_id}')"""
+
+    return f"""{kpis()}, {DAILY.removeprefix('WITH ')},
+      e AS (SELECT count(*) AS n, arg_min(value, captured_on) AS v1, arg_max(value, captured_on) AS v2 FROM daily),
+      m AS (SELECT conv_id, turn, CASE {cases} ELSE 'general' END AS topic FROM conversations)
+      SELECT conv_id, turn, topic, CASE topic WHEN 'ghost' THEN {kpi('CS07')} WHEN 'orphan' THEN {kpi('JI02')}
+        WHEN 'fix' THEN 'Open the alert, read its root cause, check the dry run, then approve the fix.'
+        WHEN 'trend' THEN (SELECT 'Over ' || n || ' captures it ' || CASE WHEN v2 < v1 THEN 'declined'
+          WHEN v2 > v1 THEN 'rose' ELSE 'stayed' END || ' from ' || {ONE.format('v1')} || '% to ' || {ONE.format('v2')}
+          || '%.' FROM e)
+        ELSE 'The overall score is ' || printf('%.0f', {OVERALL}) || '%, the mean of ' || (SELECT count(*) FROM k)
+          || ' KPIs.' END AS reply FROM m"""
+
+
 SUMMARY = f"""{kpis()},
     worst AS (SELECT * FROM k WHERE status = 'RED' ORDER BY deviation DESC, ordinal LIMIT 1),
     best AS (SELECT * FROM k WHERE CASE WHEN higher_is_better THEN value >= target_val ELSE value = 0 END
@@ -417,6 +446,9 @@ ORACLE_SQL: dict[str, str] = {
     "entity_scores": f"{kpis()} {_entities()}",
     "entity_kpis": f"{kpis()} SELECT kpi_id, name, pillar, value FROM k WHERE kpi_id IN ({_OF_ORDER})",
     "kpi_payload": _payload(),
+    "kpi_report_lines": f"""{kpis(list(COUNTS))} SELECT CAST(ordinal AS INTEGER) AS ordinal, pillar,
+        regexp_replace(kpi_id, '^([A-Z]+)([0-9])', '\\1-\\2') || ' ' || name || ': ' || num || '/' || den || ' = '
+        || {ONE.format('value')} || '% (target ' || {TARGET} || ')' AS line FROM k ORDER BY ordinal""",
     **{f"breakdown_{name}": _breakdown(table, column) for name, table, column in warehouse.BREAKDOWNS},
     **{f"drilldown_{k.lower()}": sql for k, sql in DRILLDOWNS.items()},
     "failing_samples": f"""WITH f AS ({FAILING}), r AS (SELECT *, row_number() OVER (PARTITION BY kpi_id ORDER BY row_key)
@@ -494,6 +526,7 @@ ORACLE_SQL: dict[str, str] = {
     "cited_kpis": f"""SELECT event_id, array_to_string(list_sort(list_distinct([{EVENT_KPI}, 'TP01'])), ',') AS cited
         FROM events""",
     "route_messages": _route(),
+    "chat_replies": _replies(),
     "parse_json": """SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
         CASE WHEN event_type = 'error' THEN 'not valid JSON: ' || rtrim(props, '}') END AS error FROM events""",
     "conversation_tail": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n

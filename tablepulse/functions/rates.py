@@ -73,3 +73,16 @@ def deviation(value: Column, target: Column, higher_is_better: Column) -> Column
 def meets_target(value: Column, target: Column, higher_is_better: Column) -> Column:
     """Spotless KPIs for the summary: target reached, or a lower-is-better rate of exactly 0."""
     return F.when(higher_is_better, value >= target).otherwise(value == 0)
+
+
+def target_text(target: Column, higher_is_better: Column) -> Column:
+    """The target as people read it: ``≥ 98%``, ``≤ 1%``, ``= 0%``."""
+    sign = F.when(higher_is_better, "≥").when(target == 0, "=").otherwise("≤")
+    number = F.regexp_replace(target.cast("string"), r"\.0$", "")
+    return F.concat(sign, F.lit(" "), number, F.lit("%"))
+
+
+def utc_text(moment: Column) -> Column:
+    """A timestamp as UTC text to the second, whatever the session's time zone."""
+    utc = F.to_utc_timestamp(moment, F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd HH:mm:ss 'UTC'")

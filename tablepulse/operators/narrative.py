@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablepulse.functions import rates
+from tablepulse.functions import rates, text
+from tablepulse.operators.history import trend
 from tablepulse.operators.rules import Rule
 from tablepulse.operators.scores import overall_mean, with_deviation, with_parts, with_status
 
 LAST_TURNS = 5
 
+Topics = Iterable[tuple[str, Iterable[str]]]
+
 
 def headline(kpis: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     """One row: the overall score, the red KPI furthest from its target, and the first spotless KPI."""
@@ -76,10 +79,49 @@ def conversation_tail(turns: DataFrame, limit: int = LAST_TURNS) -> DataFrame:
     )
 
 
+def replies(
+    messages: DataFrame, kpis: DataFrame, rules: Iterable[Rule], long_history: DataFrame, topics: Topics = text.TOPICS
+) -> DataFrame:
+    """The messages with ``topic, reply``: an answer from the current KPIs for the topic of each message.
+
+    The facts are a few numbers, read once as a scalar subquery; messages are only projected.
+    """
+
+    def fact(kpi_id: str) -> list[Column]:
+        named = F.col("kpi_id") == kpi_id
+        return [F.max(F.when(named, F.col(c))).alias(f"{kpi_id}_{c}") for c in ("value", "num")]
+
+    told = trend(long_history.where("kpi_id = 'overall_score'")).agg(F.max("sentence")).scalar()
+    facts = (
+        with_parts(kpis, rules)
+        .agg(overall_mean().alias("overall"), F.count_if("scored").alias("n"), *fact("CS07"), *fact("JI02"))
+        .select(F.struct("*").alias("facts"))
+        .scalar()
+    )
+    asked = messages.withColumns({"topic": text.route(F.col("text"), topics), "_f": facts, "_trend": told})
+    overall = F.format_string("The overall score is %.0f%%, the mean of %d KPIs.", "_f.overall", "_f.n")
+    unknown = F.lit("This KPI has not been measured.")
+
+    def kpi(kpi_id: str, label: str) -> Column:
+        value, num = F.col(f"_f.{kpi_id}_value"), F.col(f"_f.{kpi_id}_num")
+        told = F.format_string(f"{label} is at %.1f%% (%d rows); the drill-down lists them.", value, num)
+        return F.when(value.isNotNull(), told).otherwise(unknown)
+
+    answer = (
+        F.when(F.col("topic") == "ghost", kpi("CS07", "CS07"))
+        .when(F.col("topic") == "orphan", kpi("JI02", "JI02"))
+        .when(F.col("topic") == "fix", "Open the alert, read its root cause, check the dry run, then approve the fix.")
+        .when(F.col("topic") == "trend", F.coalesce("_trend", F.lit("No trend yet.")))
+        .otherwise(overall)
+    )
+    return asked.withColumn("reply", answer).drop("_f", "_trend")
+
+
 def compact_context(kpis: DataFrame, history: DataFrame) -> DataFrame:
     """``kind, name, body``: of a KPI only value and target, of a capture only label and score."""
+    target = rates.target_text(F.col("target_val"), F.col("higher_is_better")).alias("target")
     of_kpi = kpis.select(
-        F.lit("kpi").alias("kind"), F.col("kpi_id").alias("name"), F.to_json(F.struct("value", "target_val")).alias("body")
+        F.lit("kpi").alias("kind"), F.col("kpi_id").alias("name"), F.to_json(F.struct("value", target)).alias("body")
     )
     of_capture = history.select(
         F.lit("capture"),

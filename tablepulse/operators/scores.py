@@ -125,17 +125,19 @@ def payload(
     rules: Iterable[Rule],
     entities: Iterable[Entity],
     breakdowns: Mapping[str, tuple[DataFrame, str]],
+    computed_at: Column | None = None,
 ) -> DataFrame:
     """Everything a report needs as one nested row.
 
-    ``overall_score, pillar_scores map, entity_scores map, kpis map<id, struct>, breakdowns map<name,
-    array<struct>>``. The KPI table is read once. All inputs are roll-ups whose size is set by the
+    ``computed_at, counts map, overall_score, pillar_scores map, entity_scores map, kpis map<id, struct>,
+    breakdowns map<name, array<struct>>``. The KPI table is read once. All inputs are roll-ups whose size is set by the
     rules and by the number of distinct status words, not by the data; they are stacked and folded by
     one aggregate, so no one-row relations have to be crossed.
     """
     rules, entities = list(rules), list(entities)
     pillars = sorted({r.pillar for r in rules if r.scored})
-    kpi = F.struct("value", "num", "den", "target_val", "higher_is_better")
+    target = rates.target_text(F.col("target_val"), F.col("higher_is_better")).alias("target")
+    kpi = F.struct("value", "num", "den", target, "target_val", "higher_is_better")
     rolled = with_parts(kpis, rules).agg(
         overall_mean().alias("overall_score"),
         F.map_from_arrays(
@@ -144,12 +146,17 @@ def payload(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("kpi_id", kpi)))).alias("kpis"),
         *entity_sums(entities),
     )
-    scored_entities = [
-        F.struct(F.lit(e.name), entity_struct(i, e)["entity_score"])
-        for i, e in sorted(enumerate(entities), key=lambda pair: pair[1].name)
-    ]
+
+    def by_entity(field: str) -> Column:
+        named = sorted(enumerate(entities), key=lambda pair: pair[1].name)
+        return F.map_from_entries(F.array(*(F.struct(F.lit(e.name), entity_struct(i, e)[field]) for i, e in named)))
+
     rolled = rolled.select(
-        "overall_score", "pillar_scores", F.map_from_entries(F.array(*scored_entities)).alias("entity_scores"), "kpis"
+        by_entity("total_rows").alias("counts"),
+        "overall_score",
+        "pillar_scores",
+        by_entity("entity_score").alias("entity_scores"),
+        "kpis",
     )
     for name, (df, column) in breakdowns.items():
         counted = df.groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -159,8 +166,19 @@ def payload(
             counted.agg(F.struct(F.lit(name).alias("name"), listed.alias("rows")).alias("breakdown")),
             allowMissingColumns=True,
         )
-    return rolled.agg(
-        *(F.max(c).alias(c) if c == "overall_score" else F.any_value(c, True).alias(c)
-          for c in ("overall_score", "pillar_scores", "entity_scores", "kpis")),
+    single = ("counts", "overall_score", "pillar_scores", "entity_scores", "kpis")
+    folded = rolled.agg(
+        *(F.any_value(c, True).alias(c) for c in single),
         F.map_from_entries(F.array_sort(F.collect_list("breakdown"))).alias("breakdowns"),
     )
+    moment = F.current_timestamp() if computed_at is None else computed_at
+    return folded.select(rates.utc_text(moment).alias("computed_at"), "*")
+
+
+def report(kpis: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """``ordinal, pillar, line``: the KPI table as lines of text, in catalogue order."""
+    listed = with_rule(kpis, rules, "ordinal", "pillar", "name")
+    dashed = F.regexp_replace("kpi_id", r"^([A-Z]+)([0-9])", "$1-$2")
+    target = rates.target_text(F.col("target_val"), F.col("higher_is_better"))
+    line = F.format_string("%s %s: %d/%d = %.1f%% (target %s)", dashed, "name", "num", "den", "value", target)
+    return listed.select("ordinal", "pillar", line.alias("line")).orderBy("ordinal")

@@ -25,6 +25,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 CAPTURED_AT = "2024-02-01 09:00:00"
 TOPICS = (("english", ("the", "and")), ("spanish", ("que", "el ")), ("french", ("le ", "ou")))
+REPLY_TOPICS = (
+    ("overall", ("the",)), ("ghost", ("que",)), ("orphan", ("der ",)), ("fix", ("el ",)), ("trend", ("ou", "un")),
+)
 TOKEN_PATTERN = "[0-9]{2,}"
 PROPS = T.StructType([T.StructField("k", T.LongType(), True)])
 
@@ -117,9 +120,15 @@ def kpi_payload(spark, folder):
     tables = warehouse.load(spark, folder)
     kpis = scores.kpi_table(tables, warehouse.SCORED_RULES)
     tabulated = {name: (tables[table], column) for name, table, column in warehouse.BREAKDOWNS}
-    nested = scores.payload(kpis, warehouse.RULES, warehouse.ENTITIES, tabulated)
-    as_json = [F.to_json(c).alias(c) for c in ("pillar_scores", "entity_scores", "kpis", "breakdowns")]
-    return nested.select("overall_score", *as_json)
+    computed_at = F.expr(f"TIMESTAMP '{CAPTURED_AT} UTC'")
+    nested = scores.payload(kpis, warehouse.RULES, warehouse.ENTITIES, tabulated, computed_at)
+    as_json = [F.to_json(c).alias(c) for c in ("counts", "pillar_scores", "entity_scores", "kpis", "breakdowns")]
+    return nested.select("computed_at", "overall_score", *as_json)
+
+
+def kpi_report_lines(spark, folder):
+    kpis = scores.kpi_table(warehouse.load(spark, folder), warehouse.RULES)
+    return scores.report(kpis, warehouse.RULES)
 
 
 def failing_samples(spark, folder):
@@ -386,6 +395,15 @@ def route_messages(spark, folder):
     return turns.select("conv_id", "turn", text.route(F.col("text"), TOPICS, "other").alias("topic"))
 
 
+def chat_replies(spark, folder):
+    tables = warehouse.load(spark, folder)
+    overall = _daily(spark, folder).withColumn("kpi_id", F.lit("overall_score"))
+    answered = narrative.replies(
+        tables["conversations"], _kpis(spark, folder), warehouse.RULES, overall, REPLY_TOPICS
+    )
+    return answered.select("conv_id", "turn", "topic", "reply")
+
+
 def parse_json(spark, folder):
     answers = warehouse.answer_table(warehouse.load(spark, folder)["events"])
     parsed = answers.withColumn("p", text.parse_json(F.col("answer"), PROPS))
@@ -465,6 +483,7 @@ QUERIES: dict[str, Query] = {
     "entity_scores": entity_scores,
     "entity_kpis": entity_kpis,
     "kpi_payload": kpi_payload,
+    "kpi_report_lines": kpi_report_lines,
     **{f"breakdown_{name}": _breakdown(table, column) for name, table, column in warehouse.BREAKDOWNS},
     **{f"drilldown_{kpi_id.lower()}": _drilldown(kpi_id) for kpi_id in DRILLDOWNS},
     "failing_samples": failing_samples,
@@ -502,6 +521,7 @@ QUERIES: dict[str, Query] = {
     "extract_tokens": extract_tokens,
     "cited_kpis": cited_kpis,
     "route_messages": route_messages,
+    "chat_replies": chat_replies,
     "parse_json": parse_json,
     "conversation_tail": conversation_tail,
     "summary_text": summary_text,

@@ -91,10 +91,12 @@ def test_failing_sample_keeps_the_total(spark):
 
 
 def test_compact_context(spark):
-    kpis = spark.createDataFrame([("JI02", 2.7, 1.0, 3)], "kpi_id string, value double, target_val double, num int")
+    kpis = spark.createDataFrame(
+        [("JI02", 2.7, 1.0, False)], "kpi_id string, value double, target_val double, higher_is_better boolean"
+    )
     captures = spark.createDataFrame([(None, 85.0)], "label string, overall_score double")
     found = {(r.kind, r.body) for r in compact_context(kpis, captures).collect()}
-    assert found == {("kpi", '{"value":2.7,"target_val":1.0}'), ("capture", '{"label":"","overall_score":85.0}')}
+    assert found == {("kpi", '{"value":2.7,"target":"≤ 1%"}'), ("capture", '{"label":"","overall_score":85.0}')}
 
 
 def test_rates_are_exact(spark):
