@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablepulse.operators.joins import distinct_keys
-from tablepulse.operators.rules import Rule, Tables
+from tablepulse.operators.rules import Rule, Tables, tables_of
 from tablepulse.operators.scores import kpi_table, with_scores, with_status
 
 # Risk levels, and the row count from which a fix is risky whatever it does.
@@ -167,20 +167,49 @@ def _report(counted: DataFrame, fixes: list[Fix]) -> DataFrame:
     return counted.select(F.inline(F.array(*rows)))
 
 
-def compare(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Two KPI tables side by side: values, scores and status before and after."""
+_COMPARED = ("num", "value", "score", "status")
+
+
+def _renamed(kpis: DataFrame, *suffixes: str) -> DataFrame:
+    full = with_status(with_scores(kpis))
+    return full.select("kpi_id", *(F.col(c).alias(f"{c}_{s}") for s in suffixes for c in _COMPARED))
 
-    def side(kpis: DataFrame, suffix: str) -> DataFrame:
-        full = with_status(with_scores(kpis))
-        return full.select("kpi_id", *(F.col(c).alias(f"{c}_{suffix}") for c in ("num", "value", "score", "status")))
 
-    both = side(before, "before").join(side(after, "after"), "kpi_id")
+def _with_verdict(both: DataFrame) -> DataFrame:
     return both.withColumn("improved", F.col("score_after") > F.col("score_before"))
 
 
-def before_after(tables: Tables, rules: Iterable[Rule], fixes: Iterable[Fix], rebind=None) -> DataFrame:
-    """Measure, fix, measure again. ``rebind`` rebuilds derived views from the fixed base tables."""
-    rules = list(rules)
+def compare(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Two KPI tables side by side: counts, values, scores and status before and after."""
+    return _with_verdict(_renamed(before, "before").join(_renamed(after, "after"), "kpi_id"))
+
+
+def touched_rules(
+    rules: Iterable[Rule], fixes: Iterable[Fix], views: Iterable[str] = ()
+) -> tuple[list[Rule], list[Rule]]:
+    """Rules that read a corrected table or one of the views, and the others."""
+    changed = {fix.table for fix in fixes} | set(views)
+    parts: tuple[list[Rule], list[Rule]] = ([], [])
+    for rule in rules:
+        parts[0 if tables_of(rule) & changed else 1].append(rule)
+    return parts
+
+
+def before_after(
+    tables: Tables, rules: Iterable[Rule], fixes: Iterable[Fix], rebind=None, views: Iterable[str] = ()
+) -> DataFrame:
+    """Measure, fix, measure again.
+
+    Only rules that read a corrected table, or one of the ``views`` over them, are counted twice.
+    ``rebind`` rebuilds the views from the fixed base tables.
+    """
+    fixes = list(fixes)
+    touched, others = touched_rules(rules, fixes, views)
     fixed = apply_all(tables, fixes)
     fixed = rebind(fixed) if rebind else fixed
-    return compare(kpi_table(tables, rules), kpi_table(fixed, rules))
+    parts = []
+    if touched:
+        parts.append(compare(kpi_table(tables, touched), kpi_table(fixed, touched)))
+    if others:
+        parts.append(_with_verdict(_renamed(kpi_table(tables, others), "before", "after")))
+    return reduce(DataFrame.unionByName, parts)

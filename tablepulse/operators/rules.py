@@ -172,6 +172,12 @@ def with_rule(df: DataFrame, rules: Iterable[Rule], *columns: str) -> DataFrame:
     return df.join(F.broadcast(dim), "kpi_id", "left")
 
 
+def tables_of(rule: Rule) -> set[str]:
+    """The tables and views a rule reads."""
+    m = rule.measure
+    return {m.table} if isinstance(m, RowRate) else {m.parent, m.child}
+
+
 def find_rule(rules: Iterable[Rule], kpi_id: str) -> Rule:
     wanted = kpi_id.upper()
     for rule in rules:

@@ -9,10 +9,11 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablepulse.functions import rates
 from tablepulse.operators.measure import measure
-from tablepulse.operators.rules import Entity, Rule, Tables, with_rule
+from tablepulse.operators.rules import Entity, Rule, Tables, local_frame, with_rule
 
 KPI_COLUMNS = ("kpi_id", "num", "den", "value", "target_val", "higher_is_better")
 
@@ -24,6 +25,16 @@ def kpi_table(tables: Tables, rules: Iterable[Rule]) -> DataFrame:
     return with_rule(counted, rules, "target_val", "higher_is_better").select(*KPI_COLUMNS)
 
 
+def pinned(kpis: DataFrame) -> DataFrame:
+    """The KPI table measured now and kept as a local table, for several uses of one measurement.
+
+    It has one row per rule, however much data was measured.
+    """
+    columns = kpis.select(*KPI_COLUMNS)
+    rows = [row.asDict() for row in columns.collect()]
+    return local_frame(kpis.sparkSession, rows, to_arrow_schema(columns.schema))
+
+
 def _against_target(function, kpis: DataFrame):
     return function(F.col("value"), F.col("target_val"), F.col("higher_is_better"))
 

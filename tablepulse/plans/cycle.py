@@ -66,15 +66,22 @@ def remediate(
     at: Column,
     approved: bool = False,
 ) -> Outcome:
-    """Without approval only the plan. With it: the fix, the closed alert, a new capture, the comparison."""
+    """Without approval only the plan. With it: the fix, the closed alert, a new capture, the comparison.
+
+    The KPIs are measured once before the fix; after it, only those that read the corrected table are.
+    """
     rules = list(rules)
     plan = fixes.dry_run(tables, [fix])
     if not approved:
         return Outcome(plan, tables, known)
     fixed = fixes.apply_all(tables, [fix])
+    touched, others = fixes.touched_rules(rules, [fix])
+    before = scores.pinned(scores.kpi_table(tables, rules))
+    after = before.where(F.col("kpi_id").isin([r.kpi_id for r in others]))
+    if touched:
+        after = after.unionAll(scores.pinned(scores.kpi_table(fixed, touched)))
     log = F.concat_ws(" | ", at.cast("string"), F.lit(f"{fix.name} on {fix.table}"), F.lit(explanation))
     closed = alerts.resolved(known, F.col("alert_id") == alert_id, log, at)
-    after = scores.kpi_table(fixed, rules)
     return Outcome(
-        plan, fixed, closed, history.capture(after, rules, POST_FIX, at), fixes.compare(scores.kpi_table(tables, rules), after)
+        plan, fixed, closed, history.capture(after, rules, POST_FIX, at), fixes.compare(before, after)
     )

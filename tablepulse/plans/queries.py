@@ -339,7 +339,11 @@ def fix_dry_run(spark, folder):
 
 def fix_before_after(spark, folder):
     return fixes.before_after(
-        warehouse.load(spark, folder), warehouse.SCORED_RULES, corrections.WAREHOUSE_FIXES, warehouse.bind
+        warehouse.load(spark, folder),
+        warehouse.SCORED_RULES,
+        corrections.WAREHOUSE_FIXES,
+        warehouse.bind,
+        views=["dated_lines"],
     )
 
 

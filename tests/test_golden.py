@@ -185,6 +185,9 @@ def test_fixes_move_their_kpi_and_nothing_else(freight):
     compared = {r.kpi_id: r for r in fixes.before_after(freight, RULES, [corrections.ZERO_WEIGHT]).collect()}
     assert {k for k, r in compared.items() if r.improved} == {"RI05", "BIZ02"}
     assert {k for k, r in compared.items() if r.num_before != r.num_after} == {"RI05", "BIZ02"}
+    assert len(compared) == len(RULES)
+    touched, others = fixes.touched_rules(RULES, [corrections.ZERO_WEIGHT])
+    assert {r.kpi_id for r in others} == {"JI03", "CP02", "CP04", "CP05", "CS02", "RI01", "RI05S", "TP01", "BIZ01", "BIZ03"}
     everything = {r.kpi_id: r for r in fixes.before_after(freight, RULES, corrections.FREIGHT_FIXES).collect()}
     for kpi_id in ("JI02", "CS02", "RI01", "RI05", "BIZ02", "BIZ03"):
         assert everything[kpi_id].num_after == 0 and everything[kpi_id].status_after == "GREEN"
