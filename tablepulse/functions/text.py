@@ -25,6 +25,9 @@ TOPICS: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 NO_TOPIC = "general"
 
+# Fixed value: terminal colour and cursor codes.
+TERMINAL_CODE = "\\x1B\\[[0-9;]*[mGKHF]"
+
 
 def _has_word(text: Column, word: str) -> Column:
     return text.rlike(rf"(?i)\b{word}\b")
@@ -75,7 +78,7 @@ def route(
 
 def without_escapes(text: Column) -> Column:
     """Text without terminal colour and cursor codes."""
-    return F.trim(F.regexp_replace(text, "\\x1B\\[[0-9;]*[mGKHF]", ""))
+    return F.trim(F.regexp_replace(text, TERMINAL_CODE, ""))
 
 
 def without_fence(text: Column) -> Column:

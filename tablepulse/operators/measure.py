@@ -131,7 +131,7 @@ def _numerator(m: KeyedRate, parent: _Side, child: _Side) -> str:
         amount = _only(m.parent_where, m.parent_amount)
         low, high = parent.need("min", amount), parent.need("max", amount)
         total = child.need("sum", _only(m.child_where, m.child_amount))
-        off = off_by_more(f"{parent.need('count', amount)} * {total}", low, m.tolerance)
+        off = off_by_more(f"{parent.need('count', amount)} * CAST({total} AS DOUBLE)", low, m.tolerance)
         return f"count_if(key IS NOT NULL AND {active} > 0 AND {low} = {high} AND {off})"
     raise TypeError(f"unknown measure {type(m).__name__}")
 
@@ -175,7 +175,7 @@ def reconcile_groups(parent: DataFrame, child: DataFrame, m: ReconcileRate, *als
         .select("key", "child_total")
     )
     joined = groups.join(sums, "key")
-    return joined.select("key", "amount", *also, (F.col("copies") * F.col("child_total")).alias("total"))
+    return joined.select("key", "amount", *also, (F.col("copies") * F.col("child_total").cast("double")).alias("total"))
 
 
 def _disagreeing_parents(tables: Tables, rule: Rule) -> list[DataFrame]:

@@ -12,6 +12,7 @@ from tablepulse.functions import rates, text
 from tablepulse.operators.derive import derive_shipments
 from tablepulse.operators.drilldown import failing_sample
 from tablepulse.operators.narrative import compact_context, conversation_tail
+from tablepulse.session import shuffle_settings
 from tablepulse.sources import schemas, sinks
 
 
@@ -74,6 +75,11 @@ def test_json_answers(spark, answer, parsed):
     assert (found.error is None) == (parsed is not None)
 
 
+def test_shuffle_settings():
+    small, large = shuffle_settings(1 << 20, 8), shuffle_settings(1 << 40, 4000)
+    assert small["spark.sql.shuffle.partitions"] == "16" and large["spark.sql.shuffle.partitions"] == "8192"
+
+
 def test_conversation_tail(spark):
     rows = [(1, t, "user" if t % 2 else "assistant", f"m{t}") for t in range(1, 9)] + [(2, 1, None, "hi")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -146,11 +152,11 @@ def test_derived_shipments(spark):
     orders = [
         {"order_release_gid": f"o{i}", "order_date": day, "order_status": f[3]} for i, f in enumerate(flags) if f[3]
     ]
-    derived = derive_shipments(
-        sinks.literal_batch(spark, links, schemas.ORDER_SHIPMENT),
-        sinks.literal_batch(spark, orders, schemas.ORDER),
-        sinks.literal_batch(spark, [{"shipment_gid": "known"}], schemas.SHIPMENT),
-    )
+    link_table = sinks.literal_batch(spark, links, schemas.ORDER_SHIPMENT)
+    order_table = sinks.literal_batch(spark, orders, schemas.ORDER)
+    present = sinks.literal_batch(spark, [{"shipment_gid": "known"}], schemas.SHIPMENT)
+    derived = derive_shipments(link_table, order_table, present)
+    assert derive_shipments(link_table, order_table, present.unionByName(derived)).count() == 0
     assert [(f.name, f.dataType) for f in derived.schema] == [(f.name, f.dataType) for f in schemas.SHIPMENT]
     found = {r.shipment_gid: r for r in derived.collect()}
     assert len(found) == len(flags)
