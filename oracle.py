@@ -130,8 +130,8 @@ def _breakdown(table: str, column: str) -> str:
 
 def _payload() -> str:
     listed = ", ".join(
-        f"""'"{name}":[' || (SELECT string_agg('{{"label":"' || label || '","count":' || n || '}}', ','
-            ORDER BY n DESC, label) FROM ({_breakdown(table, column)})) || ']'"""
+        f"""'"{name}":[' || (SELECT string_agg('{{"label":' || coalesce('"' || label || '"', 'null') || ',"count":' || n || '}}',
+            ',' ORDER BY n DESC, label) FROM ({_breakdown(table, column)})) || ']'"""
         for name, table, column in sorted(warehouse.BREAKDOWNS)
     )
     counts = " || ',' || ".join(
@@ -192,8 +192,8 @@ FAILING = f"""
     UNION ALL SELECT 'RI05', c_custkey FROM customer WHERE c_acctbal <= 0
     UNION ALL SELECT 'CP01', d.doc_id FROM {DOCS} WHERE quality IS NULL
     UNION ALL SELECT 'CP05', d.doc_id FROM {DOCS} WHERE lang NOT IN ('fr', 'de') AND quality IS NULL
-    UNION ALL SELECT 'JI01', o_orderkey FROM orders
-      WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE {OPEN})"""
+    UNION ALL SELECT 'JI01', o_orderkey FROM orders o
+      WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND {OPEN})"""
 
 DAILY = f"""WITH n AS (SELECT CAST(ts AS DATE) AS d, count(*) FILTER (event_type NOT IN {KNOWN_TYPES}) AS num,
       count(*) AS den FROM events GROUP BY 1),
@@ -257,13 +257,13 @@ def _evidence() -> str:
             expr = {"order_date": "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)", "doc_id": "d.doc_id",
                     "ship_date": "CAST(CAST(l_shipdate AS DATE) AS VARCHAR)",
                     "event_date": "CAST(CAST(ts AS DATE) AS VARCHAR)"}.get(name, name)
-            value = f"'\"' || {expr} || '\"'" if text else expr
+            value = f"coalesce('\"' || {expr} || '\"', 'null')" if text else f"coalesce(CAST({expr} AS VARCHAR), 'null')"
             parts.append(f"'\"{name}\":' || {value}")
         json = "'{' || " + " || ',' || ".join(parts) + " || '}'"
         return f"""SELECT '{kpi_id}' AS kpi_id, least((SELECT count(*) FROM {source} WHERE {condition}), 20) AS n_evidence,
             (SELECT {json} FROM {source} WHERE {condition} ORDER BY {order} LIMIT 1) AS first_evidence"""
 
-    doc = ["doc_id", "'lang'", "'source'"]
+    doc = ["doc_id", "'lang'", "'source'", "quality"]
     dated = ["l_orderkey", "l_linenumber", "l_suppkey", "'l_linestatus'", "'order_date'", "'ship_date'"]
     customer = ["c_custkey", "'c_name'", "c_acctbal", "'c_mktsegment'"]
     return " UNION ALL ".join(
@@ -307,7 +307,7 @@ LINKED = f"l_orderkey IN {LOADED}"
 PENDING = "'Zero Weight - Pending Review'"
 SEGMENT = "CASE WHEN c_acctbal <= 0 THEN {} ELSE c_mktsegment END AS c_mktsegment"
 DRY_RUN = f"""WITH n(fix, table_name, action, affected_rows, base) AS (
-      SELECT 'JI02', 'lineitem', 'delete', (SELECT count(*) FROM lineitem WHERE NOT ({LINKED})), 'HIGH'
+      SELECT 'JI02', 'lineitem', 'delete', (SELECT count(*) FROM lineitem WHERE NOT coalesce({LINKED}, false)), 'HIGH'
       UNION ALL SELECT 'RI05', 'customer', 'update', (SELECT count(*) FROM customer WHERE c_acctbal <= 0), 'MEDIUM'
       UNION ALL SELECT 'BIZ03', 'lineitem', 'update', (SELECT count(*) FROM lineitem WHERE {RETURNED_OPEN}), 'MEDIUM'
       UNION ALL SELECT 'RI01', 'events', 'update', (SELECT count(*) FROM events WHERE event_type = 'error'), 'MEDIUM'
@@ -365,7 +365,7 @@ SCREENED = """WITH s AS (SELECT event_id, CASE event_type
                               ELSE 'DELETE FROM signups ' || user_id END
       WHEN 'error' THEN CASE WHEN value > 50 THEN 'Drop table errors_' || user_id
                              ELSE 'ALTER TABLE errors ADD COLUMN c' || user_id END END AS q FROM events),
-    r AS (SELECT event_id, CASE WHEN regexp_matches(q, '\\bdrop\\b', 'i') THEN 'blocked keyword: DROP'
+    r AS (SELECT event_id, CASE WHEN q IS NULL THEN 'no statement' WHEN regexp_matches(q, '\\bdrop\\b', 'i') THEN 'blocked keyword: DROP'
       WHEN regexp_matches(q, '\\btruncate\\b', 'i') THEN 'blocked keyword: TRUNCATE'
       WHEN regexp_matches(q, '\\balter\\b', 'i') THEN 'blocked keyword: ALTER'
       WHEN len(list_filter(string_split(q, ';'), lambda p: trim(p) <> '')) > 1 THEN 'more than one statement'
@@ -467,19 +467,19 @@ ORACLE_SQL: dict[str, str] = {
           ELSE 'No trend yet.' END AS sentence FROM e""",
     "history_without_label": f"""{DAILY} SELECT captured_on, value, label FROM daily
         WHERE label IS NULL OR label NOT LIKE '%high 2%'""",
-    "history_not_captured": """SELECT event_id, event_type FROM events WHERE event_type <> 'purchase' AND
-        date_trunc('second', ts) NOT IN (SELECT date_trunc('second', ts) FROM events WHERE event_type = 'purchase')""",
+    "history_not_captured": """SELECT event_id, event_type FROM events e WHERE event_type <> 'purchase' AND NOT EXISTS
+        (SELECT 1 FROM events p WHERE event_type = 'purchase' AND date_trunc('second', p.ts) = date_trunc('second', e.ts))""",
     "snapshot_wide": _snapshot("wide"),
     "snapshot_long": _snapshot("long"),
     "alerts_candidates": f"""{ALERT_QUERY} SELECT kpi_id, owner, kpi_value, target_value, severity, message,
         recommendation FROM x""",
     "alerts_new": f"""{ALERT_QUERY} SELECT {SHORT} FROM x
-        WHERE kpi_id NOT IN (SELECT kpi_id FROM a WHERE status <> 'Resolved')""",
+        WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.kpi_id = x.kpi_id AND status <> 'Resolved')""",
     "alerts_new_only_open": f"""{ALERT_QUERY} SELECT {SHORT} FROM x
-        WHERE kpi_id NOT IN (SELECT kpi_id FROM a WHERE status = 'Open' AND kpi_id <> 'CS07')""",
+        WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.kpi_id = x.kpi_id AND status = 'Open' AND a.kpi_id <> 'CS07')""",
     "alerts_raised": f"""{ALERT_QUERY} SELECT (SELECT max(alert_id) FROM a) + row_number() OVER (ORDER BY ordinal) AS alert_id,
         '{CAPTURED_AT}' AS created_at, kpi_id, kpi_value, target_value, severity, message, recommendation,
-        'Open' AS status FROM x WHERE kpi_id NOT IN (SELECT kpi_id FROM a WHERE status <> 'Resolved')""",
+        'Open' AS status FROM x WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.kpi_id = x.kpi_id AND status <> 'Resolved')""",
     "alerts_ranked": f"""WITH {ALERTS} SELECT alert_id, kpi_id, kpi_value, severity, status, {RANK} AS severity_rank
         FROM a WHERE status <> 'Resolved' ORDER BY severity_rank, created_at DESC, alert_id""",
     "alerts_by_owner": f"""WITH {ALERTS}, {OWNERS} SELECT owner, a.kpi_id, severity, count(*) AS n_alerts
@@ -504,7 +504,7 @@ ORACLE_SQL: dict[str, str] = {
     "fix_zero_amounts": f"""SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS c_acctbal,
         {SEGMENT.format(PENDING)} FROM customer""",
     "fix_zero_amounts_undone": f"""SELECT c_custkey, c_name, c_nationkey,
-        CAST(CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE 0 END AS DOUBLE) AS c_acctbal,
+        CAST(CASE WHEN c_acctbal <= 0 THEN 0 ELSE c_acctbal END AS DOUBLE) AS c_acctbal,
         {SEGMENT.format("'Zero Weight'")} FROM customer""",
     "fix_reassigned": _line_summary(
         f"CASE WHEN {RETURNED_OPEN} THEN 'Re-assigned - Resolved' ELSE l_returnflag END",
@@ -513,7 +513,7 @@ ORACLE_SQL: dict[str, str] = {
     "fix_status_words": """SELECT event_id, CASE event_type WHEN 'error' THEN 'view' ELSE event_type END AS event_type
         FROM events""",
     "fix_date_order": f"""SELECT l_linestatus, count(*) AS n_lines,
-        count(*) FILTER (NOT l_shipdate < o_orderdate) AS n_dated FROM {LINES} GROUP BY 1""",
+        count(CASE WHEN l_shipdate < o_orderdate THEN NULL ELSE l_shipdate END) AS n_dated FROM {LINES} GROUP BY 1""",
     "fix_dry_run": DRY_RUN,
     "fix_before_after": _before_after(),
     "derive_shipments": DERIVED,
@@ -523,16 +523,18 @@ ORACLE_SQL: dict[str, str] = {
     "screen_statements": SCREENED,
     "extract_tokens": f"""WITH t AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '{TOKEN_PATTERN}'))) AS t
         FROM documents) SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ',') AS tokens FROM t""",
-    "cited_kpis": f"""SELECT event_id, array_to_string(list_sort(list_distinct([{EVENT_KPI}, 'TP01'])), ',') AS cited
-        FROM events""",
+    "cited_kpis": f"""SELECT event_id, CASE WHEN user_id IS NOT NULL AND event_type IS NOT NULL THEN
+        array_to_string(list_sort(list_distinct([{EVENT_KPI}, 'TP01'])), ',') END AS cited FROM events""",
     "route_messages": _route(),
     "chat_replies": _replies(),
     "parse_json": """SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
-        CASE WHEN event_type = 'error' THEN 'not valid JSON: ' || rtrim(props, '}') END AS error FROM events""",
-    "conversation_tail": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n
-          FROM conversations)
-        SELECT conv_id, count(*) AS n_turns, string_agg(chr(10) || upper(role[1]) || lower(role[2:]) || ': ' || text, ''
-          ORDER BY turn) AS preamble FROM r WHERE n <= 5 GROUP BY conv_id""",
+        CASE WHEN props IS NULL OR event_type IS NULL THEN 'not valid JSON: '
+             WHEN event_type = 'error' THEN 'not valid JSON: ' || rtrim(props, '}') END AS error FROM events""",
+    "conversation_tail": """WITH s AS (SELECT conv_id, turn, coalesce(role, 'user') AS r, coalesce(text, '') AS t
+          FROM conversations), l AS (SELECT conv_id, turn, chr(10) || upper(r[1]) || lower(r[2:]) || ': ' || t AS line FROM s),
+          n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, line DESC) AS n FROM l)
+        SELECT conv_id, count(*) AS n_turns, string_agg(line, '' ORDER BY n DESC) AS preamble
+        FROM n WHERE n <= 5 GROUP BY conv_id""",
     "summary_text": SUMMARY,
     "compact_context": _compact(),
     "table_counts": " UNION ALL ".join(

@@ -33,7 +33,7 @@ def open_tables(spark: SparkSession, root: str) -> TableSet:
 
 
 def emit(df: DataFrame) -> None:
-    for row in df.select(F.to_json(F.struct("*")).alias("line")).toLocalIterator():
+    for row in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line")).toLocalIterator():
         print(row.line)
 
 

@@ -107,13 +107,15 @@ def drilldown(tables: Tables, rules: Iterable[Rule], kpi_id: str, limit: int = D
 
 
 def first_rows(failing: DataFrame, rule: Rule, limit: int) -> DataFrame:
-    """Cut in the rule's order, with every shown column as tie-break."""
-    return failing.orderBy(*rule_order(rule), *failing.columns).limit(limit)
+    """Cut in the rule's order."""
+    return failing.orderBy(*total_order(failing, rule.order)).limit(limit)
 
 
-def rule_order(rule: Rule) -> list[Column]:
-    """``"c"`` sorts ascending, ``"-c"`` descending."""
-    return [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in rule.order]
+def total_order(df: DataFrame, leading: Iterable[str] = ()) -> list[Column]:
+    """Leading columns (``"c"`` ascending, ``"-c"`` descending), then every column; NULLs come last."""
+    return [
+        F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_last(c) for c in (*leading, *df.columns)
+    ]
 
 
 def failing_sample(failing: DataFrame, order: Iterable[str], limit: int = SAMPLE_LIMIT) -> DataFrame:
@@ -124,7 +126,7 @@ def failing_sample(failing: DataFrame, order: Iterable[str], limit: int = SAMPLE
     are counted by a separate map-side combined aggregate.
     """
     ranked = failing.withColumn(
-        "sample_no", F.row_number().over(Window.partitionBy("kpi_id").orderBy(*order))
+        "sample_no", F.row_number().over(Window.partitionBy("kpi_id").orderBy(*total_order(failing, order)))
     ).where(F.col("sample_no") <= limit)
     totals = failing.groupBy("kpi_id").agg(F.count(F.lit(1)).alias("total_failing"))
     extra = F.col("total_failing") - limit

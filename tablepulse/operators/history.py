@@ -67,7 +67,7 @@ def to_long(history: DataFrame, columns: Iterable[str] = (*SCORE_COLUMNS, *KPI_C
 
 def with_delta(long_history: DataFrame) -> DataFrame:
     """Change against the previous capture of the same KPI; NULL for the first."""
-    previous = F.lag("value").over(Window.partitionBy("kpi_id").orderBy("captured_at"))
+    previous = F.lag("value").over(Window.partitionBy("kpi_id").orderBy(F.asc_nulls_last("captured_at")))
     return long_history.withColumn("delta", (rates.tenths(F.col("value")) - rates.tenths(previous)) / 10.0)
 
 

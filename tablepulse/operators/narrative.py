@@ -66,12 +66,13 @@ def conversation_tail(turns: DataFrame, limit: int = LAST_TURNS) -> DataFrame:
     The rank filter runs in every task before the shuffle, so a conversation of any length sends at
     most ``limit`` turns per task, and the collected list never exceeds ``limit`` entries.
     """
-    newest_first = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    last = turns.withColumn("_rank", F.row_number().over(newest_first)).where(F.col("_rank") <= limit)
     line = F.concat(
         F.lit("\n"), F.initcap(F.coalesce("role", F.lit("user"))), F.lit(": "), F.coalesce("text", F.lit(""))
     )
-    listed = last.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("t"))
+    lines = turns.select("conv_id", "turn", line.alias("line"))
+    newest_first = Window.partitionBy("conv_id").orderBy(F.desc_nulls_last("turn"), F.desc("line"))
+    last = lines.withColumn("_rank", F.row_number().over(newest_first)).where(F.col("_rank") <= limit)
+    listed = last.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("_rank")).alias("n"), "line"))).alias("t"))
     return listed.select(
         "conv_id",
         F.size("t").cast("long").alias("n_turns"),

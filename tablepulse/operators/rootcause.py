@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablepulse.operators.drilldown import SAMPLE_LIMIT, failing_rows, first_rows, rule_order, stringify
+from tablepulse.operators.drilldown import SAMPLE_LIMIT, failing_rows, first_rows, stringify, total_order
 from tablepulse.operators.rules import Rule, RowRate, Tables, local_frame, with_rule
 from tablepulse.operators.scores import with_status
 
@@ -45,9 +45,9 @@ def evidence(tables: Tables, rules: Iterable[Rule], limit: int = SAMPLE_LIMIT) -
             continue
         rows = first_rows(failing_rows(tables, rule), rule, limit)
         numbered = rows.withColumn(
-            "_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*rule_order(rule), *rows.columns))
+            "_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*total_order(rows, rule.order)))
         )
-        as_json = F.to_json(F.struct(*stringify(rows).columns))
+        as_json = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
         text = stringify(numbered).select(F.lit(rule.kpi_id).alias("kpi_id"), "_no", as_json.alias("row"))
         parts.append(text)
     stacked = reduce(DataFrame.unionAll, parts)

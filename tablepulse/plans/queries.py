@@ -122,7 +122,8 @@ def kpi_payload(spark, folder):
     tabulated = {name: (tables[table], column) for name, table, column in warehouse.BREAKDOWNS}
     computed_at = F.expr(f"TIMESTAMP '{CAPTURED_AT} UTC'")
     nested = scores.payload(kpis, warehouse.RULES, warehouse.ENTITIES, tabulated, computed_at)
-    as_json = [F.to_json(c).alias(c) for c in ("counts", "pillar_scores", "entity_scores", "kpis", "breakdowns")]
+    keep_nulls = {"ignoreNullFields": "false"}
+    as_json = [F.to_json(c, keep_nulls).alias(c) for c in ("counts", "pillar_scores", "entity_scores", "kpis", "breakdowns")]
     return nested.select("computed_at", "overall_score", *as_json)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -47,5 +48,5 @@ def with_views(
 
 
 def preview(df: DataFrame, order: Iterable[str], limit: int = 5) -> DataFrame:
-    """The first rows in a given total order."""
-    return df.orderBy(*order).limit(limit)
+    """The first rows in a given total order, NULLs last."""
+    return df.orderBy(*map(F.asc_nulls_last, order)).limit(limit)
