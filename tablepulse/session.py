@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,16 +26,12 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new, unique folder path below the shared folder that every executor can reach.
 
-    The shared folder is ``spark.checkpoint.dir`` (or the context's checkpoint directory). Only a
-    local master may fall back to this machine's temporary folder; a cluster without a shared folder
-    is an error, since files written by one executor would be invisible to the others.
+    The shared folder is ``spark.checkpoint.dir`` or the context's checkpoint directory. Where neither is
+    set, it is a folder in the warehouse, which every executor reaches as well.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        shared = tempfile.mkdtemp(prefix="tablepulse-")
-    return os.path.join(shared, f"{purpose}-{uuid.uuid4().hex}")
+    shared = shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def shuffle_settings(shuffled_bytes: int, cores: int) -> dict[str, str]:
