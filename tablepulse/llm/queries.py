@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablepulse.llm import quality, simhash
+from tablepulse.llm import decontam, quality, simhash
 from tablepulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +16,18 @@ def op5_simhash_anchors(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_positional_index(spark, folder):
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontam.contamination(docs, benchmark).drop("text_hash")
+
+
 def op8_quality_cascade(spark, folder):
     return quality.quality_report(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op5_simhash_anchors, op8_quality_cascade)
+    for f in (op5_simhash_anchors, op6_positional_index, op8_quality_cascade)
 }
 
 ORACLE_SQL: dict[str, str] = {}
