@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablepulse.llm import decontam, quality, simhash
+from tablepulse.llm import decontam, line_templates, packing, quality, simhash
 from tablepulse.llm.common import cut, table
 
 
@@ -18,6 +18,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Lines of templates that recur across documents go, but for the first; every document stays, if only empty."""
+    return line_templates.without_recurring_lines(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of every group of near duplicates stays, the one with the smallest id."""
     return simhash.keep_one(docs)
@@ -28,10 +33,17 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, folder: str)
     return decontam.keep_clean(docs, table(spark, folder, "benchmark"))
 
 
+def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Every token of the documents in length buckets and token-budget batches."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
     ("near duplicates", near_duplicates),
     ("benchmark decontamination", benchmark_decontamination),
+    ("packing", packed),
 ]
 
 

@@ -6,12 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablepulse.llm import decontam, quality, simhash
+from tablepulse.llm import (
+    chunks,
+    decontam,
+    html_text,
+    licences,
+    line_templates,
+    packing,
+    quality,
+    quotes,
+    simhash,
+    tokens,
+)
 from tablepulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_length_buckets(spark, folder):
+    """Tokens are words here; ``packing.pack`` takes any count."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def op2_viterbi_counts(spark, folder):
+    return tokens.token_counts(table(spark, folder, "documents"))
+
+
+def op3_gear_chunks(spark, folder):
+    return chunks.repeated_passages(table(spark, folder, "documents")).drop("text_hash")
+
+
+def op4_line_blocks(spark, folder):
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def op5_simhash_anchors(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -21,13 +49,36 @@ def op6_positional_index(spark, folder):
     return decontam.contamination(docs, benchmark).drop("text_hash")
 
 
+def op7_quotation_links(spark, folder):
+    return quotes.reply_order(table(spark, folder, "conversations"))
+
+
 def op8_quality_cascade(spark, folder):
     return quality.quality_report(table(spark, folder, "documents"))
 
 
+def op9_licence_digests(spark, folder):
+    return licences.scan(table(spark, folder, "documents"), licences.known_licences(spark))
+
+
+def op10_line_templates(spark, folder):
+    return line_templates.line_report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f
-    for f in (op5_simhash_anchors, op6_positional_index, op8_quality_cascade)
+    query.__name__: query
+    for query in (
+        op1_length_buckets,
+        op2_viterbi_counts,
+        op3_gear_chunks,
+        op4_line_blocks,
+        op5_simhash_anchors,
+        op6_positional_index,
+        op7_quotation_links,
+        op8_quality_cascade,
+        op9_licence_digests,
+        op10_line_templates,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
