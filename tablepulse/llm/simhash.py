@@ -266,7 +266,9 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Edges ``a, b`` that connect the fingerprints ``print`` (distinct) exactly as all links together do."""
-    copies = prints.mapInArrow(_replicas(threshold), "anchor long, print long, near boolean")
+    # The copies are some hundred times larger than the fingerprints, which would otherwise be read by a few tasks.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = prints.repartition(parts, "print").mapInArrow(_replicas(threshold), "anchor long, print long, near boolean")
     dealt = copies.repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(_compare(threshold), "a long, b long")
 
