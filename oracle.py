@@ -78,18 +78,16 @@ def counted(kpi_ids, tables: dict[str, str] | None = None) -> str:
     return " UNION ALL ".join(rows)
 
 
-V10 = "CAST(round(value * 10) AS BIGINT)"
-T10 = "CAST(round(target_val * 10) AS BIGINT)"
+VALUE, GOAL = (f"CAST(round({c} * 1000000) AS BIGINT)" for c in ("value", "target_val"))
 SCORE = f"""CASE WHEN higher_is_better THEN
-      CASE WHEN target_val = 0 THEN 100.0 ELSE least(((2000 * {V10} + {T10}) // (2 * {T10})) / 10.0, 100.0) END
+      CASE WHEN target_val = 0 THEN 100.0 ELSE least(((2000 * {VALUE} + {GOAL}) // (2 * {GOAL})) / 10.0, 100.0) END
     WHEN value <= target_val THEN 100.0
-    ELSE greatest(100 - ({V10} - {T10}), 0)::DOUBLE END"""
-STATUS = f"""CASE WHEN higher_is_better AND {V10} * 100 < {T10} * 95 THEN 'RED'
+    ELSE ((greatest(100000000 - ({VALUE} - {GOAL}) * 10, 0) * 20 + 1000000) // 2000000) / 10.0 END"""
+STATUS = """CASE WHEN higher_is_better AND CAST(value AS DECIMAL(18, 6)) < CAST(target_val AS DECIMAL(18, 6)) * 0.95 THEN 'RED'
     WHEN higher_is_better AND value < target_val THEN 'AMBER'
     WHEN higher_is_better THEN 'GREEN'
-    WHEN target_val = 0 AND value > 0 THEN 'RED'
-    WHEN target_val > 0 AND {V10} > 2 * {T10} THEN 'RED'
-    WHEN target_val > 0 AND value > target_val THEN 'AMBER' ELSE 'GREEN' END"""
+    WHEN value > 2 * target_val THEN 'RED'
+    WHEN value > target_val THEN 'AMBER' ELSE 'GREEN' END"""
 DEVIATION = """CASE WHEN higher_is_better THEN (target_val - value) / greatest(target_val, 1.0)
     WHEN target_val > 0 THEN (value - target_val) / greatest(target_val, 1.0) ELSE value END"""
 

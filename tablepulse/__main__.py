@@ -76,7 +76,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("chat").add_argument("message")
     remediate = sub.add_parser("remediate")
     remediate.add_argument("kpi")
-    remediate.add_argument("--alert", type=int, default=0)
+    remediate.add_argument("--alert", type=int, help="the alert to close; needed with --approve")
     remediate.add_argument("--approve", action="store_true")
     remediate.add_argument("--explanation", default="approved correction")
     reset = sub.add_parser("reset")
@@ -89,7 +89,10 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
-    a = parser().parse_args(argv)
+    options = parser()
+    a = options.parse_args(argv)
+    if a.command == "remediate" and a.approve and a.alert is None:
+        options.error("--approve needs --alert")
     spark = spark or SparkSession.builder.appName("tablepulse").getOrCreate()
     root = a.root.rstrip("/")
     tables = open_tables(spark, root)
@@ -144,7 +147,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         long = history.to_long(tables["kpi_snapshots"], ["overall_score"])
         emit(
             narrative.replies(asked, kpi_table(tables), freight.RULES, long).select(
-                "topic", "reply", narrative.text.cited_kpis(F.col("reply")).alias("cited_kpis")
+                "topic", "reply", narrative.text.cited_kpis(F.col("reply"), [r.kpi_id for r in freight.RULES]).alias("cited_kpis")
             )
         )
     elif a.command == "reset":

@@ -41,24 +41,33 @@ def clamp(x: Column, low: Column, high: Column) -> Column:
     return F.least(F.greatest(x, low), high)
 
 
+# Rates and targets are compared as whole millionths, so a target keeps the decimals it is given.
+_UNITS = 1_000_000
+
+
+def _exact(percent: Column) -> Column:
+    return F.round(percent * _UNITS).cast("long")
+
+
 def score(value: Column, target: Column, higher_is_better: Column) -> Column:
-    """0..100 score of a rate against its target.
+    """0..100 score of a rate against its target, with one decimal.
 
     Higher is better: share of the target reached, at most 100. Lower is better: 100 up to the
     target, then ten points off per percent above it, at least 0.
     """
-    v, t = tenths(value), tenths(target)
+    v, t = _exact(value), _exact(target)
     reached = F.when(t == 0, F.lit(float(PERFECT))).otherwise(
         F.least(_ratio_tenths(v, t) / F.lit(10.0), F.lit(float(PERFECT)))
     )
-    over = (v - t) * POINTS_PER_PERCENT_OVER / F.lit(10.0)
-    kept = clamp(PERFECT - over, F.lit(0.0), F.lit(float(PERFECT)))
-    return F.when(higher_is_better, reached).otherwise(kept)
+    full = F.lit(PERFECT * _UNITS).cast("long")
+    kept = clamp(full - (v - t) * POINTS_PER_PERCENT_OVER, F.lit(0).cast("long"), full)
+    tenths_kept = F.call_function("div", kept * 20 + _UNITS, F.lit(2 * _UNITS))
+    return F.when(higher_is_better, reached).otherwise(tenths_kept / F.lit(10.0))
 
 
 def rag(value: Column, target: Column, higher_is_better: Column) -> Column:
     """RED, AMBER or GREEN. A lower-is-better target of 0 has no amber band."""
-    v, t = tenths(value), tenths(target)
+    v, t = _exact(value), _exact(target)
     above_floor = F.when(v * 100 < t * RED_SHARE_OF_TARGET, "RED").when(v < t, "AMBER")
     below_ceiling = F.when(v > t * RED_MULTIPLE_OF_TARGET, "RED").when(v > t, "AMBER")
     return F.coalesce(F.when(higher_is_better, above_floor).otherwise(below_ceiling), F.lit("GREEN"))

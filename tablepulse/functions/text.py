@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -12,9 +13,6 @@ from pyspark.sql import types as T
 BLOCKED_WORDS = ("DROP", "TRUNCATE", "ALTER")
 NEEDS_WHERE = ("DELETE", "UPDATE")
 
-# KPI ids as cited in texts (optionally written with a hyphen).
-KPI_ID_PATTERN = r"(?i)\b(?:JI-?0[1-3]|CP-?0[125]|CS-?0[127]|RI-?0[15]|TP-?01|BIZ-?0[123])\b"
-
 # Topics of chat messages and the words that lead to them; the first topic wins.
 TOPICS: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("overall", ("overall", "score")),
@@ -55,9 +53,15 @@ def tokens(text: Column, pattern: str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, F.upper)))
 
 
-def cited_kpis(text: Column) -> Column:
-    """Distinct KPI ids in a text, without hyphens."""
-    found = F.regexp_extract_all(text, F.lit(KPI_ID_PATTERN), F.lit(0))
+def kpi_id_pattern(kpi_ids: Iterable[str]) -> str:
+    """Matches the ids of a catalogue as texts cite them: in any case, with or without a hyphen before the number."""
+    dashed = sorted({re.sub(r"([A-Za-z])([0-9])", r"\1-?\2", k) for k in kpi_ids}, key=lambda k: (-len(k), k))
+    return rf"(?i)\b(?:{'|'.join(dashed)})\b"
+
+
+def cited_kpis(text: Column, kpi_ids: Iterable[str]) -> Column:
+    """Distinct KPI ids of a catalogue in a text, without hyphens."""
+    found = F.regexp_extract_all(text, F.lit(kpi_id_pattern(kpi_ids)), F.lit(0))
     plain = F.transform(found, lambda k: F.upper(F.replace(k, F.lit("-"), F.lit(""))))
     return F.array_sort(F.array_distinct(plain))
 

@@ -72,7 +72,7 @@ def _ambiguous_keys(parent: DataFrame, child: DataFrame, rule: Rule) -> DataFram
 
     Spark first removes repeated (key, value) pairs, spread over both, and only then counts per key,
     so a key with very many child rows is not gathered in one task. Equal parent rows become one
-    before the join.
+    after the join has left only the few that fail.
     """
     m: AmbiguousRate = rule.measure
     counted = (
@@ -85,8 +85,8 @@ def _ambiguous_keys(parent: DataFrame, child: DataFrame, rule: Rule) -> DataFram
         .where("n_values > 1")
     )
     shown = _columns_beyond(rule.show, {"n_values", "sample_value"})
-    parents = parent.select(F.expr(m.parent_key).alias(_KEY), *shown).distinct()
-    return parents.join(counted, _KEY)
+    parents = parent.select(F.expr(m.parent_key).alias(_KEY), *shown)
+    return parents.join(counted, _KEY).distinct()
 
 
 def stringify(df: DataFrame) -> DataFrame:

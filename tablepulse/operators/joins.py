@@ -22,11 +22,12 @@ def not_in(left: DataFrame, left_key: str, right: DataFrame, right_key: str) ->
     """``left_key NOT IN (SELECT right_key ...)`` with its NULL rules, as a shuffled anti-join.
 
     One NULL on the right removes every row, and a NULL on the left is kept only if the right side
-    is empty. Spark runs the SQL form by broadcasting the whole right side; here the two facts about
-    the right side are scalar subqueries, and the keys themselves meet in an ordinary anti-join.
+    is empty. Spark runs the SQL form by broadcasting the whole right side; here the keys meet in an
+    ordinary anti-join, and the two facts are scalar subqueries over the same set of distinct keys.
     """
-    facts = right.agg(F.count(F.lit(1)).alias("n"), F.count(right_key).alias("n_keys"))
-    n, n_keys = facts.select("n").scalar(), facts.select("n_keys").scalar()
-    present = distinct_keys(right, right_key, "_present")
-    absent = left.join(present, F.col(left_key) == F.col("_present"), "left_anti")
-    return absent.where((n == n_keys) & (F.col(left_key).isNotNull() | (n == 0)))
+    keys = right.select(F.expr(right_key).alias("_present")).groupBy(F.xxhash64("_present"), "_present").agg(F.lit(True).alias("_any"))
+    keys = keys.select("_present")
+    has_null = keys.where("_present IS NULL").agg((F.count(F.lit(1)) > 0).alias("x")).scalar()
+    empty = keys.agg((F.count(F.lit(1)) == 0).alias("x")).scalar()
+    absent = left.join(keys.where("_present IS NOT NULL"), F.col(left_key) == F.col("_present"), "left_anti")
+    return absent.where(~has_null & (F.col(left_key).isNotNull() | empty))

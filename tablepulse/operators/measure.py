@@ -2,11 +2,14 @@
 
 Plan shape, whatever the number of rules:
 
-* all row rates of one table share one scan and one global aggregate;
 * all rules that relate the same parent and child key share one shuffle. Both sides are stacked and
   grouped by the key, so the map-side combine shrinks a key to one record per task before anything
-  is shuffled. There is no join and no sort, and a key that owns a third of either table costs no
-  more than any other key.
+  is shuffled. There is no sort, and a key that owns a third of either table costs no more than any
+  other key;
+* a reconciliation also joins the parent's (key, amount) groups to these records. A record is counted
+  once, with its key's smallest amount, however many groups the key has;
+* row rates of a table are counted in the same pass if the table takes part in one, otherwise all of
+  them share one scan and one global aggregate.
 """
 
 from __future__ import annotations
@@ -29,33 +32,26 @@ from tablepulse.operators.rules import (
     Tables,
 )
 
-# Keys with disagreeing parent amounts up to this number are broadcast (8 to 50 bytes each).
-BROADCAST_KEYS = 500_000
-_KEY = "_rule_key"
-
 
 def measure(tables: Tables, rules: Iterable[Rule]) -> DataFrame:
     """Count all rules: ``kpi_id, num, den``, one row per rule."""
     by_table: dict[str, list[Rule]] = {}
     by_pair: dict[tuple, list[Rule]] = {}
     for rule in rules:
-        if isinstance(rule.measure, RowRate):
-            by_table.setdefault(rule.measure.table, []).append(rule)
-        else:
-            by_pair.setdefault(rule.measure.pair, []).append(rule)
-    parts = [_row_rates(tables[t], group) for t, group in by_table.items()]
-    parts += [_keyed_rates(tables, group) for group in by_pair.values()]
-    rest = [
-        part
-        for group in by_pair.values()
-        for rule in group
-        if isinstance(rule.measure, ReconcileRate)
-        for part in _disagreeing_parents(tables, rule)
-    ]
-    stacked = reduce(DataFrame.unionAll, parts + rest)
-    if not rest:
-        return stacked
-    return stacked.groupBy("kpi_id").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+        m = rule.measure
+        if isinstance(m, RowRate):
+            by_table.setdefault(m.table, []).append(rule)
+            continue
+        group = m.pair
+        if isinstance(m, ReconcileRate) and any(isinstance(r.measure, ReconcileRate) for r in by_pair.get(group, ())):
+            group = (*group, rule.kpi_id)  # one set of (key, amount) groups per pass
+        by_pair.setdefault(group, []).append(rule)
+    parts = []
+    for (parent, child, *_), group in by_pair.items():
+        sides = [by_table.pop(table, []) for table in (parent, child)] if parent != child else [[], []]
+        parts.append(_keyed_rates(tables, group, *sides))
+    parts += [_row_rates(tables[t], group) for t, group in by_table.items()]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def row_counts(tables: Tables) -> DataFrame:
@@ -113,42 +109,69 @@ def _only(predicate: str, value: str) -> str:
     return value if predicate == "true" else f"CASE WHEN {predicate} THEN {value} END"
 
 
-def _numerator(m: KeyedRate, parent: _Side, child: _Side) -> str:
-    """The numerator of a rule as an aggregate over the per-key records."""
+def _numerator(m: KeyedRate, parent: _Side, child: _Side, once: str) -> str:
+    """The numerator of a rule as an aggregate over the per-key records.
+
+    ``once`` picks one of the rows that a record has after the join to its (key, amount) groups.
+    """
     parents = f"CASE WHEN key IS NULL THEN 0L ELSE coalesce({parent.need('sum', _ones(m.parent_where))}, 0L) END"
     active = f"coalesce({child.need('sum', _ones(m.child_where))}, 0L)"
     if isinstance(m, MatchRate):
-        return f"count_if({parents} > 0 AND {active} > 0)"
+        return f"count_if({once} AND {parents} > 0 AND {active} > 0)"
     if isinstance(m, OrphanRate):
-        return f"sum(CASE WHEN {parents} = 0 THEN {active} END)"
+        return f"sum(CASE WHEN {once} AND {parents} = 0 THEN {active} END)"
     if isinstance(m, ResolveRate):
-        return f"sum({parents} * {active})"
+        return f"sum(CASE WHEN {once} THEN {parents} * {active} END)"
     if isinstance(m, AmbiguousRate):
         # More than one distinct value is the same as min < max, which combines map-side.
         value = _only(m.child_where, m.child_value)
-        return f"count_if({child.need('min', value)} < {child.need('max', value)})"
+        return f"count_if({once} AND {child.need('min', value)} < {child.need('max', value)})"
     if isinstance(m, ReconcileRate):
-        amount = _only(m.parent_where, m.parent_amount)
-        low, high = parent.need("min", amount), parent.need("max", amount)
         total = child.need("sum", _only(m.child_where, m.child_amount))
-        off = off_by_more(f"{parent.need('count', amount)} * CAST({total} AS DOUBLE)", low, m.tolerance)
-        return f"count_if(key IS NOT NULL AND {active} > 0 AND {low} = {high} AND {off})"
+        off = off_by_more(f"_copies * CAST({total} AS DOUBLE)", "_amount", m.tolerance)
+        return f"count_if({active} > 0 AND {off})"
     raise TypeError(f"unknown measure {type(m).__name__}")
 
 
-def _keyed_rates(tables: Tables, rules: list[Rule]) -> DataFrame:
+def _keyed_rates(tables: Tables, rules: list[Rule], of_parent: list[Rule], of_child: list[Rule]) -> DataFrame:
+    """Rules of one pair of tables, and row rates of these two tables."""
     first: KeyedRate = rules[0].measure
     parent, child = _Side("p", first.parent_key), _Side("c", first.child_key)
+    reconciled = [r.measure for r in rules if isinstance(r.measure, ReconcileRate)]
+    once = "true"
+    if reconciled:
+        smallest = parent.need("min", _only(reconciled[0].parent_where, reconciled[0].parent_amount))
+        once = f"(_amount IS NULL OR _amount = {smallest})"
+
+    def summed(side: _Side, predicate: str) -> str:
+        return f"sum(CASE WHEN {once} THEN {side.need('sum', _ones(predicate))} END)"
+
     totals: list[str] = []
-    for i, rule in enumerate(rules):
-        totals.append(f"{_numerator(rule.measure, parent, child)} AS num_{i}")
+    for rule in rules:
         counted = child if isinstance(rule.measure, (OrphanRate, ResolveRate)) else parent
-        totals.append(f"sum({counted.need('sum', _ones('true'))}) AS den_{i}")
+        totals += [_numerator(rule.measure, parent, child, once), summed(counted, "true")]
+    for side, row_rules in ((parent, of_parent), (child, of_child)):
+        for rule in row_rules:
+            totals += [summed(side, rule.measure.hit), summed(side, rule.measure.among)]
+    named = [f"{t} AS {'den' if i % 2 else 'num'}_{i // 2}" for i, t in enumerate(totals)]
+
     both = parent.rows(tables[first.parent]).unionByName(
         child.rows(tables[first.child]), allowMissingColumns=True
     )
     per_key = both.groupBy("key").agg(*parent.aggregates(), *child.aggregates())
-    return _long(per_key.selectExpr(*totals), rules)
+    if reconciled:
+        groups = _amount_groups(tables[first.parent], reconciled[0])
+        per_key = per_key.join(groups, F.col("key") == F.col("_group_key"), "left")
+    return _long(per_key.selectExpr(*named), [*rules, *of_parent, *of_child])
+
+
+def _amount_groups(parent: DataFrame, m: ReconcileRate) -> DataFrame:
+    """The parent's (key, amount) groups and their number of rows; a group without either is never tested."""
+    rows = parent.where(F.expr(m.parent_where)).select(
+        F.expr(m.parent_key).alias("_group_key"), F.expr(m.parent_amount).alias("_amount")
+    )
+    known = rows.where("_group_key IS NOT NULL AND _amount IS NOT NULL")
+    return known.groupBy("_group_key", "_amount").agg(F.count(F.lit(1)).alias("_copies"))
 
 
 def off_by_more(total: str, amount: str, tolerance: float) -> str:
@@ -176,38 +199,3 @@ def reconcile_groups(parent: DataFrame, child: DataFrame, m: ReconcileRate, *als
     )
     joined = groups.join(sums, "key")
     return joined.select("key", "amount", *also, (F.col("copies") * F.col("child_total").cast("double")).alias("total"))
-
-
-def _disagreeing_parents(tables: Tables, rule: Rule) -> list[DataFrame]:
-    """The part of a reconciliation that one record per key cannot hold.
-
-    Keys whose parent rows disagree on the amount form several groups. They are data errors and
-    normally absent, so their number is checked first (one narrow aggregate over the parent table);
-    if there are any, only the rows of those keys are grouped by (key, amount) and joined.
-    """
-    m: ReconcileRate = rule.measure
-    parent, child = tables[m.parent], tables[m.child]
-    amounts = parent.where(F.expr(m.parent_where)).select(
-        F.expr(m.parent_key).alias(_KEY), F.expr(m.parent_amount).alias("amount")
-    )
-    keys = (
-        amounts.where(F.col(_KEY).isNotNull())
-        .groupBy(_KEY)
-        .agg(F.min("amount").alias("low"), F.max("amount").alias("high"))
-        .where(F.col("low") < F.col("high"))
-        .select(_KEY)
-    )
-    n_keys = keys.count()
-    if n_keys == 0:
-        return []
-    keys = F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys
-
-    def restrict(df: DataFrame, key: str) -> DataFrame:
-        return df.withColumn(_KEY, F.expr(key)).join(keys, _KEY, "left_semi")
-
-    groups = reconcile_groups(restrict(parent, m.parent_key), restrict(child, m.child_key), m)
-    failing = groups.agg(
-        F.count_if(F.expr(off_by_more("total", "amount", m.tolerance))).alias("num_0"),
-        F.lit(0).alias("den_0"),
-    )
-    return [_long(failing, [rule])]

@@ -392,7 +392,7 @@ def extract_tokens(spark, folder):
 
 def cited_kpis(spark, folder):
     replies = warehouse.reply_table(warehouse.load(spark, folder)["events"])
-    return replies.select("event_id", F.array_join(text.cited_kpis(F.col("reply")), ",").alias("cited"))
+    return replies.select("event_id", F.array_join(text.cited_kpis(F.col("reply"), [r.kpi_id for r in warehouse.RULES]), ",").alias("cited"))
 
 
 def route_messages(spark, folder):

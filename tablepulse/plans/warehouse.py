@@ -89,7 +89,7 @@ RULES: tuple[Rule, ...] = (
     Rule("CS02", "Lines shipped before their order", "consistency", OPS_MANAGER, 45, False,
          RowRate("dated_lines", "l_shipdate < o_orderdate"),
          entities=("line",), show=_DATED_ROW),
-    Rule("RI01", "Events of an unknown type", "referential", DATA_STEWARD, 15, False,
+    Rule("RI01", "Events of an unknown type", "referential", DATA_STEWARD, 15.27, False,
          RowRate("events", "event_type NOT IN ('view', 'click', 'purchase', 'signup')"),
          entities=("event",), show=("event_id", "event_type", "user_id", "CAST(ts AS DATE) AS event_date")),
     Rule("RI05", "Customers without credit", "referential", FINANCE_ANALYST, 0, False,

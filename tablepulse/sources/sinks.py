@@ -10,13 +10,12 @@ from collections.abc import Iterable, Mapping
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tablepulse.operators.scores import breakdown
-
 
 def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return literal_batch(spark, [], schema)
@@ -61,10 +60,13 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def load_report(df: DataFrame, column: str) -> DataFrame:
-    """Check after a load: rows per value of ``column``, with the total beside it."""
-    counted = breakdown(df, column)
-    total = df.agg(F.count(F.lit(1)).alias("total_rows")).scalar()
-    return counted.withColumn("total_rows", total)
+    """Check after a load: rows per value of ``column``, with the total beside it.
+
+    The total is the sum of the groups, whose number the caller's choice of a status-like column bounds.
+    """
+    counted = df.groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())
+    return counted.withColumn("total_rows", total).orderBy(F.desc("n"), "label")
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -73,25 +75,37 @@ def _file_system(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Finished versions below ``root``, oldest first; unfinished writes are skipped."""
+def _numbers(spark: SparkSession, root: str, finished: bool = False) -> list[int]:
     target, fs = _file_system(spark, root)
     if not fs.exists(target):
         return []
-    found = []
-    for status in fs.listStatus(target):
-        name = status.getPath().getName()
-        done, _ = _file_system(spark, f"{root}/{name}/_SUCCESS")
-        if name.startswith("v=") and fs.exists(done):
-            found.append(int(name[2:]))
-    return sorted(found)
+    names = [status.getPath().getName() for status in fs.listStatus(target)]
+    kept = [n for n in names if n.startswith("v=")]
+    if finished:
+        kept = [n for n in kept if fs.exists(_file_system(spark, f"{root}/{n}/_SUCCESS")[0])]
+    return sorted(int(n[2:]) for n in kept)
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Finished versions below ``root``, oldest first; unfinished writes are skipped."""
+    return _numbers(spark, root, finished=True)
 
 
 def write_version(df: DataFrame, root: str) -> int:
-    """Write the next version and return its number."""
-    number = max(versions(df.sparkSession, root), default=0) + 1
-    df.write.mode("overwrite").parquet(f"{root}/v={number}")
-    return number
+    """Write the next version and return its number.
+
+    A version is never overwritten: if another writer has begun one of this number, the next one is taken.
+    """
+    number = max(_numbers(df.sparkSession, root), default=0) + 1
+    while True:
+        try:
+            df.write.mode("errorifexists").parquet(f"{root}/v={number}")
+        except AnalysisException as taken:
+            if taken.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            number += 1
+        else:
+            return number
 
 
 def read_version(spark: SparkSession, root: str, schema: T.StructType, number: int | None = None) -> DataFrame:

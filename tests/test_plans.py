@@ -38,13 +38,34 @@ def test_no_cross_join_no_python_and_only_catalogues_broadcast(spark, no_auto_br
     assert plan.count("BroadcastExchange") <= plan.count("LocalTableScan")
 
 
-def test_one_shuffle_for_all_rules_of_a_key(spark):
-    rules = [r for r in warehouse.RULES if r.kpi_id in ("JI01", "JI02", "CS07", "CS01")]
+def test_one_shuffle_of_the_lines_for_all_rules_of_a_key(spark):
+    rules = [r for r in warehouse.RULES if r.kpi_id in ("JI01", "JI02", "CS07", "BIZ03")]
     from tablepulse.operators.measure import measure
 
     plan = plan_of(measure(warehouse.load(spark, FOLDER), rules))
     found = Counter(re.findall(r"Exchange hashpartitioning|FileScan|Join", plan))
     assert found == {"Exchange hashpartitioning": 1, "FileScan": 2}
+    reconciled = [*rules, *(r for r in warehouse.RULES if r.kpi_id == "CS01")]
+    plan = plan_of(measure(warehouse.load(spark, FOLDER), reconciled))
+    assert len(re.findall(r"FileScan.*lineitem", plan)) == 1 and len(re.findall(r"FileScan.*orders", plan)) == 2
+
+
+def test_kpi_table_scans_the_lines_three_times(spark):
+    """Once for all rules by order key and the row rates, once by supplier key, once for the join with order dates."""
+    plan = plan_of(QUERIES["kpi_table"](spark, FOLDER))
+    assert len(re.findall(r"FileScan.*lineitem", plan)) == 3
+
+
+WRITERS = ("export_failing_rows", "reload_and_append", "latest_version")
+
+
+def test_building_a_query_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    for name in sorted(set(QUERIES) - set(WRITERS)):
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        QUERIES[name](spark, FOLDER)
+        assert list(tracker.getJobIdsForGroup(f"build-{name}")) == [], name
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_one_scan_for_all_row_rates_of_a_table(spark):

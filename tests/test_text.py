@@ -12,6 +12,7 @@ from tablepulse.functions import rates, text
 from tablepulse.operators.derive import derive_shipments
 from tablepulse.operators.drilldown import failing_sample
 from tablepulse.operators.narrative import compact_context, conversation_tail
+from tablepulse.plans import warehouse
 from tablepulse.session import shuffle_settings
 from tablepulse.sources import schemas, sinks
 
@@ -41,8 +42,12 @@ def test_statement_screen(spark, statement, safe, reason):
 
 
 def test_cited_kpis(spark):
-    assert one(spark, "See cs07, CS-07 and Biz03; not CS03 or XJI01.", text.cited_kpis) == ["BIZ03", "CS07"]
-    assert one(spark, "nothing", text.cited_kpis) == []
+    def cited(column):
+        return text.cited_kpis(column, [r.kpi_id for r in warehouse.RULES])
+
+    assert one(spark, "See cs07, CS-07 and Biz03; not CS03 or XJI01.", cited) == ["BIZ03", "CS07"]
+    assert one(spark, "CP-04, ri05s or RI-05", cited) == ["CP04", "RI05", "RI05S"]
+    assert one(spark, "nothing", cited) == []
 
 
 @pytest.mark.parametrize(
@@ -167,3 +172,19 @@ def test_derived_shipments(spark):
         assert (row.planned_pickup, row.planned_delivery) == (start + dt.timedelta(1), start + dt.timedelta(3))
         assert (row.actual_arrival == row.planned_delivery) is travelled
         assert (row.actual_departure is None) is not travelled
+
+
+@pytest.mark.parametrize(
+    "value,target,higher,score,status",
+    [
+        (0.3, 0.25, False, 99.5, "AMBER"), (0.6, 0.25, False, 96.5, "RED"), (0.2, 0.25, False, 100.0, "GREEN"),
+        (0.5, 0.25, False, 97.5, "AMBER"), (0.1, 0.0, False, 99.0, "RED"), (0.0, 0.0, False, 100.0, "GREEN"),
+        (95.0, 98.25, True, 96.7, "AMBER"), (93.3, 98.25, True, 95.0, "RED"), (98.3, 98.25, True, 100.0, "GREEN"),
+        (50.0, 0.0, True, 100.0, "GREEN"), (99.9, 0.0, False, 0.0, "RED"),
+    ],
+)
+def test_targets_are_compared_exactly(spark, value, target, higher, score, status):
+    row = spark.createDataFrame([(value, target, higher)], "v double, t double, h boolean")
+    args = (F.col("v"), F.col("t"), F.col("h"))
+    found = row.select(rates.score(*args).alias("score"), rates.rag(*args).alias("status")).first()
+    assert (found.score, found.status) == (score, status)
