@@ -129,7 +129,7 @@ def _breakdown(table: str, column: str) -> str:
 def _payload() -> str:
     listed = ", ".join(
         f"""'"{name}":[' || (SELECT string_agg('{{"label":' || coalesce('"' || label || '"', 'null') || ',"count":' || n || '}}',
-            ',' ORDER BY n DESC, label) FROM ({_breakdown(table, column)})) || ']'"""
+            ',' ORDER BY n DESC, label NULLS FIRST) FROM ({_breakdown(table, column)} ORDER BY n DESC, label NULLS FIRST LIMIT 50)) || ']'"""
         for name, table, column in sorted(warehouse.BREAKDOWNS)
     )
     counts = " || ',' || ".join(
@@ -186,18 +186,42 @@ DRILLDOWNS = {
 }
 
 FAILING = f"""
-    SELECT 'RI01' AS kpi_id, event_id AS row_key FROM events WHERE event_type NOT IN {KNOWN_TYPES}
-    UNION ALL SELECT 'RI05', c_custkey FROM customer WHERE c_acctbal <= 0
-    UNION ALL SELECT 'CP01', d.doc_id FROM {DOCS} WHERE quality IS NULL
-    UNION ALL SELECT 'CP05', d.doc_id FROM {DOCS} WHERE lang NOT IN ('fr', 'de') AND quality IS NULL
-    UNION ALL SELECT 'JI01', o_orderkey FROM orders o
-      WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND {OPEN})"""
-
-DAILY = f"""WITH n AS (SELECT CAST(ts AS DATE) AS d, count(*) FILTER (event_type NOT IN {KNOWN_TYPES}) AS num,
-      count(*) AS den FROM events GROUP BY 1),
-    h AS (SELECT CAST(d AS VARCHAR) AS captured_on, 'RI01' AS kpi_id, num, den,
+    SELECT 'RI01' AS kpi_id, event_id AS row_key, 0 AS row_no FROM events WHERE event_type NOT IN {KNOWN_TYPES}
+    UNION ALL SELECT 'RI05', c_custkey, 0 FROM customer WHERE c_acctbal <= 0
+    UNION ALL SELECT 'BIZ02', c_custkey, 0 FROM customer WHERE c_acctbal <= 0
+    UNION ALL SELECT 'CP01', d.doc_id, 0 FROM {DOCS} WHERE quality IS NULL
+    UNION ALL SELECT 'CP02', d.doc_id, 0 FROM {DOCS} WHERE toxic IS NULL
+    UNION ALL SELECT 'CP05', d.doc_id, 0 FROM {DOCS} WHERE lang NOT IN ('fr', 'de') AND quality IS NULL
+    UNION ALL SELECT 'JI01', o_orderkey, 0 FROM orders o
+      WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND {OPEN})
+    UNION ALL SELECT 'JI02', l_orderkey, l_linenumber FROM lineitem LEFT JOIN {LOADED} o ON l_orderkey = o.o_orderkey
+      WHERE o.o_orderkey IS NULL
+    UNION ALL (SELECT 'CS07', o_orderkey, 0 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE {OPEN}
+      GROUP BY o_orderkey, o_orderstatus HAVING count(DISTINCT l_suppkey) > 1)
+    UNION ALL (SELECT 'CS01', o_orderkey, 0 FROM (
+      SELECT o_orderkey, {CENTS.format('o_totalprice')} AS w, o_orderpriority, sum({CENTS.format('l_extendedprice')}) AS s
+      FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE {OPEN} GROUP BY 1, 2, 3) WHERE {MISSES})
+    UNION ALL SELECT 'CS02', l_orderkey, l_linenumber FROM {LINES} WHERE l_shipdate < o_orderdate
+    UNION ALL SELECT 'TP01', l_orderkey, l_linenumber FROM {LINES} WHERE {LATE}
+    UNION ALL SELECT 'BIZ01', l_orderkey, l_linenumber FROM {LINES} WHERE l_linestatus = 'F' AND {IN_TIME}
+    UNION ALL SELECT 'BIZ03', l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'"""
+
+MONTHLY = f"""n AS (SELECT date_trunc('month', ts) AS d, 'RI01' AS kpi_id,
+      count(*) FILTER (event_type NOT IN {KNOWN_TYPES}) AS num, count(*) AS den FROM events GROUP BY 1
+      UNION ALL SELECT date_trunc('month', o_orderdate), 'CS02', count(*) FILTER (l_shipdate < o_orderdate), count(*)
+        FROM {LINES} GROUP BY 1
+      UNION ALL SELECT date_trunc('month', o_orderdate), 'TP01', count(*) FILTER ({LATE}), count(*) FROM {LINES} GROUP BY 1
+      UNION ALL SELECT date_trunc('month', o_orderdate), 'BIZ01', count(*) FILTER (l_linestatus = 'F' AND {IN_TIME}),
+        count(*) FILTER (l_linestatus = 'F') FROM {LINES} GROUP BY 1
+      UNION ALL SELECT date_trunc('month', l_shipdate), 'BIZ03', count(*) FILTER (l_returnflag = 'R'), count(*)
+        FROM lineitem GROUP BY 1),
+    h AS (SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS captured_on, kpi_id, num, den,
       CAST({pct('num', 'den')} AS DOUBLE) AS value FROM n),
-    daily AS (SELECT *, CASE WHEN value >= 20 THEN 'high ' || printf('%.1f', value) END AS label FROM h)"""
+    monthly AS (SELECT *, CASE WHEN value >= 20 THEN 'high ' || printf('%.1f', value) END AS label FROM h),
+    g(kpi_id, target_val, higher_is_better) AS (VALUES {", ".join(
+        f"('{r.kpi_id}', CAST({r.target} AS DOUBLE), {str(r.higher_is_better).lower()})" for r in warehouse.RULES)}),
+    whole AS (SELECT captured_on, {mean('score')} AS value FROM (SELECT captured_on, CAST({SCORE} AS DOUBLE) AS score
+      FROM monthly JOIN g ON monthly.kpi_id = g.kpi_id) GROUP BY 1)"""
 
 
 def _snapshot(column: str) -> str:
@@ -254,7 +278,9 @@ def _evidence() -> str:
             name = f.strip("'")
             expr = {"order_date": "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)", "doc_id": "d.doc_id",
                     "ship_date": "CAST(CAST(l_shipdate AS DATE) AS VARCHAR)",
-                    "event_date": "CAST(CAST(ts AS DATE) AS VARCHAR)"}.get(name, name)
+                    "event_date": "CAST(CAST(ts AS DATE) AS VARCHAR)",
+                    "days_early_or_late": "date_diff('day', CAST(o_orderdate + INTERVAL 60 DAY AS DATE), CAST(l_shipdate AS DATE))",
+                    }.get(name, name)
             value = f"coalesce('\"' || {expr} || '\"', 'null')" if text else f"coalesce(CAST({expr} AS VARCHAR), 'null')"
             parts.append(f"'\"{name}\":' || {value}")
         json = "'{' || " + " || ',' || ".join(parts) + " || '}'"
@@ -264,8 +290,25 @@ def _evidence() -> str:
     doc = ["doc_id", "'lang'", "'source'", "quality"]
     dated = ["l_orderkey", "l_linenumber", "l_suppkey", "'l_linestatus'", "'order_date'", "'ship_date'"]
     customer = ["c_custkey", "'c_name'", "c_acctbal", "'c_mktsegment'"]
+    line = ["l_orderkey", "l_linenumber", "l_suppkey", "'l_returnflag'", "'l_linestatus'"]
+    line_keys = "l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_linestatus"
+    several = f"""(SELECT o_orderkey, o_orderstatus, count(DISTINCT l_suppkey) AS active_supplier_count,
+        min(l_suppkey) AS supplier_sample FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE {OPEN}
+        GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1)"""
+    missed = f"""(SELECT o_orderkey, w / 100.0 AS order_price, s / 100.0 AS line_price_sum, abs(s - w) / 100.0 AS discrepancy,
+        o_orderpriority FROM (SELECT o_orderkey, {CENTS.format('o_totalprice')} AS w, o_orderpriority,
+        sum({CENTS.format('l_extendedprice')}) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE {OPEN}
+        GROUP BY 1, 2, 3) WHERE {MISSES})"""
     return " UNION ALL ".join(
         [
+            row("JI01", f"NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND {OPEN})", "orders o",
+                ["o_orderkey", "'o_orderstatus'", "'o_orderpriority'", "'order_date'"],
+                "o_orderkey, o_orderstatus, o_orderpriority, CAST(o_orderdate AS DATE)"),
+            row("JI02", "o.o_orderkey IS NULL", f"lineitem LEFT JOIN {LOADED} o ON l_orderkey = o.o_orderkey", line, line_keys),
+            row("CS07", "true", several, ["o_orderkey", "'o_orderstatus'", "active_supplier_count", "supplier_sample"],
+                "o_orderkey, o_orderstatus, active_supplier_count, supplier_sample"),
+            row("CS01", "true", missed, ["o_orderkey", "order_price", "line_price_sum", "discrepancy", "'o_orderpriority'"],
+                "o_orderkey, order_price, line_price_sum, discrepancy, o_orderpriority"),
             row("CP01", "quality IS NULL", DOCS, doc, "d.doc_id, lang, source"),
             row("CP05", "lang NOT IN ('fr', 'de') AND quality IS NULL", DOCS, doc, "d.doc_id, lang, source"),
             row("CS02", "l_shipdate < o_orderdate", LINES, dated, DATED_KEYS),
@@ -273,10 +316,10 @@ def _evidence() -> str:
                 ["event_id", "'event_type'", "user_id", "'event_date'"], "event_id, event_type, user_id"),
             row("RI05", "c_acctbal <= 0", "customer", customer, "c_custkey, c_name, c_acctbal, c_mktsegment"),
             row("TP01", LATE, LINES, dated, DATED_KEYS),
+            row("BIZ01", f"l_linestatus = 'F' AND {IN_TIME}", LINES, [*dated, "days_early_or_late"],
+                f"CAST(l_shipdate AS DATE) DESC, {DATED_KEYS}"),
             row("BIZ02", "c_acctbal <= 0", "customer", customer, "c_custkey, c_name, c_acctbal, c_mktsegment"),
-            row("BIZ03", "l_returnflag = 'R'", "lineitem",
-                ["l_orderkey", "l_linenumber", "l_suppkey", "'l_returnflag'", "'l_linestatus'"],
-                "l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_linestatus"),
+            row("BIZ03", "l_returnflag = 'R'", "lineitem", line, line_keys),
         ]
     )
 
@@ -295,9 +338,19 @@ RCA = f"""{kpis()}, {CAUSES}, {DATASETS}, e AS ({_evidence()}),
     FROM f LEFT JOIN z ON f.kpi_id = z.kpi_id LEFT JOIN t ON f.kpi_id = t.kpi_id LEFT JOIN e ON f.kpi_id = e.kpi_id"""
 
 
-def _line_summary(flag: str, status: str, where: str = "true") -> str:
-    return f"""SELECT {flag} AS l_returnflag, {status} AS l_linestatus, count(*) AS n_lines,
-        CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS quantity FROM lineitem WHERE {where} GROUP BY 1, 2"""
+def _lines(replaced: str = "", where: str = "true") -> str:
+    """Whole lines with some columns replaced, and the date as text."""
+    more = f"{replaced}, " if replaced else ""
+    return f"""SELECT * REPLACE ({more}strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate) FROM lineitem WHERE {where}"""
+
+
+def _events(replaced: str) -> str:
+    return f"SELECT * REPLACE ({replaced} AS event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts) FROM events"
+
+
+def _dated(date: str) -> str:
+    return f"""SELECT l_orderkey, l_linenumber, l_suppkey, l_linestatus,
+        strftime({date}, '%Y-%m-%d %H:%M:%S') AS l_shipdate FROM {LINES}"""
 
 
 RETURNED_OPEN = f"l_returnflag = 'R' AND {OPEN}"
@@ -382,10 +435,13 @@ def _route() -> str:
 
 
 def _compact() -> str:
-    return f"""{kpis()}, {DAILY.removeprefix('WITH ')} SELECT 'kpi' AS kind, kpi_id AS name,
+    return f"""{kpis()}, {MONTHLY}, {ALERTS} SELECT 'kpi' AS kind, kpi_id AS name,
         '{{"value":' || value || ',"target":"' || {TARGET} || '"}}' AS body FROM k
-      UNION ALL SELECT 'capture', coalesce(label, ''),
-        '{{"label":"' || coalesce(label, '') || '","overall_score":' || value || '}}' FROM daily"""
+      UNION ALL SELECT 'capture', coalesce(captured_on, ''),
+        '{{"label":"' || coalesce(captured_on, '') || '","overall_score":' || value || '}}' FROM whole
+      UNION ALL SELECT 'pillar', pillar, '{{"pillar_score":' || pillar_score || '}}' FROM ({PILLARS})
+      UNION ALL SELECT 'alert', coalesce(kpi_id, ''), '{{"severity":"' || severity || '","n_alerts":' || count(*) || '}}'
+        FROM a WHERE status <> 'Resolved' GROUP BY kpi_id, severity"""
 
 
 def _replies() -> str:
@@ -398,8 +454,8 @@ def _replies() -> str:
         return f"""(SELECT '{kpi_id} is at ' || {ONE.format('value')} || '% (' || num ||
             ' rows); the drill-down lists them.' FROM k WHERE kpi_id = '{kpi_id}')"""
 
-    return f"""{kpis()}, {DAILY.removeprefix('WITH ')},
-      e AS (SELECT count(*) AS n, arg_min(value, captured_on) AS v1, arg_max(value, captured_on) AS v2 FROM daily),
+    return f"""{kpis()}, {MONTHLY},
+      e AS (SELECT count(*) AS n, arg_min(value, captured_on) AS v1, arg_max(value, captured_on) AS v2 FROM whole),
       m AS (SELECT conv_id, turn, CASE {cases} ELSE 'general' END AS topic FROM conversations)
       SELECT conv_id, turn, topic, CASE topic WHEN 'ghost' THEN {kpi('CS07')} WHEN 'orphan' THEN {kpi('JI02')}
         WHEN 'fix' THEN 'Open the alert, read its root cause, check the dry run, then approve the fix.'
@@ -449,21 +505,23 @@ ORACLE_SQL: dict[str, str] = {
         || {ONE.format('value')} || '% (target ' || {TARGET} || ')' AS line FROM k ORDER BY ordinal""",
     **{f"breakdown_{name}": _breakdown(table, column) for name, table, column in warehouse.BREAKDOWNS},
     **{f"drilldown_{k.lower()}": sql for k, sql in DRILLDOWNS.items()},
-    "failing_samples": f"""WITH f AS ({FAILING}), r AS (SELECT *, row_number() OVER (PARTITION BY kpi_id ORDER BY row_key)
-        AS sample_no, count(*) OVER (PARTITION BY kpi_id) AS total_failing FROM f)
-        SELECT kpi_id, row_key, CAST(sample_no AS INTEGER) AS sample_no, total_failing, CASE WHEN total_failing > 20
+    "failing_samples": f"""WITH f AS ({FAILING}), r AS (SELECT *, row_number() OVER (PARTITION BY kpi_id
+        ORDER BY row_key, row_no) AS sample_no, count(*) OVER (PARTITION BY kpi_id) AS total_failing FROM f)
+        SELECT kpi_id, row_key, CAST(row_no AS INTEGER) AS row_no, CAST(sample_no AS INTEGER) AS sample_no, total_failing, CASE WHEN total_failing > 20
         THEN '...and ' || (total_failing - 20) || ' more rows' ELSE '' END AS note FROM r WHERE sample_no <= 20""",
-    "history": f"{DAILY} SELECT captured_on, kpi_id, num, den, value, coalesce(label, '') AS label FROM daily",
-    "history_delta": f"""{DAILY} SELECT captured_on, kpi_id, value,
-        (CAST(round(value * 10) AS BIGINT) - CAST(round(lag(value) OVER (ORDER BY captured_on) * 10) AS BIGINT)) / 10.0
-        AS delta FROM daily""",
-    "history_trend": f"""{DAILY}, e AS (SELECT kpi_id, count(*) AS n_captures, arg_min(value, captured_on) AS first_value,
-        arg_max(value, captured_on) AS last_value FROM daily GROUP BY kpi_id)
+    "history": f"WITH {MONTHLY} SELECT captured_on, kpi_id, num, den, value, coalesce(label, '') AS label FROM monthly",
+    "history_delta": f"""WITH {MONTHLY} SELECT captured_on, kpi_id, value, (CAST(round(value * 10) AS BIGINT)
+        - CAST(round(lag(value) OVER (PARTITION BY kpi_id ORDER BY captured_on) * 10) AS BIGINT)) / 10.0 AS delta FROM monthly""",
+    "history_overall": f"""WITH {MONTHLY} SELECT captured_on, value, (CAST(round(value * 10) AS BIGINT)
+        - CAST(round(lag(value) OVER (ORDER BY captured_on) * 10) AS BIGINT)) / 10.0 AS delta FROM whole""",
+    "history_trend": f"""WITH {MONTHLY}, e AS (SELECT kpi_id, count(*) AS n_captures, arg_min(value, captured_on) AS first_value,
+        arg_max(value, captured_on) AS last_value FROM (SELECT captured_on, kpi_id, value FROM monthly
+          UNION ALL SELECT captured_on, 'overall_score', value FROM whole) GROUP BY kpi_id)
         SELECT *, CASE WHEN n_captures >= 2 THEN 'Over ' || n_captures || ' captures it ' || CASE
           WHEN last_value < first_value THEN 'declined' WHEN last_value > first_value THEN 'rose' ELSE 'stayed' END
           || ' from ' || {ONE.format('first_value')} || '% to ' || {ONE.format('last_value')} || '%.'
           ELSE 'No trend yet.' END AS sentence FROM e""",
-    "history_without_label": f"""{DAILY} SELECT captured_on, value, label FROM daily
+    "history_without_label": f"""WITH {MONTHLY} SELECT captured_on, kpi_id, value, label FROM monthly
         WHERE label IS NULL OR label NOT LIKE '%high 2%'""",
     "history_not_captured": """SELECT event_id, event_type FROM events e WHERE event_type <> 'purchase' AND NOT EXISTS
         (SELECT 1 FROM events p WHERE event_type = 'purchase' AND date_trunc('second', p.ts) = date_trunc('second', e.ts))""",
@@ -496,22 +554,27 @@ ORACLE_SQL: dict[str, str] = {
         AS resolved_at, kpi_id, 'fixed event ' || alert_id AS remediation_log FROM a WHERE status = 'Resolved'
         ORDER BY created_at DESC, alert_id LIMIT 5""",
     "rca_records": RCA,
-    "fix_stale_links": _line_summary("l_returnflag", f"CASE WHEN {RETURNED_OPEN} THEN 'STALE' ELSE l_linestatus END"),
-    "fix_orphans": _line_summary("l_returnflag", "l_linestatus", LINKED),
+    "fix_stale_links": _lines(f"CASE WHEN {RETURNED_OPEN} THEN 'STALE' ELSE l_linestatus END AS l_linestatus"),
+    "fix_stale_links_undone": _lines(),
+    "fix_orphans": _lines(where=LINKED),
     "fix_delete": f"WITH {ALERTS} SELECT alert_id, status FROM a WHERE status IS NULL OR status <> 'Resolved'",
     "fix_zero_amounts": f"""SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS c_acctbal,
         {SEGMENT.format(PENDING)} FROM customer""",
     "fix_zero_amounts_undone": f"""SELECT c_custkey, c_name, c_nationkey,
         CAST(CASE WHEN c_acctbal <= 0 THEN 0 ELSE c_acctbal END AS DOUBLE) AS c_acctbal,
         {SEGMENT.format("'Zero Weight'")} FROM customer""",
-    "fix_reassigned": _line_summary(
-        f"CASE WHEN {RETURNED_OPEN} THEN 'Re-assigned - Resolved' ELSE l_returnflag END",
-        f"CASE WHEN {RETURNED_OPEN} THEN 'Inactive' ELSE l_linestatus END",
+    "fix_reassigned": _lines(
+        f"""CASE WHEN {RETURNED_OPEN} THEN 'Re-assigned - Resolved' ELSE l_returnflag END AS l_returnflag,
+        CASE WHEN {RETURNED_OPEN} THEN 'Inactive' ELSE l_linestatus END AS l_linestatus"""
+    ),
+    "fix_reassigned_undone": _lines(),
+    "fix_status_words": _events("CASE event_type WHEN 'error' THEN 'view' ELSE event_type END"),
+    "fix_status_words_undone": _events(
+        "CASE WHEN event_type IN ('error', 'view') THEN CASE WHEN value > 100 THEN 'error' ELSE 'view' END ELSE event_type END"
     ),
-    "fix_status_words": """SELECT event_id, CASE event_type WHEN 'error' THEN 'view' ELSE event_type END AS event_type
-        FROM events""",
-    "fix_date_order": f"""SELECT l_linestatus, count(*) AS n_lines,
-        count(CASE WHEN l_shipdate < o_orderdate THEN NULL ELSE l_shipdate END) AS n_dated FROM {LINES} GROUP BY 1""",
+    "fix_date_order": _dated("CASE WHEN l_shipdate < o_orderdate THEN NULL ELSE l_shipdate END"),
+    "fix_date_order_undone": _dated("CASE WHEN l_shipdate < o_orderdate OR l_shipdate IS NULL THEN o_orderdate ELSE l_shipdate END"),
+    "alerts_cleared": f"WITH {ALERTS} SELECT kpi_id, severity, status FROM a WHERE alert_id IS NULL",
     "fix_dry_run": DRY_RUN,
     "fix_before_after": _before_after(),
     "derive_shipments": DERIVED,
@@ -543,5 +606,10 @@ ORACLE_SQL: dict[str, str] = {
         FROM lineitem GROUP BY l_returnflag""",
     "export_failing_rows": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal <= 0",
     "reload_and_append": "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 100 OR c_acctbal <= 0",
+    "derived_appended": f"""SELECT shipment_gid, status, dq_flag FROM ({DERIVED}) UNION ALL
+        SELECT CASE WHEN l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL THEN l_orderkey || '-' || l_linenumber END,
+        'Present', 'OK' FROM lineitem WHERE l_returnflag = 'A'""",
+    "captures_appended": f"""WITH {MONTHLY} SELECT captured_on, value AS overall_score, 'seed' AS label FROM whole
+        WHERE captured_on IS NOT NULL""",
     "latest_version": f"WITH {ALERTS} SELECT alert_id, kpi_id, status FROM a WHERE status <> 'Resolved'",
 }

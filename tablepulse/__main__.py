@@ -48,9 +48,8 @@ def write_all(before: Tables, after: Tables, root: str, names: Sequence[str]) ->
 
 
 def add_capture(tables: Tables, capture: DataFrame, root: str) -> None:
-    known = tables["kpi_snapshots"]
-    new = history.appended(capture, known)
-    sinks.write_version(known.unionByName(new), f"{root}/kpi_snapshots")
+    new = history.appended(capture, tables["kpi_snapshots"])
+    sinks.append_to_latest(new, f"{root}/kpi_snapshots")
 
 
 def fix_for(kpi_id: str) -> fixes.Fix:
@@ -123,7 +122,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     elif a.command == "monitor":
         known = tables["dq_alerts"]
         new = cycle.detect(tables, freight.SCORED_RULES, wording.ALERT_TEXTS, known, now)
-        sinks.write_version(known.unionByName(new), f"{root}/dq_alerts")
+        sinks.append_to_latest(new, f"{root}/dq_alerts")
         emit(alerts.pending_alerts(open_tables(spark, root)["dq_alerts"]))
     elif a.command == "rootcause":
         explained = cycle.explain(tables, freight.RULES, wording.CAUSES, tables["dq_alerts"], a.kpi, now)

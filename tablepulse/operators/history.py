@@ -15,10 +15,12 @@ from pyspark.sql.window import Window
 
 from tablepulse.functions import rates
 from tablepulse.operators.joins import distinct_keys
-from tablepulse.operators.rules import RowRate, Rule
+from tablepulse.operators.rules import RowRate, Rule, with_rule
 from tablepulse.operators.scores import overall_mean, pillar_mean, with_parts
 from tablepulse.sources.schemas import KPI_COLUMNS, KPI_SNAPSHOTS, PILLAR_COLUMNS, SCORE_COLUMNS
 
+MAX_BATCH = 10_000
+
 
 def capture(kpis: DataFrame, rules: Iterable[Rule], label: str | None, captured_at: Column) -> DataFrame:
     """The wide snapshot row of a KPI table; KPIs that were not measured are NULL."""
@@ -31,10 +33,30 @@ def capture(kpis: DataFrame, rules: Iterable[Rule], label: str | None, captured_
 
 
 def with_next_ids(batch: DataFrame, existing: DataFrame, id_column: str, order: Iterable[str]) -> DataFrame:
-    """Number a small batch from the highest existing id upwards."""
+    """Number a small batch from the highest existing id upwards; more than ``MAX_BATCH`` rows are an error.
+
+    Such a batch is one row per rule or the like and is numbered by one task; ``numbered_by`` takes any size.
+    """
     highest = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long")).scalar()
     position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
-    return batch.withColumn(id_column, highest + position)
+    checked = F.when(position <= MAX_BATCH, position).otherwise(F.raise_error(F.lit("too many rows to be numbered as a batch")))
+    return batch.withColumn(id_column, highest + checked)
+
+
+def numbered_by(batch: DataFrame, existing: DataFrame, id_column: str, group: Column, order: Iterable[str]) -> DataFrame:
+    """Number a batch of any size from the highest existing id upwards.
+
+    ``group`` does not decrease along the order (a day, say). Every group numbers its own rows, and the number of rows
+    in the groups before it is added, so only the counts of the groups meet in one task.
+    """
+    highest = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long")).scalar()
+    grouped = batch.withColumn("_group", group)
+    counts = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_group").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    own = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
+    placed = grouped.withColumn("_own", own).join(offsets, F.col("_group").eqNullSafe(F.col("_of")))
+    return placed.withColumn(id_column, highest + F.col("_offset") + F.col("_own")).drop("_group", "_of", "_own", "_offset")
 
 
 def not_yet_captured(batch: DataFrame, history: DataFrame) -> DataFrame:
@@ -46,7 +68,8 @@ def not_yet_captured(batch: DataFrame, history: DataFrame) -> DataFrame:
 
 def appended(batch: DataFrame, history: DataFrame) -> DataFrame:
     """The captures of a batch that are new, numbered and in table order; loading a batch twice adds nothing."""
-    numbered = with_next_ids(not_yet_captured(batch, history), history, "snapshot_id", ["captured_at"])
+    new = not_yet_captured(batch, history)
+    numbered = numbered_by(new, history, "snapshot_id", F.to_date("captured_at"), ["captured_at"])
     return numbered.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in KPI_SNAPSHOTS.fields))
 
 
@@ -109,3 +132,14 @@ def rates_by_period(df: DataFrame, rules: Iterable[Rule], period: Column) -> Dat
     counted = df.groupBy(period.alias("captured_at")).agg(*counts)
     listed = counted.select("captured_at", F.inline(F.array(*rows)))
     return listed.withColumn("value", rates.pct(F.col("num"), F.col("den")))
+
+
+def overall_by_period(long_history: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """``captured_at, kpi_id, value``: the mean score of the scored KPIs that were counted in a period.
+
+    ``long_history`` has ``captured_at, kpi_id, value``, as ``rates_by_period`` makes it.
+    """
+    rules = list(rules)
+    rated = with_parts(with_rule(long_history, rules, "target_val", "higher_is_better"), rules)
+    mean = rated.groupBy("captured_at").agg(overall_mean().alias("value"))
+    return mean.select("captured_at", F.lit("overall_score").alias("kpi_id"), "value")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tablepulse.functions import rates, text
 from tablepulse.operators.history import trend
 from tablepulse.operators.rules import Rule
-from tablepulse.operators.scores import overall_mean, with_deviation, with_parts, with_status
+from tablepulse.operators.scores import overall_mean, pillar_scores, with_deviation, with_parts, with_status
 
 LAST_TURNS = 5
 
@@ -118,8 +118,13 @@ def replies(
     return asked.withColumn("reply", answer).drop("_f", "_trend")
 
 
-def compact_context(kpis: DataFrame, history: DataFrame) -> DataFrame:
-    """``kind, name, body``: of a KPI only value and target, of a capture only label and score."""
+def compact_context(
+    kpis: DataFrame, history: DataFrame, rules: Iterable[Rule] = (), open_alerts: DataFrame | None = None
+) -> DataFrame:
+    """``kind, name, body``: of a KPI only value and target, of a capture only label and score.
+
+    With ``rules`` also the score of every pillar, with ``open_alerts`` the number of open alerts by KPI and severity.
+    """
     target = rates.target_text(F.col("target_val"), F.col("higher_is_better")).alias("target")
     of_kpi = kpis.select(
         F.lit("kpi").alias("kind"), F.col("kpi_id").alias("name"), F.to_json(F.struct("value", target)).alias("body")
@@ -129,4 +134,14 @@ def compact_context(kpis: DataFrame, history: DataFrame) -> DataFrame:
         F.coalesce("label", F.lit("")),
         F.to_json(F.struct(F.coalesce("label", F.lit("")).alias("label"), "overall_score")),
     )
-    return of_kpi.unionAll(of_capture)
+    context = of_kpi.unionAll(of_capture)
+    rules = list(rules)
+    if rules:
+        pillars = pillar_scores(kpis, rules)
+        context = context.unionAll(pillars.select(F.lit("pillar"), "pillar", F.to_json(F.struct("pillar_score"))))
+    if open_alerts is not None:
+        counted = open_alerts.groupBy("kpi_id", "severity").agg(F.count(F.lit(1)).alias("n_alerts"))
+        context = context.unionAll(
+            counted.select(F.lit("alert"), F.coalesce("kpi_id", F.lit("")), F.to_json(F.struct("severity", "n_alerts")))
+        )
+    return context

@@ -6,8 +6,9 @@ After ``measure`` there is one row per rule, so everything here works on a handf
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -15,6 +16,8 @@ from tablepulse.functions import rates
 from tablepulse.operators.measure import measure
 from tablepulse.operators.rules import Entity, Rule, Tables, local_frame, with_rule
 
+# Labels per breakdown in the payload; the rest are in ``breakdown``.
+MOST_LABELS = 50
 KPI_COLUMNS = ("kpi_id", "num", "den", "value", "target_val", "higher_is_better")
 
 
@@ -131,6 +134,28 @@ def breakdown(df: DataFrame, column: str) -> DataFrame:
     return counted.orderBy(F.desc("n"), "label")
 
 
+def breakdown_lists(breakdowns: Mapping[str, tuple[DataFrame, str]], most: int = MOST_LABELS) -> DataFrame | None:
+    """``name, rows array<struct<label, count>>``: up to ``most`` labels of every breakdown, most frequent first.
+
+    All columns of one table are counted in one scan. Ranks are cut in every task before the shuffle.
+    """
+    by_table: dict[int, list[tuple[str, DataFrame, str]]] = {}
+    for name, (df, column) in breakdowns.items():
+        by_table.setdefault(id(df), []).append((name, df, column))
+    parts = []
+    for group in by_table.values():
+        pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("label")) for n, _, c in group))
+        parts.append(group[0][1].select(F.inline(pairs)).groupBy("name", "label").agg(F.count(F.lit(1)).alias("n")))
+    if not parts:
+        return None
+    order = Window.partitionBy("name").orderBy(F.desc("n"), F.asc_nulls_first("label"))
+    first = reduce(DataFrame.unionAll, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "label", "n")))
+    return first.groupBy("name").agg(
+        F.transform(ranked, lambda r: F.struct(r["label"].alias("label"), r["n"].alias("count"))).alias("rows")
+    )
+
+
 def payload(
     kpis: DataFrame,
     rules: Iterable[Rule],
@@ -142,8 +167,8 @@ def payload(
 
     ``computed_at, counts map, overall_score, pillar_scores map, entity_scores map, kpis map<id, struct>,
     breakdowns map<name, array<struct>>``. The KPI table is read once. All inputs are roll-ups whose size is set by the
-    rules and by the number of distinct status words, not by the data; they are stacked and folded by
-    one aggregate, so no one-row relations have to be crossed.
+    rules and by ``MOST_LABELS``, not by the data; they are stacked and folded by one aggregate, so no one-row
+    relations have to be crossed.
     """
     rules, entities = list(rules), list(entities)
     pillars = sorted({r.pillar for r in rules if r.scored})
@@ -169,14 +194,11 @@ def payload(
         by_entity("entity_score").alias("entity_scores"),
         "kpis",
     )
-    for name, (df, column) in breakdowns.items():
-        counted = df.groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-        ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "label", "n")))
-        listed = F.transform(ranked, lambda r: F.struct(r["label"].alias("label"), r["n"].alias("count")))
-        rolled = rolled.unionByName(
-            counted.agg(F.struct(F.lit(name).alias("name"), listed.alias("rows")).alias("breakdown")),
-            allowMissingColumns=True,
-        )
+    listed = breakdown_lists(breakdowns)
+    if listed is not None:
+        rolled = rolled.unionByName(listed.select(F.struct("name", "rows").alias("breakdown")), allowMissingColumns=True)
+    else:
+        rolled = rolled.withColumn("breakdown", F.lit(None).cast("struct<name:string,rows:array<struct<label:string,count:bigint>>>"))
     single = ("counts", "overall_score", "pillar_scores", "entity_scores", "kpis")
     folded = rolled.agg(
         *(F.any_value(c, True).alias(c) for c in single),

@@ -82,3 +82,11 @@ WAREHOUSE_NO_CREDIT_UNDONE = Update(
     "RI05", "customer", f"c_mktsegment = '{PENDING_REVIEW}' AND c_acctbal IS NULL",
     {"c_acctbal": "0", "c_mktsegment": "'Zero Weight'"},
 )
+WAREHOUSE_STALE_UNDONE = Update("CS07", "lineitem", "l_returnflag = 'R' AND l_linestatus = 'STALE'", {"l_linestatus": "'O'"})
+WAREHOUSE_RETURNED_UNDONE = Update(
+    "BIZ03", "lineitem", f"l_returnflag = '{REASSIGNED_DONE}' AND l_linestatus = 'Inactive'",
+    {"l_linestatus": "'O'", "l_returnflag": "'R'"},
+)
+# Like the stale links, this undo is broader than the correction: every view of that kind becomes an error.
+WAREHOUSE_EVENT_TYPES_UNDONE = Update("RI01", "events", "event_type = 'view' AND value > 100", {"event_type": "'error'"})
+WAREHOUSE_DATES_UNDONE = Update("CS02", "dated_lines", "l_shipdate IS NULL", {"l_shipdate": "o_orderdate"})

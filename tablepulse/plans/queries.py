@@ -15,10 +15,10 @@ from tablepulse.operators.derive import derive_shipments
 from tablepulse.operators.drilldown import drilldown, failing_rows, failing_sample
 from tablepulse.operators.joins import not_in
 from tablepulse.operators.measure import row_counts
-from tablepulse.operators.rules import RowRate, catalogue, find_rule, rules_of_entity, with_rule
+from tablepulse.operators.rules import catalogue, find_rule, rules_of_entity, with_rule
 from tablepulse.plans import corrections, warehouse, wording
 from tablepulse.session import scratch_dir
-from tablepulse.sources import sinks
+from tablepulse.sources import schemas, sinks
 from tablepulse.sources.tables import preview
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +52,8 @@ KPI_QUERIES = {
     "biz03_flag_rate": "BIZ03",
 }
 DRILLDOWNS = tuple(r.kpi_id for r in warehouse.RULES if r.drillable)
-_DAILY = tuple(r for r in warehouse.RULES if r.kpi_id == "RI01")
+# Rules over dated rows, by the table or view and the date that periods are taken from.
+_DATED = (("events", "ts", ("RI01",)), ("dated_lines", "o_orderdate", ("CS02", "TP01", "BIZ01")), ("lineitem", "l_shipdate", ("BIZ03",)))
 
 
 def _kpi(kpi_id: str) -> Query:
@@ -132,45 +133,71 @@ def kpi_report_lines(spark, folder):
     return scores.report(kpis, warehouse.RULES)
 
 
+# What names a failing row of a KPI: its key, and a number where the key names several rows.
+_LINE = ("l_orderkey", "l_linenumber")
+ROW_KEYS = {
+    "JI01": ("o_orderkey", "0"), "JI02": _LINE, "CP01": ("doc_id", "0"), "CP02": ("doc_id", "0"), "CP05": ("doc_id", "0"),
+    "CS07": ("o_orderkey", "0"), "CS01": ("o_orderkey", "0"), "CS02": _LINE, "RI01": ("event_id", "0"),
+    "RI05": ("c_custkey", "0"), "TP01": _LINE, "BIZ01": _LINE, "BIZ02": ("c_custkey", "0"), "BIZ03": _LINE,
+}
+
+
 def failing_samples(spark, folder):
-    """Up to 20 failing rows per KPI, from one long table of all failing rows."""
+    """Up to 20 failing rows of every KPI with a drill-down, from one long table of all failing rows."""
     tables = warehouse.load(spark, folder)
-    keys = {"RI01": "event_id", "RI05": "c_custkey", "CP01": "doc_id", "CP05": "doc_id", "JI01": "o_orderkey"}
     parts = [
-        failing_rows(tables, find_rule(warehouse.RULES, kpi_id)).select(
-            F.lit(kpi_id).alias("kpi_id"), F.col(key).cast("long").alias("row_key")
+        failing_rows(tables, find_rule(warehouse.RULES, kpi_id)).selectExpr(
+            f"'{kpi_id}' AS kpi_id", f"CAST({ROW_KEYS[kpi_id][0]} AS BIGINT) AS row_key", f"CAST({ROW_KEYS[kpi_id][1]} AS INT) AS row_no"
         )
-        for kpi_id, key in keys.items()
+        for kpi_id in DRILLDOWNS
     ]
-    return failing_sample(reduce(DataFrame.unionAll, parts), ["row_key"])
+    return failing_sample(reduce(DataFrame.unionAll, parts), ["row_key", "row_no"])
 
 
 # ---- history ----
 
 
-def _daily(spark: SparkSession, folder: str) -> DataFrame:
-    events = warehouse.load(spark, folder)["events"]
-    counted = history.rates_by_period(events, _DAILY, F.to_date("ts"))
+def _monthly(spark: SparkSession, folder: str) -> DataFrame:
+    """``captured_at, kpi_id, num, den, value, label`` per month and rule over dated rows."""
+    tables = warehouse.load(spark, folder)
+    parts = [
+        history.rates_by_period(
+            tables[table], [find_rule(warehouse.RULES, k) for k in kpi_ids], F.to_date(F.date_trunc("month", date))
+        )
+        for table, date, kpi_ids in _DATED
+    ]
+    counted = reduce(DataFrame.unionAll, parts)
     return counted.withColumn("label", F.when(F.col("value") >= 20, F.format_string("high %.1f", "value")))
 
 
+def _overall(spark: SparkSession, folder: str) -> DataFrame:
+    """The overall score of every month, ``captured_at, kpi_id, value``."""
+    return history.overall_by_period(_monthly(spark, folder).select("captured_at", "kpi_id", "value"), warehouse.RULES)
+
+
+def _captured_on(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(F.col("captured_at").cast("string").alias("captured_on"), *columns)
+
+
 def history_listing(spark, folder):
-    listed = history.listing(_daily(spark, folder))
-    return listed.select(F.col("captured_at").cast("string").alias("captured_on"), "kpi_id", "num", "den", "value", "label")
+    return _captured_on(history.listing(_monthly(spark, folder)), "kpi_id", "num", "den", "value", "label")
 
 
 def history_delta(spark, folder):
-    changed = history.with_delta(_daily(spark, folder))
-    return changed.select(F.col("captured_at").cast("string").alias("captured_on"), "kpi_id", "value", "delta")
+    return _captured_on(history.with_delta(_monthly(spark, folder)), "kpi_id", "value", "delta")
+
+
+def history_overall(spark, folder):
+    return _captured_on(history.with_delta(_overall(spark, folder)), "value", "delta")
 
 
 def history_trend(spark, folder):
-    return history.trend(_daily(spark, folder))
+    both = _monthly(spark, folder).select("captured_at", "kpi_id", "value").unionByName(_overall(spark, folder))
+    return history.trend(both)
 
 
 def history_without_label(spark, folder):
-    kept = history.without_label(_daily(spark, folder), "high 2")
-    return kept.select(F.col("captured_at").cast("string").alias("captured_on"), "value", "label")
+    return _captured_on(history.without_label(_monthly(spark, folder), "high 2"), "kpi_id", "value", "label")
 
 
 def history_not_captured(spark, folder):
@@ -263,7 +290,7 @@ def alerts_recent_fixes(spark, folder):
 def rca_records(spark, folder):
     tables = warehouse.load(spark, folder)
     kpis = scores.kpi_table(tables, warehouse.SCORED_RULES)
-    sampled = tuple(r for r in warehouse.SCORED_RULES if isinstance(r.measure, RowRate) and not r.higher_is_better)
+    sampled = tuple(r for r in warehouse.SCORED_RULES if r.drillable)
     found = rootcause.rca_records(
         kpis, warehouse.RULES, wording.CAUSES, rootcause.evidence(tables, sampled), F.lit(CAPTURED_AT)
     )
@@ -287,18 +314,22 @@ def rca_records(spark, folder):
 # ---- corrections ----
 
 
-def _line_summary(lineitem: DataFrame) -> DataFrame:
-    return lineitem.groupBy("l_returnflag", "l_linestatus").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("l_quantity").cast("long")).alias("quantity")
-    )
+def _lines(lineitem: DataFrame) -> DataFrame:
+    """Whole lines, with the date as text."""
+    return lineitem.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 def fix_stale_links(spark, folder):
-    return _line_summary(fixes.apply(warehouse.load(spark, folder), corrections.WAREHOUSE_STALE))
+    return _lines(fixes.apply(warehouse.load(spark, folder), corrections.WAREHOUSE_STALE))
+
+
+def fix_stale_links_undone(spark, folder):
+    both = (corrections.WAREHOUSE_STALE, corrections.WAREHOUSE_STALE_UNDONE)
+    return _lines(fixes.apply_all(warehouse.load(spark, folder), both)["lineitem"])
 
 
 def fix_orphans(spark, folder):
-    return _line_summary(fixes.apply(warehouse.load(spark, folder), corrections.WAREHOUSE_ORPHANS))
+    return _lines(fixes.apply(warehouse.load(spark, folder), corrections.WAREHOUSE_ORPHANS))
 
 
 def fix_delete(spark, folder):
@@ -318,19 +349,43 @@ def fix_zero_amounts_undone(spark, folder):
 
 
 def fix_reassigned(spark, folder):
-    return _line_summary(fixes.apply(warehouse.load(spark, folder), corrections.WAREHOUSE_RETURNED))
+    return _lines(fixes.apply(warehouse.load(spark, folder), corrections.WAREHOUSE_RETURNED))
+
+
+def fix_reassigned_undone(spark, folder):
+    both = (corrections.WAREHOUSE_RETURNED, corrections.WAREHOUSE_RETURNED_UNDONE)
+    return _lines(fixes.apply_all(warehouse.load(spark, folder), both)["lineitem"])
+
+
+def _events(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 def fix_status_words(spark, folder):
-    mapped = fixes.apply(warehouse.load(spark, folder), corrections.WAREHOUSE_EVENT_TYPES)
-    return mapped.select("event_id", "event_type")
+    return _events(fixes.apply(warehouse.load(spark, folder), corrections.WAREHOUSE_EVENT_TYPES))
+
+
+def fix_status_words_undone(spark, folder):
+    both = (corrections.WAREHOUSE_EVENT_TYPES, corrections.WAREHOUSE_EVENT_TYPES_UNDONE)
+    return _events(fixes.apply_all(warehouse.load(spark, folder), both)["events"])
+
+
+def _dated(lines: DataFrame) -> DataFrame:
+    return _lines(lines.select("l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus", "l_shipdate"))
 
 
 def fix_date_order(spark, folder):
-    cleared = fixes.apply(warehouse.load(spark, folder), corrections.WAREHOUSE_DATES)
-    return cleared.groupBy("l_linestatus").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count("l_shipdate").alias("n_dated")
-    )
+    return _dated(fixes.apply(warehouse.load(spark, folder), corrections.WAREHOUSE_DATES))
+
+
+def fix_date_order_undone(spark, folder):
+    both = (corrections.WAREHOUSE_DATES, corrections.WAREHOUSE_DATES_UNDONE)
+    return _dated(fixes.apply_all(warehouse.load(spark, folder), both)["dated_lines"])
+
+
+def alerts_cleared(spark, folder):
+    """Every alert with an id goes; those of events without an id stay."""
+    return alerts.cleared(_alert_table(spark, folder)).select("kpi_id", "severity", "status")
 
 
 def fix_dry_run(spark, folder):
@@ -402,9 +457,8 @@ def route_messages(spark, folder):
 
 def chat_replies(spark, folder):
     tables = warehouse.load(spark, folder)
-    overall = _daily(spark, folder).withColumn("kpi_id", F.lit("overall_score"))
     answered = narrative.replies(
-        tables["conversations"], _kpis(spark, folder), warehouse.RULES, overall, REPLY_TOPICS
+        tables["conversations"], _kpis(spark, folder), warehouse.RULES, _overall(spark, folder), REPLY_TOPICS
     )
     return answered.select("conv_id", "turn", "topic", "reply")
 
@@ -424,8 +478,10 @@ def summary_text(spark, folder):
 
 
 def compact_context(spark, folder):
-    daily = _daily(spark, folder).select("label", F.col("value").alias("overall_score"))
-    return narrative.compact_context(_kpis(spark, folder), daily)
+    """What an answer may rest on: KPIs, captures, pillars, and the alerts that are still open."""
+    monthly = _overall(spark, folder).select(F.col("captured_at").cast("string").alias("label"), F.col("value").alias("overall_score"))
+    open_alerts = alerts.pending_alerts(_alert_table(spark, folder))
+    return narrative.compact_context(_kpis(spark, folder), monthly, warehouse.RULES, open_alerts)
 
 
 # ---- sources and sinks ----
@@ -476,6 +532,32 @@ def latest_version(spark, folder):
     return sinks.read_version(spark, root, known.schema)
 
 
+def derived_appended(spark, folder):
+    """Shipments that exist, with the derived ones appended beside them, read back from the table."""
+    path = scratch_dir(spark, "shipments")
+    derived = derived_shipments(spark, folder).select("shipment_gid", "status", "dq_flag")
+    present = warehouse.freight_shipments(warehouse.load(spark, folder)["lineitem"])
+    sinks.append(present.select("shipment_gid", F.lit("Present").alias("status"), F.lit("OK").alias("dq_flag")), path)
+    sinks.append(derived, path)
+    return spark.read.schema(derived.schema).parquet(path)
+
+
+def captures_appended(spark, folder):
+    """Monthly captures appended to a table: half of them, then all of them twice; every month is there once."""
+    path = scratch_dir(spark, "captures")
+    months = _overall(spark, folder).where("captured_at IS NOT NULL").select(
+        F.col("captured_at").cast("timestamp").alias("captured_at"), F.lit("seed").alias("label"), F.col("value").alias("overall_score")
+    )
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in schemas.KPI_SNAPSHOTS.fields if f.name not in (*months.columns, "snapshot_id")}
+    batch = months.withColumns(missing)
+    sinks.create_if_absent(spark, path, schemas.KPI_SNAPSHOTS)
+    for rows in (batch.where("month(captured_at) <= 6"), batch, batch):
+        known = spark.read.schema(schemas.KPI_SNAPSHOTS).parquet(path)
+        sinks.append(history.appended(rows, known), path)
+    kept = spark.read.schema(schemas.KPI_SNAPSHOTS).parquet(path)
+    return kept.select(F.date_format("captured_at", "yyyy-MM-dd").alias("captured_on"), "overall_score", "label")
+
+
 QUERIES: dict[str, Query] = {
     **{name: _kpi(kpi_id) for name, kpi_id in KPI_QUERIES.items()},
     "kpi_table": kpi_table,
@@ -494,6 +576,7 @@ QUERIES: dict[str, Query] = {
     "failing_samples": failing_samples,
     "history": history_listing,
     "history_delta": history_delta,
+    "history_overall": history_overall,
     "history_trend": history_trend,
     "history_without_label": history_without_label,
     "history_not_captured": history_not_captured,
@@ -510,13 +593,18 @@ QUERIES: dict[str, Query] = {
     "alerts_recent_fixes": alerts_recent_fixes,
     "rca_records": rca_records,
     "fix_stale_links": fix_stale_links,
+    "fix_stale_links_undone": fix_stale_links_undone,
     "fix_orphans": fix_orphans,
     "fix_delete": fix_delete,
     "fix_zero_amounts": fix_zero_amounts,
     "fix_zero_amounts_undone": fix_zero_amounts_undone,
     "fix_reassigned": fix_reassigned,
+    "fix_reassigned_undone": fix_reassigned_undone,
     "fix_status_words": fix_status_words,
+    "fix_status_words_undone": fix_status_words_undone,
     "fix_date_order": fix_date_order,
+    "fix_date_order_undone": fix_date_order_undone,
+    "alerts_cleared": alerts_cleared,
     "fix_dry_run": fix_dry_run,
     "fix_before_after": fix_before_after,
     "derive_shipments": derived_shipments,
@@ -537,4 +625,6 @@ QUERIES: dict[str, Query] = {
     "export_failing_rows": export_failing_rows,
     "reload_and_append": reload_and_append,
     "latest_version": latest_version,
+    "derived_appended": derived_appended,
+    "captures_appended": captures_appended,
 }

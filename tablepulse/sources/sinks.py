@@ -108,6 +108,15 @@ def write_version(df: DataFrame, root: str) -> int:
             return number
 
 
+def append_to_latest(df: DataFrame, root: str) -> None:
+    """Add rows to the latest version, as new files in its folder; the first version if there is none."""
+    known = versions(df.sparkSession, root)
+    if known:
+        append(df, f"{root}/v={known[-1]}")
+    else:
+        write_version(df, root)
+
+
 def read_version(spark: SparkSession, root: str, schema: T.StructType, number: int | None = None) -> DataFrame:
     """A given version, or the latest one; an empty table if there is none yet."""
     known = versions(spark, root)

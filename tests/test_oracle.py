@@ -8,6 +8,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from oracle import ORACLE_SQL
+from tablepulse.plans.queries import QUERIES
 from tests.conftest import TESTDATA
 
 FOLDER = f"{TESTDATA}/sf0.001"
@@ -21,10 +23,10 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables a
 # Queries that read NULLs or repeated rows differently if written carelessly.
 NULL_SENSITIVE = tuple(
     name
-    for name in sorted(entry.queries())
+    for name in sorted(QUERIES)
     if name.startswith(("drilldown_", "fix_", "alerts_", "history", "unlabelled_"))
     or name in ("kpi_report", "kpi_payload", "failing_samples", "rca_records", "derive_shipments", "conversation_tail",
-                "parse_json", "screen_statements", "preview_orders")
+                "parse_json", "screen_statements", "preview_orders", "compact_context", "chat_replies")
 )
 
 
@@ -72,10 +74,11 @@ def normal(value):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, tables, name):
     same_rows(spark, tables, FOLDER, name)
 
@@ -87,9 +90,9 @@ def test_query_matches_sql_on_dirty_tables(spark, dirty, name):
 
 
 def same_rows(spark, connection, folder, name):
-    found = entry.queries()[name](spark, folder)
+    found = QUERIES[name](spark, folder)
     columns = sorted(found.columns)
-    expected = connection.execute(entry.oracle_sql()[name])
+    expected = connection.execute(ORACLE_SQL[name])
     names = [d[0] for d in expected.description]
     assert sorted(names) == columns
     rows = expected.fetchall()

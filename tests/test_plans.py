@@ -56,7 +56,7 @@ def test_kpi_table_scans_the_lines_three_times(spark):
     assert len(re.findall(r"FileScan.*lineitem", plan)) == 3
 
 
-WRITERS = ("export_failing_rows", "reload_and_append", "latest_version")
+WRITERS = ("export_failing_rows", "reload_and_append", "latest_version", "derived_appended", "captures_appended")
 
 
 def test_building_a_query_runs_no_job(spark):
