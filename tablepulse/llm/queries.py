@@ -16,6 +16,7 @@ from tablepulse.llm import (
     quality,
     quotes,
     simhash,
+    sql,
     tokens,
 )
 from tablepulse.llm.common import table
@@ -81,4 +82,11 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# The others are tested against brute force: SQL has no dynamic programming over histograms or vocabularies, gear hash,
+# page parser, XXH64, or threads of unbounded depth.
+ORACLE_SQL: dict[str, str] = {
+    "op6_positional_index": sql.contamination_sql(),
+    "op8_quality_cascade": sql.quality_sql(),
+    "op9_licence_digests": sql.licence_sql(),
+    "op10_line_templates": sql.template_sql(),
+}
