@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablepulse.operators import alerts, history
@@ -129,3 +130,45 @@ def test_whole_cycle(spark, freight):
     capture = done.capture.first()
     assert (capture.label, capture.ri05, capture.biz02) == ("Post-fix", 0.0, 0.0) and capture.overall_score > 85
     assert {r.kpi_id for r in done.compared.where("improved").collect()} == {"RI05", "BIZ02"}
+
+
+def test_numbering_in_groups_follows_the_order(spark):
+    existing = spark.createDataFrame([(41,)], "id long")
+    batch = spark.range(0, 500, 1, 8).select(
+        (F.col("id") * 37 % 500).alias("n"), F.expr("timestamp '2025-01-01 00:00:00' + make_interval(0, 0, 0, 0, id * 37 % 500)").alias("at")
+    )
+    found = history.numbered_by(batch, existing, "id", F.to_date("at"), ["at"]).orderBy("at").collect()
+    assert [r.id for r in found] == list(range(42, 542)) and [r.n for r in found] == list(range(500))
+    assert history.numbered_by(batch.where("false"), existing, "id", F.to_date("at"), ["at"]).count() == 0
+
+
+def test_large_batches_are_not_numbered_by_one_task(spark, monkeypatch):
+    monkeypatch.setattr(history, "MAX_BATCH", 3)
+    numbered = history.with_next_ids(spark.range(4).withColumnRenamed("id", "n"), spark.range(0), "id", ["n"])
+    with pytest.raises(Exception, match="too many rows"):
+        numbered.collect()
+
+
+def test_versions_are_never_overwritten(spark):
+    root = scratch_dir(spark, "versions")
+    first = spark.range(3)
+    assert sinks.write_version(first, root) == 1
+    # Another writer has begun the next version and not finished it.
+    spark.range(1).write.parquet(f"{root}/v=2")
+    fs_path, fs = sinks._file_system(spark, f"{root}/v=2/_SUCCESS")
+    fs.delete(fs_path, False)
+    assert sinks.write_version(spark.range(5), root) == 3
+    assert sinks.versions(spark, root) == [1, 3]
+    assert sinks.read_version(spark, root, first.schema).count() == 5
+    sinks.append_to_latest(spark.range(2), root)
+    assert sinks.versions(spark, root) == [1, 3]
+    assert sinks.read_version(spark, root, first.schema).count() == 7
+
+
+def test_payload_lists_are_bounded(spark):
+    from tablepulse.operators.scores import breakdown_lists
+
+    many = spark.range(300).selectExpr("CAST(id % 100 AS STRING) AS a", "CASE WHEN id % 3 = 0 THEN 'x' END AS b")
+    rows = {r.name: r.rows for r in breakdown_lists({"a": (many, "a"), "b": (many, "b")}).collect()}
+    assert len(rows["a"]) == 50 and all(x["count"] == 3 for x in rows["a"])
+    assert [(x.label, x["count"]) for x in rows["b"]] == [(None, 200), ("x", 100)]
