@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections import ChainMap
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablepulse.functions import rates
 from tablepulse.operators.joins import distinct_keys
-from tablepulse.operators.rules import Rule, Tables, tables_of
+from tablepulse.operators.measure import measure
+from tablepulse.operators.rules import Rule, Tables, catalogue, tables_of, with_rule
 from tablepulse.operators.scores import kpi_table, with_scores, with_status
 
 # Risk levels, and the row count from which a fix is risky whatever it does.
@@ -76,6 +78,15 @@ def _known_keys(tables: Tables, fix: DeleteOrphans) -> DataFrame:
     return distinct_keys(tables[fix.parent].where(fix.parent_where), fix.parent_key, "_known")
 
 
+def _mapped(fix: Remap) -> Column:
+    new = reduce(
+        lambda chain, pair: chain.when(F.col(fix.column) == pair[0], F.lit(pair[1])),
+        fix.mapping.items(),
+        F.when(F.lit(False), F.col(fix.column)),
+    )
+    return new.otherwise(F.col(fix.column))
+
+
 def apply(tables: Tables, fix: Fix) -> DataFrame:
     """The corrected table."""
     df = tables[fix.table]
@@ -90,12 +101,7 @@ def apply(tables: Tables, fix: Fix) -> DataFrame:
     if isinstance(fix, DeleteOrphans):
         return df.join(_known_keys(tables, fix), F.expr(fix.key) == F.col("_known"), "left_semi")
     if isinstance(fix, Remap):
-        new = reduce(
-            lambda chain, pair: chain.when(F.col(fix.column) == pair[0], F.lit(pair[1])),
-            fix.mapping.items(),
-            F.when(F.lit(False), F.col(fix.column)),
-        )
-        return df.withColumn(fix.column, new.otherwise(F.col(fix.column)))
+        return df.withColumn(fix.column, _mapped(fix))
     raise TypeError(f"unknown fix {type(fix).__name__}")
 
 
@@ -195,21 +201,63 @@ def touched_rules(
     return parts
 
 
+# 0: as the tables are, 1: as they would be.
+_SIDE = "_side"
+
+
+def _on_both_sides(tables: Tables, fixes: Iterable[Fix]) -> Tables:
+    """Every table with each row twice, as it is and as the fixes leave it, from one scan."""
+    both = {name: df.withColumn(_SIDE, F.explode(F.array(F.lit(0), F.lit(1)))) for name, df in tables.items()}
+    after = f"{_SIDE} = 1"
+    for fix in fixes:
+        df = both[fix.table]
+        if isinstance(fix, (Update, Delete)):
+            both[fix.table] = apply(both, replace(fix, where=f"{after} AND ({fix.where})"))
+        elif isinstance(fix, Remap):
+            both[fix.table] = df.withColumn(fix.column, F.when(F.expr(after), _mapped(fix)).otherwise(F.col(fix.column)))
+        else:
+            known = _known_keys({fix.parent: both[fix.parent].where(after)}, fix)
+            joined = df.join(known, F.expr(fix.key) == F.col("_known"), "left")
+            both[fix.table] = joined.where(f"NOT ({after}) OR _known IS NOT NULL").drop("_known")
+    return both
+
+
 def before_after(
     tables: Tables, rules: Iterable[Rule], fixes: Iterable[Fix], rebind=None, views: Iterable[str] = ()
 ) -> DataFrame:
-    """Measure, fix, measure again.
+    """What the KPIs are and what they would be after the fixes, from one measurement.
 
-    Only rules that read a corrected table, or one of the ``views`` over them, are counted twice.
-    ``rebind`` rebuilds the views from the fixed base tables.
+    Rules that read a corrected table, or one of the ``views`` over them, are counted for both sides in the same
+    scans and shuffles; the others once. ``rebind(tables, by)`` rebuilds the views from base tables in which ``by``
+    tells the sides apart.
     """
-    fixes = list(fixes)
+    rules, fixes = list(rules), list(fixes)
     touched, others = touched_rules(rules, fixes, views)
-    fixed = apply_all(tables, fixes)
-    fixed = rebind(fixed) if rebind else fixed
     parts = []
     if touched:
-        parts.append(compare(kpi_table(tables, touched), kpi_table(fixed, touched)))
+        base = {name: df for name, df in tables.items() if name not in set(views)} if rebind else dict(tables)
+        both = _on_both_sides(base, fixes)
+        counted = measure(rebind(both, _SIDE) if rebind else both, touched, by=_SIDE)
+        per_side = [
+            F.coalesce(F.max(F.when(F.col(_SIDE) == side, F.col(c))), F.lit(0)).cast("long").alias(f"{c}_{name}")
+            for side, name in enumerate(("before", "after"))
+            for c in ("num", "den")
+        ]
+        # Every rule has a row, even if its tables have none.
+        zero = catalogue(counted.sparkSession, touched).select(
+            F.lit(0).alias(_SIDE), "kpi_id", F.lit(0).cast("long").alias("num"), F.lit(0).cast("long").alias("den")
+        )
+        wide = counted.unionByName(zero).groupBy("kpi_id").agg(*per_side)
+        rated = with_rule(wide, touched, "target_val", "higher_is_better")
+        goal = (F.col("target_val"), F.col("higher_is_better"))
+        columns = []
+        for name in ("before", "after"):
+            value = rates.pct(F.col(f"num_{name}"), F.col(f"den_{name}"))
+            columns += [
+                F.col(f"num_{name}"), value.alias(f"value_{name}"),
+                rates.score(value, *goal).alias(f"score_{name}"), rates.rag(value, *goal).alias(f"status_{name}"),
+            ]
+        parts.append(_with_verdict(rated.select("kpi_id", *columns)))
     if others:
         parts.append(_with_verdict(_renamed(kpi_table(tables, others), "before", "after")))
     return reduce(DataFrame.unionByName, parts)

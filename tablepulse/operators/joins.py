@@ -23,11 +23,13 @@ def not_in(left: DataFrame, left_key: str, right: DataFrame, right_key: str) ->
 
     One NULL on the right removes every row, and a NULL on the left is kept only if the right side
     is empty. Spark runs the SQL form by broadcasting the whole right side; here the keys meet in an
-    ordinary anti-join, and the two facts are scalar subqueries over the same set of distinct keys.
+    ordinary anti-join. The two facts about the right side are counted over the same set of distinct
+    keys, NULL among them, so one scan and shuffle of the right side serves both: the join compares
+    one-field structs, for which no filter on NULLs is inferred that would make its keys a different set.
     """
     keys = right.select(F.expr(right_key).alias("_present")).groupBy(F.xxhash64("_present"), "_present").agg(F.lit(True).alias("_any"))
     keys = keys.select("_present")
-    has_null = keys.where("_present IS NULL").agg((F.count(F.lit(1)) > 0).alias("x")).scalar()
-    empty = keys.agg((F.count(F.lit(1)) == 0).alias("x")).scalar()
-    absent = left.join(keys.where("_present IS NOT NULL"), F.col(left_key) == F.col("_present"), "left_anti")
-    return absent.where(~has_null & (F.col(left_key).isNotNull() | empty))
+    facts = keys.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count("_present").alias("n_known")).alias("facts")).scalar()
+    absent = left.join(keys, F.struct(F.col(left_key)) == F.struct(F.col("_present")), "left_anti")
+    certain = (facts["n"] == facts["n_known"]) & (F.col(left_key).isNotNull() | (facts["n"] == 0))
+    return absent.where(certain)

@@ -33,8 +33,12 @@ from tablepulse.operators.rules import (
 )
 
 
-def measure(tables: Tables, rules: Iterable[Rule]) -> DataFrame:
-    """Count all rules: ``kpi_id, num, den``, one row per rule."""
+def measure(tables: Tables, rules: Iterable[Rule], by: str | None = None) -> DataFrame:
+    """Count all rules: ``kpi_id, num, den``, one row per rule.
+
+    With ``by``, a column that every table has, rows are counted apart for each of its values: ``by, kpi_id, num, den``.
+    A value that no row of a rule's tables has gives no row.
+    """
     by_table: dict[str, list[Rule]] = {}
     by_pair: dict[tuple, list[Rule]] = {}
     for rule in rules:
@@ -49,8 +53,8 @@ def measure(tables: Tables, rules: Iterable[Rule]) -> DataFrame:
     parts = []
     for (parent, child, *_), group in by_pair.items():
         sides = [by_table.pop(table, []) for table in (parent, child)] if parent != child else [[], []]
-        parts.append(_keyed_rates(tables, group, *sides))
-    parts += [_row_rates(tables[t], group) for t, group in by_table.items()]
+        parts.append(_keyed_rates(tables, group, *sides, by=by))
+    parts += [_row_rates(tables[t], group, by) for t, group in by_table.items()]
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -63,21 +67,26 @@ def row_counts(tables: Tables) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def _long(totals: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One wide row ``num_i, den_i`` -> long rows."""
+def _long(totals: DataFrame, rules: list[Rule], by: str | None = None) -> DataFrame:
+    """Wide rows ``num_i, den_i`` -> long rows."""
     rows = [
         f"named_struct('kpi_id', '{r.kpi_id}', 'num', coalesce(CAST(num_{i} AS BIGINT), 0L),"
         f" 'den', coalesce(CAST(den_{i} AS BIGINT), 0L))"
         for i, r in enumerate(rules)
     ]
-    return totals.selectExpr(f"inline(array({', '.join(rows)}))")
+    return totals.selectExpr(*([by] if by else []), f"inline(array({', '.join(rows)}))")
+
+
+def _totals(df: DataFrame, aggregates: list[str], by: str | None) -> DataFrame:
+    """One row of aggregates, or one per value of ``by``."""
+    return df.groupBy(*([by] if by else [])).agg(*map(F.expr, aggregates))
 
 
-def _row_rates(df: DataFrame, rules: list[Rule]) -> DataFrame:
+def _row_rates(df: DataFrame, rules: list[Rule], by: str | None = None) -> DataFrame:
     counts: list[str] = []
     for i, rule in enumerate(rules):
         counts += [f"count_if({rule.measure.hit}) AS num_{i}", f"count_if({rule.measure.among}) AS den_{i}"]
-    return _long(df.selectExpr(*counts), rules)
+    return _long(_totals(df, counts, by), rules, by)
 
 
 class _Side:
@@ -94,8 +103,9 @@ class _Side:
         column = self.inputs.setdefault(expression, f"{self.prefix}_in_{len(self.inputs)}")
         return self.merges.setdefault(f"{function}({column})", f"{self.prefix}_{len(self.merges)}")
 
-    def rows(self, df: DataFrame) -> DataFrame:
-        return df.selectExpr(f"{self.key} AS key", *(f"{e} AS {c}" for e, c in self.inputs.items()))
+    def rows(self, df: DataFrame, by: str | None) -> DataFrame:
+        also = [by] if by else []
+        return df.selectExpr(f"{self.key} AS key", *also, *(f"{e} AS {c}" for e, c in self.inputs.items()))
 
     def aggregates(self) -> list[Column]:
         return [F.expr(f"{call} AS {name}") for call, name in self.merges.items()]
@@ -133,7 +143,9 @@ def _numerator(m: KeyedRate, parent: _Side, child: _Side, once: str) -> str:
     raise TypeError(f"unknown measure {type(m).__name__}")
 
 
-def _keyed_rates(tables: Tables, rules: list[Rule], of_parent: list[Rule], of_child: list[Rule]) -> DataFrame:
+def _keyed_rates(
+    tables: Tables, rules: list[Rule], of_parent: list[Rule], of_child: list[Rule], by: str | None = None
+) -> DataFrame:
     """Rules of one pair of tables, and row rates of these two tables."""
     first: KeyedRate = rules[0].measure
     parent, child = _Side("p", first.parent_key), _Side("c", first.child_key)
@@ -155,23 +167,25 @@ def _keyed_rates(tables: Tables, rules: list[Rule], of_parent: list[Rule], of_ch
             totals += [summed(side, rule.measure.hit), summed(side, rule.measure.among)]
     named = [f"{t} AS {'den' if i % 2 else 'num'}_{i // 2}" for i, t in enumerate(totals)]
 
-    both = parent.rows(tables[first.parent]).unionByName(
-        child.rows(tables[first.child]), allowMissingColumns=True
+    both = parent.rows(tables[first.parent], by).unionByName(
+        child.rows(tables[first.child], by), allowMissingColumns=True
     )
-    per_key = both.groupBy("key").agg(*parent.aggregates(), *child.aggregates())
+    per_key = both.groupBy("key", *([by] if by else [])).agg(*parent.aggregates(), *child.aggregates())
     if reconciled:
-        groups = _amount_groups(tables[first.parent], reconciled[0])
-        per_key = per_key.join(groups, F.col("key") == F.col("_group_key"), "left")
-    return _long(per_key.selectExpr(*named), [*rules, *of_parent, *of_child])
+        groups = _amount_groups(tables[first.parent], reconciled[0], by)
+        here = F.col("key") == F.col("_group_key")
+        per_key = per_key.join(groups, here & (F.col(by) == F.col("_group_by")) if by else here, "left")
+    return _long(_totals(per_key, named, by), [*rules, *of_parent, *of_child], by)
 
 
-def _amount_groups(parent: DataFrame, m: ReconcileRate) -> DataFrame:
+def _amount_groups(parent: DataFrame, m: ReconcileRate, by: str | None = None) -> DataFrame:
     """The parent's (key, amount) groups and their number of rows; a group without either is never tested."""
+    also = [F.col(by).alias("_group_by")] if by else []
     rows = parent.where(F.expr(m.parent_where)).select(
-        F.expr(m.parent_key).alias("_group_key"), F.expr(m.parent_amount).alias("_amount")
+        F.expr(m.parent_key).alias("_group_key"), F.expr(m.parent_amount).alias("_amount"), *also
     )
     known = rows.where("_group_key IS NOT NULL AND _amount IS NOT NULL")
-    return known.groupBy("_group_key", "_amount").agg(F.count(F.lit(1)).alias("_copies"))
+    return known.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
 
 
 def off_by_more(total: str, amount: str, tolerance: float) -> str:

@@ -133,18 +133,23 @@ BREAKDOWNS: tuple[tuple[str, str, str], ...] = (
 )
 
 
-def labelled_documents(tables: Tables) -> DataFrame:
-    return tables["documents"].join(tables["labels"], "doc_id", "left")
+def labelled_documents(tables: Tables, by: str | None = None) -> DataFrame:
+    return tables["documents"].join(tables["labels"], ["doc_id", by] if by else "doc_id", "left")
 
 
-def dated_lines(tables: Tables) -> DataFrame:
+def dated_lines(tables: Tables, by: str | None = None) -> DataFrame:
     """Lines with the date of their order. Big times big; adaptive execution splits hot order keys."""
-    return tables["lineitem"].join(tables["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
+    orders, of_order = tables["orders"], F.col("l_orderkey") == F.col("o_orderkey")
+    if by:
+        orders, of_order = orders.withColumnRenamed(by, "_of"), of_order & (F.col(by) == F.col("_of"))
+    return tables["lineitem"].join(orders, of_order).drop("_of")
 
 
-def bind(base: Tables) -> TableSet:
-    """The base tables and the two joined views the rules look at."""
-    return with_views(base, {"labelled_documents": labelled_documents, "dated_lines": dated_lines})
+def bind(base: Tables, by: str | None = None) -> TableSet:
+    """The base tables and the two joined views the rules look at; rows only meet where they agree in ``by``."""
+    return with_views(
+        base, {"labelled_documents": lambda t: labelled_documents(t, by), "dated_lines": lambda t: dated_lines(t, by)}
+    )
 
 
 def load(spark: SparkSession, folder: str) -> TableSet:

@@ -56,6 +56,11 @@ def test_kpi_table_scans_the_lines_three_times(spark):
     assert len(re.findall(r"FileScan.*lineitem", plan)) == 3
 
 
+def test_before_and_after_are_one_measurement(spark):
+    plan = plan_of(QUERIES["fix_before_after"](spark, FOLDER))
+    assert len(re.findall(r"FileScan.*lineitem", plan)) == 3
+
+
 WRITERS = ("export_failing_rows", "reload_and_append", "latest_version", "derived_appended", "captures_appended")
 
 
