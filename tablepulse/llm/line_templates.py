@@ -30,20 +30,25 @@ SIMILARITY = 0.8
 VARIABLE = "<*>"
 # A token that has a digit. It only matches from the start of a token, so a very long token costs one pass.
 _WITH_DIGIT = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*+"
-_GAP = "[\\x20\\x09\\x0B-\\x0D]+"
+# White space that is not yet one plain space; lines of single spaces have none to replace.
+_GAP = "[\\x20\\x09\\x0B-\\x0D]{2,}|[\\x09\\x0B-\\x0D]"
 
 
 def parsed_lines(text: Column) -> Column:
     """The lines with variables for tokens that have digits, and one space between tokens."""
-    masked = F.regexp_replace(F.regexp_replace(text, _WITH_DIGIT, VARIABLE), _GAP, " ")
-    return F.transform(F.split(masked, "\n"), F.trim)
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, _WITH_DIGIT, VARIABLE)).otherwise(text)
+    lines = F.split(F.regexp_replace(masked, _GAP, " "), "\n")
+    return F.transform(lines, lambda line: F.trim(line))  # F.trim alone would take the index as a second argument
 
 
 def _leaf(lines: DataFrame, *keep: str, depth: int, min_tokens: int) -> DataFrame:
-    """The columns to keep and ``leaf, tokens, n_tokens`` for rows with a ``line``."""
-    split = lines.select(*keep, "line", F.split("line", " ").alias("tokens")).where(F.size("tokens") >= min_tokens)
-    lead = [F.get("tokens", F.lit(i)) for i in range(depth)]
-    return split.select(*keep, "line", F.size("tokens").alias("n_tokens"), F.xxhash64(F.size("tokens"), *lead).alias("leaf"))
+    """The columns to keep, ``line, n_tokens, leaf`` for parsed lines of enough tokens."""
+    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    counted = lines.select(*keep, "line", F.when(F.col("line") == "", 0).otherwise(spaces + 1).alias("n_tokens"))
+    lead = F.substring_index("line", " ", depth)
+    return counted.where(F.col("n_tokens") >= min_tokens).select(
+        *keep, "line", "n_tokens", F.xxhash64("n_tokens", lead).alias("leaf")
+    )
 
 
 def templates(

@@ -47,7 +47,7 @@ def rows(messy_rows):
         lines = [prose(rng, 8) for _ in range(3)]
         lines.insert(rng.randrange(3), f"Posted  by user{i} on  2024-0{i % 9}-11 in general")
         if i % 3 == 0:
-            lines.append("All the pages of this site are made by hand")
+            lines.append(f"{' ' * (i % 2)}All the pages of this site are made by hand{' ' * (i % 4)}")
         if i % 4 == 0:
             lines.append(f"Please send your {rng.choice(['mail', 'letter', 'note'])} to the front desk today")
         if i % 5 == 0:
