@@ -3,7 +3,8 @@
 1. Strip markup: the page is read tag by tag into lines, one per block element. Inline elements do not break a line.
    Subtrees that are no article text by their element (scripts, styles, navigation, headers, footers, asides, forms) or
    by a name among their class, id or role (menus, sidebars, notices, adverts, reader comments) give lines of length
-   zero, and so does all text outside ``article`` and ``main`` where the page has one of these.
+   zero, and so does all text outside ``article`` and ``main`` where the page has one of these. A header inside an article
+   holds its title and stays.
 2. Distribution: text lengths (without the text of links, so that lists of links count as nothing) are summed over
    sliding windows of ``WINDOW`` lines.
 3. Surge and dive: a region begins where the sum rises from zero and ends where it falls back to zero, so a region
@@ -47,8 +48,10 @@ BOILERPLATE = frozenset(
     " nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toolbar topbar masthead skip"
     " header footer copyright contentinfo sidebar aside complementary widget related recommended teaser"
     " notice alert cookie cookies consent gdpr popup modal overlay dialog newsletter subscribe subscription signup login"
-    " search form share sharing social".split()
+    " search form share sharing social toc disclaimer adsbygoogle outbrain taboola paywall".split()
 )
+# The head of an article holds its title; that of a page does not.
+HEADERS = frozenset(("header", "masthead"))
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 RAW = frozenset(("script", "style", "textarea", "title"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -65,7 +68,9 @@ _CUT_TAG = re.compile(r"<(?:[A-Za-z/!][^<>]*)?\Z")
 
 
 def _names(attributes: str) -> set[str]:
-    return {n.lower() for value in _MARKS.findall(attributes) for n in _NAME.findall(value)}
+    """The words of all names, and every name with its words run together (``side-bar`` is a ``sidebar``)."""
+    listed = [n for value in _MARKS.findall(attributes) for n in value.lower().split()]
+    return {w for n in listed for w in _NAME.findall(n)} | {"".join(_NAME.findall(n)) for n in listed}
 
 
 class _Lines:
@@ -128,7 +133,8 @@ class _Lines:
         elif names & COMMENTS:
             kind = "comments"
         elif name in NO_TEXT or names & BOILERPLATE:
-            kind = "none"
+            titled = {name, *names} & (NO_TEXT | BOILERPLATE) <= HEADERS and any(k == "article" for _, k in self.open)
+            kind = before if titled else "none"
         elif name == "a" and not any(n in HEADINGS for n, _ in self.open):
             kind = "link"
         else:

@@ -17,6 +17,7 @@ PAGES = {
     f"<p>{LONG}</p>" + "<div class=widget>w</div>" * 3 + "<p>far away</p>": LONG,
     "<script>var t='</p><article>x';</script><style>p{}</style><p>a &lt; b &#x41;&#66; &nbsp; c &am</p><!-- <p>no</p> --><scr": "a < b AB c &am",
     "<article><p>a 1 < 2 and 3 > 2</p><p title='a > b' class=\"x\">q</p><p title='open>r</p></article>": "a 1 < 2 and 3 > 2 q r",
+    "<header>site</header><article><header class='post-header'><h1>Title</h1></header><p>x</p><div class='side-bar'>no</div></article>": "Title x",
     "<div class=ad><article><p>kept</p></article>": "kept",
     "<article>" + "<p>w</p>" * 3000 + "</article>": " ".join(["w"] * 3000),
     "<html><head><title>t</title></head><body><header>h</header></body></html>": "",
