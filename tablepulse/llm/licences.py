@@ -18,29 +18,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm.common import same_row, text_hash
+from tablepulse.llm.common import cut, let, same_row, text_hash
 
-# Spellings that count as the same, as patterns over canonical text. Merging a few words more than needed
-# is harmless, since both sides of the join are treated alike.
+# Spellings that count as the same, replaced wherever they stand in canonical text. Merging a few words more
+# than needed is harmless, since both sides of the join are treated alike.
 EQUIVALENT = (
-    ("is(e|ed|es|ing|ation|ations)( |\n|$)", "iz$1$2"),
-    ("(fav|lab|col|behavi)our", "$1or"),
-    ("licen[cs]e", "license"),
-    ("offence", "offense"),
-    ("practise", "practice"),
-    ("(anal|catal|dial)ogue", "$1og"),
-    ("(cent|calib)re", "$1er"),
-    ("(acknowledg|judg)ement", "$1ment"),
-    ("(labe|mode|signa|cance)ll(ing|ed)", "$1l$2"),
-    ("artefact", "artifact"),
-    ("whilst", "while"),
-    ("sub license", "sublicense"),
-    ("non commercial", "noncommercial"),
-    ("copyright holder", "copyright owner"),
-    ("https", "http"),
-    ("per cent", "percent"),
+    ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("artefact", "artifact"), ("behaviour", "behavior"),
+    ("calibre", "caliber"), ("cancelled", "canceled"), ("cancelling", "canceling"), ("catalogue", "catalog"), ("centre", "center"),
+    ("colour", "color"), ("copyright holder", "copyright owner"), ("dialogue", "dialog"), ("favour", "favor"), ("https", "http"),
+    ("judgement", "judgment"), ("labelled", "labeled"), ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"),
+    ("modelled", "modeled"), ("modelling", "modeling"), ("non commercial", "noncommercial"), ("offence", "offense"),
+    ("per cent", "percent"), ("practise", "practice"), ("signalled", "signaled"), ("signalling", "signaling"),
+    ("sub license", "sublicense"), ("whilst", "while"),
+)
+# Verbs in -ise.
+_ISE, _IZE = "is(e|ed|es|ing|ation|ations)( |\\n|$)", "iz$1$2"
+_COPYRIGHT = (
+    "(?m)^[^\\p{L}\\p{N}\\n]*(?:copyright|\\(c\\)|©)[^\\n]*$|^[^\\p{L}\\p{N}\\n]*all rights reserved\\.?[^\\p{L}\\p{N}\\n]*$"
 )
-_COPYRIGHT = "(?im)^[^\\p{L}\\p{N}\\n]*(?:copyright|\\(c\\)|©)[^\\n]*$|^[^\\p{L}\\p{N}\\n]*all rights reserved\\.?[^\\p{L}\\p{N}\\n]*$"
+_COPYRIGHT_WORDS = ("copyright", "(c)", "©", "rights reserved")
+# Neither letter nor digit; ASCII stands first because it is quickly decided.
+_OTHER = "[^a-z0-9 \\n\\p{L}\\p{N}]+"
 
 # Short notices and licences, with the names of their list.
 KNOWN = {
@@ -82,9 +80,15 @@ KNOWN = {
 
 def canonical_lines(text: Column) -> Column:
     """Letters and digits in lower case with one space between words; lines stay apart, copyright lines are empty."""
-    kept = F.regexp_replace(F.coalesce(text, F.lit("")), _COPYRIGHT, "")
-    plain = F.regexp_replace(F.lower(kept), "[^\\p{L}\\p{N}\\n]+", " ")
-    return reduce(lambda c, pair: F.regexp_replace(c, *pair), EQUIVALENT, plain)
+
+    def plain(lowered: Column) -> Column:
+        marked = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(w)) for w in _COPYRIGHT_WORDS))
+        kept = F.when(marked, F.regexp_replace(lowered, _COPYRIGHT, "")).otherwise(lowered)
+        return F.regexp_replace(F.regexp_replace(kept, _OTHER, " "), " {2,}", " ")
+
+    words = let(F.lower(F.coalesce(text, F.lit(""))), plain)
+    spelled = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), EQUIVALENT, words)
+    return F.regexp_replace(spelled, _ISE, _IZE)
 
 
 def whole(lines: Column) -> Column:
@@ -98,25 +102,33 @@ def digest(canonical: Column) -> Column:
 
 
 def known_licences(spark: SparkSession, texts: dict[str, str] = KNOWN) -> DataFrame:
-    """``known_digest, licence``, one row per digest."""
+    """``known_digest, known_hash, licence``, one row per canonical form."""
     rows = spark.createDataFrame(sorted(texts.items()), "licence string, text string")
-    hashed = rows.select("licence", digest(whole(canonical_lines(F.col("text")))).alias("known_digest"))
-    return hashed.groupBy("known_digest").agg(F.min("licence").alias("licence"))
+    formed = rows.select("licence", whole(canonical_lines(F.col("text"))).alias("form"))
+    return formed.groupBy(digest(F.col("form")).alias("known_digest"), F.xxhash64("form").alias("known_hash")).agg(
+        F.min("licence").alias("licence")
+    )
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """``doc_id, digest, licence, notices`` per row.
 
-    ``licence`` is the known licence that the whole text is, ``notices`` the sorted ones that single lines are.
+    ``licence`` is the known licence that the whole text is, ``notices`` the sorted ones that single lines are. Texts are
+    brought into canonical form once; their digests, and 64-bit hashes of their lines, are written and joined.
     """
-    formed = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), canonical_lines(F.col("text")).alias("lines"))
-    per_line = formed.select("doc_id", "text_hash", F.explode(F.split("lines", "\n")).alias("line"))
-    per_line = per_line.select(
-        F.col("doc_id").alias("k"), F.col("text_hash").alias("h"), digest(F.trim("line")).alias("line_digest")
-    ).where("line_digest IS NOT NULL")
-    found = per_line.join(known, F.col("line_digest") == F.col("known_digest"))
+
+    def hashed(lines: Column) -> Column:
+        of_lines = F.transform(F.array_distinct(F.transform(F.split(lines, "\n"), lambda x: F.trim(x))), lambda x: F.xxhash64(x))
+        return F.struct(digest(whole(lines)).alias("digest"), of_lines.alias("line_hashes"))
+
+    formed = docs.select(
+        "doc_id", text_hash(F.col("text")).alias("text_hash"), let(canonical_lines(F.col("text")), hashed).alias("f")
+    )
+    formed = cut(formed.select("doc_id", "text_hash", "f.digest", "f.line_hashes"), "licence-digests")
+    per_line = formed.select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h"), F.explode("line_hashes").alias("line_hash"))
+    found = per_line.join(known, F.col("line_hash") == F.col("known_hash"))
     notices = found.groupBy("k", "h").agg(F.sort_array(F.collect_set("licence")).alias("notices"))
-    texts = formed.select("doc_id", "text_hash", digest(whole(F.col("lines"))).alias("digest"))
-    named = texts.join(known, F.col("digest") == F.col("known_digest"), "left")
+    texts = formed.select("doc_id", "text_hash", "digest")
+    named = texts.join(known.select("known_digest", "licence"), F.col("digest") == F.col("known_digest"), "left")
     listed = named.join(notices, same_row((F.col("doc_id"), F.col("text_hash")), (F.col("k"), F.col("h"))), "left")
     return listed.select("doc_id", "digest", "licence", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))

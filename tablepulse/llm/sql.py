@@ -56,11 +56,11 @@ def contamination_sql() -> str:
 
 def licence_sql() -> str:
     def lines(text: str) -> str:
-        kept = rf"regexp_replace(coalesce({text}, ''), {quoted(licences._COPYRIGHT)}, '', 'g')"
-        plain = rf"regexp_replace(lower({kept}), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
-        for pattern, new in licences.EQUIVALENT:
-            plain = f"regexp_replace({plain}, {quoted(pattern)}, {quoted(new.replace('$', chr(92)))}, 'g')"
-        return plain
+        kept = rf"regexp_replace(lower(coalesce({text}, '')), {quoted(licences._COPYRIGHT)}, '', 'g')"
+        plain = rf"regexp_replace({kept}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+        for old, new in licences.EQUIVALENT:
+            plain = f"replace({plain}, {quoted(old)}, {quoted(new)})"
+        return f"regexp_replace({plain}, {quoted(licences._ISE)}, {quoted(licences._IZE.replace('$', chr(92)))}, 'g')"
 
     whole = r"trim(regexp_replace(c, '[ \n]+', ' ', 'g'))"
     known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in sorted(licences.KNOWN.items()))
