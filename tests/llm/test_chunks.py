@@ -52,6 +52,18 @@ def test_passages_match_brute_force(spark, rows):
     assert {tuple(r.first_ids) for r in found if r.doc_id in (405, 410)} == {(400,)}
 
 
+def test_documents_that_share_over_fifty_words_are_found(spark, rows):
+    """Against all windows of 51 words."""
+    owners = defaultdict(set)
+    for i, (_, t) in enumerate(docs := list({(d, t): None for d, t in rows})):
+        w = (t or "").split()
+        for k in range(len(w) - 50):
+            owners[tuple(w[k : k + 51])].add(i)
+    want = {docs[i][0] for ids in owners.values() if len(ids) > 1 for i in ids}
+    found = {r.doc_id for r in chunks.repeated_passages(docs_of(spark, rows)).collect()}
+    assert want <= found
+
+
 def test_the_first_occurrence_stays(spark, rows):
     table = docs_of(spark, rows)
     left = chunks.without_repeats(table)
@@ -61,7 +73,7 @@ def test_the_first_occurrence_stays(spark, rows):
     assert after.total() == before.total()
     assert all(after[400 + i, len(rows_text)] == 1 for i, rows_text in ((d - 400, t) for d, t in rows if d in range(400, 405)))
     shorter = dict(after.keys())
-    assert all(shorter[d] < len(t) - 150 for d, t in rows if d in range(405, 415))
+    assert all(shorter[d] < len(t) - 120 for d, t in rows if d in range(405, 415))
 
 
 def test_chunks_cover_every_word_and_follow_insertions():
