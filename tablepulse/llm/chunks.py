@@ -8,8 +8,9 @@ after an insertion they fall into step again within a few words, and the chunks
 Chunks are compared by a 128-bit digest of their words; white space is not compared. A chunk is shared if at least two
 documents have it. Shared chunks that follow each other form a passage, which counts if they have ``MIN_PASSAGE_WORDS``
 words or more. The chunks at the edges of a repeated passage also hold other words, so it shows some chunks shorter
-than it is: the default finds passages of over 50 words (all but 9 of 2080 documents that had one, when compared with
-all windows of 51 words), and reports repeats down to its own length.
+than it is. ``whole_passages`` therefore takes runs from ``CANDIDATE_WORDS`` words on, compares the words on both sides
+with those at the first occurrence of the run's outer chunks, one by one and up to ``REACH_WORDS``, and also reports runs
+that have more than ``LONG_WORDS`` words with these. A first occurrence reaches as far as the longest of its repeats.
 
 Digests are grouped with a map-side combined minimum, which a chunk of very many documents does not slow down, and the
 join back to the single chunks can be split by adaptive execution.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablepulse.llm.common import cut, same_row, text_hash
@@ -34,7 +35,10 @@ from tablepulse.llm.common import cut, same_row, text_hash
 MASK_BITS = 2
 MIN_WORDS = 3
 MAX_WORDS = 24
-MIN_PASSAGE_WORDS = 30
+MIN_PASSAGE_WORDS = 20
+CANDIDATE_WORDS = 15
+LONG_WORDS = 50
+REACH_WORDS = 64
 PIECE_BYTES = 1 << 20
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 _IS_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
@@ -85,6 +89,7 @@ def chunks(text: bytes) -> Iterator[tuple[int, int, int, int]]:
 
 CHUNK = "doc_id long, text_hash long, number int, start int, end int, n_words int, high long, low long"
 _NAMES = [c.split()[0] for c in CHUNK.split(", ")]
+_PLACE = ("doc_id", "text_hash", "number", "start", "end")
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,27 +135,111 @@ def shared_chunks(docs: DataFrame) -> DataFrame:
     doc = F.xxhash64("doc_id", "text_hash")
     owners = likely.groupBy("high", "low").agg(F.min(doc).alias("a"), F.max(doc).alias("b")).where("a < b")
     shared = likely.join(owners.select("high", "low"), ["high", "low"])
-    first = shared.groupBy("high", "low").agg(F.min(F.struct("doc_id", "text_hash", "number")).alias("first"))
+    first = shared.groupBy("high", "low").agg(F.min(F.struct(*_PLACE)).alias("first"))
     return shared.join(first, ["high", "low"])
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_PASSAGE_WORDS) -> DataFrame:
-    """Passages that other documents share: ``doc_id, text_hash, start, end, n_words, first_ids, is_first``.
-
-    ``first_ids`` lists the documents in which the passage's chunks occur first, and ``is_first`` tells whether the
-    passage is itself the first occurrence of all its chunks.
-    """
+def _runs(docs: DataFrame, min_words: int) -> DataFrame:
+    """Runs of shared chunks; ``left`` and ``right`` are the first occurrences of their outer chunks."""
     by_doc = Window.partitionBy("doc_id", "text_hash")
     shared = shared_chunks(docs).dropDuplicates(["doc_id", "text_hash", "number"])
     run = F.col("number") - F.row_number().over(by_doc.orderBy("number"))
-    own = F.col("first").eqNullSafe(F.struct("doc_id", "text_hash", "number"))
+    own = F.col("first").eqNullSafe(F.struct(*_PLACE))
     passages = shared.withColumn("run", run).withColumn("own", own).groupBy("doc_id", "text_hash", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"),
         F.sort_array(F.collect_set("first.doc_id")).alias("first_ids"), F.every("own").alias("is_first"),
+        F.min_by("first", "number").alias("left"), F.max_by("first", "number").alias("right"),
     )
     return passages.where(F.col("n_words") >= min_words).drop("run")
 
 
+def repeated_passages(docs: DataFrame, min_words: int = MIN_PASSAGE_WORDS) -> DataFrame:
+    """Passages that other documents share: ``doc_id, text_hash, start, end, n_words, first_ids, is_first``.
+
+    ``first_ids`` lists the documents in which the passage's chunks occur first, and ``is_first`` tells whether the
+    passage is itself the first occurrence of all its chunks.
+    """
+    return _runs(docs, min_words).drop("left", "right")
+
+
+def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words beside every wanted edge, from the nearest on: their hashes and the bytes where they end outwards."""
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "wanted")), strict=True)
+        columns: list[list] = [[] for _ in range(6)]
+        for (doc, hash_, wanted), text in zip(keys, batch.column("text"), strict=True):
+            data = text.as_py() or b""
+            starts, ends = word_spans(np.frombuffer(data, np.uint8))
+            for edge in wanted:
+                side, at = edge["side"], edge["at"]
+                n = int(np.searchsorted(starts, at))
+                after = range(n, min(n + REACH_WORDS, len(starts)))
+                beside = range(n - 1, max(n - REACH_WORDS, 0) - 1, -1) if side < 0 else after
+                hashes = [xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]]) - (1 << 63) for i in beside]
+                places = [int(starts[i] if side < 0 else ends[i]) for i in beside]
+                for column, value in zip(columns, (doc, hash_, side, at, hashes, places), strict=True):
+                    column.append(value)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "side", "at", "hashes", "places"])
+
+
+def _same_edge(a: str, b: str) -> Column:
+    same = [F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in ("text_hash", "side", "at")]
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & same[0] & same[1] & same[2]
+
+
+def whole_passages(docs: DataFrame, min_words: int = MIN_PASSAGE_WORDS) -> DataFrame:
+    """``repeated_passages`` extended word by word, and the shorter runs that belong to over ``LONG_WORDS`` words.
+
+    Only the edges of runs meet the texts, once per document and place; the words beside them are joined by place, so a
+    first occurrence that very many documents repeat is no group of one task.
+    """
+    runs = cut(_runs(docs, min(min_words, CANDIDATE_WORDS)), "candidate-passages")
+
+    def edge(doc: str, hash_: str, side: int, at: str) -> Column:
+        return F.struct(F.col(doc).alias("doc_id"), F.col(hash_).alias("text_hash"), F.lit(side).alias("side"), F.col(at).alias("at"))
+
+    sides = [(-1, "start", "left"), (1, "end", "right")]
+    pairs = runs.select(F.explode(F.array(*(
+        F.struct(edge("doc_id", "text_hash", side, at).alias("a"), edge(f"{first}.doc_id", f"{first}.text_hash", side, f"{first}.{at}").alias("b"))
+        for side, at, first in sides
+    ))).alias("pair")).select("pair.*").where(~F.col("a").eqNullSafe(F.col("b"))).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct().groupBy("e.doc_id", "e.text_hash").agg(
+        F.collect_list(F.struct("e.side", "e.at")).alias("wanted")
+    ).withColumnsRenamed({"doc_id": "k", "text_hash": "h"})
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("binary").alias("text")
+    )
+    rows = rows.join(wanted, same_row((F.col("doc_id"), F.col("text_hash")), (F.col("k"), F.col("h")))).drop("k", "h")
+    reach = rows.mapInArrow(_reach, "doc_id long, text_hash long, side int, at int, hashes array<long>, places array<int>")
+    reach = cut(reach.dropDuplicates(["doc_id", "text_hash", "side", "at"]), "edges")
+
+    joined = pairs.join(reach.alias("x"), _same_edge("a", "x")).select("a", "b", F.col("hashes").alias("mine"), F.col("places").alias("to"))
+    joined = joined.join(reach.alias("y"), _same_edge("b", "y"))
+    differs = F.array_position(F.zip_with("mine", "hashes", lambda x, y: x.eqNullSafe(y)), False)
+    n = F.when(differs == 0, F.size("mine")).otherwise(differs - 1).cast("int")
+    grown = joined.select("a", "b", n.alias("n"), "to", "places").where("n > 0")
+    grown = cut(grown.select("a", "b", "n", F.get("to", F.col("n") - 1).alias("a_to"), F.get("places", F.col("n") - 1).alias("b_to")), "grown")
+    longest = grown.select("a.*", "n", F.col("a_to").alias("to")).unionAll(grown.select("b.*", "n", F.col("b_to").alias("to")))
+    longest = longest.groupBy("doc_id", "text_hash", "side", "at").agg(F.max(F.struct("n", "to")).alias("more"))
+
+    whole = runs.drop("left", "right")
+    for side, at, _ in sides:
+        more = longest.where(F.col("side") == side).select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h"), F.col("at"), F.col("more").alias(f"more_{at}"))
+        here = same_row((F.col("doc_id"), F.col("text_hash")), (F.col("k"), F.col("h"))) & (F.col(at) == F.col("at"))
+        whole = whole.join(more, here, "left").drop("k", "h", "at")
+    n_words = F.col("n_words") + F.coalesce("more_start.n", F.lit(0)) + F.coalesce("more_end.n", F.lit(0))
+    whole = whole.where((F.col("n_words") >= min_words) | (n_words > LONG_WORDS)).select(
+        "doc_id", "text_hash", F.coalesce("more_start.to", "start").alias("start"), F.coalesce("more_end.to", "end").alias("end"),
+        n_words.alias("n_words"), "first_ids", "is_first",
+    )
+    ids = F.sort_array(F.array_distinct(F.flatten(F.collect_list("first_ids"))))
+    return whole.groupBy("doc_id", "text_hash", "start", "end").agg(
+        F.max("n_words").alias("n_words"), ids.alias("first_ids"), F.every("is_first").alias("is_first")
+    )
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
@@ -159,7 +248,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if data is not None:
                 for span in sorted(spans or [], key=lambda s: s["start"]):
                     kept.append(data[at : span["start"]])
-                    at = span["end"]
+                    at = max(at, span["end"])
                 data = b"".join([*kept, data[at:]]).decode()
             texts.append(data)
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "left"])
@@ -167,7 +256,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_PASSAGE_WORDS) -> DataFrame:
     """``docs`` without the passages that occurred before; the first occurrence of every chunk stays."""
-    gone = repeated_passages(docs, min_words).where(~F.col("is_first")).groupBy("doc_id", "text_hash").agg(
+    gone = whole_passages(docs, min_words).where(~F.col("is_first")).groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.struct("start", "end")).alias("spans")
     )
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "spans")

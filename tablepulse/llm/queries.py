@@ -34,7 +34,7 @@ def op2_viterbi_counts(spark, folder):
 
 
 def op3_gear_chunks(spark, folder):
-    return chunks.repeated_passages(table(spark, folder, "documents")).drop("text_hash")
+    return chunks.whole_passages(table(spark, folder, "documents")).drop("text_hash")
 
 
 def op4_line_blocks(spark, folder):
