@@ -4,8 +4,9 @@ Parsing follows a tree of fixed depth: a line goes down by its number of tokens
 where every token with a digit counts as the variable ``<*>``. Lines that reach the same leaf are generalised against
 each other: a token is constant if at least ``min_docs`` documents have it at that place of that leaf, otherwise it is
 a variable field. What is left is the line's template. A template recurs if lines of ``min_docs`` documents have it and
-at least ``similarity`` of its tokens are constant. Lines of recurring templates are dropped, by default all but the
-first one, so that of many copies of a document one keeps its text.
+at least ``similarity`` of its tokens are constant. A line whose whole masked form ``min_docs`` documents have recurs
+however many of its fields are variable, if it has a word at all. Lines of recurring templates are dropped, by default
+all but the first one, so that of many copies of a document one keeps its text.
 
 The tree is made of grouped sums, so no leaf, template or line is ever held by one task: equal lines are combined before
 they are shuffled, and the joins that mark single lines can be split by adaptive execution.
@@ -74,7 +75,12 @@ def templates(
     )
     general = cut(general.where(F.col("n_constant") >= similarity * F.col("n_tokens")), "templates")
     recurring = general.groupBy("leaf", "template").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs)
-    return general.join(recurring.select("leaf", "template"), ["leaf", "template"]).select("leaf", "line_hash", "template")
+    similar = general.join(recurring.select("leaf", "template"), ["leaf", "template"]).select("leaf", "line_hash", "template")
+
+    worded = F.exists(F.split("line", " "), lambda x: ~F.contains(x, F.lit(VARIABLE)))
+    same = leaves.where(F.col("n") >= min_docs).where(worded).select("leaf", F.xxhash64("line").alias("line_hash"))
+    known = similar.unionAll(same.withColumn("template", F.lit(None).cast("long"))).groupBy("leaf", "line_hash")
+    return known.agg(F.max("template").alias("template")).withColumn("template", F.coalesce("template", "line_hash"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:

@@ -84,6 +84,16 @@ def test_the_first_line_of_every_template_stays(spark, rows):
     assert sum("made by hand" in (r.text or "") for r in cleaned.collect()) == 1
 
 
+def test_lines_of_one_masked_form_recur_with_production_values(spark):
+    dates = [f"Posted by user{i} on 2024-0{1 + i % 9}-11 in general" for i in range(12)]
+    rows = [(i, f"{line}\n{i} {i + 1} 3 4 5") for i, line in enumerate(dates)]
+    rows += [(100 + i, f"Seen by user{i} on 2024-03-11 in general") for i in range(line_templates.MIN_DOCS - 1)]
+    left = {r.doc_id: r.text for r in line_templates.without_recurring_lines(docs_of(spark, rows)).collect()}
+    assert [i for i in range(12) if "Posted" in left[i]] == [0]
+    assert all(left[i].endswith(f"{i} {i + 1} 3 4 5") for i in range(12))  # numbers alone are no template
+    assert all("Seen" in left[100 + i] for i in range(line_templates.MIN_DOCS - 1))
+
+
 def test_very_long_tokens_and_lines(spark):
     rows = [(i, "x" * 200_000 + "\n" + "a b c d e " * 5_000) for i in range(3)]
     found = line_templates.line_report(docs_of(spark, rows), min_docs=2).collect()
