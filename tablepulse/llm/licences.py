@@ -5,6 +5,9 @@ characters that are no letters or digits made one space. Two texts that differ o
 and the scan is one hash join of the digests of whole texts with those of known licences. The known table is an
 argument, so any licence list can be used; ``known_licences`` makes the built-in one.
 
+The built-in list has a licence's text with and without its title as entries of their own. A copyright line without a year,
+``(c)`` or another sign of a statement cannot be told from a wrapped line of the licence and stays.
+
 Every line is looked up as well, which finds notices and one-line licences inside longer texts.
 
 NULL texts are read as empty; a text whose canonical form is empty has no licence. Repeated rows get the same result
@@ -14,6 +17,7 @@ each. If several licences share a digest, the first by name is reported. Other c
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +35,22 @@ EQUIVALENT = (
     ("per cent", "percent"), ("practise", "practice"), ("signalled", "signaled"), ("signalling", "signaling"),
     ("sub license", "sublicense"), ("whilst", "while"),
 )
+# Two words that a line break parts; the break stays.
+EQUIVALENT += tuple(
+    (old.replace(" ", gap), f"{new}{gap}" if " " not in new else new.replace(" ", gap))
+    for old, new in EQUIVALENT if " " in old for gap in ("\n", " \n", "\n ", " \n ")
+)
 # Verbs in -ise.
 _ISE, _IZE = "is(e|ed|es|ing|ation|ations)( |\\n|$)", "iz$1$2"
+# Copyright statements: a year, (c) or the like after the word, or a company at the end; short lines that begin with (c).
 _COPYRIGHT = (
-    "(?m)^[^\\p{L}\\p{N}\\n]*(?:copyright|\\(c\\)|©)[^\\n]*$|^[^\\p{L}\\p{N}\\n]*all rights reserved\\.?[^\\p{L}\\p{N}\\n]*$"
+    "(?m)^[^\\p{L}\\p{N}\\n]*(?:"
+    "copyright[^\\p{L}\\p{N}\\n]*(?:©|c\\)|by |(?:19|20)[0-9]{2}|yyyy|year\\b)[^\\n]*"
+    "|copyright [^\\n]*\\b(?:inc|ltd|llc|corp|gmbh|all rights reserved)[^\\p{L}\\p{N}\\n]*"
+    "|copyright the [^\\n]* authors[^\\p{L}\\p{N}\\n]*"
+    "|©[^\\n]*|\\(c\\)[^\\n]*(?:19|20)[0-9]{2}[^\\n]*"
+    "|\\(c\\)[^\\p{L}\\p{N}\\n]*(?:[\\p{L}\\p{N}]+[^\\p{L}\\p{N}\\n]+){0,5}[\\p{L}\\p{N}]*[^\\p{L}\\p{N}\\n]*"
+    ")$|^[^\\p{L}\\p{N}\\n]*all rights reserved\\.?[^\\p{L}\\p{N}\\n]*$"
 )
 _COPYRIGHT_WORDS = ("copyright", "(c)", "©", "rights reserved")
 # Neither letter nor digit; ASCII stands first because it is quickly decided.
@@ -77,6 +93,39 @@ KNOWN = {
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
 }
 
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+    " following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of"
+    " conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,"
+    " this list of conditions and the following disclaimer in the documentation and/or other materials provided with the"
+    " distribution."
+)
+_BSD_NAMES = (
+    "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+    " products derived from this software without specific prior written permission."
+)
+_BSD_END = (
+    "\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES,"
+    " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE"
+    " DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,"
+    " SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;"
+    " LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN"
+    " CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS"
+    " SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+KNOWN["BSD-2-Clause"] = _BSD_2 + _BSD_END
+KNOWN["BSD-3-Clause"] = _BSD_2 + _BSD_NAMES + _BSD_END
+# Files of this folder are whole licences, each beginning with its title.
+for _file in sorted(Path(__file__).with_name("licence_texts").glob("*.txt")):
+    KNOWN[_file.stem] = _file.read_text()
+    KNOWN[f"{_file.stem} (without title)"] = KNOWN[_file.stem].lstrip().partition("\n\n")[2]
+for _name, _titles in {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"),
+    "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License"), "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",),
+}.items():
+    for _title in _titles:
+        KNOWN[f"{_name} (titled {_title})"] = f"{_title}\n\n{KNOWN[_name]}"
+
 
 def canonical_lines(text: Column) -> Column:
     """Letters and digits in lower case with one space between words; lines stay apart, copyright lines are empty."""

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import textwrap
 
 from tablepulse.llm import licences
 from tests.llm.conftest import docs_of
@@ -36,3 +37,17 @@ def test_known_table_is_an_argument(spark):
     found = licences.scan(docs_of(spark, [(1, "SAME text"), (2, "x\nother")]), known).collect()
     assert {(r.doc_id, r.licence, *r.notices) for r in found} == {(1, "a", "a"), (2, None, "c")}
     assert licences.scan(docs_of(spark, []), known).collect() == []
+
+
+def test_whole_licences_are_named_however_their_lines_break(spark):
+    mit, isc = licences.KNOWN["MIT"], licences.KNOWN["ISC"]
+    texts = {f"MIT {n}": "Copyright (c) 2020 A\n" + textwrap.fill(mit, n) for n in range(30, 100, 7)}
+    texts |= {f"ISC {n}": textwrap.fill(isc, n) for n in range(30, 100, 7)}
+    texts["MIT (titled MIT License)"] = "MIT License\n\nCopyright (c) 2020 A\n\n" + mit
+    texts["ISC (titled ISC License)"] = "ISC License\n\nCopyright 2020 A\n\n" + isc
+    texts |= {n: licences.KNOWN[n] for n in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0")}
+    for name in ("BSD-2-Clause", "BSD-3-Clause"):
+        texts[f"{name} 72"] = "Copyright 2020, A\nAll rights reserved.\n\n" + textwrap.fill(licences.KNOWN[name], 72)
+    found = licences.scan(docs_of(spark, list(enumerate(texts.values()))), licences.known_licences(spark)).collect()
+    got = {name: next(r.licence for r in found if r.doc_id == i) for i, name in enumerate(texts)}
+    assert got == {name: name if name in licences.KNOWN else name.split(" ")[0] for name in texts}
