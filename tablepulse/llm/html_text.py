@@ -8,9 +8,11 @@
 2. Distribution: text lengths (without the text of links, so that lists of links count as nothing) are summed over
    sliding windows of ``WINDOW`` lines.
 3. Surge and dive: a region begins where the sum rises from zero and ends where it falls back to zero, so a region
-   survives gaps shorter than the window, such as an advert inside an article.
+   survives gaps shorter than the window, such as an advert inside an article. Stripped lines between two lines of one
+   element other than the body are no gap, however many they are.
 4. Regions whose highest sum reaches ``MIN_PEAK`` are kept, and the highest one always; their non-empty lines are the
-   text. Inside a region nothing is dropped, however short.
+   text. Inside a region nothing is dropped, however short. On pages with ``article`` or ``main`` every non-empty line
+   inside these is kept, and there are no regions.
 
 Character references are decoded once. White space inside a line becomes one space, lines are joined by one space. NULL
 and empty pages, and pages without article text, give an empty text. A tag that the page's end cuts off is markup.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +81,9 @@ class _Lines:
 
     def __init__(self):
         self.lines: list[tuple[str, int, bool]] = []
+        self.around: list[set[int]] = []  # per line: the block that holds it and the one around that
+        self.ids: list[int] = []  # of the open elements
+        self.n_elements = 0
         self.open: list[tuple[str, str]] = []  # element, and how its text counts: text, article, link, none or comments
         self.text: list[str] = []
         self.linked = 0
@@ -114,6 +120,8 @@ class _Lines:
         if self.filled:
             text = " ".join("".join(self.text).split())
             self.lines.append((text, max(0, len(text) - self.linked), any(kind == "article" for _, kind in self.open)))
+            blocks = (i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] not in INLINE)
+            self.around.append({self.ids[i] for i in islice(blocks, 2) if self.open[i][0] not in ("html", "body")})
             self.text, self.linked, self.filled = [], 0, False
 
     def start(self, name: str, attributes: str, empty: bool) -> None:
@@ -140,6 +148,8 @@ class _Lines:
         else:
             kind = before if before == "link" else "text"
         self.open.append((name, kind))
+        self.ids.append(self.n_elements)
+        self.n_elements += 1
 
     def end(self, name: str) -> None:
         """Ends the nearest open element of this name and all in it; a stray end tag ends nothing."""
@@ -147,7 +157,7 @@ class _Lines:
             self.end_line()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == name:
-                del self.open[i:]
+                del self.open[i:], self.ids[i:]
                 return
 
     def data(self, data: str) -> None:
@@ -165,17 +175,26 @@ class _Lines:
             self.linked += len(data)
 
 
-def page_lines(html: str) -> list[tuple[str, int]]:
+def page_lines(page: _Lines) -> list[tuple[str, int]]:
     """The text of every line and its length in the distribution; lines that are no article text are empty."""
-    page = _Lines()
-    page.read(html)
-    if page.saw_article:
-        return [(text, len(text)) if inside else ("", 0) for text, _, inside in page.lines]
-    return [(text, length) for text, length, _ in page.lines]
+    lines, last, stripped = [], set(), []
+    for (text, length, _), around in zip(page.lines, page.around, strict=True):
+        if not text:
+            stripped.append(("", 0))
+            continue
+        if not around & last:
+            lines += stripped
+        lines.append((text, length))
+        last, stripped = around, []
+    return lines + stripped
 
 
 def main_text(html: str | None, window: int = WINDOW, min_peak: int = MIN_PEAK) -> str:
-    lines = page_lines(html or "")
+    page = _Lines()
+    page.read(html or "")
+    if page.saw_article:
+        return " ".join(text for text, _, inside in page.lines if inside and text)
+    lines = page_lines(page)
     lengths = np.array([0] * (window - 1) + [n for _, n in lines] + [0] * (window - 1), np.int64)
     sums = np.convolve(lengths, np.ones(window, np.int64), "valid")  # sums[i]: lines i-window+1 .. i
     above = np.concatenate(([False], sums > 0, [False]))

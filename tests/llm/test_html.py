@@ -30,6 +30,13 @@ def test_main_text(html):
     assert main_text(html) == PAGES[html]
 
 
+def test_stripped_blocks_do_not_part_an_article():
+    aside = "<aside><ul><li>a<li>b<li>c</ul></aside>" + "<div class=ad>Buy</div>" * 4
+    assert main_text(f"<article><p>{LONG}</p>{aside}<p>That is all.</p></article>") == f"{LONG} That is all."
+    assert main_text(f"<div><p>{LONG}</p>{aside}<p>That is all.</p></div>") == f"{LONG} That is all."
+    assert main_text(f"<div><p>{LONG}</p></div>{aside}<div><p>far away</p></div>") == LONG
+
+
 def test_one_row_per_page(spark):
     rows = [(i, f"u{i}", h, "x") for i, h in enumerate([*PAGES, None])] + [(0, "u0", "", "y"), (None, None, "<p>z</p>", None)]
     found = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
