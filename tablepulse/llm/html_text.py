@@ -3,7 +3,8 @@
 1. Strip markup: the page is read tag by tag into lines, one per block element. Inline elements do not break a line.
    Subtrees that are no article text by their element (scripts, styles, navigation, headers, footers, asides, forms) or
    by a name among their class, id or role (menus, sidebars, notices, adverts, reader comments) give lines of length
-   zero, and so does all text outside ``article`` and ``main`` where the page has one of these. A header inside an article
+   zero. A name counts if it is one of the list or a compound of the list and of ``NEUTRAL`` words; a subtree that holds most of
+   the page's text outside links is not stripped for one word of a name. Lines of length zero also come from all text outside ``article`` and ``main`` where the page has one of these. A header inside an article
    holds its title and stays.
 2. Distribution: text lengths (without the text of links, so that lists of links count as nothing) are summed over
    sliding windows of ``WINDOW`` lines.
@@ -56,6 +57,12 @@ BOILERPLATE = frozenset(
 # The head of an article holds its title; that of a page does not.
 HEADERS = frozenset(("header", "masthead"))
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+# Words that say where or in what a part stands; compounds with any other word (with-sidebar, long-form, ad-free) mark nothing.
+NEUTRAL = frozenset(
+    "container wrapper wrap box block area section list item items link links bar site page main global top bottom left right"
+    " primary secondary post posts article articles entry button buttons icon icons inner outer slot unit text title message"
+    " body author meta thread count feed panel policy row col column group fixed sticky mobile desktop user reader bottom".split()
+)
 RAW = frozenset(("script", "style", "textarea", "title"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _NAME = re.compile(r"[A-Za-z]+")
@@ -71,20 +78,30 @@ _CUT_TAG = re.compile(r"<(?:[A-Za-z/!][^<>]*)?\Z")
 
 
 def _names(attributes: str) -> set[str]:
-    """The words of all names, and every name with its words run together (``side-bar`` is a ``sidebar``)."""
-    listed = [n for value in _MARKS.findall(attributes) for n in value.lower().split()]
-    return {w for n in listed for w in _NAME.findall(n)} | {"".join(_NAME.findall(n)) for n in listed}
+    """The words of names that mark something, whole or in a known compound; ``side-bar`` is also a ``sidebar``."""
+    marked = set()
+    for name in (n for value in _MARKS.findall(attributes) for n in value.strip("\"'").lower().split()):
+        words = _NAME.findall(name)
+        whole = "".join(words)
+        if whole in BOILERPLATE or whole in COMMENTS:
+            marked.add(whole)
+        elif all(w in BOILERPLATE or w in COMMENTS or w in NEUTRAL or len(w) == 1 for w in words):
+            marked.update(words)
+    return marked
 
 
 class _Lines:
     """Lines of a page as ``(text, length without links, inside an article)``."""
 
-    def __init__(self):
+    def __init__(self, spared: frozenset[int] = frozenset()):
+        self.spared = spared  # elements that are not stripped for their name
+        self.unlinked = 0  # characters so far that are in no link and not stripped by element
+        self.named: dict[int, int] = {}  # that number where an element stripped for one word began, then what it holds
         self.lines: list[tuple[str, int, bool]] = []
         self.around: list[set[int]] = []  # per line: the block that holds it and the one around that
         self.ids: list[int] = []  # of the open elements
         self.n_elements = 0
-        self.open: list[tuple[str, str]] = []  # element, and how its text counts: text, article, link, none or comments
+        self.open: list[tuple[str, str]] = []  # element, and how its text counts: text, article, link, none, named or comments
         self.text: list[str] = []
         self.linked = 0
         self.filled = False  # some text, kept or not, since the last line
@@ -114,6 +131,11 @@ class _Lines:
         if at < end:
             self.data(_CUT_TAG.sub("", html[at:]))
         self.end_line()
+        self.close(0)
+
+    def most(self) -> frozenset[int]:
+        """The elements named by one word that hold most of the text."""
+        return frozenset(i for i, held in self.named.items() if 2 * held > self.unlinked)
 
     def end_line(self) -> None:
         """A line for what came since the last one; text that does not count makes an empty line."""
@@ -136,13 +158,19 @@ class _Lines:
         if name in ARTICLE:
             kind = "comments" if before == "comments" or names & COMMENTS else "article"
             self.saw_article |= kind == "article"
-        elif before in ("none", "comments") or name in ("html", "body"):
+        elif name in ("html", "body") or before in ("none", "comments"):
             kind = before
+        elif before == "named":
+            self.name_held(names)
+            kind = "none" if name in NO_TEXT else before
         elif names & COMMENTS:
             kind = "comments"
         elif name in NO_TEXT or names & BOILERPLATE:
             titled = {name, *names} & (NO_TEXT | BOILERPLATE) <= HEADERS and any(k == "article" for _, k in self.open)
-            kind = before if titled else "none"
+            kind = before if titled else "none" if name in NO_TEXT else "named"
+            if kind == "named":
+                self.name_held(names)
+                kind = before if self.n_elements in self.spared else kind
         elif name == "a" and not any(n in HEADINGS for n, _ in self.open):
             kind = "link"
         else:
@@ -157,9 +185,19 @@ class _Lines:
             self.end_line()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == name:
-                del self.open[i:], self.ids[i:]
+                self.close(i)
                 return
 
+    def name_held(self, names: set[str]) -> None:
+        if len(names & BOILERPLATE) == 1:
+            self.named[self.n_elements] = self.unlinked
+
+    def close(self, i: int) -> None:
+        for number in self.ids[i:]:
+            if number in self.named:
+                self.named[number] = self.unlinked - self.named[number]
+        del self.open[i:], self.ids[i:]
+
     def data(self, data: str) -> None:
         if data.isspace():
             if self.text:
@@ -169,6 +207,10 @@ class _Lines:
         kind = self.open[-1][1] if self.open else "text"
         if kind in ("none", "comments"):
             return
+        if kind != "link" and not (kind == "named" and any(n == "a" for n, _ in self.open)):
+            self.unlinked += len(data.strip())
+        if kind == "named":
+            return
         data = unescape(data) if "&" in data else data
         self.text.append(data)
         if kind == "link":
@@ -192,6 +234,9 @@ def page_lines(page: _Lines) -> list[tuple[str, int]]:
 def main_text(html: str | None, window: int = WINDOW, min_peak: int = MIN_PEAK) -> str:
     page = _Lines()
     page.read(html or "")
+    if spared := page.most():
+        page = _Lines(spared)
+        page.read(html or "")
     if page.saw_article:
         return " ".join(text for text, _, inside in page.lines if inside and text)
     lines = page_lines(page)

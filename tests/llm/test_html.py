@@ -37,6 +37,11 @@ def test_stripped_blocks_do_not_part_an_article():
     assert main_text(f"<div><p>{LONG}</p></div>{aside}<div><p>far away</p></div>") == LONG
 
 
+@pytest.mark.parametrize("mark", ["class='content with-sidebar'", "id='page' class='site no-sidebar'", "class=long-form", "class='ad-free search-terms'", "class=widget"])
+def test_names_that_only_mention_boilerplate_strip_nothing(mark):
+    assert main_text(f"<body><div {mark}><p>{LONG}</p><p class=share-price>Short.</p></div><div class='ad-box'>Buy</div></body>") == f"{LONG} Short."
+
+
 def test_one_row_per_page(spark):
     rows = [(i, f"u{i}", h, "x") for i, h in enumerate([*PAGES, None])] + [(0, "u0", "", "y"), (None, None, "<p>z</p>", None)]
     found = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
