@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Lines of templates that recur across documents go, but for the first; every document stays, if only empty."""
-    return line_templates.without_recurring_lines(docs)
+    return line_templates.without_recurring_lines(docs, exact=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ all but the first one, so that of many copies of a document one keeps its text.
 The tree is made of grouped sums, so no leaf, template or line is ever held by one task: equal lines are combined before
 they are shuffled, and the joins that mark single lines can be split by adaptive execution.
 
-Lines with fewer than ``min_tokens`` tokens, blank ones included, have no template and stay. NULL texts stay NULL. A
+Lines with fewer than ``min_tokens`` tokens, blank ones included, have no template and stay, unless ``exact`` is set. NULL texts stay NULL. A
 line that a document repeats counts once for that document; a repeated row counts as a further document. Ties for the
 first occurrence go to the smallest ``doc_id`` (a missing one first), then text hash, then line; equal rows share the
 result. Other columns are kept or ignored, whatever their names.
@@ -28,6 +28,7 @@ DEPTH = 3
 MIN_DOCS = 10
 MIN_TOKENS = 5
 SIMILARITY = 0.8
+LONG_TOKENS = 50
 VARIABLE = "<*>"
 # A token that has a digit. It only matches from the start of a token, so a very long token costs one pass.
 _WITH_DIGIT = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*+"
@@ -53,15 +54,25 @@ def _leaf(lines: DataFrame, *keep: str, depth: int, min_tokens: int) -> DataFram
 
 
 def templates(
-    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY
+    docs: DataFrame,
+    depth: int = DEPTH,
+    min_docs: int = MIN_DOCS,
+    min_tokens: int = MIN_TOKENS,
+    similarity: float = SIMILARITY,
+    exact: bool = False,
 ) -> DataFrame:
-    """``leaf, line_hash, template``: the recurring template of every parsed line that has one."""
+    """``leaf, line_hash, template``: the recurring template of every parsed line that has one.
+
+    With ``exact``, lines of fewer than ``min_tokens`` tokens recur by their masked form, and those of over ``LONG_TOKENS``
+    already if two documents have it.
+    """
+    enough = F.when(F.lit(exact) & (F.col("n_tokens") > LONG_TOKENS), 2).otherwise(min_docs)
     per_doc = docs.select(F.explode(F.array_distinct(parsed_lines(F.col("text")))).alias("line"))
-    lines = _leaf(per_doc, depth=depth, min_tokens=min_tokens).groupBy("leaf", "n_tokens", "line").agg(F.count(F.lit(1)).alias("n"))
-    busy = lines.groupBy("leaf").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs).select("leaf")
-    leaves = cut(lines.join(busy, "leaf", "left_semi"), "busy-leaves")
+    lines = _leaf(per_doc, depth=depth, min_tokens=1 if exact else min_tokens).groupBy("leaf", "n_tokens", "line").agg(F.count(F.lit(1)).alias("n"))
+    busy = lines.groupBy("leaf", "n_tokens").agg(F.sum("n").alias("total")).where(F.col("total") >= enough).select("leaf", "total")
+    leaves = cut(lines.join(busy, "leaf"), "busy-leaves")
 
-    placed = leaves.select("leaf", "n_tokens", "n", F.xxhash64("line").alias("line_hash"), F.posexplode(F.split("line", " ")).alias("place", "token"))
+    placed = leaves.where((F.col("n_tokens") >= min_tokens) & (F.col("total") >= min_docs)).select("leaf", "n_tokens", "n", F.xxhash64("line").alias("line_hash"), F.posexplode(F.split("line", " ")).alias("place", "token"))
     support = placed.groupBy("leaf", "place", "token").agg(F.sum("n").alias("support"))
     support = support.where(F.col("support") >= min_docs).drop("support")
     support = support.where(~F.contains("token", F.lit(VARIABLE))).withColumn("constant", F.lit(True))
@@ -78,7 +89,7 @@ def templates(
     similar = general.join(recurring.select("leaf", "template"), ["leaf", "template"]).select("leaf", "line_hash", "template")
 
     worded = F.exists(F.split("line", " "), lambda x: ~F.contains(x, F.lit(VARIABLE)))
-    same = leaves.where(F.col("n") >= min_docs).where(worded).select("leaf", F.xxhash64("line").alias("line_hash"))
+    same = leaves.where(F.col("n") >= enough).where(worded).select("leaf", F.xxhash64("line").alias("line_hash"))
     known = similar.unionAll(same.withColumn("template", F.lit(None).cast("long"))).groupBy("leaf", "line_hash")
     return known.agg(F.max("template").alias("template")).withColumn("template", F.coalesce("template", "line_hash"))
 
@@ -94,11 +105,12 @@ def dropped_lines(
     min_tokens: int = MIN_TOKENS,
     similarity: float = SIMILARITY,
     keep_first: bool = True,
+    exact: bool = False,
 ) -> DataFrame:
     """``doc_id, text_hash, dropped``: the line numbers (from 0) that go, for the documents that lose any."""
-    known = templates(docs, depth, min_docs, min_tokens, similarity)
+    known = templates(docs, depth, min_docs, min_tokens, similarity, exact)
     numbered = _rows(docs).select("doc_id", "text_hash", F.posexplode(parsed_lines(F.col("text"))).alias("number", "line"))
-    lines = _leaf(numbered, "doc_id", "text_hash", "number", depth=depth, min_tokens=min_tokens)
+    lines = _leaf(numbered, "doc_id", "text_hash", "number", depth=depth, min_tokens=1 if exact else min_tokens)
     lines = lines.select("doc_id", "text_hash", "number", "leaf", F.xxhash64("line").alias("line_hash"))
     hits = lines.join(known, ["leaf", "line_hash"]).select("doc_id", "text_hash", "number", "leaf", "template")
     if keep_first:

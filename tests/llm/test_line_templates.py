@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from tablepulse.llm import line_templates
 from tests.llm.conftest import docs_of, prose
 
@@ -94,6 +95,15 @@ def test_lines_of_one_masked_form_recur_with_production_values(spark):
     assert all("Seen" in left[100 + i] for i in range(line_templates.MIN_DOCS - 1))
 
 
+def test_short_and_long_lines_recur_in_the_pipeline(spark):
+    long = [" ".join(f"{'abcdefghij'[i]}{c}" for c in "abcdefghijklmnopqrstuvwxyz" * 2) for i in range(2)]
+    rows = [(i, f"All rights reserved.\n\n{long[i % 2] if i < 6 else ''}\nonly {'abcdefghijkl'[i]}") for i in range(12)]
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs_of(spark, rows), "").collect()}
+    assert [i for i in left if "rights" in left[i]] == [0]
+    assert sorted(i for i in left if len(left[i]) > 60) == [0, 1]
+    assert all(left[i].endswith(f"only {'abcdefghijkl'[i]}") for i in left)
+
+
 def test_very_long_tokens_and_lines(spark):
     rows = [(i, "x" * 200_000 + "\n" + "a b c d e " * 5_000) for i in range(3)]
     found = line_templates.line_report(docs_of(spark, rows), min_docs=2).collect()
