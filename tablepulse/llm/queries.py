@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablepulse.llm import (
     chunks,
@@ -12,11 +13,14 @@ from tablepulse.llm import (
     html_text,
     licences,
     line_templates,
+    merkle,
+    negatives,
     packing,
     quality,
     quotes,
     simhash,
     sql,
+    suffixes,
     tokens,
 )
 from tablepulse.llm.common import table
@@ -66,6 +70,19 @@ def op10_line_templates(spark, folder):
     return line_templates.line_report(table(spark, folder, "documents"))
 
 
+def op11_merkle_intervals(spark, folder):
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
+def op12_suffix_merge(spark, folder):
+    left = suffixes.without_repeats(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_slot_negatives(spark, folder):
+    return negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -79,6 +96,9 @@ QUERIES: dict[str, Query] = {
         op8_quality_cascade,
         op9_licence_digests,
         op10_line_templates,
+        op11_merkle_intervals,
+        op12_suffix_merge,
+        op13_slot_negatives,
     )
 }
 
@@ -89,4 +109,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_quality_cascade": sql.quality_sql(),
     "op9_licence_digests": sql.licence_sql(),
     "op10_line_templates": sql.template_sql(),
+    "op11_merkle_intervals": sql.manifest_sql(),
+    "op12_suffix_merge": sql.repeats_sql(),
+    "op13_slot_negatives": sql.negatives_sql(),
 }

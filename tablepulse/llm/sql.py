@@ -5,7 +5,7 @@ The SQL states each result directly (lists of words, windows, plain joins) and s
 
 from __future__ import annotations
 
-from tablepulse.llm import decontam, licences, line_templates, quality
+from tablepulse.llm import decontam, licences, line_templates, merkle, negatives, quality, suffixes
 
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -101,3 +101,78 @@ def template_sql() -> str:
         FROM d LEFT JOIN gone USING (r))
       SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(l) END AS n_lines, coalesce(len(gone), 0) AS n_dropped,
         length(kept) AS n_chars, sha256(kept) AS kept_sha256 FROM z"""
+
+
+def _levels(name: str, first: str, rounds: int) -> str:
+    """Tables ``<name>k(t, i, d, n)`` of nodes and ``<name>sk(t, i, grows, l, r)`` of siblings; a tree of one node stays as it is."""
+    f, parts = merkle.FANOUT, [f"{name}0 AS ({first})"]
+    for k in range(1, rounds + 1):
+        below = f"{name}{k - 1}"
+        parts += [
+            f"""{name}s{k} AS (SELECT a.t, a.i, any_value(a.n) > 1 AS grows, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+            coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+            FROM {below} a JOIN {below} b ON a.t = b.t AND a.i // {f} = b.i // {f} GROUP BY a.t, a.i)""",
+            f"""{name}{k} AS (SELECT t, i // {f} AS i, CASE WHEN max(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d,
+            (max(n) + {f - 1}) // {f} AS n FROM {below} GROUP BY t, i // {f})""",
+        ]
+    return ", ".join(parts)
+
+
+def manifest_sql(leaf_rounds: int = 7, tree_rounds: int = 2) -> str:
+    """For up to 8^7 rows of a language and 8^2 languages: the levels are written out one by one."""
+
+    def leaf(text: str) -> str:
+        framed = [f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in (text if c == "text" else f"CAST({c} AS VARCHAR)" for c in merkle.FIELDS)]
+        return f"sha256({' || '.join(framed)})"
+
+    byte = "list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, x: {byte}), 4294967295)"
+    lowered = leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")
+    steps = ["p0 AS (SELECT doc_id, leaf, t, i, seen AS d, '' AS proof FROM o)"]
+    steps += [
+        f"""p{k} AS (SELECT doc_id, leaf, t, i // {merkle.FANOUT} AS i, CASE WHEN grows THEN sha256(l || d || r) ELSE d END AS d, proof || l || r AS proof
+            FROM p{k - 1} JOIN as{k} USING (t, i))""" for k in range(1, leaf_rounds + 1)
+    ]
+    steps.append(f"""q0 AS (SELECT doc_id, leaf, f0.t, f0.i, p.d, proof, f0.d AS subroot FROM p{leaf_rounds} p JOIN f0 ON f0.lang = p.t)""")
+    steps += [
+        f"""q{k} AS (SELECT doc_id, leaf, t, i // {merkle.FANOUT} AS i, CASE WHEN grows THEN sha256(l || d || r) ELSE d END AS d, proof || l || r AS proof, subroot
+            FROM q{k - 1} JOIN fs{k} USING (t, i))""" for k in range(1, tree_rounds + 1)
+    ]
+    subroots = f"SELECT '' AS t, t AS lang, row_number() OVER (ORDER BY t) - 1 AS i, d, count(*) OVER () AS n FROM a{leaf_rounds}"
+    return f"""WITH h AS (SELECT doc_id, coalesce('=' || lang, '') AS t, {leaf('text')} AS leaf,
+        CASE WHEN {crc} % {merkle.TAMPER_EVERY} = 0 THEN {lowered} ELSE {leaf('text')} END AS seen FROM documents),
+      o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM h),
+      {_levels("a", "SELECT t, i, leaf AS d, n FROM o", leaf_rounds)}, {_levels("f", subroots, tree_rounds)}, {", ".join(steps)}
+      SELECT doc_id, leaf, subroot, f{tree_rounds}.d AS root, sha256(proof) AS proof_sha256, q.d AS folded_root, q.d = f{tree_rounds}.d AS verified
+      FROM q{tree_rounds} q JOIN f{tree_rounds} USING (t)"""
+
+
+def repeats_sql() -> str:
+    n = suffixes.LENGTH
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+      w AS (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - {n - 1})) AS p FROM d),
+      k AS (SELECT r, doc_id, p, md5(substr(h, 2 * p + 1, {2 * n})) AS k FROM w),
+      o AS (SELECT r, p, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, p) AS place FROM k),
+      s AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + {n}, true) AS new FROM o WHERE place > 1),
+      g AS (SELECT r, p, sum(CAST(new AS INT)) OVER (PARTITION BY r ORDER BY p) AS g FROM s),
+      spans AS (SELECT r, min(p) AS a, max(p) + {n} AS b FROM g GROUP BY r, g),
+      gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS c FROM spans),
+      x AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a)
+        || any_value(substr(h, 2 * last + 1)) AS kept FROM (SELECT *, max(b) OVER (PARTITION BY r) AS last FROM gaps) JOIN d USING (r) GROUP BY r)
+      SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+        sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN x USING (r)"""
+
+
+def negatives_sql() -> str:
+    m = negatives
+    return f"""WITH e AS (SELECT vec_id, CASE WHEN vec_id % {m.FLIP_EVERY} = 0 THEN (label + 1) % {m.LABELS} ELSE label END AS label,
+        list_transform(embedding, lambda x: floor({m.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+        FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % {m.ANCHOR_EVERY} = 0),
+      p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {m.POSITIVES})
+      SELECT anchor_id, p.vec_id AS positive_id,
+        CAST(row_number() OVER (PARTITION BY anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank, s.vec_id AS negative_id,
+        p.score AS positive_score, s.score AS negative_score FROM p JOIN s USING (anchor_id)
+      WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= {m.NEGATIVES}"""

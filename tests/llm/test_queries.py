@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables a
 @pytest.fixture(scope="module")
 def tables():
     connection = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "embeddings"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{FOLDER}/{name}.parquet')")
     return connection
 
@@ -40,7 +40,7 @@ def test_query_matches_sql(spark, tables, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op1_length_buckets", "op2_viterbi_counts", "op3_gear_chunks", "op4_line_blocks", "op5_simhash_anchors", "op7_quotation_links"])
