@@ -166,7 +166,8 @@ def shard_transform(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     key = np.zeros(n, np.uint64)
     for i in range(7):  # 9 bits a byte, and nothing after the end of a string
         key <<= np.uint64(9)
-        key[: n - i] |= np.where(left[: n - i] >= i, symbol[i:], 0) if n > i else key[:0]
+        inside = np.flatnonzero(left >= i)
+        key[inside] |= symbol[inside + i]
     rank = _dense(key)
     width = 7
     while width < LENGTH:
