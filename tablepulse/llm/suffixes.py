@@ -4,22 +4,24 @@ Every byte that lies in a string of ``LENGTH`` bytes which also starts earlier i
 ``doc_id``, or further left in the same document. Texts are UTF-8 bytes, and matches never cross documents.
 
 Strings. A *window* is a string of ``LENGTH`` bytes, and its anchor the smallest of the hashes of its ``GRAM``-byte
-grams. Equal windows have equal anchors. Neighbouring windows of one anchor form a *stretch*, about 27 windows on
+grams. Equal windows have equal anchors. Neighbouring windows of one anchor form a *stretch*, about 33 windows on
 average. Only an anchor that occurs twice can belong to a repeated window, so stretches are counted by their anchor (a
 map-side combined sum) and those of single anchors are settled. Equal stretches are one *string* with its first
 occurrence: all windows of the other occurrences start earlier too.
 
-Merging. Strings of one anchor meet in one task, several anchors at a time and sorted by anchor. The task cuts its
-strings into shards, sorts the suffixes of each shard once, by their first ``LENGTH`` bytes, and keeps the shard's
-transform: the byte before each suffix, in order. The transforms are merged by refining their interleave, the number of
-the shard that each suffix of the merged order comes from. Round k turns the order by k - 1 bytes into the order by k
-bytes: reading the merged transform in the present order and sorting it stably by byte tells from which shard the next
-suffix beginning with that byte comes. No suffix is compared or sorted again. A boundary is set where the byte or the
-block of the round before changes, so a boundary first set in round k stands for a common prefix of k - 1 bytes. After
-``LENGTH`` rounds the blocks without a boundary are the repeated intervals: all windows with the same bytes. Every
-window of an interval but the first one by place starts earlier somewhere else.
-
-Wide anchors. If the strings of one anchor exceed ``WIDE_BYTES``, each of their windows becomes a string of its own:
+Merging. A string that is alone with its anchor, and in which the anchor occurs once, has nothing to be merged with. The
+others meet in one task, several anchors at a time and sorted by anchor. The task cuts its strings into shards, sorts the
+suffixes of each shard once, by their first ``LENGTH`` bytes, and keeps the shard's transform: the byte before each
+suffix, in order. The transforms are merged by refining their interleave, which says from which shard, and from which
+place in its order, each suffix of the merged order comes. Round k turns the order by k - 1 bytes into the order by k
+bytes: the merged transform, read in the present order and sorted stably by byte, lists the suffixes one byte longer, and
+where they stand in their shards follows from the transforms alone. No suffix is compared or sorted again. A boundary is
+set where the byte or the block of the round before changes, so a boundary first set in round k stands for a common
+prefix of k - 1 bytes. A block of one suffix is settled, as are all that grow out of it, and is left out of later rounds.
+The blocks that are left after ``LENGTH`` rounds are the repeated intervals: all windows with the same bytes. Every window
+of an interval but the first one by place starts earlier somewhere else.
+
+Wide anchors. If these strings of one anchor exceed ``WIDE_BYTES``, each of their windows becomes a string of its own:
 equal ones collapse to their first occurrence before anything meets, and nothing is left to merge. This is exact as well.
 
 At scale. Three things are shuffled: anchors with a count, repeated stretches, and texts that hold strings to be merged
@@ -27,7 +29,8 @@ or bytes to be removed. Stretches end at ``PIECE`` windows, so that a text of on
 and texts are hashed a bounded piece at a time. A document's own spans meet in its own task only.
 
 NULL and empty texts have no bytes and keep none. Equal rows (same ``doc_id`` and text) are one document and share its
-result. Different texts under one ``doc_id`` are ordered by a hash of the text, and a missing ``doc_id`` comes first.
+result. Different texts under one ``doc_id`` are ordered by a hash of the text, which is only carried along if a table
+has such rows, and a missing ``doc_id`` comes first.
 Empty tables give no rows. Further columns are ignored, whatever their names.
 """
 
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 from tablepulse.llm.common import cut, same_row, text_hash
 
 LENGTH = 100
-GRAM = 52
+GRAM = 36
 PIECE = 1024
 PIECE_BYTES = 1 << 20
 SHARD_BYTES = 1 << 16
@@ -54,7 +57,7 @@ END = 0xFF  # no byte of UTF-8 text; ends every string
 
 _RANDOM = np.random.default_rng(20240531).integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-_STRETCH = "doc_id long, text_hash long, start int, n int, anchor long, print long"
+_STRETCH = "doc_id long, text_hash long, start int, n int, anchor long, print long, times int"
 _SPAN = "doc_id long, text_hash long, start int, end int"
 
 
@@ -137,14 +140,14 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         docs, hashes = batch.column("doc_id"), batch.column("text_hash")
         for first, _, data, ends in _texts(batch):
             begins = np.concatenate(([0], ends[:-1]))
-            for start, n, anchor, _ in stretches(data, ends):
+            for start, n, anchor, times in stretches(data, ends):
                 text = np.searchsorted(ends, start, side="right")
                 view = memoryview(data)
                 prints = [xxhash.xxh3_64_intdigest(view[s : s + k]) for s, k in zip(start.tolist(), (n + LENGTH - 1).tolist(), strict=True)]
                 row = pa.array(text + first)
                 columns = [
                     docs.take(row), hashes.take(row), pa.array(start - begins[text], pa.int32()), pa.array(n, pa.int32()), pa.array(anchor),
-                    pa.array(np.array(prints, np.uint64).view(np.int64)),
+                    pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(times, pa.int32()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _STRETCH.split(", ")])
 
@@ -191,31 +194,39 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return rank
 
 
-def merge(transforms: list[np.ndarray], ends: list[int], rounds: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """``interleave, block``: for each suffix of the merged order its shard, and the number of its block.
+def steps(transform: np.ndarray) -> np.ndarray:
+    """For each suffix of a shard the place of the one that is a byte longer, -1 if there is none.
 
-    ``ends`` are the numbers of strings of the shards. Suffixes of one block agree in their first ``rounds`` bytes. The
-    suffixes without bytes come first, each in a block of its own, shard by shard, and never move.
+    The suffixes that begin with a byte stand in the order of those they extend, as the transform lists them.
+    """
+    longer = np.full(len(transform), -1, np.int32)
+    order = np.argsort(transform, kind="stable")  # END, the largest, is before no suffix
+    n_ends = np.count_nonzero(transform == END)
+    longer[order[: len(order) - n_ends]] = np.arange(n_ends, len(order))
+    return longer
+
+
+def merge(transforms: list[np.ndarray], rounds: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """``places, blocks`` of the suffixes that share their first ``rounds`` bytes with others, in merged order.
+
+    Places count through all shards. Suffixes of one block agree in these bytes; the rest are settled.
     """
     merged = np.concatenate(transforms)
-    n, n_ends = len(merged), sum(ends)
-    small = np.min_scalar_type(max(len(transforms) - 1, 1))
-    fixed = np.repeat(np.arange(len(ends)), ends).astype(small)
-    interleave = np.repeat(np.arange(len(ends)), [len(t) for t in transforms]).astype(small)
-    block = np.zeros(n, np.int32)
-    symbol = np.empty(n, np.uint8)
-    count = 1
+    begins = np.cumsum([0, *map(len, transforms)], dtype=np.int32)
+    longer = np.concatenate([steps(t) + at for t, at in zip(transforms, begins, strict=False)])
+    interleave = np.arange(len(merged), dtype=np.int32)
+    block = np.zeros(len(merged), np.int32)
     for _ in range(rounds):
-        symbol[np.argsort(interleave, kind="stable")] = merged  # each shard's transform is read in its own order
-        order = np.argsort(symbol, kind="stable")[: n - n_ends]  # END, the largest symbol, is before no suffix
-        bytes_, blocks = symbol[order], block[order]
-        changes = np.ones(n, bool)
-        changes[n_ends + 1 :] = (bytes_[1:] != bytes_[:-1]) | (blocks[1:] != blocks[:-1])
-        interleave = np.concatenate((fixed, interleave[order]))
-        block = np.cumsum(changes, dtype=np.int32)
-        if block[-1] == count:  # no block was split, so none will be
+        symbol = merged[interleave]
+        order = np.argsort(symbol, kind="stable")[: np.count_nonzero(symbol != END)]
+        symbol, block = symbol[order], block[order]
+        interleave = longer[interleave[order]]
+        begin = np.ones(len(order) + 1, bool)
+        begin[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        several = ~(begin[:-1] & begin[1:])
+        interleave, block = interleave[several], np.cumsum(begin[:-1], dtype=np.int32)[several]
+        if not len(interleave):
             break
-        count = int(block[-1])
     return interleave, block
 
 
@@ -230,25 +241,23 @@ def repeated_windows(strings: list[bytes], windows: list[int], place: np.ndarray
     data = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
     shard_of = (begins // SHARD_BYTES).astype(np.int64)
     cuts = np.flatnonzero(np.concatenate(([True], shard_of[1:] != shard_of[:-1], [True])))
-    orders, transforms, ends = [], [], []
+    orders, transforms = [], []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         at, to = int(begins[a]), int(begins[b - 1] + lengths[b - 1])
         order, transform = shard_transform(data[at:to], lengths[a:b])
         orders.append(order + at)
         transforms.append(transform)
-        ends.append(b - a)
-    interleave, block = merge(transforms, ends)
-    places = np.empty(len(data), np.int64)
-    places[np.argsort(interleave, kind="stable")] = np.concatenate(orders)
+    interleave, block = merge(transforms)
+    places = np.concatenate(orders)[interleave]
 
     string = np.repeat(np.arange(len(strings)), lengths)
     offset = np.arange(len(data)) - begins[string]
     is_window = (offset < np.asarray(windows)[string])[places]
     at, group = places[is_window], block[is_window]
     order = np.lexsort((place[string[at], 1] + offset[at], place[string[at], 0], group))
-    first = np.concatenate(([True], group[order][1:] != group[order][:-1]))
+    later = np.flatnonzero(group[order][1:] == group[order][:-1]) + 1
     earlier = np.zeros(len(data), bool)
-    earlier[at[order[~first]]] = True
+    earlier[at[order[later]]] = True
     return [earlier[b : b + w] for b, w in zip(begins.tolist(), windows, strict=True)]
 
 
@@ -294,14 +303,16 @@ def _settled(held: list[tuple]) -> pa.RecordBatch:
 # ---- the tables ----
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("binary").alias("text")
-    )
+def documents(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, text``; the hash is zero for all unless some ``doc_id`` has different texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    ends = rows.groupBy("doc_id").agg((F.min("text_hash") < F.max("text_hash")).alias("several"))
+    several = ends.agg(F.max("several")).first()[0]
+    return rows if several else rows.withColumn("text_hash", F.lit(0).cast("long"))
 
 
-def _with_known(docs: DataFrame, per_doc: DataFrame, how: str, *fields: str) -> DataFrame:
-    """Rows of ``docs`` beside the rows of ``per_doc`` about their document, as the array ``known`` of ``fields``.
+def _with_known(rows: DataFrame, per_doc: DataFrame, how: str, *fields: str) -> DataFrame:
+    """Documents beside the rows of ``per_doc`` about their document, as the array ``known`` of ``fields``.
 
     These are grouped by a hash beside the key, so that both sides of the join are plain shuffles, which adaptive
     execution can split if one row is repeated very often. Copies of a row say the same, once.
@@ -309,7 +320,7 @@ def _with_known(docs: DataFrame, per_doc: DataFrame, how: str, *fields: str) ->
     known = per_doc.groupBy(F.xxhash64("doc_id", "text_hash"), F.col("doc_id").alias("k"), F.col("text_hash").alias("h")).agg(
         F.collect_set(F.struct(*fields)).alias("known")
     )
-    return _rows(docs).join(known.select("k", "h", "known"), same_row((F.col("doc_id"), F.col("text_hash")), (F.col("k"), F.col("h"))), how)
+    return rows.join(known.select("k", "h", "known"), same_row((F.col("doc_id"), F.col("text_hash")), (F.col("k"), F.col("h"))), how)
 
 
 _STRING = "doc_id long, text_hash long, start int, n int, anchor long, wide boolean, string binary"
@@ -351,23 +362,26 @@ def _later(rows: DataFrame, *group: str) -> DataFrame:
     return rows.join(first, list(group)).where(~F.col("first").eqNullSafe(place)).drop("first")
 
 
-def repeated_spans(docs: DataFrame, wide_bytes: int = WIDE_BYTES) -> DataFrame:
-    """Spans of bytes that start earlier, window by window: ``doc_id, text_hash, start, end``; they may overlap."""
-    rows = _rows(docs)
+def repeated_spans(rows: DataFrame, wide_bytes: int = WIDE_BYTES) -> DataFrame:
+    """Spans of bytes that start earlier, window by window: ``doc_id, text_hash, start, end``; they may overlap.
+
+    ``rows`` are ``documents``.
+    """
     counted = rows.select("text").mapInArrow(_anchor_rows, "anchor long, times long").groupBy("anchor").agg(F.sum("times").alias("times"))
     again = cut(counted.where("times > 1").select("anchor"), "anchors")
     found = cut(rows.mapInArrow(_stretch_rows, _STRETCH).join(again, "anchor"), "stretches")
 
     group = ["anchor", "print", "n"]
-    first = found.groupBy(*group).agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"))
-    first = cut(first.select("anchor", "n", "first.*"), "strings")
+    first = found.groupBy(*group).agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"), F.max("times").alias("times"))
+    first = cut(first.select("anchor", "n", "times", "first.*"), "strings")
     # All windows of a stretch that is equal to an earlier one start earlier.
     copies = _later(found, *group).select("doc_id", "text_hash", "start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("end"))
 
-    sizes = first.groupBy("anchor").agg(F.sum(F.col("n") + (LENGTH - 1)).alias("bytes"))
-    wide = sizes.where(F.col("bytes") > wide_bytes).select("anchor", F.lit(True).alias("wide"))
-    wanted = first.join(wide, "anchor", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
-    strings = _with_known(docs, wanted, "inner", "start", "n", "anchor", "wide").mapInArrow(_strings, _STRING)
+    # Grouped with a hash beside the anchor, so that both sides of the join are plain shuffles.
+    sizes = first.groupBy(F.xxhash64("anchor"), "anchor").agg(F.count(F.lit(1)).alias("strings"), F.max("times").alias("most"), F.sum(F.col("n") + (LENGTH - 1)).alias("bytes"))
+    together = sizes.where("strings > 1 OR most > 1").select("anchor", (F.col("bytes") > wide_bytes).alias("wide"))
+    wanted = first.drop("times").join(together, "anchor")
+    strings = _with_known(rows, wanted, "inner", "start", "n", "anchor", "wide").mapInArrow(_strings, _STRING)
     strings = cut(strings, "string-bytes")
     merged = strings.where(~F.col("wide")).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "text_hash", "start")
     merged = merged.mapInArrow(_merged_rows, _SPAN)
@@ -402,5 +416,6 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame, wide_bytes: int = WIDE_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` for every row: the bytes that are left, and the maximal runs removed."""
-    joined = _with_known(docs, repeated_spans(docs, wide_bytes), "left", "start", "end")
+    rows = documents(docs)
+    joined = _with_known(rows, repeated_spans(rows, wide_bytes), "left", "start", "end")
     return joined.select("doc_id", "text", "known").mapInArrow(_cut_out, _KEPT)

@@ -89,23 +89,24 @@ def test_empty_table(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_interleave_is_the_sorted_order(seed):
-    """Merged transforms put all suffixes in order by their first bytes, and blocks are the groups of equal ones."""
+def test_merged_order_and_repeated_intervals(seed):
+    """The suffixes left are those whose first bytes occur twice, in order, and blocks are the groups of equal ones."""
     rng = random.Random(seed)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 30))) for _ in range(20)] + [b"abab" * 8] * 3
-    for rounds in (1, 3, 40):
+    for rounds in (1, 3, 15, 40):
         shards = [strings[:7], strings[7:8], strings[8:]]
-        orders, transforms = [], []
+        suffixes_, transforms = [], []
         for shard in shards:
             data = np.frombuffer(b"".join(s + b"\xff" for s in shard), np.uint8)
             order, transform = suffixes.shard_transform(data, np.array([len(s) + 1 for s in shard]))
-            suffix = [s[i:] for s in shard for i in range(len(s) + 1)]
-            orders.append([suffix[i] for i in order])
+            own = [s[i:] for s in shard for i in range(len(s) + 1)]
+            assert [own[i] for i in order] == sorted(own)
+            suffixes_ += [own[i] for i in order]
             transforms.append(transform)
-        interleave, block = suffixes.merge(transforms, [len(s) for s in shards], rounds)
-        readers = [iter(o) for o in orders]
-        merged = [next(readers[z])[:rounds] for z in interleave.tolist()]
-        assert merged == sorted(s[i:][:rounds] for s in strings for i in range(len(s) + 1))
-        whole = [(m, k) for m, k in zip(merged, block.tolist(), strict=True) if len(m) == rounds]
-        for (m, k), (m2, k2) in zip(whole, whole[1:]):
-            assert (m == m2) == (k == k2)
+        places, blocks = suffixes.merge(transforms, rounds)
+        merged = [suffixes_[i][:rounds] for i in places]
+        heads = Counter(s[i : i + rounds] for s in strings for i in range(len(s) - rounds + 1))
+        assert merged == sorted(h for h, n in heads.items() if n > 1 for _ in range(n))
+        assert len(set(places.tolist())) == len(places)
+        for i in range(1, len(merged)):
+            assert (merged[i] == merged[i - 1]) == (blocks[i] == blocks[i - 1])
