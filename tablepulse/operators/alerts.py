@@ -75,8 +75,8 @@ def not_yet_raised(batch: DataFrame, alerts: DataFrame, only_open: bool = False)
     return batch.join(alerts.where(pending).select("kpi_id").distinct(), "kpi_id", "left_anti")
 
 
-def raised(batch: DataFrame, alerts: DataFrame, created_at: Column) -> DataFrame:
-    """The batch as full alert rows: new ids, status Open."""
+def raised(batch: DataFrame, alerts: DataFrame | int, created_at: Column) -> DataFrame:
+    """The batch as full alert rows: new ids after those of ``alerts`` or after a number, status Open."""
     numbered = with_next_ids(batch, alerts, "alert_id", ["ordinal"])
     filled = numbered.withColumns(
         {

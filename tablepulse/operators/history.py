@@ -32,24 +32,31 @@ def capture(kpis: DataFrame, rules: Iterable[Rule], label: str | None, captured_
     return wide.select(captured_at.alias("captured_at"), F.lit(label).cast("string").alias("label"), "*")
 
 
-def with_next_ids(batch: DataFrame, existing: DataFrame, id_column: str, order: Iterable[str]) -> DataFrame:
+def _highest(existing: DataFrame | int, id_column: str) -> Column:
+    """The highest id given so far: a number that a ledger's commit holds, or the table's present maximum."""
+    if isinstance(existing, int):
+        return F.lit(existing).cast("long")
+    return existing.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long")).scalar()
+
+
+def with_next_ids(batch: DataFrame, existing: DataFrame | int, id_column: str, order: Iterable[str]) -> DataFrame:
     """Number a small batch from the highest existing id upwards; more than ``MAX_BATCH`` rows are an error.
 
     Such a batch is one row per rule or the like and is numbered by one task; ``numbered_by`` takes any size.
     """
-    highest = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long")).scalar()
+    highest = _highest(existing, id_column)
     position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
     checked = F.when(position <= MAX_BATCH, position).otherwise(F.raise_error(F.lit("too many rows to be numbered as a batch")))
     return batch.withColumn(id_column, highest + checked)
 
 
-def numbered_by(batch: DataFrame, existing: DataFrame, id_column: str, group: Column, order: Iterable[str]) -> DataFrame:
+def numbered_by(batch: DataFrame, existing: DataFrame | int, id_column: str, group: Column, order: Iterable[str]) -> DataFrame:
     """Number a batch of any size from the highest existing id upwards.
 
     ``group`` does not decrease along the order (a day, say). Every group numbers its own rows, and the number of rows
     in the groups before it is added, so only the counts of the groups meet in one task.
     """
-    highest = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long")).scalar()
+    highest = _highest(existing, id_column)
     grouped = batch.withColumn("_group", group)
     counts = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,10 +73,13 @@ def not_yet_captured(batch: DataFrame, history: DataFrame) -> DataFrame:
     return batch.join(seen, F.expr(second) == F.col("_second"), "left_anti")
 
 
-def appended(batch: DataFrame, history: DataFrame) -> DataFrame:
-    """The captures of a batch that are new, numbered and in table order; loading a batch twice adds nothing."""
+def appended(batch: DataFrame, history: DataFrame, highest: int | None = None) -> DataFrame:
+    """The captures of a batch that are new, numbered and in table order; loading a batch twice adds nothing.
+
+    ``highest`` is the last number given, where the table keeps it.
+    """
     new = not_yet_captured(batch, history)
-    numbered = numbered_by(new, history, "snapshot_id", F.to_date("captured_at"), ["captured_at"])
+    numbered = numbered_by(new, history if highest is None else highest, "snapshot_id", F.to_date("captured_at"), ["captured_at"])
     return numbered.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in KPI_SNAPSHOTS.fields))
 
 

@@ -16,8 +16,9 @@ from tablepulse.operators.drilldown import drilldown, failing_rows, failing_samp
 from tablepulse.operators.joins import not_in
 from tablepulse.operators.measure import row_counts
 from tablepulse.operators.rules import catalogue, find_rule, rules_of_entity, with_rule
+from tablepulse.operators.stored import Dated, StoredRates
 from tablepulse.plans import corrections, warehouse, wording
-from tablepulse.session import scratch_dir
+from tablepulse.session import scratch_dir, state_dir
 from tablepulse.sources import schemas, sinks
 from tablepulse.sources.tables import preview
 
@@ -52,8 +53,15 @@ KPI_QUERIES = {
     "biz03_flag_rate": "BIZ03",
 }
 DRILLDOWNS = tuple(r.kpi_id for r in warehouse.RULES if r.drillable)
-# Rules over dated rows, by the table or view and the date that periods are taken from.
-_DATED = (("events", "ts", ("RI01",)), ("dated_lines", "o_orderdate", ("CS02", "TP01", "BIZ01")), ("lineitem", "l_shipdate", ("BIZ03",)))
+# Rules over dated rows: the table or view, the date that periods are taken from, and the tables behind them.
+_DATED = tuple(
+    Dated(view, date, tuple(find_rule(warehouse.RULES, k) for k in kpi_ids), *tables)
+    for view, date, kpi_ids, *tables in (
+        ("events", "ts", ("RI01",), "events"),
+        ("dated_lines", "o_orderdate", ("CS02", "TP01", "BIZ01"), "orders", ("lineitem",)),
+        ("lineitem", "l_shipdate", ("BIZ03",), "lineitem"),
+    )
+)
 
 
 def _kpi(kpi_id: str) -> Query:
@@ -158,16 +166,10 @@ def failing_samples(spark, folder):
 
 
 def _monthly(spark: SparkSession, folder: str) -> DataFrame:
-    """``captured_at, kpi_id, num, den, value, label`` per month and rule over dated rows."""
-    tables = warehouse.load(spark, folder)
-    parts = [
-        history.rates_by_period(
-            tables[table], [find_rule(warehouse.RULES, k) for k in kpi_ids], F.to_date(F.date_trunc("month", date))
-        )
-        for table, date, kpi_ids in _DATED
-    ]
-    counted = reduce(DataFrame.unionAll, parts)
-    return counted.withColumn("label", F.when(F.col("value") >= 20, F.format_string("high %.1f", "value")))
+    """``captured_at, kpi_id, num, den, value, label`` per month and rule over dated rows, from stored counts."""
+    paths = {name: f"{folder}/{name}.parquet" for name in warehouse.BASE_TABLES}
+    store = StoredRates(spark, state_dir(spark, "rates", folder), paths, lambda narrowed: warehouse.load_files(spark, folder, narrowed), _DATED)
+    return store.read().withColumn("label", F.when(F.col("value") >= 20, F.format_string("high %.1f", "value")))
 
 
 def _overall(spark: SparkSession, folder: str) -> DataFrame:

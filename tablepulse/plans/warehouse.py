@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,6 +158,12 @@ def load(spark: SparkSession, folder: str) -> TableSet:
     return bind(read_tables(spark, folder, schemas.WAREHOUSE))
 
 
+def load_files(spark: SparkSession, folder: str, narrowed: Mapping[str, list[str]]) -> TableSet:
+    """``load``, with the tables in ``narrowed`` read from the given files only."""
+    some = {n: lambda _, n=n: spark.read.schema(schemas.WAREHOUSE[n]).parquet(*narrowed[n]) for n in narrowed}
+    return bind(with_views(read_tables(spark, folder, schemas.WAREHOUSE), some))
+
+
 # ---- state tables and texts, filled from the rows of the warehouse ----
 
 # Which KPI an event of a type reports on.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import SparkSession
@@ -23,15 +24,29 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new, unique folder path below the shared folder that every executor can reach.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that every executor can reach: ``spark.checkpoint.dir`` or the context's checkpoint directory.
 
-    The shared folder is ``spark.checkpoint.dir`` or the context's checkpoint directory. Where neither is
-    set, it is a folder in the warehouse, which every executor reaches as well.
+    Where neither is set, it is a folder in the warehouse, which only a local session is known to reach; others get an
+    error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    shared = shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if not shared:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"{warehouse}/_scratch"
+    return shared.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A new, unique folder path below the shared folder."""
+    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def state_dir(spark: SparkSession, purpose: str, about: str) -> str:
+    """The folder path below the shared folder for what is kept about ``about``, the same in every session."""
+    return f"{shared_dir(spark)}/{purpose}-{hashlib.sha256(about.encode()).hexdigest()[:24]}"
 
 
 def shuffle_settings(shuffled_bytes: int, cores: int) -> dict[str, str]:

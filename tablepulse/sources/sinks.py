@@ -69,20 +69,20 @@ def load_report(df: DataFrame, column: str) -> DataFrame:
     return counted.withColumn("total_rows", total).orderBy(F.desc("n"), "label")
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def _numbers(spark: SparkSession, root: str, finished: bool = False) -> list[int]:
-    target, fs = _file_system(spark, root)
+    target, fs = file_system(spark, root)
     if not fs.exists(target):
         return []
     names = [status.getPath().getName() for status in fs.listStatus(target)]
     kept = [n for n in names if n.startswith("v=")]
     if finished:
-        kept = [n for n in kept if fs.exists(_file_system(spark, f"{root}/{n}/_SUCCESS")[0])]
+        kept = [n for n in kept if fs.exists(file_system(spark, f"{root}/{n}/_SUCCESS")[0])]
     return sorted(int(n[2:]) for n in kept)
 
 

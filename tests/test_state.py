@@ -155,7 +155,7 @@ def test_versions_are_never_overwritten(spark):
     assert sinks.write_version(first, root) == 1
     # Another writer has begun the next version and not finished it.
     spark.range(1).write.parquet(f"{root}/v=2")
-    fs_path, fs = sinks._file_system(spark, f"{root}/v=2/_SUCCESS")
+    fs_path, fs = sinks.file_system(spark, f"{root}/v=2/_SUCCESS")
     fs.delete(fs_path, False)
     assert sinks.write_version(spark.range(5), root) == 3
     assert sinks.versions(spark, root) == [1, 3]
