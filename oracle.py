@@ -349,8 +349,9 @@ def _events(replaced: str) -> str:
 
 
 def _dated(date: str) -> str:
-    return f"""SELECT l_orderkey, l_linenumber, l_suppkey, l_linestatus,
-        strftime({date}, '%Y-%m-%d %H:%M:%S') AS l_shipdate FROM {LINES}"""
+    return f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag,
+        l_linestatus, strftime({date}, '%Y-%m-%d %H:%M:%S') AS l_shipdate,
+        strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM {LINES}"""
 
 
 RETURNED_OPEN = f"l_returnflag = 'R' AND {OPEN}"
@@ -574,7 +575,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "fix_date_order": _dated("CASE WHEN l_shipdate < o_orderdate THEN NULL ELSE l_shipdate END"),
     "fix_date_order_undone": _dated("CASE WHEN l_shipdate < o_orderdate OR l_shipdate IS NULL THEN o_orderdate ELSE l_shipdate END"),
-    "alerts_cleared": f"WITH {ALERTS} SELECT kpi_id, severity, status FROM a WHERE alert_id IS NULL",
+    "alerts_cleared": f"WITH {ALERTS} SELECT kpi_id, severity, status, message FROM a WHERE alert_id IS NULL OR severity = 'GREEN'",
     "fix_dry_run": DRY_RUN,
     "fix_before_after": _before_after(),
     "derive_shipments": DERIVED,

@@ -4,7 +4,8 @@
     python -m tablepulse --root /shared/freight load order --from /landing/order
     python -m tablepulse --root /shared/freight kpis
 
-Every command prints JSON lines. Commands that change a table write its next version.
+Every command prints JSON lines. Commands that change a base table write its next version; alerts and captures are
+ledgers, so several commands may add and change them at once, and a changed alert is written alone.
 """
 
 from __future__ import annotations
@@ -20,16 +21,21 @@ from tablepulse.operators.drilldown import drilldown
 from tablepulse.operators.rules import Tables
 from tablepulse.plans import corrections, cycle, freight, wording
 from tablepulse.sources import schemas, sinks
+from tablepulse.sources.ledger import Ledger
 from tablepulse.sources.tables import TableSet
 
 BASE = ("order", "order_shipment", "shipment")
+STATE_KEYS = {"kpi_snapshots": ("snapshot_id",), "dq_alerts": ("alert_id",)}
+
+
+def ledger(spark: SparkSession, root: str, name: str) -> Ledger:
+    return Ledger(spark, f"{root}/{name}", schemas.TABLES[name], STATE_KEYS[name])
 
 
 def open_tables(spark: SparkSession, root: str) -> TableSet:
-    """The latest version of every table; empty ones where nothing was written yet."""
-    return TableSet(
-        {n: lambda _, n=n: sinks.read_version(spark, f"{root}/{n}", schemas.TABLES[n]) for n in schemas.TABLES}
-    )
+    """The latest state of every table; empty ones where nothing was written yet."""
+    openers = {n: lambda _, n=n: sinks.read_version(spark, f"{root}/{n}", schemas.TABLES[n]) for n in BASE}
+    return TableSet({**openers, **{n: lambda _, n=n: ledger(spark, root, n).read() for n in STATE_KEYS}})
 
 
 def emit(df: DataFrame) -> None:
@@ -47,9 +53,8 @@ def write_all(before: Tables, after: Tables, root: str, names: Sequence[str]) ->
             sinks.write_version(after[name], f"{root}/{name}")
 
 
-def add_capture(tables: Tables, capture: DataFrame, root: str) -> None:
-    new = history.appended(capture, tables["kpi_snapshots"])
-    sinks.append_to_latest(new, f"{root}/kpi_snapshots")
+def add_capture(capture: DataFrame, table: Ledger) -> None:
+    table.append_made(lambda known, next_id: history.appended(capture, known, next_id - 1))
 
 
 def fix_for(kpi_id: str) -> fixes.Fix:
@@ -97,12 +102,16 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     tables = open_tables(spark, root)
     now = F.current_timestamp()
     if a.command == "init":
-        for name, schema in schemas.TABLES.items():
+        for name in BASE:
             if not sinks.versions(spark, f"{root}/{name}"):
-                sinks.write_version(sinks.empty_table(spark, schema), f"{root}/{name}")
+                sinks.write_version(sinks.empty_table(spark, schemas.TABLES[name]), f"{root}/{name}")
     elif a.command == "load":
-        schema = schemas.TABLES[a.table]
-        sinks.write_version(spark.read.schema(schema).parquet(a.source), f"{root}/{a.table}")
+        loaded = spark.read.schema(schemas.TABLES[a.table]).parquet(a.source)
+        if a.table in BASE:
+            sinks.write_version(loaded, f"{root}/{a.table}")
+        else:
+            highest = loaded.agg(F.max(STATE_KEYS[a.table][0])).first()[0] or 0
+            ledger(spark, root, a.table).replace(lambda _: loaded, next_id=highest + 1)
     elif a.command == "kpis":
         tabulated = {name: (tables[t], c) for name, t, c in freight.BREAKDOWNS}
         all_rules = scores.kpi_table(tables, freight.RULES)
@@ -114,19 +123,18 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     elif a.command == "history":
         emit(history.listing(tables["kpi_snapshots"]))
     elif a.command == "snapshot":
-        add_capture(tables, history.capture(kpi_table(tables), freight.RULES, a.label, now), root)
+        add_capture(history.capture(kpi_table(tables), freight.RULES, a.label, now), ledger(spark, root, "kpi_snapshots"))
     elif a.command == "alerts":
         emit(alerts.pending_alerts(tables["dq_alerts"]))
     elif a.command == "recent-fixes":
         emit(alerts.recent_fixes(tables["dq_alerts"]))
     elif a.command == "monitor":
-        known = tables["dq_alerts"]
-        new = cycle.detect(tables, freight.SCORED_RULES, wording.ALERT_TEXTS, known, now)
-        sinks.append_to_latest(new, f"{root}/dq_alerts")
+        ledger(spark, root, "dq_alerts").append_made(
+            lambda known, next_id: cycle.detect(tables, freight.SCORED_RULES, wording.ALERT_TEXTS, known, now, next_id - 1)
+        )
         emit(alerts.pending_alerts(open_tables(spark, root)["dq_alerts"]))
     elif a.command == "rootcause":
-        explained = cycle.explain(tables, freight.RULES, wording.CAUSES, tables["dq_alerts"], a.kpi, now)
-        sinks.write_version(explained, f"{root}/dq_alerts")
+        ledger(spark, root, "dq_alerts").change(lambda known: cycle.explained(tables, freight.RULES, wording.CAUSES, known, a.kpi, now))
         emit(open_tables(spark, root)["dq_alerts"].where(F.col("kpi_id") == a.kpi.upper()))
     elif a.command == "remediate":
         done = cycle.remediate(
@@ -136,9 +144,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         if a.approve:
             emit(done.compared)
             # The capture reads the tables as they were plus the fix, so it is written before new versions are.
-            add_capture(tables, done.capture, root)
+            add_capture(done.capture, ledger(spark, root, "kpi_snapshots"))
             write_all(tables, done.tables, root, BASE)
-            sinks.write_version(done.alerts, f"{root}/dq_alerts")
+            ledger(spark, root, "dq_alerts").change(lambda known: cycle.closed(known, fix_for(a.kpi), a.alert, a.explanation, now))
     elif a.command == "summary":
         emit(narrative.summary(kpi_table(tables), freight.RULES))
     elif a.command == "chat":
@@ -155,8 +163,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             emit(fixes.dry_run(tables, undo))
         if not a.dry_run:
             write_all(tables, fixes.apply_all(tables, undo), root, BASE)
-            sinks.write_version(alerts.cleared(tables["dq_alerts"]), f"{root}/dq_alerts")
-            sinks.write_version(history.without_label(tables["kpi_snapshots"], cycle.POST_FIX), f"{root}/kpi_snapshots")
+            ledger(spark, root, "dq_alerts").replace(alerts.cleared)
+            ledger(spark, root, "kpi_snapshots").replace(lambda known: history.without_label(known, cycle.POST_FIX))
 
 
 if __name__ == "__main__":

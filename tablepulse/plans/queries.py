@@ -20,6 +20,7 @@ from tablepulse.operators.stored import Dated, StoredRates
 from tablepulse.plans import corrections, warehouse, wording
 from tablepulse.session import scratch_dir, state_dir
 from tablepulse.sources import schemas, sinks
+from tablepulse.sources.ledger import Ledger
 from tablepulse.sources.tables import preview
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,18 +267,28 @@ def alerts_by_owner(spark, folder):
     return owned.groupBy("owner", "kpi_id", "severity").agg(F.count(F.lit(1)).alias("n_alerts"))
 
 
+def _alert_ledger(spark: SparkSession, folder: str) -> Ledger:
+    """The alerts as a table of which only changed rows are written."""
+    known = _alert_table(spark, folder)
+    return Ledger(spark, scratch_dir(spark, "alert-changes"), known.schema, ["alert_id"], known)
+
+
 def alerts_in_review(spark, folder):
-    explained = F.concat(F.lit("ROOT CAUSE: "), F.col("message"))
+    """The alerts after some were put under review: changed rows, written apart, laid over the rest."""
     which = (F.col("kpi_id") == "RI01") & (F.col("status") == alerts.OPEN)
-    changed = alerts.in_review(_alert_table(spark, folder), which, explained)
-    return changed.select("alert_id", "kpi_id", "message", "status")
+    explained = F.concat(F.lit("ROOT CAUSE: "), F.col("message"))
+    table = _alert_ledger(spark, folder)
+    table.update(which, lambda rows: alerts.in_review(rows, which, explained))
+    return table.read().select("alert_id", "kpi_id", "message", "status")
 
 
 def alerts_resolved(spark, folder):
+    """The alerts after some were closed: changed rows, written apart, laid over the rest."""
     which = (F.col("kpi_id") == "RI05") & (F.col("status") != alerts.RESOLVED)
     log = F.concat(F.lit(f"{CAPTURED_AT} | set to NULL | alert "), F.col("alert_id").cast("string"))
-    changed = alerts.resolved(_alert_table(spark, folder), which, log, F.lit(CAPTURED_AT).cast("timestamp_ntz"))
-    return changed.select(
+    table = _alert_ledger(spark, folder)
+    table.update(which, lambda rows: alerts.resolved(rows, which, log, F.lit(CAPTURED_AT).cast("timestamp_ntz")))
+    return table.read().select(
         "alert_id", "status", "remediation_log",
         F.date_format("resolved_at", "yyyy-MM-dd HH:mm:ss").alias("resolved_at"),
     )
@@ -373,7 +384,9 @@ def fix_status_words_undone(spark, folder):
 
 
 def _dated(lines: DataFrame) -> DataFrame:
-    return _lines(lines.select("l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus", "l_shipdate"))
+    """Whole lines with the date of their order."""
+    dated = _lines(lines.select(*schemas.WAREHOUSE["lineitem"].names, "o_orderdate"))
+    return dated.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 def fix_date_order(spark, folder):
@@ -386,8 +399,9 @@ def fix_date_order_undone(spark, folder):
 
 
 def alerts_cleared(spark, folder):
-    """Every alert with an id goes; those of events without an id stay."""
-    return alerts.cleared(_alert_table(spark, folder)).select("kpi_id", "severity", "status")
+    """Every alert with an id goes. Alerts that never were amber or red were given none, and stay."""
+    known = _alert_table(spark, folder).withColumn("alert_id", F.when(F.col("severity") != "GREEN", F.col("alert_id")))
+    return alerts.cleared(known).select("kpi_id", "severity", "status", "message")
 
 
 def fix_dry_run(spark, folder):
@@ -552,12 +566,10 @@ def captures_appended(spark, folder):
     )
     missing = {f.name: F.lit(None).cast(f.dataType) for f in schemas.KPI_SNAPSHOTS.fields if f.name not in (*months.columns, "snapshot_id")}
     batch = months.withColumns(missing)
-    sinks.create_if_absent(spark, path, schemas.KPI_SNAPSHOTS)
+    table = Ledger(spark, path, schemas.KPI_SNAPSHOTS)
     for rows in (batch.where("month(captured_at) <= 6"), batch, batch):
-        known = spark.read.schema(schemas.KPI_SNAPSHOTS).parquet(path)
-        sinks.append(history.appended(rows, known), path)
-    kept = spark.read.schema(schemas.KPI_SNAPSHOTS).parquet(path)
-    return kept.select(F.date_format("captured_at", "yyyy-MM-dd").alias("captured_on"), "overall_score", "label")
+        table.append_made(lambda known, next_id, rows=rows: history.appended(rows, known, next_id - 1))
+    return table.read().select(F.date_format("captured_at", "yyyy-MM-dd").alias("captured_on"), "overall_score", "label")
 
 
 QUERIES: dict[str, Query] = {

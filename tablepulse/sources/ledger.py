@@ -1,7 +1,7 @@
 """Tables that several writers append to and change: a log of commits over files that are never rewritten.
 
 A commit lists all *segments* of the table, each a folder of Parquet files. A segment holds either further rows or
-changed rows: whole rows that replace, by key, those of the segments before it, or take them away. A reader lays the
+changed rows: whole rows that replace all those of their keys in the segments before it, or take them away. A reader lays the
 changed rows over the rest, so changing a few rows writes a few rows. ``compact`` writes the present rows as one segment.
 
 A writer reads the latest commit, makes its rows from that state, writes them to a folder of their own, and then creates
@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,30 +47,37 @@ class Commit:
     segments: tuple[Segment, ...] = ()
     next_id: int = 1
     note: str = ""
+    compacted: bool = False  # the rows of the base are in the segments
+
+
+def _same_key(left: Sequence[str], right: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)))
 
 
 def overlaid(rows: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``rows`` with the latest change of each key laid over them.
+    """``rows`` with the latest changes of each key laid over them.
 
-    Both have ``_epoch``: a change applies to rows of smaller epochs. The changes also say, in ``_gone``, whether a row
-    goes. Only they are grouped; the rows meet one small record per changed key, which Spark broadcasts if it is small
-    enough. Rows without a key are never changed.
+    Both have ``_epoch``: the changes of an epoch replace all rows of their keys from smaller epochs. They also say, in
+    ``_gone``, whether a row goes. Only the changes are grouped; the rows meet one small record per changed key, which
+    Spark broadcasts if it is small enough. A missing key is a key like any other.
     """
     columns = [c for c in rows.columns if c != "_epoch"]
-    latest = changes.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in key))).groupBy(*key).agg(
-        F.max("_epoch").alias("_at"), F.max_by(F.struct(*columns, GONE), "_epoch").alias("_last")
-    )
-    at = latest.select(*(F.col(c).alias(f"_key_{c}") for c in key), "_at")
-    same = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_key_{c}") for c in key))
-    kept = rows.join(at, same & (F.col("_epoch") < F.col("_at")), "left_anti").select(*columns)
-    return kept.unionAll(latest.where(~F.col(f"_last.{GONE}")).select(*(F.col(f"_last.{c}").alias(c) for c in columns)))
+    names = [f"_key_{c}" for c in key]
+    latest = changes.groupBy(*(F.col(c).alias(n) for c, n in zip(key, names, strict=True))).agg(F.max("_epoch").alias("_at"))
+    kept = rows.join(latest, _same_key(key, names) & (F.col("_epoch") < F.col("_at")), "left_anti")
+    laid = changes.where(~F.col(GONE)).join(latest, _same_key(key, names) & (F.col("_epoch") == F.col("_at")), "left_semi")
+    return kept.select(*columns).unionAll(laid.select(*columns))
 
 
 class Ledger:
-    """One table below ``root``; ``key`` names the columns by which rows are changed."""
+    """One table below ``root``; ``key`` names the columns by which rows are changed.
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: Iterable[str] = ()):
+    With ``base`` the table begins with these rows, which stay where they are; only changes and further rows are written.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: Iterable[str] = (), base: DataFrame | None = None):
         self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, tuple(key)
+        self.base = None if base is None else self._typed(base)
 
     # ---- reading ----
 
@@ -88,7 +95,8 @@ class Ledger:
             stored = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return Commit(version, tuple(Segment(**s) for s in stored["segments"]), stored["next_id"], stored["note"])
+        segments = tuple(Segment(**s) for s in stored.pop("segments"))
+        return Commit(version, segments, **stored)
 
     def read(self, commit: Commit | None = None) -> DataFrame:
         """The rows as of a commit, the latest by default."""
@@ -101,10 +109,13 @@ class Ledger:
                 epochs.append([])
             else:
                 epochs[-1].append(segment.path)
+        parts = [(e, self._files(paths, self.schema)) for e, paths in enumerate(epochs) if paths]
+        if self.base is not None and not commit.compacted:
+            parts.append((0, self.base))
+        parts = parts or [(0, empty_table(self.spark, self.schema))]
         if not changes:
-            return self._files(epochs[0], self.schema) if epochs[0] else empty_table(self.spark, self.schema)
-        parts = [self._files(paths, self.schema).withColumn("_epoch", F.lit(e)) for e, paths in enumerate(epochs) if paths]
-        parts = parts or [empty_table(self.spark, self.schema).withColumn("_epoch", F.lit(0))]
+            return reduce(DataFrame.unionAll, [rows for _, rows in parts])
+        parts = [rows.withColumn("_epoch", F.lit(e)) for e, rows in parts]
         marked = T.StructType([*self.schema.fields, T.StructField(GONE, T.BooleanType())])
         over = [self._files([path], marked).withColumn("_epoch", F.lit(e)) for e, path in changes]
         return overlaid(reduce(DataFrame.unionAll, parts), reduce(DataFrame.unionAll, over), self.key)
@@ -129,7 +140,7 @@ class Ledger:
         return self._commit(build)
 
     def change(self, make: Callable[[DataFrame], DataFrame], note: str | None = None) -> Commit:
-        """Write ``make(present rows)``, the changed rows alone; with a true ``_gone`` column, rows that go."""
+        """Rows to replace all rows of their keys: ``make(present rows)``; with a true ``_gone`` column, rows that go."""
         marked = T.StructType([*self.schema.fields, T.StructField(GONE, T.BooleanType())])
 
         def build(head: Commit) -> Commit:
@@ -142,16 +153,31 @@ class Ledger:
 
         return self._commit(build)
 
-    def delete(self, which) -> Commit:
-        """Rows in ``which`` that have a key go."""
-        return self.change(lambda rows: rows.where(F.coalesce(which, F.lit(False))).withColumn(GONE, F.lit(True)))
+    def update(self, which: Column, make: Callable[[DataFrame], DataFrame]) -> Commit:
+        """``change`` for rows in ``which``; ``make`` gets these and any others of the same keys."""
+        names = [f"_key_{c}" for c in self.key]
+
+        def of_keys(rows: DataFrame) -> DataFrame:
+            hit = rows.where(which).select(*(F.col(c).alias(n) for c, n in zip(self.key, names, strict=True)))
+            return rows.join(hit, _same_key(self.key, names), "left_semi")
+
+        return self.change(lambda rows: make(of_keys(rows)))
+
+    def delete(self, which: Column) -> Commit:
+        """Rows in ``which`` go."""
+        return self.update(which, lambda rows: rows.withColumn(GONE, F.coalesce(which, F.lit(False))))
 
     def compact(self) -> Commit:
         """The present rows as one segment; readers of earlier commits keep their files."""
 
+        return self.replace(lambda rows: rows)
+
+    def replace(self, make: Callable[[DataFrame], DataFrame], next_id: int = 1) -> Commit:
+        """``make(present rows)`` instead of them, as one segment; numbers below ``next_id`` are taken."""
+
         def build(head: Commit) -> Commit:
-            path, n = self._write(self.read(head))
-            return replace(head, segments=(Segment(path),) if n else ())
+            path, n = self._write(self._typed(make(self.read(head))))
+            return replace(head, segments=(Segment(path),) if n else (), next_id=max(next_id, head.next_id), compacted=True)
 
         return self._commit(build)
 
