@@ -160,38 +160,40 @@ def shard_transform(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
 
     ``order`` lists the places of all suffixes by their first ``LENGTH`` bytes; a suffix ends with its string, the ends
     come first, and equals stay in the order of their places. ``transform`` has the byte before each suffix, ``END``
-    before the first one of a string. Places are ranked by 8 bytes, then by twice as many in every round.
+    before the first one of a string. Places are ranked by 8 bytes, then by twice as many in every round, in which only
+    those take part that share their rank. A rank is the number of places before its first one.
     """
     n = len(data)
-    last = np.repeat(np.cumsum(lengths) - 1, lengths)  # the END of each place's string
-    left = last - np.arange(n)
+    left = np.repeat(np.cumsum(lengths) - 1, lengths) - np.arange(n)  # bytes up to the END of each place's string
     symbol = np.where(data == END, 0, data.astype(np.uint64) + np.uint64(1))
     key = np.zeros(n, np.uint64)
-    for i in range(7):  # 9 bits a byte, and nothing after the end of a string
-        key <<= np.uint64(9)
-        inside = np.flatnonzero(left >= i)
-        key[inside] |= symbol[inside + i]
-    rank = _dense(key)
-    width = 7
-    while width < LENGTH:
-        if rank.max(initial=0) + 1 == n:
-            break
-        ahead = np.zeros(n, np.int64)
-        reach = left >= width
-        ahead[reach] = rank[np.flatnonzero(reach) + width] + 1
-        rank = _dense(rank * np.int64(n + 1) + ahead)
+    for i in range(8):  # nothing after the end of a string
+        key <<= np.uint64(8)
+        inside = np.flatnonzero(left >= i) if i else slice(None)
+        key[inside] |= symbol[inside + i if i else inside]
+    rank = np.zeros(n, np.int64)
+    shared = _refine(rank, key, np.arange(n))
+    width = 8
+    while width < LENGTH and len(shared):
+        ahead = np.zeros(len(shared), np.int64)
+        reach = np.flatnonzero(left[shared] >= width)
+        ahead[reach] = rank[shared[reach] + width] + 1
+        shared = _refine(rank, rank[shared] * np.int64(n + 1) + ahead, shared)
         width *= 2
     order = np.argsort(rank * n + np.arange(n))
     before = np.concatenate(([END], data[:-1])).astype(np.uint8)
     return order, before[order]
 
 
-def _dense(key: np.ndarray) -> np.ndarray:
+def _refine(rank: np.ndarray, key: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Rank the places ``some`` by their keys, which begin with their present ranks; the places that still share one."""
     order = np.argsort(key)
-    ordered = key[order]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1]))) if len(key) else 0
-    return rank
+    places, ordered, old = some[order], key[order], rank[some[order]]
+    at = np.arange(len(places))
+    begins = np.append(True, ordered[1:] != ordered[:-1])
+    of_old = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), at, 0))
+    rank[places] = old + np.maximum.accumulate(np.where(begins, at, 0)) - of_old
+    return places[~(begins & np.append(begins[1:], True))]
 
 
 def steps(transform: np.ndarray) -> np.ndarray:
@@ -230,16 +232,17 @@ def merge(transforms: list[np.ndarray], rounds: int = LENGTH) -> tuple[np.ndarra
     return interleave, block
 
 
-def repeated_windows(strings: list[bytes], windows: list[int], place: np.ndarray) -> list[np.ndarray]:
-    """For each string which of its first ``windows`` windows start earlier elsewhere.
+def repeated_spans_of(strings: list[bytes], windows: list[int], place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``string, start, end``: the spans of bytes of strings whose windows start earlier elsewhere.
 
-    ``place`` orders the strings by their first occurrence, with ties in one document told apart by the start of the
-    window: it has ``document, start`` per string.
+    A string has as many windows as given. ``place`` orders the strings by their first occurrence: ``document, start`` per
+    string, where the start also tells windows of one document apart. Windows that touch make one span; starts and ends
+    count from where the string begins in its document.
     """
     lengths = np.array([len(s) + 1 for s in strings], np.int64)
     begins = np.cumsum(lengths) - lengths
-    data = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
-    shard_of = (begins // SHARD_BYTES).astype(np.int64)
+    data = np.frombuffer(b"\xff".join([*strings, b""]), np.uint8)
+    shard_of = begins // SHARD_BYTES
     cuts = np.flatnonzero(np.concatenate(([True], shard_of[1:] != shard_of[:-1], [True])))
     orders, transforms = [], []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -254,19 +257,15 @@ def repeated_windows(strings: list[bytes], windows: list[int], place: np.ndarray
     offset = np.arange(len(data)) - begins[string]
     is_window = (offset < np.asarray(windows)[string])[places]
     at, group = places[is_window], block[is_window]
-    order = np.lexsort((place[string[at], 1] + offset[at], place[string[at], 0], group))
+    start = place[string, 1] + offset
+    order = np.lexsort((start[at], place[string[at], 0], group))
     later = np.flatnonzero(group[order][1:] == group[order][:-1]) + 1
-    earlier = np.zeros(len(data), bool)
-    earlier[at[order[later]]] = True
-    return [earlier[b : b + w] for b, w in zip(begins.tolist(), windows, strict=True)]
-
-
-def _spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows at ascending ``starts`` as spans of bytes, those that touch joined."""
-    if not len(starts):
-        return starts, starts
-    apart = np.flatnonzero(starts[1:] > starts[:-1] + LENGTH)
-    return starts[np.concatenate(([0], apart + 1))], starts[np.concatenate((apart, [len(starts) - 1]))] + LENGTH
+    at = np.sort(at[order[later]])
+    if not len(at):
+        return at, at, at
+    apart = np.flatnonzero((string[at][1:] != string[at][:-1]) | (start[at][1:] > start[at][:-1] + LENGTH)) + 1
+    first, last = at[np.append(0, apart)], at[np.append(apart, len(at)) - 1]
+    return string[first], start[first], start[last] + LENGTH
 
 
 def _merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,13 +290,9 @@ def _settled(held: list[tuple]) -> pa.RecordBatch:
     keys = [(doc is not None, doc or 0, h) for _, doc, h, *_ in held]
     documents = {key: i for i, key in enumerate(sorted(set(keys)))}
     place = np.array([(documents[key], row[3]) for key, row in zip(keys, held, strict=True)], np.int64)
-    columns: list[list] = [[], [], [], []]
-    for row, earlier in zip(held, repeated_windows([row[5] for row in held], [row[4] for row in held], place), strict=True):
-        for a, b in zip(*_spans(np.flatnonzero(earlier) + row[3]), strict=True):
-            for column, value in zip(columns, (row[1], row[2], int(a), int(b)), strict=True):
-                column.append(value)
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in _SPAN.split(", ")])
+    string, start, end = repeated_spans_of([row[5] for row in held], [row[4] for row in held], place)
+    docs = [pa.array([held[i][c] for i in string.tolist()], pa.int64()) for c in (1, 2)]
+    return pa.RecordBatch.from_arrays([*docs, pa.array(start, pa.int32()), pa.array(end, pa.int32())], [c.split()[0] for c in _SPAN.split(", ")])
 
 
 # ---- the tables ----
@@ -330,19 +325,27 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted stretches of each text; a copy right after its row is passed over."""
     last = None
     for batch in batches:
+        held, n_bytes = [[] for _ in range(7)], 0
         keys = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash")), strict=True)
         for key, text, known in zip(keys, batch.column("text"), batch.column("known"), strict=True):
             if key == last:
                 continue
             last = key
-            data = text.as_buffer()
-            for at in range(0, len(known), 4096):
-                some = known.values.slice(at, 4096)
-                view = memoryview(data)
-                strings = [bytes(view[s : s + n + LENGTH - 1]) for s, n in zip(*(some.field(c).to_pylist() for c in ("start", "n")), strict=True)]
-                own = [pa.array([k] * len(some), pa.int64()) for k in key]
-                columns = [*own, *(some.field(c) for c in ("start", "n", "anchor", "wide")), pa.array(strings, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _STRING.split(", ")])
+            data, wanted = text.as_py(), [known.values.field(c).to_pylist() for c in ("start", "n", "anchor", "wide")]
+            for row in zip(*wanted, strict=True):
+                string = data[row[0] : row[0] + row[1] + LENGTH - 1]
+                n_bytes += len(string)
+                for column, value in zip(held, (*key, *row, string), strict=True):
+                    column.append(value)
+                if n_bytes > PIECE_BYTES:
+                    yield _string_batch(held)
+                    held, n_bytes = [[] for _ in range(7)], 0
+        yield _string_batch(held)
+
+
+def _string_batch(columns: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in _STRING.split(", ")])
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
