@@ -16,6 +16,7 @@ from tablepulse.operators.drilldown import drilldown, failing_rows, failing_samp
 from tablepulse.operators.joins import not_in
 from tablepulse.operators.measure import row_counts
 from tablepulse.operators.rules import catalogue, find_rule, rules_of_entity, with_rule
+from tablepulse.operators.tagged import failing_keys
 from tablepulse.operators.stored import Dated, StoredRates
 from tablepulse.plans import corrections, warehouse, wording
 from tablepulse.session import scratch_dir, state_dir
@@ -152,15 +153,15 @@ ROW_KEYS = {
 
 
 def failing_samples(spark, folder):
-    """Up to 20 failing rows of every KPI with a drill-down, from one long table of all failing rows."""
-    tables = warehouse.load(spark, folder)
-    parts = [
-        failing_rows(tables, find_rule(warehouse.RULES, kpi_id)).selectExpr(
-            f"'{kpi_id}' AS kpi_id", f"CAST({ROW_KEYS[kpi_id][0]} AS BIGINT) AS row_key", f"CAST({ROW_KEYS[kpi_id][1]} AS INT) AS row_no"
-        )
-        for kpi_id in DRILLDOWNS
-    ]
-    return failing_sample(reduce(DataFrame.unionAll, parts), ["row_key", "row_no"])
+    """Up to 20 failing rows of every KPI with a drill-down, and how many there are.
+
+    One pass per table names the failing rows and the rules they break; ranks and totals are taken from that list.
+    """
+    tables, path = warehouse.load(spark, folder), scratch_dir(spark, "failing-keys")
+    found = failing_keys(tables, [find_rule(warehouse.RULES, k) for k in DRILLDOWNS], ROW_KEYS)
+    found.write.parquet(path)
+    listed = spark.read.schema(found.schema).parquet(path)
+    return failing_sample(listed.select(F.explode("kpi_ids").alias("kpi_id"), "row_key", "row_no"), ["row_key", "row_no"])
 
 
 # ---- history ----
