@@ -409,21 +409,29 @@ DERIVED = """WITH links AS (SELECT l_orderkey || '-' || l_linenumber AS shipment
       CASE c WHEN 1 THEN 'Zero Weight' WHEN 2 THEN 'Ghost - OS link deleted in source system'
              WHEN 3 THEN 'Re-assigned (active)' WHEN 5 THEN 'Split Shipment' ELSE 'OK' END AS dq_flag FROM s"""
 
-SCREENED = """WITH s AS (SELECT event_id, CASE event_type
-      WHEN 'view' THEN 'UPDATE visits SET seen = 1 WHERE user_id = ' || user_id
-      WHEN 'click' THEN 'delete from clicks where user_id = ' || user_id || ';'
+ASIDES = r"""(?s)'[^'\\]*(?:(?:\\.|'')[^'\\]*)*'|"[^"\\]*(?:(?:\\.|"")[^"\\]*)*"|`[^`]*(?:``[^`]*)*`|--[^\n]*|/\*.*?\*/"""
+SCREENED = rf"""WITH s AS (SELECT event_id, CASE event_type
+      WHEN 'view' THEN CASE WHEN value > 50 THEN 'UPDATE visits SET note = ''a;b'', seen = ''it''''s; drop'' WHERE user_id = ' || user_id
+                            ELSE 'UPDATE visits SET seen = 1 WHERE user_id = ' || user_id END
+      WHEN 'click' THEN CASE WHEN value > 100 THEN 'delete from clicks -- where user_id = ' || user_id
+                             WHEN value > 50 THEN 'delete from clicks /* all; */ where user_id = ' || user_id || ' -- not ''truncate'
+                             ELSE 'delete from clicks where user_id = ' || user_id || ';' END
       WHEN 'purchase' THEN 'DELETE FROM purchases; -- user ' || user_id
-      WHEN 'signup' THEN CASE WHEN value > 50 THEN 'UPDATE users SET active = ' || user_id
-                              ELSE 'DELETE FROM signups ' || user_id END
-      WHEN 'error' THEN CASE WHEN value > 50 THEN 'Drop table errors_' || user_id
-                             ELSE 'ALTER TABLE errors ADD COLUMN c' || user_id END END AS q FROM events),
-    r AS (SELECT event_id, CASE WHEN q IS NULL THEN 'no statement' WHEN regexp_matches(q, '\\bdrop\\b', 'i') THEN 'blocked keyword: DROP'
-      WHEN regexp_matches(q, '\\btruncate\\b', 'i') THEN 'blocked keyword: TRUNCATE'
-      WHEN regexp_matches(q, '\\balter\\b', 'i') THEN 'blocked keyword: ALTER'
+      WHEN 'signup' THEN CASE WHEN value > 50 THEN 'UPDATE users SET active = ' || user_id || ' /* WHERE 1 = 1 */'
+                              ELSE 'DELETE FROM signups WHERE name = ''' || user_id END
+      WHEN 'error' THEN CASE WHEN value > 100 THEN 'DELETE FROM errors WHERE id = ' || user_id || '; DELETE FROM errors WHERE id = 0'
+                             WHEN value > 50 THEN 'Drop table errors_' || user_id
+                             ELSE 'ALTER TABLE errors ADD COLUMN c' || user_id END END AS t FROM events),
+    c AS (SELECT *, regexp_replace(t, {quoted(ASIDES)}, ' ', 'g') AS q FROM s),
+    r AS (SELECT event_id, CASE WHEN t IS NULL THEN 'no statement'
+      WHEN regexp_matches(q, '[''"`]|/\*') THEN 'unclosed quotation or comment'
+      WHEN regexp_matches(q, '\bdrop\b', 'i') THEN 'blocked keyword: DROP'
+      WHEN regexp_matches(q, '\btruncate\b', 'i') THEN 'blocked keyword: TRUNCATE'
+      WHEN regexp_matches(q, '\balter\b', 'i') THEN 'blocked keyword: ALTER'
       WHEN len(list_filter(string_split(q, ';'), lambda p: trim(p) <> '')) > 1 THEN 'more than one statement'
-      WHEN regexp_matches(q, '\\bdelete\\b', 'i') AND NOT regexp_matches(q, '\\bwhere\\b', 'i') THEN 'DELETE without WHERE'
-      WHEN regexp_matches(q, '\\bupdate\\b', 'i') AND NOT regexp_matches(q, '\\bwhere\\b', 'i') THEN 'UPDATE without WHERE'
-      ELSE '' END AS reason FROM s)
+      WHEN regexp_matches(q, '\bdelete\b', 'i') AND NOT regexp_matches(q, '\bwhere\b', 'i') THEN 'DELETE without WHERE'
+      WHEN regexp_matches(q, '\bupdate\b', 'i') AND NOT regexp_matches(q, '\bwhere\b', 'i') THEN 'UPDATE without WHERE'
+      ELSE '' END AS reason FROM c)
     SELECT event_id, reason = '' AS is_safe, reason FROM r"""
 
 
@@ -600,7 +608,7 @@ ORACLE_SQL: dict[str, str] = {
     "summary_text": SUMMARY,
     "compact_context": _compact(),
     "table_counts": " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in warehouse.BASE_TABLES
+        f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in (*warehouse.BASE_TABLES, *warehouse.OTHER_TABLES)
     ),
     "preview_orders": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5",
     "load_report": """SELECT l_returnflag, count(*) AS n, (SELECT count(*) FROM lineitem) AS total_rows

@@ -31,19 +31,36 @@ def _has_word(text: Column, word: str) -> Column:
     return text.rlike(rf"(?i)\b{word}\b")
 
 
+# Comments and what is quoted; doubled quotes, and backslashes in text, keep a quotation open. The alternatives are tried
+# from where the last one ended, so a quote in a comment, or a comment in a quotation, is nothing of its own.
+_ASIDES = "|".join((
+    r"(?s)'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'", r'"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"', r"`[^`]*+(?:``[^`]*+)*+`", r"--[^\n]*+", r"/\*.*?\*/",
+))
+_UNCLOSED = r"['\"`]|/\*"
+
+
+def statement_code(text: Column) -> Column:
+    """A statement with a space in place of everything that is quoted or a comment; what is not closed stays."""
+    return F.regexp_replace(text, _ASIDES, " ")
+
+
 def statement_count(text: Column) -> Column:
     """Number of non-blank parts between semicolons."""
     return F.size(F.filter(F.split(text, ";"), lambda part: part.rlike(r"\S")))
 
 
 def screen_statement(text: Column) -> Column:
-    """``struct(is_safe, reason)`` of a proposed statement; the first check that fails gives the reason."""
-    reason = F.when(text.isNull(), "no statement")
+    """``struct(is_safe, reason)`` of a proposed statement; the first check that fails gives the reason.
+
+    Only code is looked at: words and semicolons in comments and quotations neither block a statement nor satisfy a check.
+    """
+    code = statement_code(text)
+    reason = F.when(text.isNull(), "no statement").when(code.rlike(_UNCLOSED), "unclosed quotation or comment")
     for word in BLOCKED_WORDS:
-        reason = reason.when(_has_word(text, word), f"blocked keyword: {word}")
-    reason = reason.when(statement_count(text) > 1, "more than one statement")
+        reason = reason.when(_has_word(code, word), f"blocked keyword: {word}")
+    reason = reason.when(statement_count(code) > 1, "more than one statement")
     for word in NEEDS_WHERE:
-        reason = reason.when(_has_word(text, word) & ~_has_word(text, "WHERE"), f"{word} without WHERE")
+        reason = reason.when(_has_word(code, word) & ~_has_word(code, "WHERE"), f"{word} without WHERE")
     return F.struct(reason.isNull().alias("is_safe"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 

@@ -506,7 +506,8 @@ def compact_context(spark, folder):
 
 def table_counts(spark, folder):
     tables = warehouse.load(spark, folder)
-    return row_counts({name: tables[name] for name in warehouse.BASE_TABLES})
+    others = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in warehouse.OTHER_TABLES}
+    return row_counts({**{name: tables[name] for name in warehouse.BASE_TABLES}, **others})
 
 
 def preview_orders(spark, folder):

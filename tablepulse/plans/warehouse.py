@@ -30,6 +30,7 @@ from tablepulse.sources import schemas
 from tablepulse.sources.tables import TableSet, read_tables, with_views
 
 BASE_TABLES = tuple(schemas.WAREHOUSE)
+OTHER_TABLES = ("region", "nation", "part", "pages", "benchmark", "embeddings")  # counted only
 PROMISED_DAYS = 60
 
 
@@ -200,16 +201,21 @@ def alert_table(events: DataFrame) -> DataFrame:
 
 
 def statement_table(events: DataFrame) -> DataFrame:
-    """``event_id, statement``: a proposed correction per event, safe and unsafe ones."""
+    """``event_id, statement``: a proposed correction per event, safe and unsafe ones, with comments and quoted text."""
     who = "CAST(user_id AS STRING)"
+    noted = "UPDATE visits SET note = 'a;b', seen = 'it''s; drop' WHERE user_id = "
     statement = _by_type(
         {
-            "view": f"concat('UPDATE visits SET seen = 1 WHERE user_id = ', {who})",
-            "click": f"concat('delete from clicks where user_id = ', {who}, ';')",
+            "view": f"""CASE WHEN value > 50 THEN concat("{noted}", {who})
+                             ELSE concat('UPDATE visits SET seen = 1 WHERE user_id = ', {who}) END""",
+            "click": f"""CASE WHEN value > 100 THEN concat('delete from clicks -- where user_id = ', {who})
+                              WHEN value > 50 THEN concat('delete from clicks /* all; */ where user_id = ', {who}, " -- not 'truncate")
+                              ELSE concat('delete from clicks where user_id = ', {who}, ';') END""",
             "purchase": f"concat('DELETE FROM purchases; -- user ', {who})",
-            "signup": f"""CASE WHEN value > 50 THEN concat('UPDATE users SET active = ', {who})
-                               ELSE concat('DELETE FROM signups ', {who}) END""",
-            "error": f"""CASE WHEN value > 50 THEN concat('Drop table errors_', {who})
+            "signup": f"""CASE WHEN value > 50 THEN concat('UPDATE users SET active = ', {who}, ' /* WHERE 1 = 1 */')
+                               ELSE concat("DELETE FROM signups WHERE name = '", {who}) END""",
+            "error": f"""CASE WHEN value > 100 THEN concat('DELETE FROM errors WHERE id = ', {who}, '; DELETE FROM errors WHERE id = 0')
+                              WHEN value > 50 THEN concat('Drop table errors_', {who})
                               ELSE concat('ALTER TABLE errors ADD COLUMN c', {who}) END""",
         }
     )

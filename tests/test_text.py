@@ -35,6 +35,19 @@ def one(spark, value, column):
         ("UPDATE t SET dropped = 1 WHERE b = 2", True, ""),
         ("DROP TABLE a; DELETE FROM b", False, "blocked keyword: DROP"),
         (None, False, "no statement"),
+        ("DELETE FROM t -- WHERE x", False, "DELETE without WHERE"),
+        ("DELETE FROM t /* WHERE x */", False, "DELETE without WHERE"),
+        ("UPDATE t SET n = 'WHERE' || \"where\"", False, "UPDATE without WHERE"),
+        ("UPDATE t SET m = 1 WHERE n = 'a;b'", True, ""),
+        ("UPDATE t SET m = 'drop -- it' WHERE `alter` = 1 -- truncate; alter", True, ""),
+        ("UPDATE t SET m = 'it''s; /* so' WHERE b = 'x\\'; drop'", True, ""),
+        ("DELETE FROM t WHERE a = 1 -- don't\n; DROP TABLE t", False, "blocked keyword: DROP"),
+        ("DELETE FROM t WHERE a = 1 /* ; */; UPDATE t SET a = 1 WHERE b = 2", False, "more than one statement"),
+        ("DELETE/**/FROM t WHERE/**/a = 1", True, ""),
+        ("DELETE FROM t WHERE a = 'open", False, "unclosed quotation or comment"),
+        ("DELETE FROM t WHERE a = 1 /* open", False, "unclosed quotation or comment"),
+        ("UPDATE t SET a = '" + "xyz" * 20000 + "''" * 300 + "' WHERE b = 1 /*" + "*" * 50000 + "*/", True, ""),
+        ("", True, ""),
     ],
 )
 def test_statement_screen(spark, statement, safe, reason):
