@@ -12,8 +12,13 @@ than it is. ``whole_passages`` therefore takes runs from ``CANDIDATE_WORDS`` wor
 with those at the first occurrence of the run's outer chunks, one by one and up to ``REACH_WORDS``, and also reports runs
 that have more than ``LONG_WORDS`` words with these. A first occurrence reaches as far as the longest of its repeats.
 
-Digests are grouped with a map-side combined minimum, which a chunk of very many documents does not slow down, and the
-join back to the single chunks can be split by adaptive execution.
+Digests are grouped with a map-side combined minimum, which a chunk of very many documents does not slow down. They are
+grouped by a hash beside the digest, so that the join back to the single chunks reads two plain shuffles, which adaptive
+execution can split.
+
+``without_repeats`` cuts chunks out one by one: those of a passage that occur earlier, and the words beside its first and
+last chunk where these occur earlier themselves. Whatever is cut out is equal to words at an earlier place, so of all
+copies of a word the first one stays.
 
 NULL and empty texts have no chunks. Equal rows (same ``doc_id`` and text) are one document, so copies of a row under
 one id are no repeat. The first occurrence is that of the smallest ``doc_id`` (a missing one first), then text hash,
@@ -87,9 +92,9 @@ def chunks(text: bytes) -> Iterator[tuple[int, int, int, int]]:
             first = cut_at
 
 
-CHUNK = "doc_id long, text_hash long, number int, start int, end int, n_words int, high long, low long"
+CHUNK = "doc_id long, text_hash long, number int, start int, end int, is_last boolean, n_words int, high long, low long"
 _NAMES = [c.split()[0] for c in CHUNK.split(", ")]
-_PLACE = ("doc_id", "text_hash", "number", "start", "end")
+_PLACE = ("doc_id", "text_hash", "number", "start", "end", "is_last")
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,10 +103,11 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[list] = [[] for _ in _NAMES]
         for (doc, text_hash_), text in zip(keys, batch.column("text"), strict=True):
             data = text.as_py() or b""
-            for number, (a, b, _, n) in enumerate(chunks(data)):
+            found = list(chunks(data))
+            for number, (a, b, _, n) in enumerate(found):
                 digest = xxhash.xxh3_128_digest(b" ".join(data[a:b].split()))
                 high, low = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
-                for column, value in zip(columns, (doc, text_hash_, number, a, b, n, high, low), strict=True):
+                for column, value in zip(columns, (doc, text_hash_, number, a, b, number == len(found) - 1, n, high, low), strict=True):
                     column.append(value)
             if len(columns[0]) > 100_000:
                 yield _batch(columns)
@@ -110,7 +116,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64() if " long" in c else pa.int32() for c in CHUNK.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in CHUNK.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _NAMES)
 
 
@@ -132,15 +138,14 @@ def shared_chunks(docs: DataFrame) -> DataFrame:
     found = cut(chunk_table(docs), "chunks")
     twice = found.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low")
     likely = cut(found.join(twice, "low"), "likely-chunks")
-    doc = F.xxhash64("doc_id", "text_hash")
-    owners = likely.groupBy("high", "low").agg(F.min(doc).alias("a"), F.max(doc).alias("b")).where("a < b")
-    shared = likely.join(owners.select("high", "low"), ["high", "low"])
-    first = shared.groupBy("high", "low").agg(F.min(F.struct(*_PLACE)).alias("first"))
-    return shared.join(first, ["high", "low"])
+    doc, digest = F.xxhash64("doc_id", "text_hash"), ["high", "low"]
+    owners = likely.groupBy(F.xxhash64(*digest), *digest).agg(F.min(doc).alias("a"), F.max(doc).alias("b"), F.min(F.struct(*_PLACE)).alias("first"))
+    return likely.join(owners.where("a < b").select(*digest, "first"), digest)
 
 
 def _runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """Runs of shared chunks; ``left`` and ``right`` are the first occurrences of their outer chunks."""
+    """Runs of shared chunks; ``left`` and ``right`` are the first occurrences of their outer chunks, ``again`` the chunks
+    that occur earlier."""
     by_doc = Window.partitionBy("doc_id", "text_hash")
     shared = shared_chunks(docs).dropDuplicates(["doc_id", "text_hash", "number"])
     run = F.col("number") - F.row_number().over(by_doc.orderBy("number"))
@@ -149,6 +154,8 @@ def _runs(docs: DataFrame, min_words: int) -> DataFrame:
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"),
         F.sort_array(F.collect_set("first.doc_id")).alias("first_ids"), F.every("own").alias("is_first"),
         F.min_by("first", "number").alias("left"), F.max_by("first", "number").alias("right"),
+        F.min("number").alias("number"), F.max_by("is_last", "number").alias("is_last"),
+        F.collect_list(F.when(~F.col("own"), F.struct("start", "end"))).alias("again"),
     )
     return passages.where(F.col("n_words") >= min_words).drop("run")
 
@@ -159,7 +166,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_PASSAGE_WORDS) -> Da
     ``first_ids`` lists the documents in which the passage's chunks occur first, and ``is_first`` tells whether the
     passage is itself the first occurrence of all its chunks.
     """
-    return _runs(docs, min_words).drop("left", "right")
+    return _runs(docs, min_words).drop("left", "right", "number", "is_last", "again")
 
 
 def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,18 +200,27 @@ def whole_passages(docs: DataFrame, min_words: int = MIN_PASSAGE_WORDS) -> DataF
     """``repeated_passages`` extended word by word, and the shorter runs that belong to over ``LONG_WORDS`` words.
 
     Only the edges of runs meet the texts, once per document and place; the words beside them are joined by place, so a
-    first occurrence that very many documents repeat is no group of one task.
+    first occurrence that very many documents repeat is no group of one task. An edge at an end of either text has no
+    words beside it.
     """
+    return _whole(docs, min_words).drop("again")
+
+
+def _whole(docs: DataFrame, min_words: int) -> DataFrame:
+    """``whole_passages`` with the spans ``again`` of each that occur earlier."""
     runs = cut(_runs(docs, min(min_words, CANDIDATE_WORDS)), "candidate-passages")
 
     def edge(doc: str, hash_: str, side: int, at: str) -> Column:
         return F.struct(F.col(doc).alias("doc_id"), F.col(hash_).alias("text_hash"), F.lit(side).alias("side"), F.col(at).alias("at"))
 
     sides = [(-1, "start", "left"), (1, "end", "right")]
-    pairs = runs.select(F.explode(F.array(*(
-        F.struct(edge("doc_id", "text_hash", side, at).alias("a"), edge(f"{first}.doc_id", f"{first}.text_hash", side, f"{first}.{at}").alias("b"))
+    inner = {-1: F.least("number", "left.number") > 0, 1: ~F.col("is_last") & ~F.col("right.is_last")}
+    pairs = runs.select(F.explode(F.array_compact(F.array(*(
+        F.when(inner[side], F.struct(
+            edge("doc_id", "text_hash", side, at).alias("a"), edge(f"{first}.doc_id", f"{first}.text_hash", side, f"{first}.{at}").alias("b")
+        ))
         for side, at, first in sides
-    ))).alias("pair")).select("pair.*").where(~F.col("a").eqNullSafe(F.col("b"))).distinct()
+    )))).alias("pair")).select("pair.*").where(~F.col("a").eqNullSafe(F.col("b"))).distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct().groupBy("e.doc_id", "e.text_hash").agg(
         F.collect_list(F.struct("e.side", "e.at")).alias("wanted")
     ).withColumnsRenamed({"doc_id": "k", "text_hash": "h"})
@@ -221,22 +237,34 @@ def whole_passages(docs: DataFrame, min_words: int = MIN_PASSAGE_WORDS) -> DataF
     n = F.when(differs == 0, F.size("mine")).otherwise(differs - 1).cast("int")
     grown = joined.select("a", "b", n.alias("n"), "to", "places").where("n > 0")
     grown = cut(grown.select("a", "b", "n", F.get("to", F.col("n") - 1).alias("a_to"), F.get("places", F.col("n") - 1).alias("b_to")), "grown")
-    longest = grown.select("a.*", "n", F.col("a_to").alias("to")).unionAll(grown.select("b.*", "n", F.col("b_to").alias("to")))
-    longest = longest.groupBy("doc_id", "text_hash", "side", "at").agg(F.max(F.struct("n", "to")).alias("more"))
+    # Where this text repeats an earlier one the words beside it go with it; where it is the earlier one they only lengthen it.
+    longest = grown.select("a.*", "n", F.col("a_to").alias("to"), F.lit(True).alias("again")).unionAll(
+        grown.select("b.*", "n", F.col("b_to").alias("to"), F.lit(False).alias("again"))
+    )
+    furthest = F.struct("n", "to")
+    longest = longest.groupBy("doc_id", "text_hash", "side", "at").agg(
+        F.max(furthest).alias("more"), F.max(F.when(F.col("again"), furthest)).alias("more_again")
+    )
 
-    whole = runs.drop("left", "right")
+    whole = runs.drop("left", "right", "number", "is_last")
     for side, at, _ in sides:
-        more = longest.where(F.col("side") == side).select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h"), F.col("at"), F.col("more").alias(f"more_{at}"))
+        more = longest.where(F.col("side") == side).select(
+            F.col("doc_id").alias("k"), F.col("text_hash").alias("h"), F.col("at"), F.col("more").alias(f"more_{at}"), F.col("more_again.to").alias(f"again_{at}")
+        )
         here = same_row((F.col("doc_id"), F.col("text_hash")), (F.col("k"), F.col("h"))) & (F.col(at) == F.col("at"))
         whole = whole.join(more, here, "left").drop("k", "h", "at")
     n_words = F.col("n_words") + F.coalesce("more_start.n", F.lit(0)) + F.coalesce("more_end.n", F.lit(0))
+    beside = [
+        F.when(F.col("again_start").isNotNull(), F.struct(F.col("again_start").alias("start"), F.col("start").alias("end"))),
+        F.when(F.col("again_end").isNotNull(), F.struct(F.col("end").alias("start"), F.col("again_end").alias("end"))),
+    ]
     whole = whole.where((F.col("n_words") >= min_words) | (n_words > LONG_WORDS)).select(
         "doc_id", "text_hash", F.coalesce("more_start.to", "start").alias("start"), F.coalesce("more_end.to", "end").alias("end"),
-        n_words.alias("n_words"), "first_ids", "is_first",
+        n_words.alias("n_words"), "first_ids", "is_first", F.concat("again", F.array_compact(F.array(*beside))).alias("again"),
     )
     ids = F.sort_array(F.array_distinct(F.flatten(F.collect_list("first_ids"))))
     return whole.groupBy("doc_id", "text_hash", "start", "end").agg(
-        F.max("n_words").alias("n_words"), ids.alias("first_ids"), F.every("is_first").alias("is_first")
+        F.max("n_words").alias("n_words"), ids.alias("first_ids"), F.every("is_first").alias("is_first"), F.flatten(F.collect_list("again")).alias("again")
     )
 
 
@@ -247,7 +275,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, at, kept = text.as_py(), 0, []
             if data is not None:
                 for span in sorted(spans or [], key=lambda s: s["start"]):
-                    kept.append(data[at : span["start"]])
+                    kept.append(data[at : max(at, span["start"])])
                     at = max(at, span["end"])
                 data = b"".join([*kept, data[at:]]).decode()
             texts.append(data)
@@ -255,10 +283,8 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_PASSAGE_WORDS) -> DataFrame:
-    """``docs`` without the passages that occurred before; the first occurrence of every chunk stays."""
-    gone = whole_passages(docs, min_words).where(~F.col("is_first")).groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("start", "end")).alias("spans")
-    )
+    """``docs`` without what occurred before in the passages; of all copies of a word the first one stays."""
+    gone = _whole(docs, min_words).where(F.size("again") > 0).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("again")).alias("spans"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "spans")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("k"), text_hash(F.col("text")).alias("h"))
     joined = rows.join(gone, same_row((F.col("k"), F.col("h")), (F.col("gone_id"), F.col("gone_hash"))), "left")

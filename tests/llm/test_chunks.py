@@ -93,6 +93,33 @@ def test_the_first_occurrence_stays(spark, rows):
     assert all(shorter[d] < len(t) - 150 for d, t in rows if d in range(405, 415))
 
 
+def test_no_text_is_lost(spark):
+    """A third text whose chunks first occur in two others leaves each of its words in one of them."""
+    text = prose(random.Random(21), 400, 50_000).split()
+    parts = [(1, text[:200]), (2, text), (3, text[150:])]
+    left = {r.doc_id: r.text.split() for r in chunks.without_repeats(docs_of(spark, [(d, " ".join(w)) for d, w in parts])).collect()}
+    assert left[1] == text[:200] and set(text) <= {w for words in left.values() for w in words}
+    assert sum(map(len, left.values())) < 500
+
+
+def test_every_word_of_a_shared_chunk_survives_somewhere(spark):
+    rng = random.Random(22)
+    passages = [prose(rng, 120, 50_000).split() for _ in range(6)]
+    rows = []
+    for d in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(passages)
+            a = rng.randrange(80)
+            words += p[a : a + rng.randrange(20, 120)] + prose(rng, rng.randrange(12), 50_000).split()
+        rows.append((d * 7 % 60, " ".join(words)))
+    left = " ".join(r.text for r in chunks.without_repeats(docs_of(spark, rows)).collect())
+    before, after = Counter(" ".join(t for _, t in rows).split()), Counter(left.split())
+    assert set(after) == set(before), "no word is gone everywhere"
+    shared = {w for p in passages for w in p}
+    assert sum(after[w] for w in shared) < 0.6 * sum(before[w] for w in shared)
+
+
 def test_chunks_cover_every_word_and_follow_insertions():
     rng = random.Random(4)
     text = prose(rng, 3000, 9000)
