@@ -613,6 +613,8 @@ ORACLE_SQL: dict[str, str] = {
     "preview_orders": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5",
     "load_report": """SELECT l_returnflag, count(*) AS n, (SELECT count(*) FROM lineitem) AS total_rows
         FROM lineitem GROUP BY l_returnflag""",
+    "scan_report": """SELECT l_returnflag, count(*) AS n, (SELECT count(*) FROM lineitem) AS total_rows
+        FROM lineitem GROUP BY l_returnflag""",
     "export_failing_rows": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal <= 0",
     "reload_and_append": "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 100 OR c_acctbal <= 0",
     "derived_appended": f"""SELECT shipment_gid, status, dq_flag FROM ({DERIVED}) UNION ALL
@@ -620,5 +622,6 @@ ORACLE_SQL: dict[str, str] = {
         'Present', 'OK' FROM lineitem WHERE l_returnflag = 'A'""",
     "captures_appended": f"""WITH {MONTHLY} SELECT captured_on, value AS overall_score, 'seed' AS label FROM whole
         WHERE captured_on IS NOT NULL""",
+    "bucketed_line_rates": f"{kpis()} SELECT kpi_id, num, den, CAST(value AS DOUBLE) AS value FROM k WHERE kpi_id IN ('CS02', 'TP01', 'BIZ01')",
     "latest_version": f"WITH {ALERTS} SELECT alert_id, kpi_id, status FROM a WHERE status <> 'Resolved'",
 }

@@ -66,9 +66,19 @@ def numbered_by(batch: DataFrame, existing: DataFrame | int, id_column: str, gro
     return placed.withColumn(id_column, highest + F.col("_offset") + F.col("_own")).drop("_group", "_of", "_own", "_offset")
 
 
-def not_yet_captured(batch: DataFrame, history: DataFrame) -> DataFrame:
-    """Rows of ``batch`` whose ``captured_at``, to the second, is not in the history."""
+def not_yet_captured(batch: DataFrame, history: DataFrame, bounded: bool = False) -> DataFrame:
+    """Rows of ``batch`` whose ``captured_at``, to the second, is not in the history.
+
+    With ``bounded``, meant for a batch that is small beside the history, only the history between the batch's first and
+    last second is read: both are found in one pass over the batch while the query runs and reach the scan, which skips
+    partitions by a ``captured_on`` date, if the history is partitioned by one, and row groups by ``captured_at``.
+    """
     second = "date_trunc('second', captured_at)"
+    if bounded:
+        first, end = (batch.agg(f(F.expr(second)).alias("at")).scalar() for f in (F.min, F.max))
+        history = history.where((F.col("captured_at") >= first) & (F.col("captured_at") < end + F.expr("INTERVAL 1 SECOND")))
+        if "captured_on" in history.columns:
+            history = history.where(F.col("captured_on").between(F.to_date(first), F.to_date(end)))
     seen = distinct_keys(history, second, "_second")
     return batch.join(seen, F.expr(second) == F.col("_second"), "left_anti")
 
@@ -78,7 +88,7 @@ def appended(batch: DataFrame, history: DataFrame, highest: int | None = None) -
 
     ``highest`` is the last number given, where the table keeps it.
     """
-    new = not_yet_captured(batch, history)
+    new = not_yet_captured(batch, history, bounded=True)
     numbered = numbered_by(new, history if highest is None else highest, "snapshot_id", F.to_date("captured_at"), ["captured_at"])
     return numbered.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in KPI_SNAPSHOTS.fields))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -26,6 +27,7 @@ from tablepulse.sources.tables import preview
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+LINE_BUCKETS = 8  # for tables of some hundred MB; session.buckets proposes more for larger ones
 CAPTURED_AT = "2024-02-01 09:00:00"
 TOPICS = (("english", ("the", "and")), ("spanish", ("que", "el ")), ("french", ("le ", "ou")))
 REPLY_TOPICS = (
@@ -516,9 +518,15 @@ def preview_orders(spark, folder):
 
 
 def load_report(spark, folder):
-    return sinks.load_report(warehouse.load(spark, folder)["lineitem"], "l_returnflag").withColumnRenamed(
-        "label", "l_returnflag"
-    )
+    """Lines loaded anew, and what was loaded, counted while it was written."""
+    lineitem = warehouse.load(spark, folder)["lineitem"]
+    report = sinks.counted_load(lineitem, scratch_dir(spark, "loaded-lines"), "l_returnflag", warehouse.RETURN_FLAGS)
+    return report.withColumnRenamed("label", "l_returnflag")
+
+
+def scan_report(spark, folder):
+    """The same report on rows that are there already, by one scan."""
+    return sinks.load_report(warehouse.load(spark, folder)["lineitem"], "l_returnflag").withColumnRenamed("label", "l_returnflag")
 
 
 def export_failing_rows(spark, folder):
@@ -540,6 +548,13 @@ def reload_and_append(spark, folder):
     return spark.read.schema(customers.schema).parquet(path)
 
 
+def bucketed_line_rates(spark, folder):
+    """The rules over lines with their order's date, counted over tables kept in buckets by order key."""
+    root = scratch_dir(spark, "buckets")
+    tables = warehouse.bucketed(warehouse.load(spark, folder), LINE_BUCKETS, root, f"buckets_{uuid.uuid4().hex}")
+    return scores.kpi_table(tables, [r for r in warehouse.RULES if r.kpi_id in ("CS02", "TP01", "BIZ01")]).select("kpi_id", "num", "den", "value")
+
+
 def latest_version(spark, folder):
     """Alerts kept as versions: all of them, then without the resolved ones."""
     root = scratch_dir(spark, "alerts")
@@ -638,8 +653,10 @@ QUERIES: dict[str, Query] = {
     "table_counts": table_counts,
     "preview_orders": preview_orders,
     "load_report": load_report,
+    "scan_report": scan_report,
     "export_failing_rows": export_failing_rows,
     "reload_and_append": reload_and_append,
+    "bucketed_line_rates": bucketed_line_rates,
     "latest_version": latest_version,
     "derived_appended": derived_appended,
     "captures_appended": captures_appended,

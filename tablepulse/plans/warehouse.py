@@ -27,11 +27,13 @@ from tablepulse.plans.freight import (
     SUPPLY_CHAIN,
 )
 from tablepulse.sources import schemas
+from tablepulse.sources.sinks import write_bucketed
 from tablepulse.sources.tables import TableSet, read_tables, with_views
 
 BASE_TABLES = tuple(schemas.WAREHOUSE)
 OTHER_TABLES = ("region", "nation", "part", "pages", "benchmark", "embeddings")  # counted only
 PROMISED_DAYS = 60
+RETURN_FLAGS = ("A", "N", "R")  # Fixed values
 
 
 def _cents(price: str) -> str:
@@ -165,6 +167,20 @@ def load_files(spark: SparkSession, folder: str, narrowed: Mapping[str, list[str
     return bind(with_views(read_tables(spark, folder, schemas.WAREHOUSE), some))
 
 
+ORDER_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
+
+
+def bucketed(tables: Tables, buckets: int, root: str, prefix: str) -> TableSet:
+    """The tables and views, with orders and lines kept in buckets by order key below ``root``.
+
+    Every rule, drill-down and count over lines with their order's date then reads both in place.
+    """
+    stored = {
+        name: write_bucketed(tables[name], f"{prefix}_{name}", key, buckets, f"{root}/{name}") for name, key in ORDER_KEYS.items()
+    }
+    return bind(with_views({n: tables[n] for n in BASE_TABLES if n not in stored}, {n: lambda _, n=n: stored[n] for n in stored}))
+
+
 # ---- state tables and texts, filled from the rows of the warehouse ----
 
 # Which KPI an event of a type reports on.

@@ -62,3 +62,8 @@ def shuffle_settings(shuffled_bytes: int, cores: int) -> dict[str, str]:
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
         "spark.sql.shuffle.partitions": str(partitions),
     }
+
+
+def buckets(stored_bytes: int) -> int:
+    """A number of buckets of about 256 MB each, a power of two, so that tables of several sizes can be told to share one."""
+    return 1 << max(0, (-(-stored_bytes // (256 << 20)) - 1).bit_length())

@@ -11,7 +11,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -45,6 +45,18 @@ def insert_into(df: DataFrame, schema: str, table: str) -> None:
     df.write.mode("append").format("parquet").saveAsTable(f"{schema}.`{table}`")
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> DataFrame:
+    """A catalog table over files that are hashed into buckets by ``key`` and sorted within them.
+
+    Tables with as many buckets of the same key are joined and grouped by it without any shuffle, as often as they are
+    read; the shuffle is paid once, here. Rows are brought together by bucket first, so that a bucket is one file of a
+    task instead of one per task. ``session.buckets`` proposes a number.
+    """
+    hashed = df.repartition(buckets, key)
+    hashed.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -69,6 +81,25 @@ def load_report(df: DataFrame, column: str) -> DataFrame:
     return counted.withColumn("total_rows", total).orderBy(F.desc("n"), "label")
 
 
+def counted_load(df: DataFrame, path: str, column: str, labels: Iterable[str]) -> DataFrame:
+    """Replace all rows below ``path`` and report on them like ``load_report``, from counts taken while they are written.
+
+    ``labels`` are the values that the column is known to have; all others are reported together as ``(other)``.
+    """
+    labels = list(labels)
+    value = F.col(column).cast("string")
+    counts = [F.count_if(value == label).alias(f"n_{i}") for i, label in enumerate(labels)]
+    seen = Observation()
+    reload(df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(value.isNull()).alias("none"), *counts), path)
+    found = seen.get
+    named = [(label, found.get(f"n_{i}", 0)) for i, label in enumerate(labels)] + [(None, found.get("none", 0))]
+    total = found.get("n", 0)
+    named.append(("(other)", total - sum(n for _, n in named)))
+    rows = [{"label": label, "n": n, "total_rows": total} for label, n in named if n]
+    schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("n", T.LongType()), T.StructField("total_rows", T.LongType())])
+    return literal_batch(df.sparkSession, rows, schema).orderBy(F.desc("n"), "label")
+
+
 def file_system(spark: SparkSession, path: str):
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -93,3 +93,33 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_rank_filters_run_before_the_shuffle(spark, name):
     plan = plan_of(QUERIES[name](spark, FOLDER))
     assert re.search(r"WindowGroupLimit.*Final", plan) and re.search(r"WindowGroupLimit.*Partial", plan)
+
+
+def test_bucketed_lines_meet_their_orders_without_a_shuffle(spark, no_auto_broadcast):
+    from tablepulse.operators.drilldown import failing_rows
+    from tablepulse.operators.measure import measure
+    from tablepulse.operators.rules import find_rule
+    from tablepulse.plans.queries import bucketed_line_rates
+
+    tables = {}
+    original = warehouse.bucketed
+    try:
+        warehouse.bucketed = lambda *args: tables.setdefault("t", original(*args))
+        bucketed_line_rates(spark, FOLDER)
+    finally:
+        warehouse.bucketed = original
+    rules = [find_rule(warehouse.RULES, k) for k in ("CS02", "TP01", "BIZ01")]
+    below_join = plan_of(measure(tables["t"], rules)).split("SortMergeJoin", 1)[1]
+    assert "Exchange" not in below_join and "Bucketed: true" in below_join
+    for kpi_id in ("TP01", "JI02"):
+        plan = plan_of(failing_rows(tables["t"], find_rule(warehouse.RULES, kpi_id)))
+        assert "Join" in plan and ("Exchange" not in plan or kpi_id == "JI02")
+
+
+@pytest.mark.parametrize("name,scans", [("failing_samples", {}), ("rca_records", {"events": 2, "customer": 2, "documents": 2})])
+def test_failing_rows_are_found_in_one_pass_per_table(spark, name, scans):
+    """Row rules of a table share its scan: samples read a list of keys, evidence reads a table once beside the KPI pass."""
+    plan = plan_of(QUERIES[name](spark, FOLDER))
+    found = Counter(re.findall(r"FileScan.*?/(\w+)\.parquet", plan))
+    for table in ("events", "customer", "documents"):
+        assert found[table] == scans.get(table, 0)

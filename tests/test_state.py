@@ -172,3 +172,33 @@ def test_payload_lists_are_bounded(spark):
     rows = {r.name: r.rows for r in breakdown_lists({"a": (many, "a"), "b": (many, "b")}).collect()}
     assert len(rows["a"]) == 50 and all(x["count"] == 3 for x in rows["a"])
     assert [(x.label, x["count"]) for x in rows["b"]] == [(None, 200), ("x", 100)]
+
+
+def test_a_load_is_counted_while_it_is_written(spark, freight):
+    path = scratch_dir(spark, "counted")
+    known = ("OK", "Ghost Stale Delete", "Re-assigned")
+    report = sinks.counted_load(freight["order_shipment"], path, "dq_flag", known).collect()
+    assert [(r.label, r.n, r.total_rows) for r in report] == [("OK", 78, 113), ("(other)", 19, 113), ("Ghost Stale Delete", 9, 113), ("Re-assigned", 7, 113)]
+    assert spark.read.parquet(path).count() == 113
+    nulls = freight["order_shipment"].withColumn("dq_flag", F.when(F.col("dq_flag") == "OK", F.col("dq_flag")))
+    assert {(r.label, r.n) for r in sinks.counted_load(nulls, path, "dq_flag", known).collect()} == {("OK", 78), (None, 35)}
+    assert sinks.counted_load(freight["order_shipment"].where("false"), path, "dq_flag", known).collect() == []
+    plan = sinks.counted_load(freight["order_shipment"], path, "dq_flag", known)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "InMemory" not in plan, "the report reads no table"
+
+
+def test_a_small_batch_reads_its_own_period_of_the_history(spark):
+    path = scratch_dir(spark, "long-history")
+    at = F.expr("timestamp '2025-01-01 00:00:00' + make_interval(0, 0, 0, id % 40, 0, 0, id)").alias("captured_at")
+    long = spark.range(4000).select(at).withColumn("captured_on", F.to_date("captured_at"))
+    long.repartition("captured_on").write.partitionBy("captured_on").parquet(path)
+    # What is no Parquet file breaks every scan that opens it.
+    broken, fs = sinks.file_system(spark, f"{path}/captured_on=2025-01-09/broken.parquet")
+    stream = fs.create(broken, False)
+    stream.write(b"no parquet file at all")
+    stream.close()
+    stored = spark.read.schema("captured_at timestamp, captured_on date").parquet(path)
+    batch = spark.sql("SELECT explode(array(timestamp '2025-01-03 00:00:02', timestamp '2025-01-03 00:00:03')) AS captured_at")
+    with pytest.raises(Exception, match="broken.parquet|not a Parquet"):
+        history.not_yet_captured(batch, stored).collect()
+    assert [str(r.captured_at) for r in history.not_yet_captured(batch, stored, bounded=True).collect()] == ["2025-01-03 00:00:03"]
