@@ -2,30 +2,32 @@
 
 1. Strip markup: the page is read tag by tag into lines, one per block element. Inline elements do not break a line.
    Subtrees that are no article text by their element (scripts, styles, navigation, headers, footers, asides, forms) or
-   by a name among their class, id or role (menus, sidebars, notices, adverts, reader comments) give lines of length
-   zero. A name counts if it is one of the list or a compound of the list and of ``NEUTRAL`` words; a subtree that holds most of
-   the page's text outside links is not stripped for one word of a name. Lines of length zero also come from all text outside ``article`` and ``main`` where the page has one of these. A header inside an article
-   holds its title and stays.
-2. Distribution: text lengths (without the text of links, so that lists of links count as nothing) are summed over
-   sliding windows of ``WINDOW`` lines.
-3. Surge and dive: a region begins where the sum rises from zero and ends where it falls back to zero, so a region
-   survives gaps shorter than the window, such as an advert inside an article. Stripped lines between two lines of one
-   element other than the body are no gap, however many they are.
-4. Regions whose highest sum reaches ``MIN_PEAK`` are kept, and the highest one always; their non-empty lines are the
-   text. Inside a region nothing is dropped, however short. On pages with ``article`` or ``main`` every non-empty line
-   inside these is kept, and there are no regions.
+   by a name among their class, id or role (menus, sidebars, notices, adverts, reader comments) give empty lines. A name
+   counts if it is one of the list or a compound of the list and of ``NEUTRAL`` words; a subtree that holds most of the
+   page's text outside links is not stripped for one word of a name. A header inside an article holds its title and stays.
+2. Weights: a line weighs as many characters as it has outside links, so that lists of links weigh nothing; links in
+   a paragraph are part of its text. Where a page has ``article`` or ``main``, lines outside weigh nothing. Lines inside,
+   and on other pages paragraphs, weigh ``MIN_PEAK`` more, however short they are.
+3. Distribution: weights are summed over sliding windows of ``WINDOW`` lines.
+4. Surge and dive: a region begins where the sum rises from zero and ends where it falls back to zero, so a region
+   survives gaps shorter than the window, such as an advert inside an article. Stripped lines inside an article, or
+   between two lines of one element other than the body, are no gap, however many they are.
+5. Regions whose highest sum reaches ``MIN_PEAK`` are kept, and the highest one always; their non-empty lines are the
+   text. Inside a region nothing is dropped, however short.
 
-Character references are decoded once. White space inside a line becomes one space, lines are joined by one space. NULL
-and empty pages, and pages without article text, give an empty text. A tag that the page's end cuts off is markup.
-Unclosed elements end with the element around them. Repeated rows get the same text each; other columns are ignored.
+All pages take these steps. Character references are decoded once. White space inside a line becomes one space, lines are
+joined by one space. NULL and empty pages, and pages without article text, give an empty text. A tag that the page's end
+cuts off is markup. Unclosed elements end with the element around them; elements may be nested to any depth, at a cost
+that grows with the length of the page alone. Repeated rows get the same text each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,7 @@ BOILERPLATE = frozenset(
     " nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toolbar topbar masthead skip"
     " header footer copyright contentinfo sidebar aside complementary widget related recommended teaser"
     " notice alert cookie cookies consent gdpr popup modal overlay dialog newsletter subscribe subscription signup login"
-    " search form share sharing social toc disclaimer adsbygoogle outbrain taboola paywall".split()
+    " popular trending recent latest search form share sharing social toc disclaimer adsbygoogle outbrain taboola paywall".split()
 )
 # The head of an article holds its title; that of a page does not.
 HEADERS = frozenset(("header", "masthead"))
@@ -65,6 +67,7 @@ NEUTRAL = frozenset(
 )
 RAW = frozenset(("script", "style", "textarea", "title"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+PROSE = frozenset(("p", "blockquote", "pre"))  # what holds running text, linked or not
 _NAME = re.compile(r"[A-Za-z]+")
 _MARKS = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 # Comments, tags (a tag whose quotes do not match ends at the first ">"), declarations. No group gives back characters.
@@ -90,18 +93,29 @@ def _names(attributes: str) -> set[str]:
     return marked
 
 
+@dataclass(frozen=True)
+class _Line:
+    text: str
+    unlinked: int  # characters outside links
+    prose: bool  # in a paragraph or the like
+    inside: bool  # an article
+    around: tuple[int, ...]  # the block that holds it and the one around that
+
+
 class _Lines:
-    """Lines of a page as ``(text, length without links, inside an article)``."""
+    """The lines of a page, and the elements that are open while it is read."""
 
     def __init__(self, spared: frozenset[int] = frozenset()):
         self.spared = spared  # elements that are not stripped for their name
         self.unlinked = 0  # characters so far that are in no link and not stripped by element
         self.named: dict[int, int] = {}  # that number where an element stripped for one word began, then what it holds
-        self.lines: list[tuple[str, int, bool]] = []
-        self.around: list[set[int]] = []  # per line: the block that holds it and the one around that
+        self.lines: list[_Line] = []
         self.ids: list[int] = []  # of the open elements
         self.n_elements = 0
         self.open: list[tuple[str, str]] = []  # element, and how its text counts: text, article, link, none, named or comments
+        self.blocks: list[int] = []  # where in this list the blocks are
+        self.names: Counter[str] = Counter()  # of the open elements, so that no line has to walk through them
+        self.kinds: Counter[str] = Counter()
         self.text: list[str] = []
         self.linked = 0
         self.filled = False  # some text, kept or not, since the last line
@@ -141,9 +155,9 @@ class _Lines:
         """A line for what came since the last one; text that does not count makes an empty line."""
         if self.filled:
             text = " ".join("".join(self.text).split())
-            self.lines.append((text, max(0, len(text) - self.linked), any(kind == "article" for _, kind in self.open)))
-            blocks = (i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] not in INLINE)
-            self.around.append({self.ids[i] for i in islice(blocks, 2) if self.open[i][0] not in ("html", "body")})
+            around = tuple(self.ids[i] for i in self.blocks[-2:] if self.open[i][0] not in ("html", "body"))
+            prose = bool(self.blocks) and self.open[self.blocks[-1]][0] in PROSE
+            self.lines.append(_Line(text, max(0, len(text) - self.linked), prose, self.kinds["article"] > 0, around))
             self.text, self.linked, self.filled = [], 0, False
 
     def start(self, name: str, attributes: str, empty: bool) -> None:
@@ -166,15 +180,19 @@ class _Lines:
         elif names & COMMENTS:
             kind = "comments"
         elif name in NO_TEXT or names & BOILERPLATE:
-            titled = {name, *names} & (NO_TEXT | BOILERPLATE) <= HEADERS and any(k == "article" for _, k in self.open)
+            titled = {name, *names} & (NO_TEXT | BOILERPLATE) <= HEADERS and self.kinds["article"] > 0
             kind = before if titled else "none" if name in NO_TEXT else "named"
             if kind == "named":
                 self.name_held(names)
                 kind = before if self.n_elements in self.spared else kind
-        elif name == "a" and not any(n in HEADINGS for n, _ in self.open):
+        elif name == "a" and not any(self.names[n] for n in HEADINGS) and not (self.blocks and self.open[self.blocks[-1]][0] in PROSE):
             kind = "link"
         else:
             kind = before if before == "link" else "text"
+        if name not in INLINE:
+            self.blocks.append(len(self.open))
+        self.names[name] += 1
+        self.kinds[kind] += 1
         self.open.append((name, kind))
         self.ids.append(self.n_elements)
         self.n_elements += 1
@@ -183,6 +201,8 @@ class _Lines:
         """Ends the nearest open element of this name and all in it; a stray end tag ends nothing."""
         if name not in INLINE:
             self.end_line()
+        if not self.names[name]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == name:
                 self.close(i)
@@ -196,6 +216,11 @@ class _Lines:
         for number in self.ids[i:]:
             if number in self.named:
                 self.named[number] = self.unlinked - self.named[number]
+        for name, kind in self.open[i:]:
+            self.names[name] -= 1
+            self.kinds[kind] -= 1
+        while self.blocks and self.blocks[-1] >= i:
+            self.blocks.pop()
         del self.open[i:], self.ids[i:]
 
     def data(self, data: str) -> None:
@@ -207,7 +232,7 @@ class _Lines:
         kind = self.open[-1][1] if self.open else "text"
         if kind in ("none", "comments"):
             return
-        if kind != "link" and not (kind == "named" and any(n == "a" for n, _ in self.open)):
+        if kind != "link" and not (kind == "named" and self.names["a"]):
             self.unlinked += len(data.strip())
         if kind == "named":
             return
@@ -217,17 +242,24 @@ class _Lines:
             self.linked += len(data)
 
 
-def page_lines(page: _Lines) -> list[tuple[str, int]]:
-    """The text of every line and its length in the distribution; lines that are no article text are empty."""
-    lines, last, stripped = [], set(), []
-    for (text, length, _), around in zip(page.lines, page.around, strict=True):
-        if not text:
-            stripped.append(("", 0))
+def weighted_lines(page: _Lines, bonus: int) -> list[tuple[str, int]]:
+    """The text of every line and its weight in the distribution; lines that are no article text are empty or weigh nothing."""
+    lines: list[tuple[str, int]] = []
+    last: tuple[int, ...] = ()
+    stripped: list[tuple[str, int]] = []
+    for line in page.lines:
+        if not line.text:
+            if not line.inside:
+                stripped.append(("", 0))
             continue
-        if not around & last:
+        if not set(line.around) & set(last):
             lines += stripped
-        lines.append((text, length))
-        last, stripped = around, []
+        if page.saw_article:
+            weight = len(line.text) + bonus if line.inside else 0
+        else:
+            weight = line.unlinked + (bonus if line.prose else 0)
+        lines.append((line.text, weight))
+        last, stripped = line.around, []
     return lines + stripped
 
 
@@ -237,11 +269,9 @@ def main_text(html: str | None, window: int = WINDOW, min_peak: int = MIN_PEAK)
     if spared := page.most():
         page = _Lines(spared)
         page.read(html or "")
-    if page.saw_article:
-        return " ".join(text for text, _, inside in page.lines if inside and text)
-    lines = page_lines(page)
-    lengths = np.array([0] * (window - 1) + [n for _, n in lines] + [0] * (window - 1), np.int64)
-    sums = np.convolve(lengths, np.ones(window, np.int64), "valid")  # sums[i]: lines i-window+1 .. i
+    lines = weighted_lines(page, min_peak)
+    weights = np.array([0] * (window - 1) + [n for _, n in lines] + [0] * (window - 1), np.int64)
+    sums = np.convolve(weights, np.ones(window, np.int64), "valid")  # sums[i]: lines i-window+1 .. i
     above = np.concatenate(([False], sums > 0, [False]))
     surges, dives = np.flatnonzero(~above[:-1] & above[1:]), np.flatnonzero(above[:-1] & ~above[1:])
     peaks = [int(sums[a:b].max()) for a, b in zip(surges, dives, strict=True)]
@@ -249,7 +279,7 @@ def main_text(html: str | None, window: int = WINDOW, min_peak: int = MIN_PEAK)
     kept = []
     for a, b, peak in zip(surges.tolist(), dives.tolist(), peaks, strict=True):
         if peak >= needed:
-            kept += [text for text, _ in lines[a : b - window + 1] if text]
+            kept += [text for text, weight in lines[a : b - window + 1] if text and (weight or not page.saw_article)]
     return " ".join(kept)
 
 
