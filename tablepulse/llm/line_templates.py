@@ -5,13 +5,16 @@ where every token with a digit counts as the variable ``<*>``. Lines that reach
 each other: a token is constant if at least ``min_docs`` documents have it at that place of that leaf, otherwise it is
 a variable field. What is left is the line's template. A template recurs if lines of ``min_docs`` documents have it and
 at least ``similarity`` of its tokens are constant. A line whose whole masked form ``min_docs`` documents have recurs
-however many of its fields are variable, if it has a word at all. Lines of recurring templates are dropped, by default
-all but the first one, so that of many copies of a document one keeps its text.
+however many of its fields are variable, if it has a word at all; for a line of over ``LONG_TOKENS`` tokens two documents
+are enough. Lines of fewer than ``min_tokens`` tokens are too short to be generalised and recur by their masked form
+alone. Lines of recurring templates are dropped, by default all but the first one, so that of many copies of a document
+one keeps its text.
 
 The tree is made of grouped sums, so no leaf, template or line is ever held by one task: equal lines are combined before
-they are shuffled, and the joins that mark single lines can be split by adaptive execution.
+they are shuffled. What single lines are joined with is grouped by a hash beside the key, so that both sides of these
+joins are plain shuffles, which adaptive execution can split.
 
-Lines with fewer than ``min_tokens`` tokens, blank ones included, have no template and stay, unless ``exact`` is set. NULL texts stay NULL. A
+Blank lines stay. NULL texts stay NULL. A
 line that a document repeats counts once for that document; a repeated row counts as a further document. Ties for the
 first occurrence go to the smallest ``doc_id`` (a missing one first), then text hash, then line; equal rows share the
 result. Other columns are kept or ignored, whatever their names.
@@ -43,12 +46,12 @@ def parsed_lines(text: Column) -> Column:
     return F.transform(lines, lambda line: F.trim(line))  # F.trim alone would take the index as a second argument
 
 
-def _leaf(lines: DataFrame, *keep: str, depth: int, min_tokens: int) -> DataFrame:
-    """The columns to keep, ``line, n_tokens, leaf`` for parsed lines of enough tokens."""
+def _leaf(lines: DataFrame, *keep: str, depth: int) -> DataFrame:
+    """The columns to keep, ``line, n_tokens, leaf`` for parsed lines that are not blank."""
     spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
     counted = lines.select(*keep, "line", F.when(F.col("line") == "", 0).otherwise(spaces + 1).alias("n_tokens"))
     lead = F.substring_index("line", " ", depth)
-    return counted.where(F.col("n_tokens") >= min_tokens).select(
+    return counted.where(F.col("n_tokens") > 0).select(
         *keep, "line", "n_tokens", F.xxhash64("n_tokens", lead).alias("leaf")
     )
 
@@ -59,16 +62,11 @@ def templates(
     min_docs: int = MIN_DOCS,
     min_tokens: int = MIN_TOKENS,
     similarity: float = SIMILARITY,
-    exact: bool = False,
 ) -> DataFrame:
-    """``leaf, line_hash, template``: the recurring template of every parsed line that has one.
-
-    With ``exact``, lines of fewer than ``min_tokens`` tokens recur by their masked form, and those of over ``LONG_TOKENS``
-    already if two documents have it.
-    """
-    enough = F.when(F.lit(exact) & (F.col("n_tokens") > LONG_TOKENS), 2).otherwise(min_docs)
+    """``leaf, line_hash, template``: the recurring template of every parsed line that has one."""
+    enough = F.when(F.col("n_tokens") > LONG_TOKENS, min(2, min_docs)).otherwise(min_docs)
     per_doc = docs.select(F.explode(F.array_distinct(parsed_lines(F.col("text")))).alias("line"))
-    lines = _leaf(per_doc, depth=depth, min_tokens=1 if exact else min_tokens).groupBy("leaf", "n_tokens", "line").agg(F.count(F.lit(1)).alias("n"))
+    lines = _leaf(per_doc, depth=depth).groupBy("leaf", "n_tokens", "line").agg(F.count(F.lit(1)).alias("n"))
     busy = lines.groupBy("leaf", "n_tokens").agg(F.sum("n").alias("total")).where(F.col("total") >= enough).select("leaf", "total")
     leaves = cut(lines.join(busy, "leaf"), "busy-leaves")
 
@@ -90,8 +88,9 @@ def templates(
 
     worded = F.exists(F.split("line", " "), lambda x: ~F.contains(x, F.lit(VARIABLE)))
     same = leaves.where(F.col("n") >= enough).where(worded).select("leaf", F.xxhash64("line").alias("line_hash"))
-    known = similar.unionAll(same.withColumn("template", F.lit(None).cast("long"))).groupBy("leaf", "line_hash")
-    return known.agg(F.max("template").alias("template")).withColumn("template", F.coalesce("template", "line_hash"))
+    known = similar.unionAll(same.withColumn("template", F.lit(None).cast("long")))
+    known = known.groupBy(F.xxhash64("leaf", "line_hash"), "leaf", "line_hash").agg(F.max("template").alias("template"))
+    return known.select("leaf", "line_hash", F.coalesce("template", "line_hash").alias("template"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -105,18 +104,17 @@ def dropped_lines(
     min_tokens: int = MIN_TOKENS,
     similarity: float = SIMILARITY,
     keep_first: bool = True,
-    exact: bool = False,
 ) -> DataFrame:
     """``doc_id, text_hash, dropped``: the line numbers (from 0) that go, for the documents that lose any."""
-    known = templates(docs, depth, min_docs, min_tokens, similarity, exact)
+    known = templates(docs, depth, min_docs, min_tokens, similarity)
     numbered = _rows(docs).select("doc_id", "text_hash", F.posexplode(parsed_lines(F.col("text"))).alias("number", "line"))
-    lines = _leaf(numbered, "doc_id", "text_hash", "number", depth=depth, min_tokens=1 if exact else min_tokens)
+    lines = _leaf(numbered, "doc_id", "text_hash", "number", depth=depth)
     lines = lines.select("doc_id", "text_hash", "number", "leaf", F.xxhash64("line").alias("line_hash"))
     hits = lines.join(known, ["leaf", "line_hash"]).select("doc_id", "text_hash", "number", "leaf", "template")
     if keep_first:
         hits = cut(hits, "recurring-lines")
         place = F.struct("doc_id", "text_hash", "number")
-        first = hits.groupBy("leaf", "template").agg(F.min(place).alias("first"))
+        first = hits.groupBy(F.xxhash64("leaf", "template"), "leaf", "template").agg(F.min(place).alias("first")).select("leaf", "template", "first")
         hits = hits.join(first, ["leaf", "template"]).where(~place.eqNullSafe(F.col("first")))
     return hits.groupBy("doc_id", "text_hash").agg(F.collect_set("number").alias("dropped"))
 

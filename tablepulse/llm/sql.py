@@ -81,10 +81,9 @@ def template_sql() -> str:
       u AS (SELECT r, doc_id, unnest(range(1, len(l) + 1)) AS n, l FROM d WHERE text IS NOT NULL),
       k AS (SELECT r, doc_id, n, list_transform(regexp_extract_all(l[n], '{WORD}'),
         lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS k FROM u),
-      lines AS (SELECT r, doc_id, n, k, array_to_string(k, ' ') AS s, concat_ws(chr(10), len(k), {lead}) AS leaf FROM k
-        WHERE len(k) >= {t.MIN_TOKENS}),
+      lines AS (SELECT r, doc_id, n, k, array_to_string(k, ' ') AS s, concat_ws(chr(10), len(k), {lead}) AS leaf FROM k WHERE len(k) > 0),
       g AS (SELECT leaf, s, any_value(k) AS k, count(DISTINCT r) AS docs FROM lines GROUP BY leaf, s),
-      busy AS (SELECT leaf FROM g GROUP BY leaf HAVING sum(docs) >= {t.MIN_DOCS}),
+      busy AS (SELECT leaf FROM g WHERE len(k) >= {t.MIN_TOKENS} GROUP BY leaf HAVING sum(docs) >= {t.MIN_DOCS}),
       placed AS (SELECT leaf, s, docs, len(k) AS size, unnest(range(1, len(k) + 1)) AS p, unnest(k) AS token FROM g SEMI JOIN busy USING (leaf)),
       support AS (SELECT leaf, p, token FROM placed WHERE NOT contains(token, '<*>') GROUP BY 1, 2, 3 HAVING sum(docs) >= {t.MIN_DOCS}),
       marked AS (SELECT a.*, b.token IS NOT NULL AS constant FROM placed a LEFT JOIN support b
@@ -93,8 +92,13 @@ def template_sql() -> str:
         string_agg(CASE WHEN constant THEN 'c' || token ELSE 'v' END, ' ' ORDER BY p) AS template
         FROM marked GROUP BY leaf, s HAVING count(*) FILTER (constant) >= {t.SIMILARITY} * any_value(size)),
       recurring AS (SELECT leaf, template FROM general GROUP BY 1, 2 HAVING sum(docs) >= {t.MIN_DOCS}),
+      same AS (SELECT leaf, s FROM g WHERE docs >= CASE WHEN len(k) > {t.LONG_TOKENS} THEN 2 ELSE {t.MIN_DOCS} END
+        AND len(list_filter(k, lambda x: NOT contains(x, '<*>'))) > 0),
+      known AS (SELECT leaf, s, coalesce(max(template), 's' || s) AS template FROM (
+        SELECT leaf, s, template FROM general SEMI JOIN recurring USING (leaf, template)
+        UNION ALL SELECT leaf, s, NULL FROM same) GROUP BY leaf, s),
       hits AS (SELECT r, n, row_number() OVER (PARTITION BY leaf, template ORDER BY doc_id NULLS FIRST, n) AS place
-        FROM lines JOIN general USING (leaf, s) JOIN recurring USING (leaf, template)),
+        FROM lines JOIN known USING (leaf, s)),
       gone AS (SELECT r, list(n) AS gone FROM hits WHERE place > 1 GROUP BY r),
       z AS (SELECT doc_id, text, l, gone, CASE WHEN gone IS NULL THEN coalesce(text, '') ELSE array_to_string(
         list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(gone, i)), lambda i: l[i]), chr(10)) END AS kept
