@@ -463,6 +463,10 @@ def _replies() -> str:
         return f"""(SELECT '{kpi_id} is at ' || {ONE.format('value')} || '% (' || num ||
             ' rows); the drill-down lists them.' FROM k WHERE kpi_id = '{kpi_id}')"""
 
+    overall = f"""'The overall score is ' || printf('%.0f', {OVERALL}) || '%, the mean of ' || (SELECT count(*) FROM k) || ' KPIs.'"""
+    weakest = f"""(SELECT ' The weakest pillar is ' || pillar || ' at ' || printf('%.0f', pillar_score) || '%.' FROM ({PILLARS})
+        ORDER BY pillar_score, pillar LIMIT 1)"""
+    answer = f"{overall} || CASE topic WHEN 'overall' THEN {weakest} ELSE '' END"
     return f"""{kpis()}, {MONTHLY},
       e AS (SELECT count(*) AS n, arg_min(value, captured_on) AS v1, arg_max(value, captured_on) AS v2 FROM whole),
       m AS (SELECT conv_id, turn, CASE {cases} ELSE 'general' END AS topic FROM conversations)
@@ -471,8 +475,7 @@ def _replies() -> str:
         WHEN 'trend' THEN (SELECT 'Over ' || n || ' captures it ' || CASE WHEN v2 < v1 THEN 'declined'
           WHEN v2 > v1 THEN 'rose' ELSE 'stayed' END || ' from ' || {ONE.format('v1')} || '% to ' || {ONE.format('v2')}
           || '%.' FROM e)
-        ELSE 'The overall score is ' || printf('%.0f', {OVERALL}) || '%, the mean of ' || (SELECT count(*) FROM k)
-          || ' KPIs.' END AS reply FROM m"""
+        ELSE {answer} END AS reply FROM m"""
 
 
 SUMMARY = f"""{kpis()},

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tablepulse.functions import rates, text
 from tablepulse.operators.history import trend
 from tablepulse.operators.rules import Rule
-from tablepulse.operators.scores import overall_mean, pillar_scores, with_deviation, with_parts, with_status
+from tablepulse.operators.scores import overall_mean, pillar_mean, pillar_scores, with_deviation, with_parts, with_status
 
 LAST_TURNS = 5
 
@@ -92,15 +92,19 @@ def replies(
         named = F.col("kpi_id") == kpi_id
         return [F.max(F.when(named, F.col(c))).alias(f"{kpi_id}_{c}") for c in ("value", "num")]
 
+    rules = list(rules)
+    scores = (F.struct(pillar_mean(p).alias("score"), F.lit(p).alias("pillar")) for p in sorted({r.pillar for r in rules if r.scored}))
+    weakest = F.array_min(F.filter(F.array(*scores), lambda x: x["score"].isNotNull())).alias("weakest")
     told = trend(long_history.where("kpi_id = 'overall_score'")).agg(F.max("sentence")).scalar()
     facts = (
         with_parts(kpis, rules)
-        .agg(overall_mean().alias("overall"), F.count_if("scored").alias("n"), *fact("CS07"), *fact("JI02"))
+        .agg(overall_mean().alias("overall"), F.count_if("scored").alias("n"), weakest, *fact("CS07"), *fact("JI02"))
         .select(F.struct("*").alias("facts"))
         .scalar()
     )
     asked = messages.withColumns({"topic": text.route(F.col("text"), topics), "_f": facts, "_trend": told})
     overall = F.format_string("The overall score is %.0f%%, the mean of %d KPIs.", "_f.overall", "_f.n")
+    pillar = F.format_string("The weakest pillar is %s at %.0f%%.", "_f.weakest.pillar", F.col("_f.weakest.score").cast("double"))
     unknown = F.lit("This KPI has not been measured.")
 
     def kpi(kpi_id: str, label: str) -> Column:
@@ -113,6 +117,7 @@ def replies(
         .when(F.col("topic") == "orphan", kpi("JI02", "JI02"))
         .when(F.col("topic") == "fix", "Open the alert, read its root cause, check the dry run, then approve the fix.")
         .when(F.col("topic") == "trend", F.coalesce("_trend", F.lit("No trend yet.")))
+        .when((F.col("topic") == "overall") & F.col("_f.weakest").isNotNull(), F.concat_ws(" ", overall, pillar))
         .otherwise(overall)
     )
     return asked.withColumn("reply", answer).drop("_f", "_trend")
