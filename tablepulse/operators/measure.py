@@ -6,7 +6,10 @@ Plan shape, whatever the number of rules:
   grouped by the key, so the map-side combine shrinks a key to one record per task before anything
   is shuffled. There is no sort, and a key that owns a third of either table costs no more than any
   other key;
-* a reconciliation also joins the parent's (key, amount) groups to these records. A record is counted
+* a reconciliation is part of the same pass where all parent rows of a key have one amount: the record then
+  holds the amount and its number of rows. Only the records of keys with several amounts are joined to the
+  parent's (key, amount) groups, over the same shuffle of records. They are shuffled once more for this join, so
+  that both of its sides are plain shuffles and a key with very many amounts is split. Such a record is counted
   once, with its key's smallest amount, however many groups the key has;
 * row rates of a table are counted in the same pass if the table takes part in one, otherwise all of
   them share one scan and one global aggregate.
@@ -152,7 +155,11 @@ def _keyed_rates(
     reconciled = [r.measure for r in rules if isinstance(r.measure, ReconcileRate)]
     once = "true"
     if reconciled:
-        smallest = parent.need("min", _only(reconciled[0].parent_where, reconciled[0].parent_amount))
+        m = reconciled[0]
+        # Rows without a key have no amount here, so no filter on the key is needed that would make other records of it.
+        amount = f"CASE WHEN ({m.parent_key}) IS NOT NULL AND ({m.parent_where}) THEN {m.parent_amount} END"
+        smallest, largest = parent.need("min", amount), parent.need("max", amount)
+        copies = parent.need("sum", _ones(f"({m.parent_where}) AND ({m.parent_amount}) IS NOT NULL"))
         once = f"(_amount IS NULL OR _amount = {smallest})"
 
     def summed(side: _Side, predicate: str) -> str:
@@ -171,11 +178,21 @@ def _keyed_rates(
         child.rows(tables[first.child], by), allowMissingColumns=True
     )
     per_key = both.groupBy("key", *([by] if by else [])).agg(*parent.aggregates(), *child.aggregates())
-    if reconciled:
-        groups = _amount_groups(tables[first.parent], reconciled[0], by)
-        here = F.col("key") == F.col("_group_key")
-        per_key = per_key.join(groups, here & (F.col(by) == F.col("_group_by")) if by else here, "left")
-    return _long(_totals(per_key, named, by), [*rules, *of_parent, *of_child], by)
+    if not reconciled:
+        return _long(_totals(per_key, named, by), [*rules, *of_parent, *of_child], by)
+
+    several = F.expr(f"coalesce({smallest} < {largest}, false)")
+    single = per_key.where(~several).selectExpr("*", f"{smallest} AS _amount", f"{copies} AS _copies")
+    groups = _amount_groups(tables[first.parent], reconciled[0], by)
+    # The hash in the condition keeps the partitioning of the records from being used for the join; structs are compared
+    # because no filter on NULLs follows from that.
+    here = (F.xxhash64("key") == F.xxhash64("_group_key")) & (F.struct("key") == F.struct(F.col("_group_key").alias("key")))
+    # No group has more rows than its key. With this, both branches need the same columns, and so the same shuffle.
+    here &= F.col("_copies") <= F.col(copies)
+    mixed = per_key.where(several).join(groups, here & (F.col(by) == F.col("_group_by")) if by else here)
+    both = _totals(single, named, by).unionAll(_totals(mixed, named, by))
+    names = [n for i in range(len(totals) // 2) for n in (f"num_{i}", f"den_{i}")]
+    return _long(_totals(both, [f"sum({n}) AS {n}" for n in names], by), [*rules, *of_parent, *of_child], by)
 
 
 def _amount_groups(parent: DataFrame, m: ReconcileRate, by: str | None = None) -> DataFrame:
