@@ -5,13 +5,14 @@ characters that are no letters or digits made one space. Two texts that differ o
 and the scan is one hash join of the digests of whole texts with those of known licences. The known table is an
 argument, so any licence list can be used; ``known_licences`` makes the built-in one.
 
-The built-in list has a licence's text with and without its title as entries of their own. A copyright line without a year,
+The built-in list has a licence's text with and without its title: these are variants of one licence, and a result names
+both, ``MIT`` and ``MIT (titled MIT License)``, say. A copyright line without a year,
 ``(c)`` or another sign of a statement cannot be told from a wrapped line of the licence and stays.
 
 Every line is looked up as well, which finds notices and one-line licences inside longer texts.
 
 NULL texts are read as empty; a text whose canonical form is empty has no licence. Repeated rows get the same result
-each. If several licences share a digest, the first by name is reported. Other columns are ignored, whatever their names.
+each. If several licences or variants share a digest, the first by name is reported. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -150,19 +151,23 @@ def digest(canonical: Column) -> Column:
     return F.when(canonical != "", F.sha2(canonical.cast("binary"), 256))
 
 
+def licence_of(variant: str) -> str:
+    """The licence that a variant belongs to: its name up to a bracket."""
+    return variant.partition(" (")[0]
+
+
 def known_licences(spark: SparkSession, texts: dict[str, str] = KNOWN) -> DataFrame:
-    """``known_digest, known_hash, licence``, one row per canonical form."""
-    rows = spark.createDataFrame(sorted(texts.items()), "licence string, text string")
-    formed = rows.select("licence", whole(canonical_lines(F.col("text"))).alias("form"))
-    return formed.groupBy(digest(F.col("form")).alias("known_digest"), F.xxhash64("form").alias("known_hash")).agg(
-        F.min("licence").alias("licence")
-    )
+    """``known_digest, known_hash, licence, variant``, one row per canonical form; ``texts`` is by variant."""
+    rows = spark.createDataFrame([(licence_of(v), v, t) for v, t in sorted(texts.items())], "licence string, variant string, text string")
+    formed = rows.select(F.struct("licence", "variant").alias("named"), whole(canonical_lines(F.col("text"))).alias("form"))
+    first = formed.groupBy(digest(F.col("form")).alias("known_digest"), F.xxhash64("form").alias("known_hash")).agg(F.min("named").alias("named"))
+    return first.select("known_digest", "known_hash", "named.*")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """``doc_id, digest, licence, notices`` per row.
+    """``doc_id, digest, licence, variant, notices`` per row.
 
-    ``licence`` is the known licence that the whole text is, ``notices`` the sorted ones that single lines are. Texts are
+    ``licence`` is the known licence that the whole text is, in the form ``variant``; ``notices`` the sorted ones that single lines are. Texts are
     brought into canonical form once; their digests, and 64-bit hashes of their lines, are written and joined.
     """
 
@@ -178,6 +183,6 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     found = per_line.join(known, F.col("line_hash") == F.col("known_hash"))
     notices = found.groupBy("k", "h").agg(F.sort_array(F.collect_set("licence")).alias("notices"))
     texts = formed.select("doc_id", "text_hash", "digest")
-    named = texts.join(known.select("known_digest", "licence"), F.col("digest") == F.col("known_digest"), "left")
+    named = texts.join(known.select("known_digest", "licence", "variant"), F.col("digest") == F.col("known_digest"), "left")
     listed = named.join(notices, same_row((F.col("doc_id"), F.col("text_hash")), (F.col("k"), F.col("h"))), "left")
-    return listed.select("doc_id", "digest", "licence", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    return listed.select("doc_id", "digest", "licence", "variant", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))

@@ -63,14 +63,14 @@ def licence_sql() -> str:
         return f"regexp_replace({plain}, {quoted(licences._ISE)}, {quoted(licences._IZE.replace('$', chr(92)))}, 'g')"
 
     whole = r"trim(regexp_replace(c, '[ \n]+', ' ', 'g'))"
-    known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in sorted(licences.KNOWN.items()))
-    return f"""WITH a(licence, text) AS (VALUES {known}), b AS (SELECT licence, {lines('text')} AS c FROM a),
-      known AS (SELECT sha256({whole}) AS digest, min(licence) AS licence FROM b GROUP BY 1),
+    known = ", ".join(f"({quoted(licences.licence_of(name))}, {quoted(name)}, {quoted(text)})" for name, text in sorted(licences.KNOWN.items()))
+    return f"""WITH a(licence, variant, text) AS (VALUES {known}), b AS (SELECT licence, variant, {lines('text')} AS c FROM a),
+      known AS (SELECT sha256({whole}) AS digest, min(licence) AS licence, arg_min(variant, licence || ' ' || variant) AS variant FROM b GROUP BY 1),
       d AS (SELECT row_number() OVER () AS r, doc_id, {lines('text')} AS c FROM documents),
       l AS (SELECT r, trim(unnest(string_split(c, chr(10)))) AS line FROM d),
       n AS (SELECT r, list_sort(list(DISTINCT licence)) AS notices FROM l JOIN known ON sha256(line) = digest WHERE line <> '' GROUP BY r),
       e AS (SELECT r, doc_id, CASE WHEN {whole} <> '' THEN sha256({whole}) END AS digest FROM d)
-      SELECT doc_id, e.digest, licence, coalesce(notices, []) AS notices
+      SELECT doc_id, e.digest, licence, variant, coalesce(notices, []) AS notices
       FROM e LEFT JOIN known USING (digest) LEFT JOIN n USING (r)"""
 
 

@@ -49,5 +49,18 @@ def test_whole_licences_are_named_however_their_lines_break(spark):
     for name in ("BSD-2-Clause", "BSD-3-Clause"):
         texts[f"{name} 72"] = "Copyright 2020, A\nAll rights reserved.\n\n" + textwrap.fill(licences.KNOWN[name], 72)
     found = licences.scan(docs_of(spark, list(enumerate(texts.values()))), licences.known_licences(spark)).collect()
-    got = {name: next(r.licence for r in found if r.doc_id == i) for i, name in enumerate(texts)}
-    assert got == {name: name if name in licences.KNOWN else name.split(" ")[0] for name in texts}
+    got = {name: next((r.licence, r.variant) for r in found if r.doc_id == i) for i, name in enumerate(texts)}
+    assert got == {name: (name.split(" ")[0], name if name in licences.KNOWN else name.split(" ")[0]) for name in texts}
+
+
+def test_one_id_per_licence(spark):
+    known = licences.known_licences(spark).collect()
+    assert all("(" not in r.licence and r.variant.startswith(r.licence) for r in known)
+    assert {r.variant for r in known if r.licence == "MIT"} >= {"MIT", "MIT (titled MIT License)", "MIT (titled The MIT License)"}
+
+
+def test_very_long_texts_and_lines(spark):
+    long = "lorem ipsum " * 60_000
+    rows = [(1, long), (2, long + "\nReleased under the MIT License.\n" + "x" * 300_000), (3, licences.KNOWN["ISC"].replace(" ", " " * 40))]
+    found = {r.doc_id: r for r in licences.scan(docs_of(spark, rows), licences.known_licences(spark)).collect()}
+    assert (found[1].licence, found[1].notices, found[2].notices, found[3].licence) == (None, [], ["MIT notice"], "ISC")
