@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tablepulse.operators.drilldown import SAMPLE_LIMIT
+from tablepulse.operators.drilldown import SAMPLE_LIMIT, failing_rows, first_rows, stringify, total_order
 from tablepulse.operators.rules import Rule, RowRate, Tables, local_frame, with_rule
 from tablepulse.operators.scores import with_status
-from tablepulse.operators.tagged import first_failing
 
 DEFAULT_ACTION = "Review the failing rows and correct them at the source."
 
@@ -35,11 +36,23 @@ _CAUSE_SCHEMA = pa.schema(
 def evidence(tables: Tables, rules: Iterable[Rule], limit: int = SAMPLE_LIMIT) -> DataFrame:
     """``kpi_id, evidence array<json>``: the first failing rows of every rule that has a drill-down.
 
-    Each table is read once for all its row rules, and cut to ``limit`` rows per rule before anything is gathered.
+    Each rule is cut by its own top-k before anything is gathered, so at most ``limit`` rows per rule
+    reach the arrays.
     """
-    first = first_failing(tables, rules, limit)
-    ordered = F.array_sort(F.collect_list(F.struct("number", "row")))
-    return first.groupBy("kpi_id").agg(F.transform(ordered, lambda r: r["row"]).alias("evidence"))
+    parts = []
+    for rule in rules:
+        if not rule.drillable:
+            continue
+        rows = first_rows(failing_rows(tables, rule), rule, limit)
+        numbered = rows.withColumn(
+            "_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*total_order(rows, rule.order)))
+        )
+        as_json = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+        text = stringify(numbered).select(F.lit(rule.kpi_id).alias("kpi_id"), "_no", as_json.alias("row"))
+        parts.append(text)
+    stacked = reduce(DataFrame.unionAll, parts)
+    ordered = F.array_sort(F.collect_list(F.struct("_no", "row")))
+    return stacked.groupBy("kpi_id").agg(F.transform(ordered, lambda r: r["row"]).alias("evidence"))
 
 
 def dataset_of(rule: Rule) -> str:

@@ -1,7 +1,8 @@
 """Failing rows of many rules in one pass per table: every row is tagged with the rules it breaks.
 
-Row rules of one table share a scan, or the join behind a view: a row's tags are an array of KPI ids, and rows without
-tags go no further. Rules that relate two tables have rows of their own and are stacked beside them.
+Row rules of one table share a scan, or the join behind a view. A row's tags are an array with the id of each rule it
+breaks, NULL in the places of the others; rows that break none go no further, which filters can see to at the scan. Both
+are plain expressions that Spark compiles, without functions over arrays. Rules that relate two tables have rows of their own and are stacked beside them.
 """
 
 from __future__ import annotations
@@ -11,9 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tablepulse.operators.drilldown import failing_rows, stringify
+from tablepulse.operators.drilldown import failing_rows
 from tablepulse.operators.rules import RowRate, Rule, Tables
 
 TAGS = "kpi_ids"
@@ -32,15 +32,19 @@ def passes(rules: Iterable[Rule]) -> tuple[dict[str, list[Rule]], list[Rule]]:
 
 
 def tags(rules: Iterable[Rule]) -> Column:
-    """The ids of the row rules that a row breaks."""
-    broken = (F.when(F.expr(r.measure.hit), F.lit(r.kpi_id)) for r in rules)
-    return F.array_compact(F.array(*broken)).alias(TAGS)
+    """The ids of the row rules that a row breaks, each in its rule's place."""
+    return F.array(*(F.when(F.expr(r.measure.hit), F.lit(r.kpi_id)) for r in rules)).alias(TAGS)
+
+
+def breaks_any(rules: Iterable[Rule]) -> Column:
+    return reduce(lambda a, b: a | b, (F.expr(r.measure.hit) for r in rules))
 
 
 def failing_keys(tables: Tables, rules: Iterable[Rule], keys: Mapping[str, tuple[str, str]]) -> DataFrame:
     """``kpi_ids, row_key, row_no``: what names each failing row, once per row however many rules it breaks.
 
-    ``keys`` gives both as expressions over the rows a rule shows; rules of one table may name their rows differently.
+    ``keys`` gives both as expressions over the rows a rule shows; rules of one table that name their rows differently
+    are tagged apart.
     """
     by_table, keyed = passes(rules)
     parts = []
@@ -48,64 +52,11 @@ def failing_keys(tables: Tables, rules: Iterable[Rule], keys: Mapping[str, tuple
         by_key: dict[tuple[str, str], list[Rule]] = {}
         for rule in group:
             by_key.setdefault(keys[rule.kpi_id], []).append(rule)
-        named = [F.struct(tags(same), F.expr(k).cast("long").alias("row_key"), F.expr(n).cast("int").alias("row_no")) for (k, n), same in by_key.items()]
-        rows = tables[table].select(F.inline(F.array(*named))) if len(named) > 1 else tables[table].select(named[0].alias("r")).select("r.*")
-        parts.append(rows.where(F.size(TAGS) > 0))
+        for (key, number), same in by_key.items():
+            rows = tables[table].where(breaks_any(same))
+            parts.append(rows.select(tags(same), F.expr(key).cast("long").alias("row_key"), F.expr(number).cast("int").alias("row_no")))
     for rule in keyed:
         key, number = keys[rule.kpi_id]
         found = failing_rows(tables, rule)
         parts.append(found.select(F.array(F.lit(rule.kpi_id)).alias(TAGS), F.expr(key).cast("long").alias("row_key"), F.expr(number).cast("int").alias("row_no")))
     return reduce(DataFrame.unionAll, parts)
-
-
-def first_failing(tables: Tables, rules: Iterable[Rule], limit: int) -> DataFrame:
-    """``kpi_id, number, row``: the first failing rows of every rule in its own order, as JSON.
-
-    Rows of one table are ranked in one window over their tags. A rule's order only applies to rows under its tag, so the
-    window's order is that of all rules, one after the other, each NULL under other tags. The filter on the rank also
-    cuts what every task sends.
-    """
-    by_table, keyed = passes(rules)
-    parts = [_ranked(tables[table], group, limit, tagged=True) for table, group in by_table.items()]
-    parts += [_ranked(failing_rows(tables, rule), [rule], limit, tagged=False) for rule in keyed]
-    return reduce(DataFrame.unionAll, parts)
-
-
-def _ranked(rows: DataFrame, rules: list[Rule], limit: int, tagged: bool) -> DataFrame:
-    kpi_id = F.col("kpi_id")
-    if tagged:
-        # What the rules show, each expression once; columns are named by position, since rules may name them alike.
-        shown = list(dict.fromkeys(e for r in rules for e in r.show))
-        place = {e: f"_shown_{i}" for i, e in enumerate(shown)}
-        rows = rows.select(tags(rules), *(F.expr(e).alias(n) for e, n in place.items())).where(F.size(TAGS) > 0)
-        rows = rows.select(F.explode(TAGS).alias("kpi_id"), *place.values())
-    else:
-        rows = rows.withColumn("kpi_id", F.lit(rules[0].kpi_id))
-    alike: dict[tuple, list[Rule]] = {}
-    for rule in rules:
-        alike.setdefault((rule.show, rule.order), []).append(rule)
-    order: list[Column] = []
-    json = F.lit(None).cast("string")
-    for group in alike.values():
-        rule, own = group[0], kpi_id.isin([r.kpi_id for r in group])
-        names = _names(rule) if tagged else [c for c in rows.columns if c != "kpi_id"]
-        at = {n: F.col(place[e] if tagged else n) for n, e in zip(names, rule.show if tagged else names, strict=True)}
-        for c in (*rule.order, *names):
-            value = F.when(own, at[c.lstrip("-")])
-            order.append(F.desc_nulls_last(value) if c.startswith("-") else F.asc_nulls_last(value))
-        as_text = [at[n].cast("string").alias(n) if _is_text(rows, at[n]) else at[n].alias(n) for n in names]
-        json = F.when(own, F.to_json(F.struct(*as_text), {"ignoreNullFields": "false"})).otherwise(json)
-    number = F.row_number().over(Window.partitionBy("kpi_id").orderBy(*order))
-    return rows.withColumn("number", number).where(F.col("number") <= limit).select("kpi_id", "number", json.alias("row"))
-
-
-def _names(rule: Rule) -> list[str]:
-    """What a rule calls the columns it shows."""
-    return [e.rsplit(" AS ", 1)[-1].strip() for e in rule.show]
-
-
-def _is_text(rows: DataFrame, column: Column) -> bool:
-    """Whether a drill-down shows this column as text."""
-    one = rows.select(column.alias("c"))
-    return stringify(one).schema != one.schema
-

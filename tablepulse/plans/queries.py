@@ -163,7 +163,8 @@ def failing_samples(spark, folder):
     found = failing_keys(tables, [find_rule(warehouse.RULES, k) for k in DRILLDOWNS], ROW_KEYS)
     found.write.parquet(path)
     listed = spark.read.schema(found.schema).parquet(path)
-    return failing_sample(listed.select(F.explode("kpi_ids").alias("kpi_id"), "row_key", "row_no"), ["row_key", "row_no"])
+    named = listed.select(F.explode("kpi_ids").alias("kpi_id"), "row_key", "row_no").where("kpi_id IS NOT NULL")
+    return failing_sample(named, ["row_key", "row_no"])
 
 
 # ---- history ----

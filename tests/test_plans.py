@@ -130,10 +130,14 @@ def test_bucketed_lines_meet_their_orders_without_a_shuffle(spark, no_auto_broad
         assert "Join" in plan and ("Exchange" not in plan or kpi_id == "JI02")
 
 
-@pytest.mark.parametrize("name,scans", [("failing_samples", {}), ("rca_records", {"events": 2, "customer": 2, "documents": 2})])
-def test_failing_rows_are_found_in_one_pass_per_table(spark, name, scans):
-    """Row rules of a table share its scan: samples read a list of keys, evidence reads a table once beside the KPI pass."""
-    plan = plan_of(QUERIES[name](spark, FOLDER))
-    found = Counter(re.findall(r"FileScan.*?/(\w+)\.parquet", plan))
-    for table in ("events", "customer", "documents"):
-        assert found[table] == scans.get(table, 0)
+def test_failing_rows_are_named_in_one_pass_per_table(spark):
+    """Row rules of a table share its scan, and the samples read the list of keys alone."""
+    from tablepulse.operators.tagged import failing_keys
+    from tablepulse.plans.queries import DRILLDOWNS, ROW_KEYS
+    from tablepulse.operators.rules import find_rule
+
+    rules = [find_rule(warehouse.RULES, k) for k in DRILLDOWNS]
+    found = Counter(re.findall(r"FileScan.*?/(\w+)\.parquet", plan_of(failing_keys(warehouse.load(spark, FOLDER), rules, ROW_KEYS))))
+    assert (found["events"], found["customer"], found["documents"]) == (1, 1, 1)
+    plan = plan_of(QUERIES["failing_samples"](spark, FOLDER))
+    assert "failing-keys" in plan and not re.search(r"FileScan.*?/\w+\.parquet", plan)
