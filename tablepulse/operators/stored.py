@@ -125,12 +125,15 @@ class StoredRates:
 
     def _periods_by_file(self, c: Dated, table: str, paths: list[str]) -> DataFrame:
         """Log rows of new files; only the table with the date says which periods they hold."""
-        here = files_of(self.spark, {table: self.paths[table]}).where(F.col("path").isin(paths) if len(paths) < 1000 else F.lit(True))
+        listed = self.spark.createDataFrame([(path,) for path in paths], "path string")
+        here = files_of(self.spark, {table: self.paths[table]}).join(listed, "path", "left_semi")
         none = F.lit(None).cast("array<date>")
         if table != c.dated:
             return here.select("table", "path", "print", F.lit(c.view).alias("view"), none.alias("periods"))
         rows = self.load({table: paths})[table]
-        held = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.collect_set(month(c.date)).alias("held"))
+        # Here paths are percent-encoded, in listings they are not; a plus sign stands for itself.
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        held = rows.groupBy(path.alias("path")).agg(F.collect_set(month(c.date)).alias("held"))
         return here.join(held, "path", "left").select(
             "table", "path", "print", F.lit(c.view).alias("view"), F.coalesce("held", F.array().cast("array<date>")).alias("periods")
         )
