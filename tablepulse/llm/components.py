@@ -13,9 +13,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate: each node links its larger neighbours, then its smaller ones, to
     its smallest neighbour, until every component is a star around its smallest node. The number of rounds grows
-    with the logarithm of the longest chain. A node's smallest neighbour is a map-side combined minimum and
-    reaches its edges by a join that adaptive execution can split, so a node with very many edges is no single
-    task's work. Only two numbers per round reach the driver. No edges give no rows; loops and repeats are harmless.
+    with the logarithm of the longest chain. A node's smallest neighbour is a map-side combined minimum, but its
+    edges meet it in one task: the minimum is grouped by the key of the join, so adaptive execution does not split
+    it. Callers keep nodes small by linking trees instead of all pairs. Only two numbers per round reach the driver. No edges give no rows; loops and repeats are harmless.
     """
     star = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
