@@ -155,8 +155,10 @@ def manifest_sql(leaf_rounds: int = 7, tree_rounds: int = 2) -> str:
 def repeats_sql() -> str:
     n = suffixes.LENGTH
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-      w AS (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - {n - 1})) AS p FROM d),
-      k AS (SELECT r, doc_id, p, md5(substr(h, 2 * p + 1, {2 * n})) AS k FROM w),
+      c AS (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - {n - 1}, 256)) AS a FROM d),
+      b AS (SELECT r, doc_id, a, substr(h, 2 * a + 1, {2 * (256 + n - 1)}) AS b FROM c),
+      w AS (SELECT r, doc_id, a, b, unnest(range(0, len(b) // 2 - {n - 1})) AS o FROM b),
+      k AS (SELECT r, doc_id, a + o AS p, md5(substr(b, 2 * o + 1, {2 * n})) AS k FROM w),
       o AS (SELECT r, p, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, p) AS place FROM k),
       s AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + {n}, true) AS new FROM o WHERE place > 1),
       g AS (SELECT r, p, sum(CAST(new AS INT)) OVER (PARTITION BY r ORDER BY p) AS g FROM s),
