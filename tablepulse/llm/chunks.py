@@ -13,7 +13,7 @@ with those at the first occurrence of the run's outer chunks, one by one and up
 that have more than ``LONG_WORDS`` words with these. A first occurrence reaches as far as the longest of its repeats.
 
 Digests are grouped with a map-side combined minimum, which a chunk of very many documents does not slow down. They are
-grouped by a hash beside the digest, so that the join back to the single chunks reads two plain shuffles, which adaptive
+grouped by their complement, so that the joins back to the single chunks read two plain shuffles, which adaptive
 execution can split.
 
 ``without_repeats`` cuts chunks out one by one: those of a passage that occur earlier, and the words beside its first and
@@ -28,6 +28,7 @@ then place. Other columns are kept or ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ MIN_PASSAGE_WORDS = 20
 CANDIDATE_WORDS = 15
 LONG_WORDS = 50
 REACH_WORDS = 64
+_WORD_BITS = MAX_WORDS.bit_length()
 PIECE_BYTES = 1 << 20
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 _IS_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
@@ -66,15 +68,13 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def chunks(text: bytes) -> Iterator[tuple[int, int, int, int]]:
-    """``first byte, end byte, first word, number of words`` of every chunk, in order and without gaps between words.
+def _bounds(data: np.ndarray, starts: np.ndarray) -> list[int]:
+    """The first word of every chunk, and the number of words.
 
     The text is hashed a piece at a time, each with the bytes before it that the rolling window needs.
     """
-    data = np.frombuffer(text, np.uint8)
-    starts, ends = word_spans(data)
     if not len(starts):
-        return
+        return [0]
     may_cut = np.zeros(len(starts), bool)
     for a in range(0, len(data), PIECE_BYTES):
         lead = min(a, 32)
@@ -82,14 +82,23 @@ def chunks(text: bytes) -> Iterator[tuple[int, int, int, int]]:
         here = slice(*np.searchsorted(starts, (a, a + PIECE_BYTES)))
         at = starts[here] - a + lead - 1  # the hash of everything before the word
         may_cut[here] = np.where(at >= 0, hashes[at] >> np.uint32(32 - MASK_BITS) == 0, False)
-    first, n = 0, len(starts)
+    first, n, bounds = 0, len(starts), [0]
     for cut_at in [*np.flatnonzero(may_cut).tolist(), n]:
         while cut_at - first > MAX_WORDS:
-            yield int(starts[first]), int(ends[first + MAX_WORDS - 1]), first, MAX_WORDS
             first += MAX_WORDS
+            bounds.append(first)
         if cut_at - first >= MIN_WORDS or cut_at == n and cut_at > first:
-            yield int(starts[first]), int(ends[cut_at - 1]), first, cut_at - first
             first = cut_at
+            bounds.append(first)
+    return bounds
+
+
+def chunks(text: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """``first byte, end byte, first word, number of words`` of every chunk, in order and without gaps between words."""
+    data = np.frombuffer(text, np.uint8)
+    starts, ends = word_spans(data)
+    for first, end in pairwise(_bounds(data, starts)):
+        yield int(starts[first]), int(ends[end - 1]), first, end - first
 
 
 CHUNK = "doc_id long, text_hash long, number int, start int, end int, is_last boolean, n_words int, high long, low long"
@@ -97,27 +106,39 @@ _NAMES = [c.split()[0] for c in CHUNK.split(", ")]
 _PLACE = ("doc_id", "text_hash", "number", "start", "end", "is_last")
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), strict=True)
-        columns: list[list] = [[] for _ in _NAMES]
-        for (doc, text_hash_), text in zip(keys, batch.column("text"), strict=True):
-            data = text.as_py() or b""
-            found = list(chunks(data))
-            for number, (a, b, _, n) in enumerate(found):
-                digest = xxhash.xxh3_128_digest(b" ".join(data[a:b].split()))
-                high, low = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
-                for column, value in zip(columns, (doc, text_hash_, number, a, b, number == len(found) - 1, n, high, low), strict=True):
-                    column.append(value)
-            if len(columns[0]) > 100_000:
-                yield _batch(columns)
-                columns = [[] for _ in _NAMES]
-        yield _batch(columns)
+def _chunk_columns(text: bytes) -> tuple[np.ndarray, ...]:
+    """``number`` to ``low`` of every chunk; the digests are taken from the words with one space between them."""
+    data = np.frombuffer(text, np.uint8)
+    starts, ends = word_spans(data)
+    bounds = np.array(_bounds(data, starts), np.int64)
+    first, last = bounds[:-1], bounds[1:] - 1
+    flat, flat_ends = b" ".join(text.split()), np.cumsum(ends - starts + 1) - 1
+    spans = zip((flat_ends - (ends - starts))[first].tolist(), flat_ends[last].tolist(), strict=True)
+    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(flat[a:b]) for a, b in spans]), ">i8")
+    number = np.arange(len(first))
+    return number, starts[first], ends[last], number == len(first) - 1, np.diff(bounds), digests[::2], digests[1::2]
 
 
-def _batch(columns: list[list]) -> pa.RecordBatch:
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, found, n = [], [], 0
+        for row, text in enumerate(batch.column("text")):
+            found.append(_chunk_columns(text.as_py() or b""))
+            rows.append(np.full(len(found[-1][0]), row))
+            n += len(rows[-1])
+            if n > 100_000:
+                yield _batch(batch, rows, found)
+                rows, found, n = [], [], 0
+        if rows:
+            yield _batch(batch, rows, found)
+
+
+def _batch(batch: pa.RecordBatch, rows: list[np.ndarray], found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     kinds = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in CHUNK.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _NAMES)
+    at = pa.array(np.concatenate(rows))
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+    native = [pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds[2:], strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), *native], _NAMES)
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
@@ -129,25 +150,43 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_chunk_rows, CHUNK)
 
 
+def _tight(found: DataFrame) -> DataFrame:
+    """Chunks with their small numbers in two, for a shuffle, which keeps eight bytes for each. Spans are below 2^31."""
+    place = F.shiftleft(F.col("number").cast("long"), _WORD_BITS + 1) + F.shiftleft("n_words", 1) + F.col("is_last").cast("int")
+    span = F.shiftleft(F.col("start").cast("long"), 32) + F.col("end") - F.col("start")
+    return found.select("doc_id", "text_hash", place.alias("place"), span.alias("span"), "high", "low")
+
+
+def _loose(tight: DataFrame) -> DataFrame:
+    start = F.shiftright("span", 32)
+    columns = {
+        "number": F.shiftright("place", _WORD_BITS + 1), "start": start, "end": start + F.col("span").bitwiseAND((1 << 32) - 1),
+        "is_last": F.col("place").bitwiseAND(1) == 1, "n_words": F.shiftright("place", 1).bitwiseAND((1 << _WORD_BITS) - 1),
+    }
+    kinds = dict(c.split() for c in CHUNK.split(", "))
+    return tight.select(*(columns.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in _NAMES))
+
+
 def shared_chunks(docs: DataFrame) -> DataFrame:
     """The chunks that two or more documents have, with the document and place that has them first.
 
     All chunks are counted by half of the digest, and only what occurs twice is grouped by all of it and by document, so
-    that the bulk of the chunks is shuffled as one number with its count, and once more for the join.
+    that the bulk of the chunks is shuffled as one number with its count, and once more for the join. The texts are cut
+    into chunks for both: the table of all chunks, about as large as that of the texts, is nowhere stored.
     """
-    found = cut(chunk_table(docs), "chunks")
-    twice = found.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low")
-    likely = cut(found.join(twice, "low"), "likely-chunks")
-    doc, digest = F.xxhash64("doc_id", "text_hash"), ["high", "low"]
-    owners = likely.groupBy(F.xxhash64(*digest), *digest).agg(F.min(doc).alias("a"), F.max(doc).alias("b"), F.min(F.struct(*_PLACE)).alias("first"))
-    return likely.join(owners.where("a < b").select(*digest, "first"), digest)
+    found = chunk_table(docs)
+    twice = found.groupBy(F.bitwise_not("low").alias("not_low")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    likely = cut(_loose(_tight(found).join(twice.select(F.bitwise_not("not_low").alias("low")), "low")), "likely-chunks")
+    doc, not_high = F.xxhash64("doc_id", "text_hash"), F.bitwise_not("high").alias("not_high")
+    owners = likely.groupBy(not_high, "low").agg(F.min(doc).alias("a"), F.max(doc).alias("b"), F.min(F.struct(*_PLACE)).alias("first"))
+    return likely.join(owners.where("a < b").select(F.bitwise_not("not_high").alias("high"), "low", "first"), ["high", "low"])
 
 
 def _runs(docs: DataFrame, min_words: int) -> DataFrame:
     """Runs of shared chunks; ``left`` and ``right`` are the first occurrences of their outer chunks, ``again`` the chunks
     that occur earlier."""
     by_doc = Window.partitionBy("doc_id", "text_hash")
-    shared = shared_chunks(docs).dropDuplicates(["doc_id", "text_hash", "number"])
+    shared = shared_chunks(docs).repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "number"])
     run = F.col("number") - F.row_number().over(by_doc.orderBy("number"))
     own = F.col("first").eqNullSafe(F.struct(*_PLACE))
     passages = shared.withColumn("run", run).withColumn("own", own).groupBy("doc_id", "text_hash", "run").agg(
@@ -213,6 +252,9 @@ def _whole(docs: DataFrame, min_words: int) -> DataFrame:
     def edge(doc: str, hash_: str, side: int, at: str) -> Column:
         return F.struct(F.col(doc).alias("doc_id"), F.col(hash_).alias("text_hash"), F.lit(side).alias("side"), F.col(at).alias("at"))
 
+    def key(doc: Column, hash_: Column) -> list[Column]:
+        return [doc.isNull().alias("missing"), F.coalesce(doc, F.lit(0)).alias("k"), hash_.alias("h")]
+
     sides = [(-1, "start", "left"), (1, "end", "right")]
     inner = {-1: F.least("number", "left.number") > 0, 1: ~F.col("is_last") & ~F.col("right.is_last")}
     pairs = runs.select(F.explode(F.array_compact(F.array(*(
@@ -221,15 +263,15 @@ def _whole(docs: DataFrame, min_words: int) -> DataFrame:
         ))
         for side, at, first in sides
     )))).alias("pair")).select("pair.*").where(~F.col("a").eqNullSafe(F.col("b"))).distinct()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct().groupBy("e.doc_id", "e.text_hash").agg(
+    # One key for the edges of a row, its text and the copies of the row: all meet in one shuffle.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct().groupBy(*key(F.col("e.doc_id"), F.col("e.text_hash"))).agg(
         F.collect_list(F.struct("e.side", "e.at")).alias("wanted")
-    ).withColumnsRenamed({"doc_id": "k", "text_hash": "h"})
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("binary").alias("text")
     )
-    rows = rows.join(wanted, same_row((F.col("doc_id"), F.col("text_hash")), (F.col("k"), F.col("h")))).drop("k", "h")
+    rows = docs.select(*key(F.col("doc_id").cast("long"), text_hash(F.col("text"))), F.col("text").cast("binary").alias("text"))
+    rows = rows.join(wanted, ["missing", "k", "h"]).dropDuplicates(["missing", "k", "h"])
+    rows = rows.select(F.when(~F.col("missing"), F.col("k")).alias("doc_id"), F.col("h").alias("text_hash"), "text", "wanted")
     reach = rows.mapInArrow(_reach, "doc_id long, text_hash long, side int, at int, hashes array<long>, places array<int>")
-    reach = cut(reach.dropDuplicates(["doc_id", "text_hash", "side", "at"]), "edges")
+    reach = cut(reach, "edges")
 
     joined = pairs.join(reach.alias("x"), _same_edge("a", "x")).select("a", "b", F.col("hashes").alias("mine"), F.col("places").alias("to"))
     joined = joined.join(reach.alias("y"), _same_edge("b", "y"))

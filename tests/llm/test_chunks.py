@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from tablepulse.llm import chunks
 from tests.llm.conftest import docs_of, prose
@@ -145,6 +147,78 @@ def test_rolling_hash_depends_on_32_bytes_and_not_on_pieces(monkeypatch):
     assert list(chunks.chunks(text)) == once
 
 
+@pytest.fixture()
+def written(spark, monkeypatch):
+    """What ``chunks`` writes to the shared folder, and the plans of it as for tables far above the broadcast threshold."""
+    found, cut, threshold = {}, chunks.cut, "spark.sql.autoBroadcastJoinThreshold"
+
+    def noted(df, purpose):
+        found[purpose] = plan_of(df), (after := cut(df, purpose)).count()
+        return after
+
+    monkeypatch.setattr(chunks, "cut", noted)
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    yield found
+    spark.conf.set(threshold, before)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def children_of_joins(plan):
+    """The operators that each join in a plan reads, below its sorts."""
+    lines = [(len(m[1]), m[2]) for line in plan.splitlines() if (m := re.match(r"([\s:+\-]*)(\w+)", line)) and m[2] != "Sort"]
+    for i, (depth, name) in enumerate(lines):
+        if name == "SortMergeJoin":
+            below = [x for x in lines[i + 1 : next((j for j in range(i + 1, len(lines)) if lines[j][0] <= depth), None)]]
+            first = min(d for d, _ in below)
+            yield sorted(n for d, n in below if d == first)
+
+
+def test_the_table_of_all_chunks_is_not_stored(spark, rows, written):
+    """Of mostly unique texts little is written, and the joins with counts of digests read shuffles that can be split."""
+    found = chunks.shared_chunks(docs_of(spark, rows))
+    n = chunks.chunk_table(docs_of(spark, rows)).count()
+    assert set(written) == {"likely-chunks"} and found.count() <= written["likely-chunks"][1] < 0.6 * n
+    for plan in (written["likely-chunks"][0], plan_of(found)):
+        assert list(children_of_joins(plan)) == [["Exchange", "Exchange"]]
+
+
+def test_texts_and_their_edges_meet_in_one_shuffle(spark, rows, written):
+    chunks.whole_passages(docs_of(spark, rows))
+    plan = written["edges"][0]
+    assert "Exchange" not in plan.split("SortMergeJoin")[0], "copies of a row are dropped where its text meets its edges"
+    runs = written["candidate-passages"][0]
+    assert runs.split("SortMergeJoin")[0].count("Exchange hashpartitioning") == 1, "chunks are dealt to their documents once"
+
+
+def test_rows_that_are_there_twice_change_nothing(spark, rows):
+    once = list(dict.fromkeys(rows))
+    found = [sorted(map(repr, chunks.whole_passages(docs_of(spark, r)).collect())) for r in (once, once + once)]
+    assert found[0] == found[1] != []
+
+
+def test_packed_places_of_the_largest_texts(spark):
+    top = (1 << 31) - 1
+    places = [(i, 7, number, start, end, is_last, n, -1, -(1 << 63)) for i, (number, start, end, is_last, n) in enumerate([
+        (0, 0, 1, False, 1), (top // 4, top - 9, top, True, chunks.MAX_WORDS), (3, 0, top, False, 3), (top, 1, top - 1, True, chunks.MIN_WORDS),
+    ])]
+    table = spark.createDataFrame([*places, (None, *places[1][1:])], chunks.CHUNK)
+    after = chunks._loose(chunks._tight(table))
+    assert after.dtypes == table.dtypes and Counter(after.collect()) == Counter(table.collect())
+
+
+def test_digests_do_not_see_white_space(spark):
+    texts = ["\x0ba \t b\x0c\r\nc ", "a b c", "", None, " \n"]
+    found = chunks.chunk_table(docs_of(spark, list(enumerate(texts)))).collect()
+    whole = xxhash.xxh3_128_digest(b"a b c")
+    want = [int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True)]
+    assert sorted((r.doc_id, r.start, r.end, r.n_words) for r in found) == [(0, 1, 10, 3), (1, 0, 5, 3)]
+    assert [[r.high, r.low] for r in found] == [want, want]
+
+
 def test_empty_table(spark):
     assert chunks.repeated_passages(docs_of(spark, [])).collect() == []
     assert chunks.without_repeats(docs_of(spark, [])).collect() == []
