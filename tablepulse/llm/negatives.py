@@ -9,11 +9,14 @@ Slots. The upper limits of an anchor's positives split the scores into disjoint
 begins above the next lower one. One pass keeps the first ``NEGATIVES`` rows of every slot; that combines, so tasks
 keep no more than that of what they see and Spark merges it. The first rows below a limit are the first of the slots from
 there down, so merging a slot into all that begin above it answers every window, and the lower limit cuts the merged list.
+A slot does not keep scores below the lower limits of all its windows.
 
-At scale. Anchors and rows are gathered into blocks of bounded size, every block of anchors meets every block of rows in
-a join on the pair of block numbers, and a task holds one pair at a time and scores it by matrix products of bounded size.
-Only the first few rows of a block leave it. Blocks come from a hash of a running row number, so no label, value or
-repeated row makes one of them large.
+At scale. Vectors are packed once, as small integers where they fit. Groups of anchors that fit in a worker and groups of
+rows form a grid, and each of its cells is a task: it holds its anchors and what they have kept, and rows stream by in
+blocks. Positives score rows of the anchor's label only and negatives the others, so all pairs are scored about once. Products
+are of 32-bit floats where norms show that these are exact. A tile of products is only looked at further for anchors whose
+largest score reaches the least they have kept. Groups are dealt by the number of a block, so no label, value or repeated
+row makes one of them large. Work grows with the number of pairs, the square of the rows.
 
 Rows with a NULL label, a NULL vector, or any NULL or non-finite component take no part. A missing ``vec_id`` is no
 anchor, keeps its label, and comes last among ties. Repeated rows are rows of their own, of which one may be the other's
@@ -24,11 +27,15 @@ positives or negatives, give no rows. Further columns are ignored, whatever thei
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablepulse.llm.common import cut
@@ -41,130 +48,388 @@ POSITIVES = 5
 NEGATIVES = 3
 BLOCK_ROWS = 4096
 SCORES_AT_ONCE = 1 << 20
+# A group of anchors, with what it keeps; the rows of a cell; the pairs of a cell, and of one that is worth a task.
+ANCHOR_BYTES = 96 << 20
+CELL_BYTES = 256 << 20
+CELL_PAIRS = 1 << 37
+TASK_PAIRS = 1 << 27
+_TILE_ROWS = 1024
+_FIRST_ROWS = 256
+_MANY = 16  # a tile with more than this part of its scores to look at
+_MERGED_AT_ONCE = 1 << 18
+_KEPT_BYTES = 512
+_ANCHORS, _LIMITS, _ROWS = 0, 1, 2
 _EXACT = float(1 << 53)
-_PART = "row long, vec_id long, label long, dim int, v array<double>"
-_FOUND = "anchor long, slot int, row long, vec_id long, score long"
+_PIECE_BITS, _ROW_BITS = 24, 16  # of a row's number, below the input partition's
+_LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+_BLOCK = (
+    "side int, part int, piece int, dim int, n int, wide boolean, first long, "
+    "row array<long>, vec_id array<long>, label array<long>, v binary"
+)
+_OF_ROWS = ("row", "label", "missing", "ids", "v", "norm")
+_FOUND = "anchor long, anchor_id long, slot int, row long, vec_id long, score long"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``row, vec_id, label, dim, v`` of the rows that take part, written once so that ``row`` stays what it is."""
+    """``vec_id, label, x`` of the rows that have a label and a vector, whose components may still be missing."""
     vec_id, label = F.col("vec_id").cast("long"), F.col("label").cast("long")
     flipped = F.when(vec_id % FLIP_EVERY == 0, (label + 1) % LABELS).otherwise(label)
-    given = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
-    fine = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    kept = given.where(label.isNotNull() & F.col("x").isNotNull() & fine)
-    largest = F.lit(float(np.finfo(np.float64).max))
+    x = F.col("embedding")
+    x = x if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else x.cast("array<double>")
+    given = vectors.select(vec_id.alias("vec_id"), flipped.alias("label"), x.alias("x"))
+    return given.where(F.col("label").isNotNull() & F.col("x").isNotNull())
 
-    def whole(y: Column) -> Column:
-        """``floor(y)``; doubles from 2^62 on are whole, and infinite products stop at the largest double."""
-        return F.when(F.abs(y) < float(1 << 62), F.floor(y).cast("double")).otherwise(F.greatest(F.least(y, largest), -largest))
 
-    v = F.transform("x", lambda x: whole(x * F.lit(float(SCALE))))
-    rows = kept.select(vec_id.alias("vec_id"), flipped.alias("label"), F.size("x").alias("dim"), v.alias("v"))
-    return cut(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "vectors")
-
-
-def blocks(rows: DataFrame, name: str, *also: str) -> tuple[DataFrame, int]:
-    """``rows`` in blocks of about ``BLOCK_ROWS``, one row each: ``<name> int, <name>_rows array<struct>``; and their number."""
-    n = -(-rows.count() // BLOCK_ROWS)
-    number = F.pmod(F.xxhash64("row"), F.lit(max(n, 1))).cast("int").alias(name)
-    fields = F.struct("row", "vec_id", "label", "dim", "v", *also)
-    return rows.groupBy(number).agg(F.collect_list(fields).alias(f"{name}_rows")), n
-
-
-def _pairs(anchors: DataFrame, rows: DataFrame, *also: str) -> DataFrame:
-    """Every block of anchors beside every block of rows."""
-    (left, n_left), (right, n_right) = blocks(anchors, "a", *also), blocks(rows, "b")
-    left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(max(n_right, 1) - 1))))
-    right = right.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(max(n_left, 1) - 1))))
-    return left.join(right, ["a", "b"]).select("a_rows", "b_rows")
-
-
-def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of integers held as doubles, exact; int64, stopped at its ends."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the rows that take part, and once more of the anchors among them, by vector length."""
+    part, piece = TaskContext.get().partitionId(), 0
+    largest = float(np.finfo(np.float64).max)
+    for batch in batches:
+        ids, label, x = batch.column("vec_id"), batch.column("label").to_numpy(), batch.column("x")
+        dim = x.value_lengths().to_numpy().astype(np.int64)
+        v, ends = x.flatten().fill_null(math.nan).to_numpy().astype(np.float64), np.cumsum(dim)
+        bad = np.concatenate(([0], np.cumsum(~np.isfinite(v))))
+        fine = np.flatnonzero(bad[ends] == bad[ends - dim])
+        with np.errstate(over="ignore", invalid="ignore"):
+            v = np.clip(np.floor(v * SCALE), -largest, largest)
+        asked = ids.fill_null(1).to_numpy() % ANCHOR_EVERY == 0
+        for at in range(0, len(fine), BLOCK_ROWS):
+            here = fine[at : at + BLOCK_ROWS]
+            row = (((part << _PIECE_BITS) + piece) << _ROW_BITS) + np.arange(len(here))
+            for d in np.unique(dim[here]):
+                own = np.flatnonzero(dim[here] == d)
+                for side, some in ((_ROWS, own), (_ANCHORS, own[asked[here[own]]])):
+                    if len(some):
+                        index = here[some]
+                        values = v[(ends - dim)[index][:, None] + np.arange(d)]
+                        yield _block(side, part, piece, row[some], ids.take(pa.array(index)), label[index], values)
+            piece += 1
+
+
+def _block(side: int, part: int, piece: int, row: np.ndarray, ids: pa.Array, label: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    wide = bool(np.abs(v).max(initial=0) > np.iinfo(np.int16).max)
+    values = [side, part, piece, v.shape[1], len(row), wide, pc.min(ids).as_py()]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(row)], pa.int32()), pa.array(x, pa.int64())) for x in (row, ids, label)]
+    kinds = [*[pa.int32()] * 5, pa.bool_(), pa.int64()]
+    columns = [*(pa.array([x], kind) for x, kind in zip(values, kinds, strict=True)), *lists]
+    packed = pa.array([v.astype(np.float64 if wide else np.int16).tobytes()], pa.binary())
+    return pa.RecordBatch.from_arrays([*columns, packed], [c.split()[0] for c in _BLOCK.split(", ")])
+
+
+def _grid(blocks: DataFrame) -> tuple[int, int]:
+    """Into how many groups anchors and rows are dealt."""
+    width = F.col("dim") * F.when(F.col("wide"), 8).otherwise(2)
+    of = lambda side, x: F.coalesce(F.sum(F.when(F.col("side") == side, x)), F.lit(0))
+    n = F.col("n").cast("long")
+    anchors, anchor_bytes, rows, row_bytes, most = blocks.agg(
+        of(_ANCHORS, n), of(_ANCHORS, n * (width + _KEPT_BYTES)), of(_ROWS, n), of(_ROWS, n * (width + 24)), of(_ROWS, F.lit(1))
+    ).first()
+    a = max(1, -(-anchor_bytes // ANCHOR_BYTES))
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    cells = max(min(3 * cores, anchors * rows // TASK_PAIRS), anchors * rows // CELL_PAIRS)
+    return a, max(1, min(most, max(-(-cells // a), -(-row_bytes // CELL_BYTES))))
+
+
+def _cells(blocks: DataFrame, grid: tuple[int, int], *limits: DataFrame) -> DataFrame:
+    """Every group of anchors with its limits, and then every group of rows in the order of ties, cell by cell."""
+    a, b = grid
+    number = F.col("part").cast("long") + F.col("piece")
+
+    def dealt(side: DataFrame, own: int, own_step: int, others: int, step: int) -> DataFrame:
+        each = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        cells = side.withColumn("other", each).withColumn("cell", (F.pmod(number, F.lit(own)) * own_step + F.col("other") * step).cast("int"))
+        return cells.drop("other", "part", "piece")
+
+    sides = dealt(blocks.where(F.col("side") == _ANCHORS), a, b, b, 1).unionByName(dealt(blocks.where(F.col("side") == _ROWS), b, 1, a, b))
+    for x in limits:
+        sides = sides.unionByName(dealt(x, a, b, b, 1), allowMissingColumns=True)
+    return sides.repartitionById(a * b, "cell").sortWithinPartitions("cell", "side", F.asc_nulls_last("first"))
+
+
+def scores(a: np.ndarray, b: np.ndarray, most: float = math.inf, into: np.ndarray | None = None) -> np.ndarray:
+    """Inner products of whole numbers, exact: floats where ``most``, which no partial sum exceeds, shows that these are; else
+    int64, stopped at its ends. 32-bit floats are put ``into`` memory that is there, since new memory costs as much as half of
+    the products."""
+    if most < float(1 << 24):
+        out = None if into is None or len(into) < len(a) * len(b) else into[: len(a) * len(b)].reshape(len(a), len(b))
+        return np.matmul(a.astype(np.float32, copy=False), b.astype(np.float32, copy=False).T, out=out)
     if most < _EXACT:
-        return (a @ b.T).astype(np.int64)
+        return a.astype(np.float64, copy=False) @ b.astype(np.float64, copy=False).T
     whole = [np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in (a, b)]
     found = whole[0] @ whole[1].T if a.shape[1] else np.zeros((len(a), len(b)), object)
-    most = np.iinfo(np.int64).max
-    return np.array([[min(max(int(x), -most), most) for x in row] for row in found], np.int64).reshape(len(a), len(b))
+    return np.array([[min(max(int(x), -_MOST), _MOST) for x in row] for row in found], np.int64).reshape(len(a), len(b))
 
 
-def first(order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the ``k`` largest entries of every row that are above the smallest possible number."""
-    k = min(k, order.shape[1])
-    cols = np.argpartition(order, order.shape[1] - k, axis=1)[:, order.shape[1] - k :]
-    at = np.repeat(np.arange(len(order)), k)
-    cols = cols.ravel()
-    there = order[at, cols] > np.iinfo(np.int64).min
-    return at[there], cols[there]
+def _ranked(score: np.ndarray, tied: np.ndarray) -> np.ndarray:
+    """Doubles that order as (score, earlier in ``tied``), which holds a place below the number of places for every column."""
+    n = float(tied.max(initial=0) + 1)
+    if score.dtype != np.float32 and np.abs(score[score > _least(score)].astype(np.float64)).max(initial=0) * n >= _EXACT / 2:
+        score = np.unique(score, return_inverse=True)[1].reshape(score.shape)
+    return score.astype(np.float64) * n + (n - 1 - tied)
 
 
-class _Block:
-    """One side of a pair, by vector length, and rows in the order of ties."""
+def _least(score: np.ndarray) -> float:
+    """What stands for no score."""
+    return _LEAST if score.dtype == np.int64 else -math.inf
 
-    def __init__(self, rows: pa.StructArray):
-        self.row, self.label, self.dim = (rows.field(c).to_numpy() for c in ("row", "label", "dim"))
-        self.ids = rows.field("vec_id")
-        missing = self.ids.is_null().to_numpy(zero_copy_only=False)
-        self.tied = np.lexsort((self.row, self.ids.fill_null(0).to_numpy(), missing))
-        self.limits = rows.field("limits") if rows.type.get_field_index("limits") >= 0 else None
-        values = rows.field("v")
-        self.flat, self.starts = values.flatten().to_numpy(), np.concatenate(([0], np.cumsum(self.dim, dtype=np.int64)))
 
-    def matrix(self, index: np.ndarray, dim: int) -> np.ndarray:
-        return self.flat[self.starts[index][:, None] + np.arange(dim)] if dim else np.zeros((len(index), 0))
-
-
-def _ranked_scores(score: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    """One number per score that orders as (score, earlier column): the dense rank of the score, then the column."""
-    n = score.shape[1]
-    if np.abs(score).max(initial=0) < (1 << 62) // max(n, 1):
-        order = score * n + np.arange(n - 1, -1, -1)
-    else:
-        order = np.unique(score, return_inverse=True)[1].reshape(score.shape) * n + np.arange(n - 1, -1, -1)
-    return np.where(allowed, order, np.iinfo(np.int64).min)
+class _Block:
+    """Rows of one length of vectors."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        self.dim, n = batch.column("dim")[i].as_py(), batch.column("n")[i].as_py()
+        self.row, self.label = (batch.column(c)[i].values.to_numpy() for c in ("row", "label"))
+        ids = batch.column("vec_id")[i].values
+        self.missing, self.ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        kind = np.float64 if batch.column("wide")[i].as_py() else np.int16
+        self.v = np.frombuffer(batch.column("v")[i].as_buffer(), kind).reshape(n, self.dim) if self.dim else np.zeros((n, 0), np.int16)
+        whole = self.v.astype(np.float64)
+        with np.errstate(over="ignore"):
+            self.norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", whole, whole)) * (1 + 1e-9), 1)
+
+
+def _joined(blocks: list[_Block], index: np.ndarray | None, *names: str) -> list[np.ndarray]:
+    found = (np.concatenate([getattr(x, name) for x in blocks]) for name in names)
+    return [x if index is None else x[index] for x in found]
+
+
+def _order(key: np.ndarray, score: np.ndarray, missing: np.ndarray, ids: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """By key, falling score and the order of ties. Key and score are one number where they fit; then only ties need more."""
+    high, low = int(score.max()), int(score.min())
+    if (int(key.max()) + 1) * (high - low + 1) > _MOST:
+        return np.lexsort((row, ids, missing, -score, key))
+    both = key * (high - low + 1) + (high - score)
+    order = np.argsort(both)
+    equal = both[order[1:]] == both[order[:-1]]
+    tied = np.flatnonzero(np.append(equal, False) | np.append(False, equal))
+    some = order[tied]
+    order[tied] = some[np.lexsort((row[some], ids[some], missing[some], both[some]))]
+    return order
+
+
+def _tile_rows() -> int:
+    return min(_TILE_ROWS, SCORES_AT_ONCE)
+
+
+def _chunks(label: np.ndarray, step: int) -> list[tuple[int, int]]:
+    """Stretches of about ``step`` sorted labels; a label with many of them shares none with others."""
+    found, at = [], 0
+    ends = [*np.flatnonzero(label[1:] != label[:-1]) + 1, len(label)] if len(label) else []
+    for begin, end in zip([0, *ends], ends, strict=False):
+        if end - begin > step // 4:
+            found += [(at, begin)] if at < begin else []
+            found += [(x, min(x + step, end)) for x in range(begin, end, step)]
+            at = end
+        elif end - at >= step:
+            found, at = [*found, (at, end)], end
+    return [*found, (at, len(label))] if at < len(label) else found
+
+
+class _Anchors:
+    """Anchors of one length of vectors in the order of labels, and the first rows that each has kept in each of its slots."""
+
+    def __init__(self, blocks: list[_Block], limits: dict[str, np.ndarray] | None):
+        row, label = _joined(blocks, None, "row", "label")
+        index = np.argsort(label, kind="stable")
+        if limits is not None:
+            index = index[np.isin(row[index], limits["anchor"])]
+        self.row, self.label, self.ids, self.v, self.norm = _joined(blocks, index, "row", "label", "ids", "v", "norm")
+        self.by_row = np.argsort(self.row)
+        self.positives, self.k = limits is None, POSITIVES if limits is None else NEGATIVES
+        if limits is None:
+            self.upper, self.floor = np.full((len(index), 1), _MOST), np.full((len(index), 1), -_MOST)
+        else:
+            self._set(**limits)
+        self.slots = self.upper.shape[1]
+        shape = (len(index) * self.slots, self.k)
+        self.kept = {"score": np.full(shape, _LEAST), "missing": np.zeros(shape, bool), "ids": np.zeros(shape, np.int64), "row": np.zeros(shape, np.int64)}
+        self.picked: list[tuple[np.ndarray, ...]] = []
+        self.chunks, self.seen = _chunks(self.label, min(_TILE_ROWS, max(1, SCORES_AT_ONCE // _tile_rows()))), 0
+
+    def find(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which anchor each row is, and whether it is one."""
+        at = self.by_row[np.minimum(np.searchsorted(self.row, row, sorter=self.by_row), len(self.row) - 1)] if len(self.row) else np.zeros(len(row), int)
+        return at, self.row[at] == row if len(self.row) else np.zeros(len(row), bool)
+
+    def _set(self, anchor: np.ndarray, slot: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> None:
+        at, here = self.find(anchor)
+        at, slot = at[here], slot[here]
+        shape = (len(self.row), int(slot.max(initial=-1)) + 2)
+        self.upper, self.floor = np.full(shape, _LEAST), np.full(shape, _MOST)
+        self.upper[at, slot] = upper[here]
+        np.minimum.at(self.floor, (at, slot), lower[here])
+        self.floor[:, :-1] = np.maximum(self.floor[:, :-1], self.upper[:, 1:] + 1)
+        self.upper, self.floor = self.upper[:, :-1], self.floor[:, :-1]
+
+    def least(self, start: int, end: int, first: tuple) -> np.ndarray:
+        """The score from which a row of a block is to be looked at, per anchor and slot; ``first`` is the first of its ties."""
+        score, missing, ids, row = (self.kept[c][start * self.slots : end * self.slots, -1] for c in ("score", "missing", "ids", "row"))
+        later = (missing < first[0]) | (missing == first[0]) & ((ids < first[1]) | (ids == first[1]) & (row < first[2]))
+        beaten = score + (later & (score > _LEAST) & (score < _MOST))
+        return np.maximum(self.floor[start:end], beaten.reshape(-1, self.slots))
+
+    def meet(self, blocks: list[_Block]) -> None:
+        """Few rows come first, then as many as were seen before, so that most are held against rows that were kept."""
+        rows = dict(zip(_OF_ROWS, _joined(blocks, None, *_OF_ROWS), strict=True))
+        at, n = 0, len(rows["row"])
+        while at < n:
+            some = max(_FIRST_ROWS, self.seen)
+            self._meet(**{c: x[at : at + some] for c, x in rows.items()})
+            at += some
+            self.seen += min(some, n - at + some)
+
+    def _meet(self, row: np.ndarray, label: np.ndarray, missing: np.ndarray, ids: np.ndarray, v: np.ndarray, norm: np.ndarray) -> None:
+        index = np.argsort(label, kind="stable")
+        row, label, missing, ids, v, norm = (x[index] for x in (row, label, missing, ids, v, norm))
+        ties = np.lexsort((row, ids, missing))
+        tied = np.empty(len(ties), np.int64)
+        tied[ties] = np.arange(len(ties))
+        first = tuple(x[ties[0]] for x in (missing, ids, row))
+        own, is_own = self.find(row) if self.positives else (np.zeros(len(row), int), np.zeros(len(row), bool))
+        own_col = np.flatnonzero(is_own)
+        own = own[own_col]
+        floats, widest, cols = v.astype(np.float32) if v.dtype == np.int16 else v, norm.max(), _tile_rows()
+        into = np.empty(max(e - s for s, e in self.chunks) * cols, np.float32)
+        for start, end in self.chunks:
+            mine = self.label[start:end]
+            low, high = np.searchsorted(label, mine[0], "left"), np.searchsorted(label, mine[-1], "right")
+            mixed = mine[0] != mine[-1]
+            spans = [(low, high)] if self.positives else [(0, len(row))] if mixed else [(0, low), (high, len(row))]
+            least = self.least(start, end, first)
+            lowest, most = least.min(axis=1), self.norm[start:end].max() * widest
+            some = self.v[start:end]
+            some = some.astype(np.float32) if some.dtype == np.int16 else some
+            for left, right in ((x, min(x + cols, to)) for from_, to in spans for x in range(from_, to, cols)):
+                score = scores(some, floats[left:right], most, into)
+                if mixed and max(left, low) < min(right, high):
+                    same = mine[:, None] == label[max(left, low) : min(right, high)]
+                    score[:, max(left, low) - left : min(right, high) - left][same != self.positives] = _least(score)
+                for i in np.flatnonzero((own >= start) & (own < end) & (own_col >= left) & (own_col < right)):
+                    score[own[i] - start, own_col[i] - left] = _least(score)
+                hit = np.flatnonzero(score.max(axis=1) >= lowest.astype(score.dtype))
+                if len(hit):
+                    self._pick(start + hit, score[hit], least[hit], left, tied[left:right])
+            if sum(len(x[0]) for x in self.picked) >= _MERGED_AT_ONCE:
+                self._merge(row, missing, ids)
+        self._merge(row, missing, ids)
+
+    def _pick(self, anchor: np.ndarray, score: np.ndarray, least: np.ndarray, left: int, tied: np.ndarray) -> None:
+        """Rows of a tile that reach what their slot has kept: all if they are few, else the first of every slot."""
+        at = np.flatnonzero(score >= least.min(axis=1).astype(score.dtype)[:, None])
+        if len(at) > score.size // _MANY:
+            self._pick_first(anchor, score, least, left, tied)
+            return
+        who, value = at // score.shape[1], score.ravel()[at].astype(np.int64)
+        slot = (self.upper[anchor[who]] >= value[:, None]).sum(axis=1) - 1
+        there = (slot >= 0) & (value >= least[who, slot])
+        self.picked.append((anchor[who[there]] * self.slots + slot[there], value[there], left + at[there] % score.shape[1]))
+
+    def _pick_first(self, anchor: np.ndarray, score: np.ndarray, least: np.ndarray, left: int, tied: np.ndarray) -> None:
+        none = _least(score)
+        who, slot = np.nonzero(score.max(axis=1)[:, None] >= least.astype(score.dtype))
+        step = max(1, SCORES_AT_ONCE // score.shape[1])
+        for at in range(0, len(who), step):
+            w, s = who[at : at + step], slot[at : at + step]
+            key, from_ = anchor[w] * self.slots + s, least[w, s].astype(score.dtype)
+            here = score[w]
+            here = np.where(here <= self.upper.reshape(-1)[key].astype(score.dtype)[:, None], here, score.dtype.type(none))
+            there = here.max(axis=1) >= from_
+            key, from_, here = key[there], from_[there], here[there]
+            order = _ranked(here, tied)
+            for _ in range(self.k):
+                col, each = order.argmax(axis=1), np.arange(len(key))
+                value = here[each, col]
+                there = value >= from_
+                if not there.all():
+                    key, from_, here, order, col, value = (x[there] for x in (key, from_, here, order, col, value))
+                if not len(key):
+                    break
+                self.picked.append((key, value.astype(np.int64), left + col))
+                each = each[: len(key)]
+                here[each, col], order[each, col] = none, -math.inf
+
+    def _merge(self, row: np.ndarray, missing: np.ndarray, ids: np.ndarray) -> None:
+        """What was picked from a block goes to what slots have kept."""
+        picked, self.picked = [x for x in self.picked if len(x[0])], []
+        if not picked:
+            return
+        key, score, col = (np.concatenate([x[i] for x in picked]) for i in range(3))
+        met = np.unique(key)
+        full = self.kept["score"][met] > _LEAST
+        key = np.concatenate((np.repeat(met, self.k)[full.ravel()], key))
+        new = {"score": score, "missing": missing[col], "ids": ids[col], "row": row[col]}
+        new = {c: np.concatenate((self.kept[c][met][full], x)) for c, x in new.items()}
+        order = _order(key, **new)
+        key = key[order]
+        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        place = np.arange(len(key)) - np.repeat(begins, np.diff(np.append(begins, len(key))))
+        stays = place < self.k
+        for c, x in new.items():
+            self.kept[c][key[stays], place[stays]] = x[order[stays]]
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _FOUND.split(", ")]
+        for start in range(0, len(self.row), BLOCK_ROWS):
+            kept = {c: x[start * self.slots : (start + BLOCK_ROWS) * self.slots] for c, x in self.kept.items()}
+            key, place = np.nonzero(kept["score"] > _LEAST)
+            score, missing, ids, row = (kept[c][key, place] for c in ("score", "missing", "ids", "row"))
+            anchor, slot = start + key // self.slots, key % self.slots
+            columns = [self.row[anchor], self.ids[anchor], slot.astype(np.int32), row]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(ids, mask=missing), pa.array(score)], names)
+
+
+class _Cell:
+    """The anchors of a cell, and rows that wait until they make a block."""
+
+    def __init__(self, positives: bool):
+        self.positives, self.anchors, self.limits, self.waiting = positives, defaultdict(list), [], defaultdict(list)
+        self.asked: dict[int, _Anchors] | None = None
+
+    def add(self, batch: pa.RecordBatch, i: int) -> None:
+        side = batch.column("side")[i].as_py()
+        if side == _LIMITS:
+            self.limits.append(batch.column("limits")[i].values)
+        elif side == _ANCHORS:
+            block = _Block(batch, i)
+            self.anchors[block.dim].append(block)
+        else:
+            if self.asked is None:
+                self.asked = self._ready()
+            if (dim := batch.column("dim")[i].as_py()) in self.asked:
+                waiting = self.waiting[dim]
+                waiting.append(_Block(batch, i))
+                if sum(len(x.row) for x in waiting) >= BLOCK_ROWS:
+                    self.asked[dim].meet(self.waiting.pop(dim))
+
+    def _ready(self) -> dict[int, _Anchors]:
+        limits = None
+        if not self.positives:
+            if not self.limits:
+                return {}
+            limits = {c: np.concatenate([x.field(c).to_numpy() for x in self.limits]) for c in ("anchor", "slot", "upper", "lower")}
+        anchors = {dim: _Anchors(self.anchors.pop(dim), limits) for dim in list(self.anchors)}
+        self.limits = []
+        return {dim: x for dim, x in anchors.items() if len(x.row)}
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for dim, anchors in (self.asked or {}).items():
+            if dim in self.waiting:
+                anchors.meet(self.waiting.pop(dim))
+            yield from anchors.found()
 
 
 def _kept(batches: Iterator[pa.RecordBatch], positives: bool) -> Iterator[pa.RecordBatch]:
+    number, cell = None, None
     for batch in batches:
         for i in range(batch.num_rows):
-            a, b = (_Block(batch.column(c)[i].values) for c in ("a_rows", "b_rows"))
-            for dim in np.unique(a.dim):
-                mine, theirs = np.flatnonzero(a.dim == dim), b.tied[b.dim[b.tied] == dim]
-                if not len(theirs):
-                    continue
-                other = b.matrix(theirs, dim)
-                step = max(1, SCORES_AT_ONCE // len(theirs))
-                for at in range(0, len(mine), step):
-                    some = mine[at : at + step]
-                    yield _first_of(a, b, some, theirs, scores(a.matrix(some, dim), other), positives)
-
-
-def _first_of(a: _Block, b: _Block, some: np.ndarray, theirs: np.ndarray, score: np.ndarray, positives: bool) -> pa.RecordBatch:
-    same = a.label[some][:, None] == b.label[theirs]
-    picked: list[tuple[int, np.ndarray, np.ndarray]] = []
-    if positives:
-        picked.append((0, *first(_ranked_scores(score, same & (a.row[some][:, None] != b.row[theirs])), POSITIVES)))
-    else:
-        limits = [a.limits[int(i)].as_py() for i in some]
-        ordered = _ranked_scores(score, ~same)
-        for slot in range(max(map(len, limits), default=0)):
-            ends = [x[slot : slot + 2] for x in limits]
-            has = np.array([len(x) > 0 for x in ends])
-            top = np.array([x[0] if x else 0 for x in ends], np.int64)[:, None]
-            below = np.array([x[1] if len(x) > 1 else np.iinfo(np.int64).min for x in ends], np.int64)[:, None]
-            here = has[:, None] & (score <= top) & (score > below)
-            picked.append((slot, *first(np.where(here, ordered, np.iinfo(np.int64).min), NEGATIVES)))
-    rows, cols = (np.concatenate([x[i] for x in picked] or [np.zeros(0, int)]) for i in (1, 2))
-    slots = np.concatenate([np.full(len(x[1]), x[0]) for x in picked] or [np.zeros(0, int)])
-    chosen = theirs[cols]
-    columns = [
-        pa.array(a.row[some[rows]], pa.int64()), pa.array(slots, pa.int32()), pa.array(b.row[chosen], pa.int64()),
-        b.ids.take(pa.array(chosen)), pa.array(score[rows, cols], pa.int64()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _FOUND.split(", ")])
+            at = batch.column("cell")[i].as_py()
+            if cell is None or at != number:
+                if cell is not None:
+                    yield from cell.found()
+                number, cell = at, _Cell(positives)
+            cell.add(batch, i)
+    if cell is not None:
+        yield from cell.found()
 
 
 def _best(found: DataFrame, k: int, *group: str) -> DataFrame:
@@ -173,30 +438,35 @@ def _best(found: DataFrame, k: int, *group: str) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
+def _limits(windows: DataFrame) -> DataFrame:
+    """The limits of every anchor's slots, as a side of the cells."""
+    block = F.shiftright("anchor", _ROW_BITS)
+    limits = windows.groupBy(block.alias("block")).agg(F.collect_list(F.struct("anchor", "slot", "upper", "lower")).alias("limits"))
+    part, piece = F.shiftright("block", _PIECE_BITS), F.col("block").bitwiseAND((1 << _PIECE_BITS) - 1)
+    return limits.select(F.lit(_LIMITS).alias("side"), part.cast("int").alias("part"), piece.cast("int").alias("piece"), "limits")
+
+
 def hard_negatives(vectors: DataFrame) -> DataFrame:
     """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``: every anchor's and positive's negatives."""
-    rows = usable(vectors)
-    anchors = rows.where(F.col("vec_id") % ANCHOR_EVERY == 0)
-    found = _pairs(anchors, rows).mapInArrow(lambda batches: _kept(batches, True), _FOUND)
-    positives = cut(_best(found, POSITIVES, "anchor").select("anchor", "place", "vec_id", "score"), "positives")
+    blocks = cut(usable(vectors).mapInArrow(_packed, _BLOCK), "vectors")
+    grid = _grid(blocks)
+    found = _cells(blocks, grid).mapInArrow(lambda batches: _kept(batches, True), _FOUND)
+    positives = cut(_best(found, POSITIVES, "anchor").select("anchor", "anchor_id", "vec_id", "score"), "positives")
 
-    open_ = positives.where("score >= 0")  # the window of a negative score is empty
     upper = F.expr("(score div 100) * 95 + ((score % 100) * 95) div 100")  # floor(95 score / 100), without overflow
-    limits = open_.groupBy("anchor").agg(F.sort_array(F.collect_set(upper), asc=False).alias("limits"))
-    limited = anchors.join(limits, F.col("row") == F.col("anchor")).drop("anchor")
-    found = _pairs(limited, rows, "limits").mapInArrow(lambda batches: _kept(batches, False), _FOUND)
+    lower = F.expr("score div 2 + score % 2")  # ceil(score / 2)
+    slot = F.dense_rank().over(Window.partitionBy("anchor").orderBy(F.desc("upper"))) - 1
+    windows = positives.where("score >= 0").withColumns({"upper": upper, "lower": lower})  # that of a negative score is empty
+    windows = windows.withColumn("slot", slot)
+    found = _cells(blocks, grid, _limits(windows)).mapInArrow(lambda batches: _kept(batches, False), _FOUND)
     slots = _best(found, NEGATIVES, "anchor", "slot").groupBy("anchor").agg(
         F.array_sort(F.collect_list(F.struct("slot", "place", F.col("vec_id").alias("id"), "score"))).alias("slots")
     )
 
-    lower = F.expr("score div 2 + score % 2")  # ceil(score / 2)
-    windows = open_.join(limits, "anchor").join(slots, "anchor").withColumns({"slot": F.array_position("limits", upper).cast("int") - 1, "lower": lower})
     # Slots are listed from the highest down, so this list is the merge of all from the window's own slot on.
     merged = F.slice(F.filter("slots", lambda s: s["slot"] >= F.col("slot")), 1, NEGATIVES)
-    mined = windows.select("anchor", F.col("vec_id").alias("positive_id"), "lower", F.col("score").alias("positive_score"), F.posexplode(merged))
-    mined = mined.where(F.col("col.score") >= F.col("lower"))
-    ids = anchors.select(F.col("row").alias("anchor"), F.col("vec_id").alias("anchor_id"))
-    return mined.join(ids, "anchor").select(
+    mined = windows.join(slots, "anchor").select("anchor_id", F.col("vec_id").alias("positive_id"), "lower", F.col("score").alias("positive_score"), F.posexplode(merged))
+    return mined.where(F.col("col.score") >= F.col("lower")).select(
         "anchor_id", "positive_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.id").alias("negative_id"),
         "positive_score", F.col("col.score").alias("negative_score"),
     )

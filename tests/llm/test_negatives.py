@@ -83,3 +83,37 @@ def test_large_components(spark):
 def test_empty_tables(spark):
     assert check(spark, []).count() == 0
     assert check(spark, [(50, [1.0], 1)]).count() == 0
+
+
+def test_every_pair_is_scored_once(spark, small_blocks, monkeypatch, tmp_path):
+    """Positives need the pairs of one label and negatives the others."""
+    real, path = negatives.scores, str(tmp_path / "pairs")
+
+    def counted(a, b, *more):
+        with open(path, "a") as out:
+            out.write(f"{len(a) * len(b)}\n")
+        return real(a, b, *more)
+
+    monkeypatch.setattr(negatives, "scores", counted)
+    rng = random.Random(7)
+    rows = [(i, [rng.randrange(1, 64) / 64 for _ in range(6)], i % 4) for i in range(500)]
+    assert len(expected(rows)) == negatives.hard_negatives(table(spark, rows)).count() > 0
+    with open(path) as pairs:
+        assert sum(map(int, pairs)) == 10 * 500
+
+
+def test_grid_of_groups(spark, monkeypatch):
+    for name, value in {"ANCHOR_BYTES": 1600, "TASK_PAIRS": 400, "BLOCK_ROWS": 30, "SCORES_AT_ONCE": 600, "_FIRST_ROWS": 8, "_MERGED_AT_ONCE": 5}.items():
+        monkeypatch.setattr(negatives, name, value)
+    rng = random.Random(8)
+    rows = vectors(rng, 300, dim=2, steps=6) + [(i, x, rng.randrange(50)) for i, x, _ in vectors(rng, 300)]
+    blocks = negatives.cut(negatives.usable(table(spark, rows)).mapInArrow(negatives._packed, negatives._BLOCK), "blocks")
+    assert min(negatives._grid(blocks)) > 1
+    check(spark, rows)
+
+
+def test_products_of_any_size(spark):
+    """Floats of 32 bits, of 64 bits and whole numbers meet in one table."""
+    rng = random.Random(9)
+    rows = [(i, [rng.randrange(1, 1 << 12) * 2.0 ** rng.choice((-12, -8, 0, 8)) for _ in range(6)], rng.randrange(3)) for i in range(200)]
+    check(spark, rows)
