@@ -14,8 +14,8 @@ A slot does not keep scores below the lower limits of all its windows.
 At scale. Vectors are packed once, as small integers where they fit. Groups of anchors that fit in a worker and groups of
 rows form a grid, and each of its cells is a task: it holds its anchors and what they have kept, and rows stream by in
 blocks. Positives score rows of the anchor's label only and negatives the others, so all pairs are scored about once. Products
-are of 32-bit floats where norms show that these are exact. A tile of products is only looked at further for anchors whose
-largest score reaches the least they have kept. Groups are dealt by the number of a block, so no label, value or repeated
+are of 32-bit floats where norms show that these are exact. A strip of products is only looked at further for anchors whose
+largest score in it reaches the least they have kept. Groups are dealt by the number of a block, so no label, value or repeated
 row makes one of them large. Work grows with the number of pairs, the square of the rows.
 
 Rows with a NULL label, a NULL vector, or any NULL or non-finite component take no part. A missing ``vec_id`` is no
@@ -54,7 +54,7 @@ CELL_BYTES = 256 << 20
 CELL_PAIRS = 1 << 37
 TASK_PAIRS = 1 << 27
 _TILE_ROWS = 1024
-_FIRST_ROWS = 256
+_FIRST_ROWS = _STRIP = 256
 _MANY = 16  # a tile with more than this part of its scores to look at
 _MERGED_AT_ONCE = 1 << 18
 _KEPT_BYTES = 512
@@ -160,9 +160,8 @@ def scores(a: np.ndarray, b: np.ndarray, most: float = math.inf, into: np.ndarra
     return np.array([[min(max(int(x), -_MOST), _MOST) for x in row] for row in found], np.int64).reshape(len(a), len(b))
 
 
-def _ranked(score: np.ndarray, tied: np.ndarray) -> np.ndarray:
-    """Doubles that order as (score, earlier in ``tied``), which holds a place below the number of places for every column."""
-    n = float(tied.max(initial=0) + 1)
+def _ranked(score: np.ndarray, tied: np.ndarray, n: int) -> np.ndarray:
+    """Doubles that order as (score, earlier in ``tied``), whose places are below ``n``."""
     if score.dtype != np.float32 and np.abs(score[score > _least(score)].astype(np.float64)).max(initial=0) * n >= _EXACT / 2:
         score = np.unique(score, return_inverse=True)[1].reshape(score.shape)
     return score.astype(np.float64) * n + (n - 1 - tied)
@@ -173,6 +172,15 @@ def _least(score: np.ndarray) -> float:
     return _LEAST if score.dtype == np.int64 else -math.inf
 
 
+def _strips(score: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """A tile as rows of strips of ``_STRIP`` columns, then what is left of it; and where in the tile they begin."""
+    even = score.shape[1] // _STRIP * _STRIP
+    if even:
+        yield score[:, :even].reshape(len(score), -1, _STRIP), 0
+    if even < score.shape[1]:
+        yield score[:, even:][:, None], even
+
+
 class _Block:
     """Rows of one length of vectors."""
 
@@ -306,45 +314,48 @@ class _Anchors:
                     score[:, max(left, low) - left : min(right, high) - left][same != self.positives] = _least(score)
                 for i in np.flatnonzero((own >= start) & (own < end) & (own_col >= left) & (own_col < right)):
                     score[own[i] - start, own_col[i] - left] = _least(score)
-                hit = np.flatnonzero(score.max(axis=1) >= lowest.astype(score.dtype))
-                if len(hit):
-                    self._pick(start + hit, score[hit], least[hit], left, tied[left:right])
+                for parts, at in _strips(score):
+                    who, part = np.nonzero(parts.max(axis=2) >= lowest.astype(score.dtype)[:, None])
+                    if len(who):
+                        self._pick(start + who, parts[who, part], least[who], left + at + part * parts.shape[2], tied)
             if sum(len(x[0]) for x in self.picked) >= _MERGED_AT_ONCE:
                 self._merge(row, missing, ids)
         self._merge(row, missing, ids)
 
-    def _pick(self, anchor: np.ndarray, score: np.ndarray, least: np.ndarray, left: int, tied: np.ndarray) -> None:
-        """Rows of a tile that reach what their slot has kept: all if they are few, else the first of every slot."""
+    def _pick(self, anchor: np.ndarray, score: np.ndarray, least: np.ndarray, left: np.ndarray, tied: np.ndarray) -> None:
+        """Rows of strips that reach what their slot has kept: all if they are few, else the first of every slot. ``left`` is
+        where each strip begins in its block, and ``tied`` the order of ties in that."""
         at = np.flatnonzero(score >= least.min(axis=1).astype(score.dtype)[:, None])
         if len(at) > score.size // _MANY:
             self._pick_first(anchor, score, least, left, tied)
             return
-        who, value = at // score.shape[1], score.ravel()[at].astype(np.int64)
+        who, col = np.divmod(at, score.shape[1])
+        value = score.ravel()[at].astype(np.int64)
         slot = (self.upper[anchor[who]] >= value[:, None]).sum(axis=1) - 1
         there = (slot >= 0) & (value >= least[who, slot])
-        self.picked.append((anchor[who[there]] * self.slots + slot[there], value[there], left + at[there] % score.shape[1]))
+        self.picked.append((anchor[who[there]] * self.slots + slot[there], value[there], (left[who] + col)[there]))
 
-    def _pick_first(self, anchor: np.ndarray, score: np.ndarray, least: np.ndarray, left: int, tied: np.ndarray) -> None:
+    def _pick_first(self, anchor: np.ndarray, score: np.ndarray, least: np.ndarray, left: np.ndarray, tied: np.ndarray) -> None:
         none = _least(score)
         who, slot = np.nonzero(score.max(axis=1)[:, None] >= least.astype(score.dtype))
         step = max(1, SCORES_AT_ONCE // score.shape[1])
         for at in range(0, len(who), step):
             w, s = who[at : at + step], slot[at : at + step]
-            key, from_ = anchor[w] * self.slots + s, least[w, s].astype(score.dtype)
+            key, from_, begins = anchor[w] * self.slots + s, least[w, s].astype(score.dtype), left[w]
             here = score[w]
             here = np.where(here <= self.upper.reshape(-1)[key].astype(score.dtype)[:, None], here, score.dtype.type(none))
             there = here.max(axis=1) >= from_
-            key, from_, here = key[there], from_[there], here[there]
-            order = _ranked(here, tied)
+            key, from_, begins, here = key[there], from_[there], begins[there], here[there]
+            order = _ranked(here, tied[begins[:, None] + np.arange(here.shape[1])], len(tied))
             for _ in range(self.k):
                 col, each = order.argmax(axis=1), np.arange(len(key))
                 value = here[each, col]
                 there = value >= from_
                 if not there.all():
-                    key, from_, here, order, col, value = (x[there] for x in (key, from_, here, order, col, value))
+                    key, from_, begins, here, order, col, value = (x[there] for x in (key, from_, begins, here, order, col, value))
                 if not len(key):
                     break
-                self.picked.append((key, value.astype(np.int64), left + col))
+                self.picked.append((key, value.astype(np.int64), begins + col))
                 each = each[: len(key)]
                 here[each, col], order[each, col] = none, -math.inf
 
